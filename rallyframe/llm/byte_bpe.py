@@ -50,6 +50,7 @@ class ByteBPE:
         #: The bitmap below the top word: a bit for every bucket in use, and a bit for every word in use.
         self.low, self.mid = [0] * ((self.size >> 6) + 1), [0] * ((self.size >> 12) + 1)
         self.split = regex.compile(pattern)
+        #: By what follows the space in front.
         self.pieces: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
@@ -161,20 +162,26 @@ class ByteBPE:
                 self.tokens[token] = found
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = b"".join(map(self._token, self.split.findall(piece)))
-            if len(piece) <= CACHE_LENGTH:
-                if len(self.pieces) >= CACHE_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+    def _encoded(self, piece: str) -> bytes:
+        return b"".join(map(self._token, self.split.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known = self.pieces.get
-        return b"".join([known(p) or self._piece(p) for p in pieces(text)])
+        parts = pieces(text)
+        known = self.pieces
+        parts[0], head = "", self._encoded(parts[0])
+        out = list(map(known.get, parts))
+        out[0] = head
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    piece = parts[i]
+                    found = out[i] = self._encoded(" " + piece)
+                    if len(piece) < CACHE_LENGTH:
+                        if len(known) >= CACHE_PIECES:
+                            known.clear()
+                        known[piece] = found
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -185,16 +192,13 @@ _UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 def pieces(text: str) -> list[str]:
-    """Cut a text before each space that a non-space follows.
+    """Cut a text at each space that a non-space follows; joined by spaces, the pieces give the text again.
 
     The pre-token pattern never crosses such a place: words, numbers and marks take one space in front and none behind,
-    and a run of white space leaves its last space to what follows.
+    and a run of white space leaves its last space to what follows. All pieces but the first thus stand for themselves
+    with a space in front.
     """
-    if not text:
-        return []
-    parts = _BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")
-    head, *rest = parts
-    return [*([head] if head else []), *[" " + p for p in rest]]
+    return _BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, sharding
+from . import byte_bpe, sharding, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_store": token_store.op2_token_store,
         "op8_sharding": sharding.op8_sharding,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
