@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, sharding, simhash, token_store
+from . import byte_bpe, line_dedup, sharding, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_store": token_store.op2_token_store,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
@@ -19,4 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.ORACLE,
+    }
