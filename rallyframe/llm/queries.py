@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, sharding, simhash, token_store, toxicity
+from . import byte_bpe, decontaminate, line_dedup, sharding, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_token_store": token_store.op2_token_store,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_sharding": sharding.op8_sharding,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
