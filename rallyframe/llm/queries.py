@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, line_dedup, sharding, simhash, token_store, toxicity
+from . import byte_bpe, decontaminate, html_text, line_dedup, paragraph_sketch, secrets, sharding, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_token_store": token_store.op2_token_store,
+        "op3_secrets": secrets.op3_secrets,
+        "op4_paragraph_sketch": paragraph_sketch.op4_paragraph_sketch,
         "op5_html_text": html_text.op5_html_text,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_line_dedup": line_dedup.op7_line_dedup,
