@@ -213,14 +213,16 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, and the text's bytes as decoded from the ids."""
+    """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens, and whether they decode to the text's bytes."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks_path, pattern)
-        ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(bpe.decode, ids), pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        ids = [bpe.encode(t) for t in texts]
+        same = [bpe.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+        yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary, n_tokens long, decoded binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary, n_tokens long, round_trip boolean")
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

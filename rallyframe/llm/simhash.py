@@ -14,6 +14,7 @@ unless it is alone with its fingerprint; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,9 +171,9 @@ class TrieJoin:
         at = 0
         while at < len(ends):  # at most so many leaf pairs at once
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + 4_000_000, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + 500_000, "right")))
             part, n = nodes[:, at:to], pairs[at:to]
-            if len(n) == 1 and n[0] > 4_000_000:
+            if len(n) == 1 and n[0] > 500_000:
                 self._product(part[:, 0])
             else:
                 which = np.repeat(np.arange(len(n)), n)
@@ -212,7 +213,8 @@ def _rotated(key: str, offset: int) -> str:
 def trie_memberships(nodes: DataFrame, budget: int, keys: tuple[str, ...] = ("key",), signature: str | None = None, accept=None) -> DataFrame:
     """node, part: for each rotation in which a node has links, the component it belongs to there.
 
-    nodes: node (long, unique) and the key columns. With `accept(signatures, u, v)`, links must also pass it.
+    nodes: node (long) and the key columns. With `accept(signatures, u, v)`, links must also pass it; signatures are
+    binary of one length and come as a matrix of bytes.
     """
     ship(nodes.sparkSession)
     blocks = block_offsets(budget)
@@ -238,7 +240,7 @@ def trie_memberships(nodes: DataFrame, budget: int, keys: tuple[str, ...] = ("ke
         trie, node, keys = trie[order], node[order], keys[order]
         test = None
         if accept is not None:
-            signatures = np.array(whole[signature].to_pylist(), dtype=object)[order]
+            signatures = np.frombuffer(b"".join(whole[signature].to_pylist()), dtype=np.uint8).reshape(len(order), -1)[order]
             test = lambda u, v: accept(signatures, u, v)
         top = keys >> np.uint64(64 - depth)
         new = np.concatenate([[True], (trie[1:] != trie[:-1]) | (top[1:] != top[:-1])])
@@ -281,5 +283,72 @@ def near_duplicate_components(docs: DataFrame, budget: int = 2, width: int = 3)
     return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The near-copy sketch: fingerprints with hashes of their own, differing bits, words a shingle, minimum hashes.
+TABLES, COPY_BUDGET, COPY_WIDTH, MINIMA = 3, 3, 5, 128
+SIMILARITY = 0.8
+#: Two standard deviations of the estimate from MINIMA minimum hashes at SIMILARITY.
+MARGIN = 2 * (SIMILARITY * (1 - SIMILARITY) / MINIMA) ** 0.5
+_MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
+_FACTORS = (np.random.default_rng(11).integers(1, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def copy_sketch(text: str | None) -> tuple[list[int], bytes]:
+    """Fingerprints over single words with their counts, and a byte of each minimum hash of five-word shingles.
+
+    Words are lower-cased and lose ASCII marks. Single words put edited copies within a few bits of each other where
+    shingles would not; the shingles' minima then tell copies from texts that only share their common words.
+    """
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split()
+    counts = Counter(words)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in counts], dtype=np.uint64)
+    weights = np.array(list(counts.values()), dtype=float)
+    keys = []
+    for t in range(TABLES):
+        x = (hashes ^ (hashes >> np.uint64(29 + t))) * _FACTORS[t]
+        keys.append(_signed(majority_bits(x ^ (x >> np.uint64(32)), weights)))
+    shingles = shingle_hashes(words, COPY_WIDTH)
+    least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[at : at + 2048, None] * _FACTORS).min(axis=0), out=least)
+    return keys, (least >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
+def similar(signatures: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether the estimated similarity of five-word shingles reaches SIMILARITY, less the estimate's margin."""
+    out = np.zeros(len(u), dtype=bool)
+    for at in range(0, len(u), 100_000):
+        i, j = u[at : at + 100_000], v[at : at + 100_000]
+        same = (signatures[i] == signatures[j]).mean(axis=1)
+        out[at : at + 100_000] = (same - 1 / 256) / (1 - 1 / 256) >= SIMILARITY - MARGIN
+    return out
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
+
+    Candidates come from the trie self-join over TABLES independent fingerprints of single words within COPY_BUDGET
+    bits. Texts without words are copies of each other. Rows with the same doc_id are one document.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sketches = [copy_sketch(t) for t in batch.column(1).to_pylist()]
+        keys = [pa.array([k[t] for k, _ in sketches], pa.int64()) for t in range(TABLES)]
+        yield pa.record_batch([batch.column(0), *keys, pa.array([m for _, m in sketches], pa.binary())], names=["doc_id", *names, "minima"])
+
+    names = [f"key{t}" for t in range(TABLES)]
+    kind = ", ".join(["doc_id long", *[f"{n} long" for n in names], "minima binary"])
+    sketched = stored(map_batches(docs.select("doc_id", "text").where("doc_id is not null"), run, kind), "copy_sketches")
+    nodes = sketched.groupBy(*names, "minima").agg(F.min("doc_id").alias("node"))
+    labels = merge_memberships(trie_memberships(nodes, COPY_BUDGET, tuple(names), "minima", similar))
+    named = nodes.join(labels, "node", "left").select(*names, "minima", F.coalesce("label", "node").alias("component_id"))
+    return sketched.join(named, [*names, "minima"]).select("doc_id", "component_id")
+
+
+def keep_one_of_copies(docs: DataFrame) -> DataFrame:
+    """All columns of the documents but near copies of one with a smaller doc_id. Rows without a doc_id stay."""
+    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))

@@ -23,6 +23,8 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ CACHE_PIECES = 700_000
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
 CACHE_LENGTH = 64
+#: Marks that are one pre-token behind letters; an apostrophe is not, as endings begin with it.
+MARKS = ".,!?;:%&*#$()\"-"
 
 
 class PieceEncoder:
@@ -57,22 +61,52 @@ class PieceEncoder:
             self.width[i] = len(token)  # one character for each byte
         #: By what follows the space in front.
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encode new pieces, each after a space, in one go and cut the ids where the pieces' bytes end."""
-        ids = np.array(self.library.encode("".join([" " + p for p in new]), add_special_tokens=False).ids, dtype=self.kind)
-        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in new])
-        cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize
-        raw, at, found = ids.tobytes(), 0, {}
-        for p, to in zip(new, cuts.tolist(), strict=True):
-            found[p] = raw[at:to]
-            at = to
+        return self._ids(text).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            if len(self.tails) > CACHE_PIECES // 10:
+                self.tails.clear()
+            found = self.tails[marks] = self._plain(marks)
         return found
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces, each after a space, in one go and cut the ids where the pieces' bytes end.
+
+        Letters with marks behind are two pre-tokens, so only the letters are encoded anew.
+        """
+        known, marked = self.known, []
+        plain = dict.fromkeys(new)
+        for p in new:
+            core = p.rstrip(MARKS)
+            if len(core) < len(p) and core.isalpha():
+                marked.append((p, core))
+                del plain[p]
+                if core not in known:
+                    plain[core] = None
+        words = list(plain)
+        if words:
+            text = " " + " ".join(words)
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            n_bytes = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF))
+            ends = n_bytes[np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1]
+            ids = self._ids(text)
+            cuts = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize).tolist()
+            raw = ids.tobytes()
+            known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        tail = self._tail
+        known.update([(p, known[core] + tail(p[len(core) :])) for p, core in marked])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHE_PIECES:
+            self.known = {}
         known = self.known
         heads, split, found, new = [], [], [], {}
         for text in texts:
@@ -81,20 +115,16 @@ class PieceEncoder:
             del own[0]
             got = list(map(known.get, own))
             if None in got:
-                new.update([(p, b"") for p, x in zip(own, got, strict=True) if x is None])
+                new.update(dict.fromkeys(compress(own, map(not_, got))))
+                got = None
             split.append(own)
             found.append(got)
         if new:
-            new = self._learn(list(new))
-        out = []
-        for head, own, got in zip(heads, split, found, strict=True):
-            if None in got:
-                got = [new[p] if x is None else x for p, x in zip(own, got, strict=True)]
-            out.append(head + b"".join(got))
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-            known.update({p: x for p, x in new.items() if len(p) < CACHE_LENGTH})
+            self._learn(list(new))
+        out = [head + b"".join(map(known.__getitem__, own) if got is None else got) for head, own, got in zip(heads, split, found, strict=True)]
+        for p in new:
+            if len(p) > CACHE_LENGTH:
+                del known[p]
         return out
 
 
@@ -118,7 +148,7 @@ def cut_points(ids: np.ndarray) -> list[int]:
         rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
         for j in range(WINDOW):
             rolled = rolled * np.uint64(0x100000001B3) + mixed[j : n - WINDOW + 1 + j]
-        hits = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + WINDOW).tolist()
+        hits = (np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MEAN_IDS - 1) == 0) + WINDOW).tolist()
     else:
         hits = []
     ends, at = [], 0
