@@ -16,9 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch where the session has Spark's default: whole documents are long.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
+    """Give the Python workers this package, once per application, and batches that suit documents."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
