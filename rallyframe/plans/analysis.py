@@ -58,18 +58,23 @@ def analyse(ball: DataFrame, players: DataFrame, homography: Sequence[Column], p
     return Analysis(steps, events, mapping, rallies, features, shots.classify(features, True, t), outcomes.rally_outcomes(rallies, steps, t), pl.mapped(players, mapping), t)
 
 
+def _by_key(entries: Column) -> Column:
+    """Entries as a map, in the order of their keys."""
+    return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+
+
 def stats_document(a: Analysis) -> DataFrame:
     """match_id, per_player, heatmaps, rallies: one nested row a match, dense over four players and all shot types."""
     types = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.max(F.when(F.col("shot_type") == s, F.col("n")))) for s in SHOT_TYPES]))
     by_type = a.crosstab().groupBy("match_id", "player_id").agg(types.alias("shots"))
     each = a.distances().join(a.winners_errors(), ["match_id", "player_id"]).join(by_type, ["match_id", "player_id"])
     key = F.col("player_id").cast("string")
-    entry = F.struct(key, F.struct("distance_m", "winners", "errors", "shots"))
-    per_player = each.groupBy("match_id").agg(F.map_from_entries(F.collect_list(entry)).alias("per_player"))
+    entry = F.struct(key.alias("key"), F.struct("distance_m", "winners", "errors", "shots"))
+    per_player = each.groupBy("match_id").agg(_by_key(F.collect_list(entry)).alias("per_player"))
 
     points = a.heatmap().groupBy("match_id", "player_id").agg(F.array_sort(F.collect_list(F.array("x", "y", "weight"))).alias("points"))
     all_points = pl.player_slots(a.mapping).join(points, ["match_id", "player_id"], "left").withColumn("points", F.coalesce("points", F.array().cast("array<array<double>>")))
-    heatmaps = all_points.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(key, F.col("points")))).alias("heatmaps"))
+    heatmaps = all_points.groupBy("match_id").agg(_by_key(F.collect_list(F.struct(key.alias("key"), F.col("points")))).alias("heatmaps"))
 
     rows = outcomes.rally_players(a.rallies, a.mapping).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "last_player"))).alias("rallies"))
     none = F.array().cast("array<struct<start_frame:bigint,end_frame:bigint,last_player:int>>")

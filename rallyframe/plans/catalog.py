@@ -56,7 +56,7 @@ def load_stats(spark, path: str, schema: str | None = None) -> DataFrame:
 
 
 def job_log(updates: DataFrame, step: int = 5) -> DataFrame:
-    """Progress updates worth storing: the first, each `step` points on from the last stored, and 100.
+    """Progress updates worth storing: each `step` points or more on from the last stored (-1 at first), and any 100.
 
     updates: match_id, seq, progress. The rule depends on what it stored, hence a fold.
     """
@@ -64,7 +64,7 @@ def job_log(updates: DataFrame, step: int = 5) -> DataFrame:
     start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("kept"))
 
     def fold(state, x):
-        keep = (x["progress"] >= state["last"] + step) | (x["progress"] == 100) & (state["last"] != 100)
+        keep = (x["progress"] >= state["last"] + step) | (x["progress"] >= 100)
         return F.struct(F.when(keep, x["progress"]).otherwise(state["last"]).alias("last"), F.when(keep, F.array_append(state["kept"], x["progress"])).otherwise(state["kept"]).alias("kept"))
 
     return rows.select("match_id", F.explode(F.aggregate("rows", start, fold, lambda s: s["kept"])).alias("progress"))
