@@ -98,7 +98,7 @@ def test_three_frame_buffer(spark):
 def test_nearest_frame_prefers_exact_then_forward(spark):
     peaks = spark.createDataFrame([(0, f, 0.0, 0.0, 0.0, 0.0) for f in (10, 20, 40)], "match_id long, frame_idx long, x double, y double, cx double, cy double")
     players = player_rows(spark, (8, 1, 0, 0, 0), (12, 2, 0, 1, 1), (14, 3, 0, 0, 0), (26, 4, 0, 0, 0), (33, 5, 0, 0, 0))
-    assert rows(joins.hits(peaks, players), "frame_idx", "track_id") == [(10, 2), (20, 3)]
+    assert rows(joins.hits(peaks, players), "frame_idx", "track_id") == [(10, 2), (20, 4)]
 
 
 def test_frame_first_then_player_and_first_detection_wins(spark):
