@@ -36,7 +36,8 @@ from .ordering import range_bounds, range_of
 from .runtime import env_cpu_single, map_batches, shared_dir, ship, table
 
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
-WINDOW, MEAN_IDS, MOST_IDS = 8, 256, 4096
+WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
+#: Pieces of a generation of the cache; the one before is kept too.
 CACHE_PIECES = 700_000
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
@@ -45,15 +46,31 @@ CACHE_LENGTH = 64
 MARKS = ".,!?;:%&*#$()\"-"
 
 
+def _written() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes as characters, for bytes read as latin-1; a space also parts words.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on in ascending order.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)} | {32: " \u0120"}
+
+
+WRITTEN = _written()
+
+
 class PieceEncoder:
     """The tokenizers library behind a cache of the pieces between spaces, which its pre-tokens never cross."""
 
     def __init__(self, path: str) -> None:
         env_cpu_single()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        #: The same merges for words already cut, their bytes written as the vocabulary writes them.
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.library.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -61,6 +78,8 @@ class PieceEncoder:
             self.width[i] = len(token)  # one character for each byte
         #: By what follows the space in front.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -69,59 +88,79 @@ class PieceEncoder:
     def _plain(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _tail(self, marks: str) -> bytes:
-        found = self.tails.get(marks)
+    def _remembered(self, memory: dict[str, bytes], text: str) -> bytes:
+        found = memory.get(text)
         if found is None:
-            if len(self.tails) > CACHE_PIECES // 10:
-                self.tails.clear()
-            found = self.tails[marks] = self._plain(marks)
+            if len(memory) > CACHE_PIECES // 10:
+                memory.clear()
+            found = self._plain(text)
+            if len(text) < CACHE_LENGTH:
+                memory[text] = found
         return found
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Cut the ids of all words, each after a space, where the words' bytes end."""
+        cuts = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize).tolist()
+        self.known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+
     def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, each after a space, in one go and cut the ids where the pieces' bytes end.
+        """Encode new pieces, each after a space.
 
-        Letters with marks behind are two pre-tokens, so only the letters are encoded anew.
+        Letters alone are one pre-token, so they go to the merges at once; letters with marks behind are two, of which
+        only the letters are encoded anew. The rest takes the whole way.
         """
-        known, marked = self.known, []
-        plain = dict.fromkeys(new)
+        known, marked, letters, rest = self.known, [], {}, []
         for p in new:
+            if p.isalpha():
+                letters[p] = None
+                continue
             core = p.rstrip(MARKS)
             if len(core) < len(p) and core.isalpha():
                 marked.append((p, core))
-                del plain[p]
                 if core not in known:
-                    plain[core] = None
-        words = list(plain)
-        if words:
-            text = " " + " ".join(words)
+                    letters[core] = None
+            else:
+                rest.append(p)
+        for words, alone in ((list(letters), True), (rest, False)):
+            if not words:
+                continue
+            text = " ".join(words)
             code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
             n_bytes = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF))
-            ends = n_bytes[np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1]
-            ids = self._ids(text)
-            cuts = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize).tolist()
-            raw = ids.tobytes()
-            known.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-        tail = self._tail
-        known.update([(p, known[core] + tail(p[len(core) :])) for p, core in marked])
+            at = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 2
+            if alone:
+                written = "\u0120" + text.encode().decode("latin-1").translate(WRITTEN)
+                ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype=self.kind)
+            else:
+                ids = self._ids(" " + text)
+            self._keep(words, ids, n_bytes[at] + 1)
+        known.update([(p, known[core] + self._remembered(self.tails, p[len(core) :])) for p, core in marked])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known = self.known
-        heads, split, found, new = [], [], [], {}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        heads, rows, new = [], [], {}
         for text in texts:
             own = pieces(text or "")
-            heads.append(self._plain(own[0]) if own[0] else b"")
+            heads.append(self._remembered(self.heads, own[0]) if own[0] else b"")
             del own[0]
             got = list(map(known.get, own))
-            if None in got:
-                new.update(dict.fromkeys(compress(own, map(not_, got))))
-                got = None
-            split.append(own)
-            found.append(got)
+            gaps = [(i, own[i]) for i, x in enumerate(got) if x is None] if None in got else ()
+            for _, p in gaps:
+                new[p] = None
+            rows.append((got, gaps))
         if new:
-            self._learn(list(new))
-        out = [head + b"".join(map(known.__getitem__, own) if got is None else got) for head, own, got in zip(heads, split, found, strict=True)]
+            if older:
+                back = {p: older[p] for p in new if p in older}
+                known.update(back)
+                self._learn([p for p in new if p not in back])
+            else:
+                self._learn(list(new))
+            for got, gaps in rows:
+                for i, p in gaps:
+                    got[i] = known[p]
+        out = [head + b"".join(got) for head, (got, _) in zip(heads, rows, strict=True)]
         for p in new:
             if len(p) > CACHE_LENGTH:
                 del known[p]
