@@ -277,7 +277,8 @@ def merge_memberships(memberships: DataFrame) -> DataFrame:
 def near_duplicate_components(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = stored(fingerprints(docs, width), "fingerprints")
-    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("node"))
+    # A table of its own, so that the join below stands alone in its stage and Spark can split a key with many copies.
+    nodes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     labels = merge_memberships(trie_memberships(nodes.where("node is not null"), budget))
     named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
     return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
@@ -338,7 +339,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     names = [f"key{t}" for t in range(TABLES)]
     kind = ", ".join(["doc_id long", *[f"{n} long" for n in names], "minima binary"])
     sketched = stored(map_batches(docs.select("doc_id", "text").where("doc_id is not null"), run, kind), "copy_sketches")
-    nodes = sketched.groupBy(*names, "minima").agg(F.min("doc_id").alias("node"))
+    nodes = stored(sketched.groupBy(*names, "minima").agg(F.min("doc_id").alias("node")), "copy_nodes")
     labels = merge_memberships(trie_memberships(nodes, COPY_BUDGET, tuple(names), "minima", similar))
     named = nodes.join(labels, "node", "left").select(*names, "minima", F.coalesce("label", "node").alias("component_id"))
     return sketched.join(named, [*names, "minima"]).select("doc_id", "component_id")
