@@ -188,7 +188,15 @@ class ByteBPE:
 
 
 _BREAK = re.compile(r" (?=\S)")
-_UNSAFE = re.compile(r" (?:\s|\Z)")
+#: A space before another white space, or at the end.
+_SPACED = [" " + c for c in map(chr, range(0x3001)) if c.isspace()]
+_SPACED_ASCII = [x for x in _SPACED if x.isascii()]
+
+
+def _unsafe(text: str) -> bool:
+    return text.endswith(" ") or any(x in text for x in (_SPACED_ASCII if text.isascii() else _SPACED))
+
+
 
 
 def pieces(text: str) -> list[str]:
@@ -198,7 +206,7 @@ def pieces(text: str) -> list[str]:
     and a run of white space leaves its last space to what follows. All pieces but the first thus stand for themselves
     with a space in front.
     """
-    return _BREAK.split(text) if _UNSAFE.search(text) else text.split(" ")
+    return _BREAK.split(text) if _unsafe(text) else text.split(" ")
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}

@@ -180,25 +180,35 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
-    """Chunk ends. A chunk ends where the rolling hash of the last WINDOW ids hits, or at MOST_IDS."""
-    n = len(ids)
-    if n > WINDOW:
+    """Chunk ends of one stream. A chunk ends where the rolling hash of the last WINDOW ids hits, or at MOST_IDS."""
+    return cut_streams(ids, [len(ids)])[0]
+
+
+def cut_streams(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Chunk ends of streams that lie one behind the other, counted from each one's start; no hash spans two."""
+    total = len(ids)
+    hits = np.zeros(0, dtype=np.int64)
+    if total >= WINDOW:
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
-        rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-        for j in range(WINDOW):
-            rolled = rolled * np.uint64(0x100000001B3) + mixed[j : n - WINDOW + 1 + j]
-        hits = (np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MEAN_IDS - 1) == 0) + WINDOW).tolist()
-    else:
-        hits = []
-    ends, at = [], 0
-    for hit in [*hits, n]:
-        while hit - at > MOST_IDS:
-            at += MOST_IDS
-            ends.append(at)
-        if hit > at:
-            ends.append(hit)
-            at = hit
-    return ends
+        rolled = mixed[: total - WINDOW + 1].copy()
+        for j in range(1, WINDOW):
+            rolled = rolled * np.uint64(0x100000001B3) + mixed[j : total - WINDOW + 1 + j]
+        hits = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MEAN_IDS - 1) == 0) + WINDOW
+    starts = np.cumsum([0, *sizes])
+    first = np.searchsorted(hits, starts[:-1] + WINDOW).tolist()
+    last = np.searchsorted(hits, starts[1:], "right").tolist()
+    listed, out = hits.tolist(), []
+    for start, n, lo, hi in zip(starts.tolist(), sizes, first, last, strict=False):
+        ends, at = [], 0
+        for hit in [*[h - start for h in listed[lo:hi]], n]:
+            while hit - at > MOST_IDS:
+                at += MOST_IDS
+                ends.append(at)
+            if hit > at:
+                ends.append(hit)
+                at = hit
+        out.append(ends)
+    return out
 
 
 def digest(raw: bytes) -> bytes:
@@ -270,15 +280,16 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> D
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = b"" if end_id is None else np.array([end_id], dtype=enc.kind).tobytes()
-        counts, roots, lists = [], [], []
-        for raw in enc.encode(batch.column(1).to_pylist()):
-            ids = np.frombuffer(raw + end, dtype=enc.kind)
+        raws = [raw + end for raw in enc.encode(batch.column(1).to_pylist())]
+        size = enc.kind.itemsize
+        counts = [len(raw) // size for raw in raws]
+        roots, lists = [], []
+        for raw, ends in zip(raws, cut_streams(np.frombuffer(b"".join(raws), dtype=enc.kind), counts), strict=True):
             at, own = 0, []
-            for to in cut_points(ids):
-                part = ids[at:to].tobytes()
+            for to in ends:
+                part = raw[at * size : to * size]
                 own.append({"digest": digest(part), "n_ids": to - at, "ids": part})
                 at = to
-            counts.append(len(ids))
             roots.append(merkle_root([c["digest"] for c in own]))
             lists.append(own)
         kind = pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())]))
