@@ -14,7 +14,6 @@ unless it is alone with its fingerprint; an empty table gives an empty result; o
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -284,65 +283,76 @@ def near_duplicate_components(docs: DataFrame, budget: int = 2, width: int = 3)
     return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The near-copy sketch: fingerprints with hashes of their own, differing bits, words a shingle, minimum hashes.
-TABLES, COPY_BUDGET, COPY_WIDTH, MINIMA = 3, 3, 5, 128
-SIMILARITY = 0.8
-#: Two standard deviations of the estimate from MINIMA minimum hashes at SIMILARITY.
-MARGIN = 2 * (SIMILARITY * (1 - SIMILARITY) / MINIMA) ** 0.5
+#: The near-copy sketch: words a shingle, bands of minimum hashes and minima a band.
+COPY_WIDTH, BANDS, BAND_MINIMA = 5, 32, 4
+MINIMA = BANDS * BAND_MINIMA
+#: The least similarity of copies, as a fraction.
+SIMILARITY = (4, 5)
+#: Minima, by two bits of each, that must agree for a candidate; at SIMILARITY fewer do with a chance of 1.4e-8.
+LEAST_EQUAL = 84
+#: Nodes of a group of candidates that are compared in one place; larger groups are compared by band.
+LARGE_GROUP = 256
+#: Shingles compared with a set at once.
+SHINGLES_AT_ONCE = 1 << 21
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
 _FACTORS = (np.random.default_rng(11).integers(1, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_LOW_BITS = np.uint64(0x5555555555555555)
 
 
-def copy_sketch(text: str | None) -> tuple[list[int], bytes]:
-    """Fingerprints over single words with their counts, and a byte of each minimum hash of five-word shingles.
+def shingle_set(text: str | None) -> np.ndarray:
+    """Ascending hashes of the different five-word shingles. Words are lower-cased and lose ASCII marks."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split()
+    return np.unique(shingle_hashes(words, COPY_WIDTH))
+
 
-    Words are lower-cased and lose ASCII marks. Single words put edited copies within a few bits of each other where
-    shingles would not; the shingles' minima then tell copies from texts that only share their common words.
+def copy_sketch(shingles: np.ndarray) -> tuple[bytes, np.ndarray, bytes]:
+    """A digest of the set, a key for each band of minimum hashes, and two bits of each minimum hash.
+
+    A pair at SIMILARITY has no band in common with a chance of (1 - 0.8 ** BAND_MINIMA) ** BANDS, 4.7e-8.
     """
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split()
-    counts = Counter(words)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in counts], dtype=np.uint64)
-    weights = np.array(list(counts.values()), dtype=float)
-    keys = []
-    for t in range(TABLES):
-        x = (hashes ^ (hashes >> np.uint64(29 + t))) * _FACTORS[t]
-        keys.append(_signed(majority_bits(x ^ (x >> np.uint64(32)), weights)))
-    shingles = shingle_hashes(words, COPY_WIDTH)
     least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 2048):
         np.minimum(least, (shingles[at : at + 2048, None] * _FACTORS).min(axis=0), out=least)
-    return keys, (least >> np.uint64(16)).astype(np.uint8).tobytes()
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for minima in least.reshape(BANDS, BAND_MINIMA).T:
+        keys = (keys ^ minima) * _FACTORS[0]
+        keys ^= keys >> np.uint64(29)
+    low = (least >> np.uint64(16)).astype(np.uint8)
+    return xxhash.xxh3_128_digest(shingles.tobytes()), keys.view(np.int64), np.packbits(np.stack([low >> 1 & 1, low & 1], axis=1)).tobytes()
 
 
 def similar(signatures: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Whether the estimated similarity of five-word shingles reaches SIMILARITY, less the estimate's margin."""
+    """Whether enough minima agree for a candidate."""
+    whole = np.ascontiguousarray(signatures).view(np.uint64)
     out = np.zeros(len(u), dtype=bool)
     for at in range(0, len(u), 100_000):
-        i, j = u[at : at + 100_000], v[at : at + 100_000]
-        same = (signatures[i] == signatures[j]).mean(axis=1)
-        out[at : at + 100_000] = (same - 1 / 256) / (1 - 1 / 256) >= SIMILARITY - MARGIN
+        x = whole[u[at : at + 100_000]] ^ whole[v[at : at + 100_000]]
+        other = np.bitwise_count((x | x >> np.uint64(1)) & _LOW_BITS).sum(axis=1, dtype=np.int64)
+        out[at : at + 100_000] = MINIMA - other >= LEAST_EQUAL
     return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
 
-    Candidates come from the trie self-join over TABLES independent fingerprints of single words within COPY_BUDGET
-    bits. Texts without words are copies of each other. Rows with the same doc_id are one document.
+    Candidates have a band of minimum hashes in common. Texts without words are copies of each other. Rows with the same doc_id are one document.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sketches = [copy_sketch(t) for t in batch.column(1).to_pylist()]
-        keys = [pa.array([k[t] for k, _ in sketches], pa.int64()) for t in range(TABLES)]
-        yield pa.record_batch([batch.column(0), *keys, pa.array([m for _, m in sketches], pa.binary())], names=["doc_id", *names, "minima"])
-
-    names = [f"key{t}" for t in range(TABLES)]
-    kind = ", ".join(["doc_id long", *[f"{n} long" for n in names], "minima binary"])
-    sketched = stored(map_batches(docs.select("doc_id", "text").where("doc_id is not null"), run, kind), "copy_sketches")
-    nodes = stored(sketched.groupBy(*names, "minima").agg(F.min("doc_id").alias("node")), "copy_nodes")
-    labels = merge_memberships(trie_memberships(nodes, COPY_BUDGET, tuple(names), "minima", similar))
-    named = nodes.join(labels, "node", "left").select(*names, "minima", F.coalesce("label", "node").alias("component_id"))
-    return sketched.join(named, [*names, "minima"]).select("doc_id", "component_id")
+        digests, keys, minima = zip(*(copy_sketch(shingle_set(t)) for t in batch.column(1).to_pylist()), strict=True)
+        bands = [pa.array(k) for k in np.stack(keys, axis=1)]
+        yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), *bands, pa.array(minima, pa.binary())], names=["doc_id", "digest", *names, "minima"])
+
+    names = [f"key{t}" for t in range(BANDS)]
+    kind = ", ".join(["doc_id long, digest binary", *[f"{n} long" for n in names], "minima binary"])
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    sketched = stored(map_batches(docs, run, kind), "copy_sketches")
+    nodes = stored(sketched.groupBy("digest", *names, "minima").agg(F.min("doc_id").alias("node")), "copy_nodes")
+    candidates = trie_memberships(nodes, 0, tuple(names), "minima", similar)
+    # By the smallest node alone: most bands give the same groups.
+    labels = merge_memberships(candidates.selectExpr("node", "substring_index(part, ':', -1) as part"))
+    named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
+    return sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
 def keep_one_of_copies(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,30 @@ def test_near_copies_of_edited_texts(spark):
                 assert got[i] != got[j]
 
 
+def copies(spark, pairs):
+    """Which pairs of texts become one component."""
+    rows = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(documents(spark, rows)).collect()}
+    return [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+
+
+def resemblance(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_copies_with_one_inserted_passage(spark):
+    rng = random.Random(4)
+    draw = lambda n: ["w%d" % rng.randrange(3000) for _ in range(n)]
+    pairs = []
+    for n in (160, 300, 800, 2000):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            for at in (n, n // 3):
+                words = draw(n)
+                pairs.append((" ".join(words), " ".join(words[:at] + draw(int(n * share)) + words[at:])))
+    pairs = [p for p in pairs if resemblance(*p) >= 0.8]
+    assert len(pairs) >= 28 and all(copies(spark, pairs))
+
+
 def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one_of_copies(documents(spark, ODD).withColumnRenamed("lang", "node")).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "5", "6", "7", "None"]
