@@ -332,10 +332,82 @@ def similar(signatures: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_groups(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one of its group: links are similarities of SIMILARITY or more. `nodes` ascend; equal ones are linked."""
+    label = np.searchsorted(nodes, nodes)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    p, q = SIMILARITY
+    for i in range(len(sets) - 1):
+        others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(others):
+            if (label == label[0]).all():
+                break
+            continue
+        others = others[q * np.minimum(sizes[others], sizes[i]) >= p * np.maximum(sizes[others], sizes[i])]
+        ends = np.cumsum(sizes[others])
+        at = 0
+        while at < len(others):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SHINGLES_AT_ONCE, "right")))
+            part = others[at:to]
+            flat = np.concatenate([sets[j] for j in part])
+            place = np.searchsorted(sets[i], flat)
+            hits = np.concatenate([[0], np.cumsum(sets[i][np.minimum(place, sizes[i] - 1)] == flat)]) if sizes[i] else np.zeros(len(flat) + 1, dtype=np.int64)
+            common = np.diff(hits[np.concatenate([[0], ends[at:to] - before])])
+            linked = part[(p + q) * common >= p * (sizes[part] + sizes[i])]
+            if len(linked):
+                joined = np.unique(np.append(label[linked], label[i]))
+                label[np.isin(label, joined)] = joined[0]
+            at = to
+    return label
+
+
+def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """node, part: the groups of candidates again, by links whose exact similarity is SIMILARITY or more.
+
+    A group is compared in one place, a large one by bands: nodes with a key in common.
+    """
+    ship(docs.sparkSession)
+    # At most one row for LARGE_GROUP nodes.
+    large = labels.groupBy("label").count().where(F.col("count") > LARGE_GROUP).select("label", F.lit(True).alias("large"))
+    bands = ", ".join(f"struct({t} as trie, {name} as unit)" for t, name in enumerate(names))
+    places = nodes.join(labels, "node").join(F.broadcast(large), "label", "left").selectExpr("node", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
+    members = docs.join(places, docs["doc_id"] == places["node"]).select("node", "text", "places")
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["node", "shingles", "places"])
+
+    rows = map_batches(members, hashed, "node long, shingles binary, places array<struct<trie:int,unit:bigint>>")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("node", "shingles", F.explode("places").alias("at")).select("node", "shingles", "at.trie", "at.unit").repartition(parts, "trie", "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        whole = pa.Table.from_batches(got)
+        trie, unit, node = (whole[n].to_numpy() for n in ("trie", "unit", "node"))
+        order = np.lexsort((node, unit, trie))
+        trie, unit, node = trie[order], unit[order], node[order]
+        starts = np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (unit[1:] != unit[:-1])]))
+        sets = whole["shingles"]
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+            if hi - lo < 2:
+                continue
+            own = [np.frombuffer(sets[i].as_py(), dtype=np.uint64) for i in order[lo:hi].tolist()]
+            label = exact_groups(node[lo:hi], own)
+            linked = np.bincount(label, minlength=hi - lo)[label] > 1
+            yield pa.record_batch([pa.array(node[lo:hi][linked]), pa.array(node[lo:hi][label[linked]].astype(str).tolist(), pa.string())], names=["node", "part"])
+
+    return rows.mapInArrow(run, "node long, part string")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
 
-    Candidates have a band of minimum hashes in common. Texts without words are copies of each other. Rows with the same doc_id are one document.
+    Candidates have a band of minimum hashes in common and agree in enough minima; what they connect
+    is compared again by exact similarities. Texts without words are copies of each other. Rows with the same doc_id are one document.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -351,6 +423,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     candidates = trie_memberships(nodes, 0, tuple(names), "minima", similar)
     # By the smallest node alone: most bands give the same groups.
     labels = merge_memberships(candidates.selectExpr("node", "substring_index(part, ':', -1) as part"))
+    labels = merge_memberships(verified_memberships(docs, nodes, labels, names))
     named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     return sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 

@@ -59,6 +59,40 @@ def test_copies_with_one_inserted_passage(spark):
     assert len(pairs) >= 28 and all(copies(spark, pairs))
 
 
+def test_less_similar_texts_stay_apart(spark):
+    rng = random.Random(5)
+    pairs = []
+    while len(pairs) < 40:
+        words = ["w%d" % rng.randrange(3000) for _ in range(400)]
+        own = list(words)
+        for at in rng.sample(range(400), rng.randint(10, 14)):
+            own[at] = "x%d" % rng.randrange(50)
+        pair = " ".join(words), " ".join(own)
+        if 0.7 <= resemblance(*pair) < 0.8:
+            pairs.append(pair)
+    assert not any(copies(spark, pairs))
+
+
+def test_a_large_group_is_compared_by_bands(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["w%d" % rng.randrange(3000) for _ in range(300)]
+    texts = []
+    for i in range(30):
+        own = list(words)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            own[at] = "y%d" % rng.randrange(9000)
+        texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    whole = sorted(map(tuple, simhash.near_copies(documents(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 4)
+    assert sorted(map(tuple, simhash.near_copies(documents(spark, rows)).collect())) == whole
+    want = list(range(30))
+    for _ in want:
+        for i in want:
+            want = [min(want[i], w) if resemblance(texts[i], texts[j]) >= 0.8 else w for j, w in enumerate(want)]
+    assert [c for _, c in whole] == want and 1 < len(set(want)) < 30
+
+
 def test_one_of_each_group_stays(spark):
     kept = simhash.keep_one_of_copies(documents(spark, ODD).withColumnRenamed("lang", "node")).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "5", "6", "7", "None"]
