@@ -1,12 +1,14 @@
 """Secret scans: patterns, and a randomness test battery under false-discovery control.
 
 Patterns give the base spans (kinds assign, access and hex). Beyond them, every run of at least MIN_TOKEN letters,
-digits and `+ / = _ -` outside a base span is a candidate. Its encoding is inferred from its characters, and three tests
+digits and `+ / = _ -` outside a base span is a candidate, and so are its parts of that length: those between inner `=`,
+and within these the parts between any of the characters of each entry of SEPARATORS. A candidate's encoding is inferred from its characters, and three tests
 ask whether it can be a uniform draw of that alphabet: chi-squared over the alphabet, the number of runs above and
 below its middle, and the serial correlation of neighbours. Those that no test rejects get a p-value against ordinary
 text: under a bigram model of the whole corpus, the chance of a likelihood ratio as large in favour of the uniform
 draw is at most its inverse (times the number of encodings tried). Benjamini-Hochberg then holds the false-discovery
-rate at Q within each class of lengths, with all candidates of the class as tests. The added kind is `random`.
+rate at Q within each class of lengths, with all candidates of the class as tests. Of accepted candidates that overlap,
+the one with the least p-value stays. The added kind is `random`.
 
 The thresholds come from counts of p-values by class, a few thousand numbers however large the corpus.
 
@@ -41,6 +43,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 MIN_TOKEN = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/=_-]{%d,}" % MIN_TOKEN)
+#: A run's parts at inner =, with the padding at its end; characters that part these again, by themselves and together.
+SEGMENT = re.compile(r"[^=]+(?:=+\Z)?")
+SEPARATORS = ("/", "+", "-", "_", "/+", "_-", "/-", "/_", "/+_-")
+_PARTS = [(frozenset(chars), re.compile("[^%s]{%d,}" % (re.escape(chars), MIN_TOKEN))) for chars in SEPARATORS]
 Q, ALPHA = 0.01, 0.01
 #: Classes of lengths by their lower bounds.
 CLASSES = (20, 28, 40, 64, 128)
@@ -169,20 +175,46 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """Spans of a run and of its parts that are long enough to be candidates."""
+    out = {(0, len(run)): None}
+    for m in SEGMENT.finditer(run):
+        a, b = m.span()
+        if b - a < MIN_TOKEN:
+            continue
+        out[a, b] = None
+        used = set(m.group())
+        for chars, pattern in _PARTS:
+            if not chars.isdisjoint(used):
+                out.update(((a + x.start(), a + x.end()), None) for x in pattern.finditer(m.group()))
+    return list(out)
+
+
 def candidates(text: str, base: list[tuple[str, int, int]], model: Bigrams) -> list[dict]:
-    """Start, end, class and log p (null where the battery rejects) of tokens outside base spans."""
+    """Start, end, class and log p (null where the battery rejects) of tokens and their parts outside base spans."""
     if b"1" * MIN_TOKEN not in text.encode("utf-8", "surrogatepass").translate(_TOKEN_BYTES):
         return []
     out = []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if any(a < y and x < b for _, x, y in base):
-            continue
-        token, log_p = m.group(), None
-        found = infer(token)
-        if found and len(token.rstrip("=")) >= MIN_TOKEN and random_looking(token, found[1]):
-            log_p = model.log_p(token, found[1])
-        out.append({"a": a, "b": b, "class": sum(b - a >= c for c in CLASSES) - 1, "log_p": log_p})
+        near = [(x, y) for _, x, y in base if x < m.end() and m.start() < y]
+        for lo, hi in parts(m.group()):
+            a, b = m.start() + lo, m.start() + hi
+            if any(a < y and x < b for x, y in near):
+                continue
+            token, log_p = text[a:b], None
+            found = infer(token)
+            if found and len(token.rstrip("=")) >= MIN_TOKEN and random_looking(token, found[1]):
+                log_p = model.log_p(token, found[1])
+            out.append({"a": a, "b": b, "class": sum(b - a >= c for c in CLASSES) - 1, "log_p": log_p})
+    return out
+
+
+def strongest(accepted: list[dict]) -> list[dict]:
+    """Candidates that don't overlap, the least p-value first."""
+    out: list[dict] = []
+    for f in sorted(accepted, key=lambda f: (f["log_p"], f["a"], f["b"])):
+        if not any(f["a"] < g["b"] and g["a"] < f["b"] for g in out):
+            out.append(f)
     return out
 
 
@@ -233,7 +265,8 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
         out = []
         for doc_id, base, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-            added = [("random", f["a"], f["b"]) for f in found if f["log_p"] is not None and min(LAST, math.floor(-f["log_p"] / math.log(10) / STEP)) >= least.get(f["class"], LAST + 1)]
+            accepted = [f for f in found if f["log_p"] is not None and min(LAST, math.floor(-f["log_p"] / math.log(10) / STEP)) >= least.get(f["class"], LAST + 1)]
+            added = [("random", f["a"], f["b"]) for f in strongest(accepted)]
             n = [sum(s[0] == k for s in spans) for k in KINDS[:3]]
             out.append((doc_id, *n, hashlib.sha256(base.encode()).hexdigest(), joined(spans + added), len(added)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

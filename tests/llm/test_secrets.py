@@ -75,5 +75,25 @@ def test_encodings():
     assert s.infer("a+b_c") is None and s.infer("===") is None
 
 
+def test_values_glued_to_names_and_paths(spark):
+    rng = random.Random(3)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base62, urls = s.SYMBOLS[:62], s.SYMBOLS[:62] + "-_"
+    forms = (("AWS_SESSION=%s", base62), ("x?sig=%s==&y", s.SYMBOLS[:64]), ("--auth=%s", base62), ("/static_files/user-pages/%s", urls), ("/the/nation/over/there/under/%s/edit", base62), ("user_name-%s", s.SYMBOLS[:64]))
+    rows, planted = corpus()[0], {}
+    for i in range(120):
+        form, alphabet = forms[i % len(forms)]
+        planted[5000 + i] = draw(base62, 1) + draw(alphabet, 42) + draw(base62, 1)
+        rows.append((5000 + i, "some words before " + form % planted[5000 + i] + " and after"))
+    texts, caught = dict(rows), dict.fromkeys(range(len(forms)), 0)
+    for r in s.find_secrets(documents(spark, rows)).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("random")]
+        ends = [0, *[int(x) for _, a, b in spans for x in (a, b)]]
+        assert ends == sorted(ends)
+        if r.doc_id in planted:
+            caught[(r.doc_id - 5000) % len(forms)] += any(planted[r.doc_id] in texts[r.doc_id][int(a) : int(b)] for _, a, b in spans)
+    assert min(caught.values()) >= 15
+
+
 def test_empty_table(spark):
     assert s.find_secrets(documents(spark, [])).count() == 0
