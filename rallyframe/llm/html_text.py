@@ -5,9 +5,10 @@ link density, those of the block before and after it, and the kind of container
 class and id names make of its place. A decision tree (CART, Gini), trained here on the small table of labelled
 blocks below, tells article text from the rest. Article blocks are joined in page order.
 
-Scripts, styles, comments in the markup and the head never give blocks. Character references are decoded once; white
+Scripts, styles, comments in the markup and the title never give blocks; a head ends where its own elements do. Character references are decoded once; white
 space inside a block becomes one space. <br> is white space. Unclosed and wrongly nested tags are tolerated: an end tag
-closes up to its own element, or nothing.
+closes up to its own element, or nothing. Without an end tag, a script reaches to the end of the page, a style or title to
+the next tag, and of other elements whose content is not text the tag alone is skipped.
 
 Cases: null, empty and tag-only html give the empty text; text without tags is one block; repeated rows each give a
 row; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,8 @@ from .runtime import map_batches, table
 #: HTML's block-level elements, elements without content, elements whose content is not text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object canvas title head".split())
+RAW = frozenset("script style noscript template textarea svg iframe object canvas title".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for tag in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -75,7 +77,8 @@ def text_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, int]] = []
     texts: list[str] = []
     linked = links = 0
-    at, n, lowered = 0, len(page), None
+    at, n = 0, len(page)
+    unclosed: set[str] = set()  # elements whose end tag doesn't come any more
 
     def flush() -> None:
         nonlocal linked
@@ -118,18 +121,23 @@ def text_blocks(page: str | None) -> list[Block]:
         if tag == "br":
             texts.append(" ")
         if tag in RAW and not m.group(3).endswith("/"):
-            lowered = page.lower() if lowered is None else lowered
-            if len(lowered) != n:
-                lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
-            end = lowered.find(f"</{tag}", at)
-            at = n if end < 0 else max(at, lowered.find(">", end) + 1 or n)
+            end = None if tag in unclosed else _RAW_END[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(tag)
+            if tag == "script":
+                at = n
+            elif tag == "style" or tag == "title":
+                after = page.find("<", at)
+                at = n if after < 0 else after
             continue
         if tag in BLOCKS:
             flush()
             if tag == "p" or tag == "li":  # these close their like
                 if stack and stack[-1][0] == tag:
                     stack.pop()
-        if tag in VOID or m.group(3).endswith("/"):
+        if tag in VOID or tag == "head" or m.group(3).endswith("/"):
             continue
         links += tag == "a"
         stack.append((tag, container(tag, m.group(3), stack[-1][1] if stack else PLAIN)))

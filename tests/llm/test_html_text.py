@@ -53,6 +53,28 @@ def test_odd_markup():
     assert h.text_blocks('<a href="a>b">t</a>')[0].linked == 1
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>T</title><body>",
+        "<html><head><title>T</title><meta charset=utf-8><style>p{}</style>",
+        "<HEAD><title>T</title><body><header><nav><a href='/'>Home</a></nav></header>",
+        "<head><title>T<body>",
+        "<head><style>p{color:red}<body>",
+        *(f"<body><{tag}>" for tag in ("noscript", "object", "canvas", "iframe", "svg", "textarea", "template")),
+        "<svg></svgx><path/></svg >",
+        "<SCRIPT>var a = '</scripts>';</Script\n>",
+    ],
+)
+def test_missing_end_tags_lose_no_article(before):
+    assert h.main_text(f"{before}<article><p>{P}</p><p>{P}</p></article>") == " ".join((P + P).split())
+
+
+@pytest.mark.parametrize("page", ["<head><title>T", "<head><style>p{}", "<head><title>T</title></head>", "<p></p><script>a<b", "<title>T</title"])
+def test_heads_alone_say_nothing(page):
+    assert h.main_text(page) == "" and h.text_blocks(page) == []
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article><p>{P}</p></article>", "x"), (2, None, None, "y"), (1, "u", f"<article><p>{P}</p></article>", "x"), (None, "v", "", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
