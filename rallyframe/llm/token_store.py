@@ -67,7 +67,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: A text that holds one of these goes to the library whole: white space around them is cut otherwise.
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         #: The same merges for words already cut, their bytes written as the vocabulary writes them.
         self.merges = Tokenizer(self.library.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -142,6 +143,10 @@ class PieceEncoder:
         known, older = self.known, self.older
         heads, rows, new = [], [], {}
         for text in texts:
+            if text and any(x in text for x in self.special):
+                heads.append(self._plain(text))
+                rows.append(([], ()))
+                continue
             own = pieces(text or "")
             heads.append(self._remembered(self.heads, own[0]) if own[0] else b"")
             del own[0]

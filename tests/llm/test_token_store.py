@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from rallyframe.llm import token_store
 
@@ -36,6 +37,15 @@ def test_rows_follow_the_files(spark, store):
         start += len(ids)
 
 
+def test_special_tokens_as_the_library_has_them():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|> is text", "text  <|endoftext|>\n <|endoftext|>", "a<|endoftext|>b <|endoftext| >", "plain text  ", " <|endoftext|>"]
+    got = token_store.PieceEncoder(PATH).encode(texts)
+    for text, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(got[0], dtype="<u2").tolist() == [50256, 318, 2420]
+
+
 def test_round_trip(spark, store):
     rows, path = store
     got = sorted((str(r.doc_id), r.ids) for r in token_store.read_documents(spark, path).collect())
