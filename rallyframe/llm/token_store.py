@@ -10,7 +10,9 @@ the Merkle root of each range of recipes. Layout below one folder:
     manifest/  range, n_documents, n_ids, root
 
 Reading back never trusts a name: digests are taken anew from the stored bytes, and a document counts as verified
-only if its chunks are all there, its recipe leads to the stored root and the lengths add up.
+only if its chunks are all there, its recipe leads to the stored root, the lengths add up, and its range of recipes,
+starts included, is the one of the manifest, which has no range without recipes. A store without a manifest folder is
+verified by document alone.
 
 Cases: null text encodes like the empty one; the empty text has the end id alone; repeated rows each get a recipe, in
 the order of (doc_id, root); nulls in doc_id come first; an empty table gives an empty store; other columns are
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import pieces
 from .ordering import range_bounds, range_of
-from .runtime import env_cpu_single, map_batches, shared_dir, ship, table
+from .runtime import env_cpu_single, map_batches, shared_dir, ship, stored, table
 
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
 WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
@@ -41,6 +43,7 @@ WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
 CACHE_PIECES = 700_000
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
+MANIFEST = "range int, n_documents long, n_ids long, root binary"
 CACHE_LENGTH = 64
 #: Marks that are one pre-token behind letters; an apostrophe is not, as endings begin with it.
 MARKS = ".,!?;:%&*#$()\"-"
@@ -320,34 +323,54 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     inside = Window.partitionBy("range").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), "range")
     placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks", "range").write.partitionBy("range").parquet(f"{path}/recipes")
-    manifest(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    manifest(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).drop("first", "in_order").write.parquet(f"{path}/manifest")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/encoded")
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def manifest(recipes: DataFrame) -> DataFrame:
-    """range, n_documents, n_ids and the Merkle root over the range's documents in order, a row after the other."""
+    """range, n_documents, n_ids and the Merkle root over the range's documents in order, a row after the other.
+
+    Beside them the first start, and whether each document starts where the one before ends.
+    """
     ship(recipes.sparkSession)
     parts = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = recipes.select("range", "start", "n_tokens", "root").repartition(parts, "range").sortWithinPartitions("range", "start", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree, n, ids = None, Merkle(), 0, 0
+        now, tree, n, ids, first, in_order = None, Merkle(), 0, 0, 0, True
         done: list[tuple] = []
         for batch in batches:
-            for part, n_tokens, root in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for part, start, n_tokens, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     if n:
-                        done.append((now, n, ids, tree.root()))
-                    now, tree, n, ids = part, Merkle(), 0, 0
+                        done.append((now, n, ids, tree.root(), first, in_order))
+                    now, tree, n, ids, first, in_order = part, Merkle(), 0, 0, start, True
+                in_order = in_order and start == first + ids
                 tree.add(root)
                 n, ids = n + 1, ids + n_tokens
         if n:
-            done.append((now, n, ids, tree.root()))
+            done.append((now, n, ids, tree.root(), first, in_order))
         if done:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["range", "n_documents", "n_ids", "root"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=["range", "n_documents", "n_ids", "root", "first", "in_order"])
+
+    return rows.mapInArrow(run, f"{MANIFEST}, first long, in_order boolean")
+
 
-    return rows.mapInArrow(run, "range int, n_documents long, n_ids long, root binary")
+def sound_ranges(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
+    """range, as_listed: whether the recipes read back are those of the manifest, a row for each of its ranges."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return recipes.select("range").distinct().withColumn("as_listed", F.lit(True))
+    listed = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    # One row a range, so these windows are as small as the number of ranges.
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = listed.withColumn("before", before)
+    both = listed.alias("l").join(manifest(recipes).alias("r"), "range", "left")
+    same = "r.n_documents = l.n_documents and r.n_ids = l.n_ids and r.root = l.root and r.first = l.before and r.in_order"
+    each = both.selectExpr("range", f"coalesce({same}, false) as same", "r.root is null as lost")
+    return each.withColumn("any_lost", F.max("lost").over(Window.partitionBy(F.lit(0)))).selectExpr("range", "same and not any_lost as as_listed")
 
 
 def _chunk_facts(chunks: DataFrame) -> DataFrame:
@@ -373,26 +396,27 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     A document's checksum comes from its chunks' checksums in recipe order, so the ids themselves are read once and
     not shuffled.
     """
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks", "range")
     facts = _chunk_facts(spark.read.parquet(f"{path}/chunks"))
     used = recipes.select("start", "root", F.posexplode("chunks").alias("place", "digest"))
     of_doc = used.join(facts, "digest", "left").groupBy("start", "root").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "sound", "n", "crc"))).alias("parts"))
-    rows = recipes.drop("chunks").join(of_doc, ["start", "root"], "left")
+    listed = F.broadcast(stored(sound_ranges(spark, path, recipes), "sound_ranges"))  # one row a range
+    rows = recipes.drop("chunks").join(of_doc, ["start", "root"], "left").join(listed, "range", "left")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        start, root, doc_id, n_tokens, parts = (batch.column(i) for i in range(5))
+        start, root, doc_id, n_tokens, parts, listed = (batch.column(i) for i in range(6))
         n, crcs, counts, sound = [], [], [], []
-        for top, count, own in zip(root.to_pylist(), n_tokens.to_pylist(), parts.to_pylist(), strict=True):
+        for top, count, own, known in zip(root.to_pylist(), n_tokens.to_pylist(), parts.to_pylist(), listed.to_pylist(), strict=True):
             own = own or []
             whole = all(p["sound"] for p in own)
             sizes = [p["n"] or 0 for p in own]
             n.append(sum(sizes))
             crcs.append(crc32_joined([p["crc"] or 0 for p in own], [4 * x for x in sizes]))
             counts.append(len(own))
-            sound.append(whole and sum(sizes) == count and merkle_root([p["digest"] for p in own]) == top)
+            sound.append(bool(known) and whole and sum(sizes) == count and merkle_root([p["digest"] for p in own]) == top)
         yield pa.record_batch([doc_id, start, pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(counts, pa.int32()), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
-    return map_batches(rows.select("start", "root", "doc_id", "n_tokens", "parts"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean", rows=2048)
+    return map_batches(rows.select("start", "root", "doc_id", "n_tokens", "parts", "as_listed"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean", rows=2048)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

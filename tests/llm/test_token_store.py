@@ -69,6 +69,35 @@ def test_a_damaged_chunk_is_noticed(spark, store, tmp_path):
     assert any(not r.verified for r in got) and any(r.verified for r in got)
 
 
+@pytest.mark.parametrize("change", ["start > 0", "start > 0 or range = {top}", "doubled", "moved", "no range"])
+def test_recipes_unlike_the_manifest_are_noticed(spark, store, tmp_path, change):
+    _, path = store
+    bad = f"file://{tmp_path}/bad"
+    recipes = spark.read.schema(token_store.RECIPES).parquet(f"{path}/recipes")
+    ends = recipes.selectExpr("min(start)", "max(start)", "max(range)").first()
+    if change == "doubled":
+        changed = recipes.union(recipes.where(f"start = {ends[1]}"))
+    elif change == "moved":
+        changed = recipes.withColumn("start", recipes.start + 1)
+    elif change == "no range":
+        changed = recipes.where(f"range <> {ends[2]}")
+    else:
+        changed = recipes.where(change.format(top=ends[2]))
+    changed.write.partitionBy("range").parquet(f"{bad}/recipes")
+    for name in ("chunks", "manifest"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{bad}/{name}")
+    first = recipes.where("start = 0").first()["range"]
+    got = token_store.verify_store(spark, bad).collect()
+    ranges = {r.start: r["range"] for r in changed.collect()}
+    assert got
+    if change in ("no range", "moved"):
+        assert not any(r.verified for r in got)
+    elif change == "doubled":
+        assert not any(r.verified for r in got if ranges[r.start] == ends[2])
+    else:
+        assert not any(r.verified for r in got if ranges[r.start] == first)
+
+
 def test_shifted_passages_share_chunks():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50000, 20000).astype(np.uint16)
