@@ -6,7 +6,8 @@ exact hits of pieces (one automaton over all of them) give every place where the
 bit-parallel distance, an item a machine-word vector of any length, decides within the budget.
 
 Items come to the workers in blocks of at most BLOCK_BYTES, whatever the benchmark's size; each block passes over all
-documents. Items with fewer than MIN_BYTES letters and digits are too short to tell a leak and are never found.
+documents. Items with fewer than MIN_BYTES letters and digits are found as exact copies only (no edits), which begin and
+end where words of the text do; so an item of one word is found wherever that word stands.
 
 Cases: null and empty texts and items match nothing; equal items are all reported; repeated rows are each reported;
 an item found many times in a document gives one row, its nearest hit (the leftmost of equals); an empty table of
@@ -27,6 +28,8 @@ ERROR_EVERY = 16
 MIN_BYTES = 32
 BLOCK_BYTES = 4 << 20
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+#: Marks and white space as one byte, all else as another.
+_EDGES = bytes(32 if b in _MARKS else 120 for b in range(256))
 
 
 def squeezed(text: str | None) -> bytes:
@@ -34,12 +37,22 @@ def squeezed(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _MARKS)
 
 
+def word_edges(text: str) -> set[int]:
+    """Places in the squeezed text where a word begins or ends."""
+    edges, at = {0}, 0
+    for word in text.lower().encode("utf-8", "surrogatepass").translate(_EDGES).split():
+        at += len(word)
+        edges.add(at)
+    return edges
+
+
 class Pattern:
     """An item with its pieces and the bit vectors of Myers' method."""
 
     def __init__(self, item: bytes) -> None:
         self.item, self.n = item, len(item)
-        self.budget = self.n // ERROR_EVERY
+        self.short = self.n < MIN_BYTES
+        self.budget = 0 if self.short else self.n // ERROR_EVERY
         cuts = [i * self.n // (self.budget + 1) for i in range(self.budget + 2)]
         self.pieces = [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.masks: dict[int, int] = {}
@@ -75,7 +88,7 @@ class Finder:
     """All patterns of a block behind one automaton over their pieces."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.patterns = [(i, Pattern(t)) for i, t in items if len(t) >= MIN_BYTES]
+        self.patterns = [(i, Pattern(t)) for i, t in items if t]
         places: dict[bytes, list[tuple[int, int]]] = {}
         for n, (_, p) in enumerate(self.patterns):
             for offset, piece in p.pieces:
@@ -95,9 +108,15 @@ class Finder:
         for end, (size, where) in self.automaton.iter(raw.decode("latin-1")):
             for n, offset in where:
                 diagonals.setdefault(n, []).append(end + 1 - size - offset)
-        out = []
+        out, edges = [], None
         for n, starts in diagonals.items():
             item_id, p = self.patterns[n]
+            if p.short:
+                edges = word_edges(text) if edges is None else edges
+                whole = [a for a in starts if a in edges and a + p.n in edges]
+                if whole:
+                    out.append((item_id, 0, min(whole) + p.n))
+                continue
             best = None
             for a, b in _windows(sorted(set(starts)), p, len(raw)):
                 edits, end = p.distance(raw[a:b])

@@ -58,6 +58,15 @@ def test_equals_brute_force(spark):
     assert len(want) > 20 and any(e for _, _, e in want)
 
 
+def test_short_items_as_exact_copies(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "é ab"), (3, "?!"), (4, None)], "item_id long, text string")
+    texts = ["Q: what is the CAPITAL of France?", "what is the capital of Francesca", "somewhat is the capital of France", "What's the capital of France", "What is\nthe capital - of France", "x é-ab.", "éé ab", "what is the capital of francesca, what is the capital of france", ""]
+    df = documents(spark, list(enumerate(texts)))
+    got = sorted((r.doc_id, r.item_id, r.edits, r.hit_end) for r in d.find_leaks(df, bench).collect())
+    assert got == [(0, 1, 0, 25), (4, 1, 0, 24), (5, 2, 0, 5), (7, 1, 0, 51)]
+    assert {r.doc_id for r in d.drop_leaks(df, bench).collect()} == {1, 2, 3, 6, 8}
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     df = documents(spark, ODD)
