@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
-#: Rows of an Arrow batch where the session has Spark's default: whole documents are long.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Bytes of Arrow data that a function is given at once, where more than one row has them.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, and batches that suit documents."""
+    """Give the Python workers this package, once per application."""
     sc = spark.sparkContext
-    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -61,14 +59,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut(batch: pa.RecordBatch, rows: int, n_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and, but for single rows, `n_bytes` bytes."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        if part.nbytes > n_bytes and part.num_rows > 1:
+            yield from cut(part, -(-part.num_rows // 2), n_bytes)
+        else:
+            yield part
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow with batches of at most `rows` rows, so that memory follows a few documents and not the partition."""
+    """mapInArrow with batches of at most `rows` rows and BATCH_BYTES, so that memory follows a few documents and not the partition."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from fn(batch.slice(at, rows))
+            for part in cut(batch, rows):
+                yield from fn(part)
 
     return df.mapInArrow(run, schema)
 

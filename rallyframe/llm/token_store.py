@@ -24,12 +24,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import compress
-from operator import not_
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,31 +38,91 @@ from .runtime import env_cpu_single, map_batches, shared_dir, ship, stored, tabl
 
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
 WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
-#: Pieces of a generation of the cache; the one before is kept too.
-CACHE_PIECES = 700_000
+#: Pre-tokens and ids of a generation of the cache (the one before is kept too), and the longest that are remembered.
+CACHE_PIECES, CACHE_IDS, CACHE_LENGTH = 600_000, 8_000_000, 64
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
 MANIFEST = "range int, n_documents long, n_ids long, root binary"
-CACHE_LENGTH = 64
-#: Marks that are one pre-token behind letters; an apostrophe is not, as endings begin with it.
-MARKS = ".,!?;:%&*#$()\"-"
+#: A space before white space or at the end; a text with one is cut by `pieces`.
+UNSAFE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+#: Pieces whose pre-tokens are their runs of letters, of digits, of marks and single line ends: no apostrophes (they begin
+#: endings), no other white space, nothing but Latin letters, on which all libraries agree.
+_PLAIN = r"[\x21-\x26\x28-\x7e\x{a1}-\x{24f}]"
+SIMPLE = rf"\A{_PLAIN}+(?:\n{_PLAIN}+)*\n?\z"
+_LETTERS, _DIGITS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+RUN = rf"([{_LETTERS}]+|[{_DIGITS}]+|\n|[^\n{_LETTERS}{_DIGITS}]+)"
 
 
 def _written() -> dict[int, str]:
-    """How a byte-level vocabulary writes bytes as characters, for bytes read as latin-1; a space also parts words.
+    """How a byte-level vocabulary writes bytes as characters, for bytes read as latin-1.
 
     Printable bytes stand for themselves, the others for the characters from 256 on in ascending order.
     """
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)} | {32: " \u0120"}
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 WRITTEN = _written()
+#: The same with a space as the mark that parts words; a written space precedes each.
+SPACED, PARTED = WRITTEN | {32: " \u0120"}, WRITTEN | {32: " "}
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[0], starts[0] + 1, ... of `sizes` many each, one run behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Pool:
+    """Id sequences by number, one behind the other in an array that grows."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.ids, self.used = np.zeros(1 << 16, dtype=kind), 0
+        self.starts, self.sizes, self.rows = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Put sequences that lie one behind the other; their numbers."""
+        for name, need in (("ids", self.used + len(ids)), ("starts", self.rows + len(sizes)), ("sizes", self.rows + len(sizes))):
+            if need > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), max(need, 2 * len(getattr(self, name)))))
+        self.ids[self.used : self.used + len(ids)] = ids
+        rows = range(self.rows, self.rows + len(sizes))
+        self.sizes[rows.start : rows.stop] = sizes
+        self.starts[rows.start : rows.stop] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.rows = self.used + len(ids), rows.stop
+        return rows
+
+    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences one behind the other, and their sizes."""
+        sizes = self.sizes[rows]
+        return self.ids[ragged(self.starts[rows], sizes)], sizes
+
+    def forget(self, rows: int, used: int) -> None:
+        self.rows, self.used = rows, used
+
+
+class Generation:
+    """Numbers in a pool of ids by what follows a space, by what has none in front, and by whole pieces after a space."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.pool = Pool(kind)
+        self.by: dict[str, dict[str, int]] = {"spaced": {}, "bare": {}, "whole": {}}
+
+
+def spelled(words: pa.Array) -> list[str]:
+    """Strings without spaces, as Python has them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
 
 
 class PieceEncoder:
-    """The tokenizers library behind a cache of the pieces between spaces, which its pre-tokens never cross."""
+    """The tokenizers library behind a cache of pre-tokens.
+
+    A batch is cut at spaces, which pre-tokens never cross; its different pieces, and their different runs of letters,
+    digits and marks, are numbered by Arrow. Only these runs are looked up and, where new, go to the library's merges;
+    the ids of the whole batch are then gathered at once.
+    """
 
     def __init__(self, path: str) -> None:
         env_cpu_single()
@@ -72,7 +131,7 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         #: A text that holds one of these goes to the library whole: white space around them is cut otherwise.
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: The same merges for words already cut, their bytes written as the vocabulary writes them.
+        #: The same merges for pre-tokens already cut, their bytes written as the vocabulary writes them.
         self.merges = Tokenizer(self.library.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.library.get_vocab()
@@ -80,99 +139,123 @@ class PieceEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character for each byte
-        #: By what follows the space in front.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.now = self.before = Generation(self.kind)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def _plain(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _remembered(self, memory: dict[str, bytes], text: str) -> bytes:
-        found = memory.get(text)
-        if found is None:
-            if len(memory) > CACHE_PIECES // 10:
-                memory.clear()
-            found = self._plain(text)
-            if len(text) < CACHE_LENGTH:
-                memory[text] = found
-        return found
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Cut the ids of all words, each after a space, where the words' bytes end."""
-        cuts = ((np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * self.kind.itemsize).tolist()
-        self.known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, each after a space.
-
-        Letters alone are one pre-token, so they go to the merges at once; letters with marks behind are two, of which
-        only the letters are encoded anew. The rest takes the whole way.
-        """
-        known, marked, letters, rest = self.known, [], {}, []
-        for p in new:
-            if p.isalpha():
-                letters[p] = None
-                continue
-            core = p.rstrip(MARKS)
-            if len(core) < len(p) and core.isalpha():
-                marked.append((p, core))
-                if core not in known:
-                    letters[core] = None
-            else:
-                rest.append(p)
-        for words, alone in ((list(letters), True), (rest, False)):
-            if not words:
+    def _sizes(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How many ids each part has, from where the parts' bytes end."""
+        return np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0)
+
+    def _learn(self, new: list[str], how: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens with or without a space in front, or of whole pieces after a space; how many each has."""
+        if how == "whole":
+            ids = self._ids(" " + " ".join(new))
+            return ids, self._sizes(ids, np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in new]))
+        written = " ".join(new).encode().decode("latin-1").translate(SPACED if how == "spaced" else PARTED)
+        if how == "spaced":
+            written = "\u0120" + written
+        ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype=self.kind)
+        spaces = np.flatnonzero(np.frombuffer(written.encode("utf-32-le"), dtype="<u4") == 32)
+        return ids, self._sizes(ids, np.append(spaces, len(written)) - np.arange(len(new)))  # one character a byte
+
+    def _rows(self, words: list[str], how: str) -> np.ndarray:
+        """Numbers in the pool, learned where new."""
+        known, older = self.now.by[how], self.before.by[how]
+        rows = np.array([-1 if x is None else x for x in map(known.get, words)], dtype=np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new) and self.before is not self.now:
+            back = np.array([-1 if x is None else x for x in map(older.get, map(words.__getitem__, new.tolist()))], dtype=np.int64)
+            found = back >= 0
+            self._remember(words, new[found], rows, known, *self.before.pool.get(back[found]))
+            new = new[~found]
+        if len(new):
+            self._remember(words, new, rows, known, *self._learn(list(map(words.__getitem__, new.tolist())), how))
+        return rows
+
+    def _remember(self, words: list[str], which: np.ndarray, rows: np.ndarray, known: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        added = self.now.pool.add(ids, sizes)
+        rows[which] = np.arange(added.start, added.stop)
+        known.update([(w, row) for w, row in zip(map(words.__getitem__, which.tolist()), added, strict=True) if len(w) <= CACHE_LENGTH])
+
+    def _pieces(self, words: pa.Array, heads: pa.Array) -> tuple[Pool, np.ndarray]:
+        """A pool of the ids of pieces after a space and of pieces at a text's begin, and the number of each in it."""
+        both = pa.concat_arrays([words, heads])
+        simple = pc.match_substring_regex(both, SIMPLE).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(simple)
+        lists = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(both.filter(pa.array(simple)), RUN, r"\1 "), " "), " ")
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        runs = lists.flatten()
+        spaced = np.zeros(len(runs), dtype=bool)
+        spaced[at[:-1][cut < len(words)]] = True
+        of_run = np.zeros(len(runs), dtype=np.int64)
+        for how, mine in (("spaced", spaced), ("bare", ~spaced)):
+            coded = runs.filter(pa.array(mine)).dictionary_encode()
+            if len(coded):
+                of_run[mine] = self._rows(spelled(coded.dictionary), how)[coded.indices.to_numpy()]
+        whole = np.flatnonzero(~simple[: len(words)])
+        of_whole = self._rows(words.take(pa.array(whole)).to_pylist(), "whole")
+        begins = len(words) + np.flatnonzero(~simple[len(words) :])
+        alone = [self._ids(t) for t in both.take(pa.array(begins)).to_pylist()]
+
+        pool, rows = Pool(self.kind), np.zeros(len(both), dtype=np.int64)
+        ids, sizes = self.now.pool.get(of_run)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[at]
+        for which, own, n in ((cut, ids, np.diff(upto)), (whole, *self.now.pool.get(of_whole)), (begins, _joined(alone, self.kind), np.array(list(map(len, alone)), dtype=np.int64))):
+            added = pool.add(own, n)
+            rows[which] = np.arange(added.start, added.stop)
+        return pool, rows
+
+    def _gathered(self, lists: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts cut into pieces, and how many each has."""
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values, first = lists.flatten(), at[:-1]
+        inner = np.ones(len(values), dtype=bool)
+        inner[first] = False
+        words, heads = values.filter(pa.array(inner)).dictionary_encode(), values.filter(pa.array(~inner)).dictionary_encode()
+        pool, numbers = self._pieces(words.dictionary, heads.dictionary)
+        rows = np.zeros(len(values), dtype=np.int64)
+        rows[inner] = numbers[words.indices.to_numpy()]
+        rows[~inner] = numbers[len(words.dictionary) + heads.indices.to_numpy()]
+        if end_id is not None:
+            rows = np.insert(rows, at[1:], pool.add(np.array([end_id], dtype=self.kind), np.array([1])).start)
+            at = at + np.arange(len(at))
+        ids, sizes = pool.get(rows)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[at])
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (nulls count as empty) one behind the other, and how many each has."""
+        if sum(map(len, self.now.by.values())) > CACHE_PIECES or self.now.pool.used > CACHE_IDS:
+            self.before, self.now = self.now, Generation(self.kind)
+        texts = texts.cast(pa.string()).fill_null("")
+        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), dtype=bool)
+        for x in self.special:
+            special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        parts, order = [], []
+        for kind, mine in enumerate((~unsafe & ~special, unsafe & ~special, special)):
+            if not mine.any():
                 continue
-            text = " ".join(words)
-            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            n_bytes = np.cumsum(1 + (code > 0x7F) + (code > 0x7FF).astype(np.int64) + (code > 0xFFFF))
-            at = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 2
-            if alone:
-                written = "\u0120" + text.encode().decode("latin-1").translate(WRITTEN)
-                ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype=self.kind)
+            own = texts.filter(pa.array(mine))
+            if kind == 0:
+                parts.append(self._gathered(pc.split_pattern(own, " "), end_id))
+            elif kind == 1:
+                parts.append(self._gathered(pa.array([pieces(t) for t in own.to_pylist()], pa.list_(pa.string())), end_id))
             else:
-                ids = self._ids(" " + text)
-            self._keep(words, ids, n_bytes[at] + 1)
-        known.update([(p, known[core] + self._remembered(self.tails, p[len(core) :])) for p, core in marked])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        heads, rows, new = [], [], {}
-        for text in texts:
-            if text and any(x in text for x in self.special):
-                heads.append(self._plain(text))
-                rows.append(([], ()))
-                continue
-            own = pieces(text or "")
-            heads.append(self._remembered(self.heads, own[0]) if own[0] else b"")
-            del own[0]
-            got = list(map(known.get, own))
-            gaps = [(i, own[i]) for i, x in enumerate(got) if x is None] if None in got else ()
-            for _, p in gaps:
-                new[p] = None
-            rows.append((got, gaps))
-        if new:
-            if older:
-                back = {p: older[p] for p in new if p in older}
-                known.update(back)
-                self._learn([p for p in new if p not in back])
-            else:
-                self._learn(list(new))
-            for got, gaps in rows:
-                for i, p in gaps:
-                    got[i] = known[p]
-        out = [head + b"".join(got) for head, (got, _) in zip(heads, rows, strict=True)]
-        for p in new:
-            if len(p) > CACHE_LENGTH:
-                del known[p]
-        return out
+                end = [] if end_id is None else [end_id]
+                each = [np.append(self._ids(t), np.array(end, dtype=self.kind)) for t in own.to_pylist()]
+                parts.append((_joined(each, self.kind), np.array(list(map(len, each)), dtype=np.int64)))
+            order.append(np.flatnonzero(mine))
+        if len(parts) == 1:
+            return parts[0]
+        ids, sizes = _joined([p for p, _ in parts], self.kind), _joined([n for _, n in parts], np.dtype(np.int64))
+        place = np.argsort(_joined(order, np.dtype(np.int64)))
+        return ids[ragged((np.cumsum(sizes) - sizes)[place], sizes[place])], sizes[place]
+
+
+def _joined(parts: list[np.ndarray], kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *parts])
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -189,11 +272,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def cut_points(ids: np.ndarray) -> list[int]:
     """Chunk ends of one stream. A chunk ends where the rolling hash of the last WINDOW ids hits, or at MOST_IDS."""
-    return cut_streams(ids, [len(ids)])[0]
+    return cut_streams(ids, np.array([len(ids)]))[0].tolist()
 
 
-def cut_streams(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
-    """Chunk ends of streams that lie one behind the other, counted from each one's start; no hash spans two."""
+def cut_streams(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk ends of streams that lie one behind the other, and each stream's number of chunks; no hash spans two."""
     total = len(ids)
     hits = np.zeros(0, dtype=np.int64)
     if total >= WINDOW:
@@ -202,21 +285,17 @@ def cut_streams(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
         for j in range(1, WINDOW):
             rolled = rolled * np.uint64(0x100000001B3) + mixed[j : total - WINDOW + 1 + j]
         hits = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(MEAN_IDS - 1) == 0) + WINDOW
-    starts = np.cumsum([0, *sizes])
-    first = np.searchsorted(hits, starts[:-1] + WINDOW).tolist()
-    last = np.searchsorted(hits, starts[1:], "right").tolist()
-    listed, out = hits.tolist(), []
-    for start, n, lo, hi in zip(starts.tolist(), sizes, first, last, strict=False):
-        ends, at = [], 0
-        for hit in [*[h - start for h in listed[lo:hi]], n]:
-            while hit - at > MOST_IDS:
-                at += MOST_IDS
-                ends.append(at)
-            if hit > at:
-                ends.append(hit)
-                at = hit
-        out.append(ends)
-    return out
+    upto = np.cumsum(sizes)
+    begins = upto - sizes
+    stream = np.searchsorted(upto, hits, "left")  # a hit at a stream's end is that stream's
+    hits = hits[hits - begins[stream] >= WINDOW] if len(hits) else hits
+    ends = np.unique(np.concatenate([hits, upto[sizes > 0]]))
+    gaps = np.diff(ends, prepend=0)
+    more = (gaps - 1) // MOST_IDS  # cuts inside a gap, from its start on
+    if more.any():
+        inner = np.repeat(ends - gaps, more) + MOST_IDS * (ragged(np.zeros(len(more), dtype=np.int64), more) + 1)
+        ends = np.sort(np.concatenate([ends, inner]))
+    return ends, np.bincount(np.searchsorted(upto, ends, "left"), minlength=len(sizes))
 
 
 def digest(raw: bytes) -> bytes:
@@ -250,36 +329,49 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return tree.root()
 
 
-def _multiply(a: int, b: int) -> int:
-    """Product of two polynomials over GF(2) modulo CRC-32's, bits reflected."""
-    product, bit = 0, 1 << 31
-    while a:
-        if a & bit:
-            product ^= b
-            a ^= bit
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
-        bit >>= 1
-    return product
+def _shift_tables() -> np.ndarray:
+    """For each k, four tables of 256 that put 2 ** k zero bytes behind a message of which they are given the CRC-32."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    one = np.where(bits & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0)) ^ bits >> np.uint32(1)
+    columns = bits.copy()
+    for _ in range(8):  # eight zero bits
+        columns = _linear(one, columns)
+    out = []
+    for _ in range(48):
+        out.append([_linear(columns, np.arange(256, dtype=np.uint32) << np.uint32(8 * place)) for place in range(4)])
+        columns = _linear(columns, columns)
+    return np.array(out)
+
+
+def _linear(columns: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The linear map that takes bit i to columns[i]."""
+    out = np.zeros_like(x)
+    for i in range(32):
+        out ^= np.where(x >> np.uint32(i) & np.uint32(1), columns[i], np.uint32(0))
+    return out
+
+
+_SHIFT = _shift_tables()
 
 
-@lru_cache(maxsize=65536)
-def _shift(n_bytes: int) -> int:
-    """x to the power of 8 n_bytes, modulo CRC-32's polynomial."""
-    power, base, n = 1 << 31, 1 << 30, 8 * n_bytes
-    while n:
-        if n & 1:
-            power = _multiply(base, power)
-        base = _multiply(base, base)
-        n >>= 1
-    return power
+def crc32_joined(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """CRC-32s of concatenations of `counts` parts each, from the CRC-32s and sizes of the parts in a row."""
+    crcs, sizes = np.asarray(crcs, dtype=np.uint32).copy(), np.asarray(sizes, dtype=np.int64)
+    upto = np.cumsum(sizes)
+    last = np.cumsum(counts)
+    ends = np.concatenate([[0], upto])[last]
+    behind = np.repeat(ends, counts) - upto  # bytes after each part
+    for k in range(int(behind.max(initial=0)).bit_length()):
+        on = behind >> k & 1 == 1
+        x = crcs[on]
+        crcs[on] = _SHIFT[k][0][x & 255] ^ _SHIFT[k][1][x >> 8 & 255] ^ _SHIFT[k][2][x >> 16 & 255] ^ _SHIFT[k][3][x >> 24]
+    joined = np.concatenate([[0], np.bitwise_xor.accumulate(crcs)]).astype(np.uint32)
+    return joined[last] ^ joined[last - counts]
 
 
-def crc32_joined(crcs: list[int], sizes: list[int]) -> int:
-    """CRC-32 of a concatenation from the CRC-32s and sizes of its parts."""
-    total = 0
-    for crc, size in zip(crcs, sizes, strict=True):
-        total = _multiply(_shift(size), total) ^ crc
-    return total
+def _binaries(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw)])
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
@@ -287,23 +379,17 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> D
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = b"" if end_id is None else np.array([end_id], dtype=enc.kind).tobytes()
-        raws = [raw + end for raw in enc.encode(batch.column(1).to_pylist())]
-        size = enc.kind.itemsize
-        counts = [len(raw) // size for raw in raws]
-        roots, lists = [], []
-        for raw, ends in zip(raws, cut_streams(np.frombuffer(b"".join(raws), dtype=enc.kind), counts), strict=True):
-            at, own = 0, []
-            for to in ends:
-                part = raw[at * size : to * size]
-                own.append({"digest": digest(part), "n_ids": to - at, "ids": part})
-                at = to
-            roots.append(merkle_root([c["digest"] for c in own]))
-            lists.append(own)
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())]))
-        yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), pa.array(lists, kind)], names=["doc_id", "n_tokens", "root", "chunks"])
-
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=256)
+        ids, counts = enc.encode(batch.column(1), end_id)
+        ends, n_chunks = cut_streams(ids, counts)
+        raw, item = ids.tobytes(), enc.kind.itemsize
+        names = [digest(raw[a:b]) for a, b in zip([0, *(ends[:-1] * item).tolist()], (ends * item).tolist(), strict=False)]
+        upto = np.concatenate([[0], np.cumsum(n_chunks)])
+        roots = [merkle_root(names[a:b]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
+        chunks = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(np.diff(ends, prepend=0).astype(np.int32)), _binaries(raw, ends * item)], names=["digest", "n_ids", "ids"])
+        lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), chunks)
+        yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "n_tokens", "root", "chunks"])
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=2048)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0) -> None:
@@ -384,7 +470,7 @@ def _chunk_facts(chunks: DataFrame) -> DataFrame:
             ids = np.frombuffer(raw, dtype=kind)
             sound.append(digest(raw) == name and len(ids) == count)
             n_ids.append(len(ids))
-            crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            crcs.append(zlib.crc32(ids.astype("<u4")))
         yield pa.record_batch([batch.column(0), pa.array(sound), pa.array(n_ids, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "sound", "n", "crc"])
 
     return map_batches(chunks.select("digest", "n_ids", "ids"), run, "digest binary, sound boolean, n int, crc long", rows=4096)
@@ -405,16 +491,18 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start, root, doc_id, n_tokens, parts, listed = (batch.column(i) for i in range(6))
-        n, crcs, counts, sound = [], [], [], []
-        for top, count, own, known in zip(root.to_pylist(), n_tokens.to_pylist(), parts.to_pylist(), listed.to_pylist(), strict=True):
-            own = own or []
-            whole = all(p["sound"] for p in own)
-            sizes = [p["n"] or 0 for p in own]
-            n.append(sum(sizes))
-            crcs.append(crc32_joined([p["crc"] or 0 for p in own], [4 * x for x in sizes]))
-            counts.append(len(own))
-            sound.append(bool(known) and whole and sum(sizes) == count and merkle_root([p["digest"] for p in own]) == top)
-        yield pa.record_batch([doc_id, start, pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(counts, pa.int32()), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
+        own = parts.flatten()
+        counts = np.nan_to_num(pc.list_value_length(parts).to_numpy(zero_copy_only=False)).astype(np.int64)
+        digests, (sound, n, crcs) = own.field("digest").to_pylist(), (own.field(x).fill_null(none).to_numpy(zero_copy_only=False) for x, none in (("sound", False), ("n", 0), ("crc", 0)))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        total = np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[upto])
+        wrong = np.diff(np.concatenate([[0], np.cumsum(~sound.astype(bool))])[upto])
+        joined = crc32_joined(crcs, 4 * n.astype(np.int64), counts)
+        roots = [merkle_root(digests[a:b]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
+        same = np.array([a == b for a, b in zip(roots, root.to_pylist(), strict=True)], dtype=bool)
+        known = listed.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        verified = known & same & (wrong == 0) & (total == n_tokens.to_numpy())
+        yield pa.record_batch([doc_id, start, pa.array(total), pa.array(joined.astype(np.int64)), pa.array(counts.astype(np.int32)), pa.array(verified)], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
     return map_batches(rows.select("start", "root", "doc_id", "n_tokens", "parts", "as_listed"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, verified boolean", rows=2048)
 
@@ -435,8 +523,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     path = f"{shared_dir(spark)}/token_store"
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return verify_store(spark, path)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -10,10 +11,16 @@ from rallyframe.llm import token_store
 from .helpers import ODD, documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def encoded(encoder, texts, end_id=None):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()), end_id)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
 def ids_of(text):
-    return token_store.encoder(PATH).library.encode(text or "", add_special_tokens=False).ids + [0]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +45,23 @@ def test_rows_follow_the_files(spark, store):
 
 
 def test_special_tokens_as_the_library_has_them():
-    tokenizer = Tokenizer.from_file(PATH)
     texts = ["<|endoftext|> is text", "text  <|endoftext|>\n <|endoftext|>", "a<|endoftext|>b <|endoftext| >", "plain text  ", " <|endoftext|>"]
-    got = token_store.PieceEncoder(PATH).encode(texts)
-    for text, raw in zip(texts, got, strict=True):
-        assert np.frombuffer(raw, dtype="<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(got[0], dtype="<u2").tolist() == [50256, 318, 2420]
+    got = encoded(token_store.PieceEncoder(PATH), texts)
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [50256, 318, 2420]
+
+
+@pytest.mark.parametrize("pieces", [600_000, 300])
+def test_equals_the_library(monkeypatch, pieces):
+    monkeypatch.setattr(token_store, "CACHE_PIECES", pieces)
+    rng = np.random.default_rng(5)
+    parts = ["word", "Été", "naïve", "don't", "I'll", "x1y22", "10,000", "…", "--", "\n", "\n\n", "\t", " ", "  ", "中文字", "ﬁ", "🙂", "a" * 70, "é" * 90 + ".", "\u00a0", "\u2003", "\x1c", "½", "²", "ª", "'s", "</p>", "\r\n", "Ǆ", "\u0300", "𓀀", "\ua7cb", "\u2028"]
+    texts = ["".join(rng.choice(parts) + (" " if rng.random() < 0.6 else "") for _ in range(int(rng.integers(0, 60)))) for _ in range(1200)]
+    texts += [chr(c) + " x" + chr(c) + "y" + chr(c) + chr(c) + "\n" + chr(c) + "1 " + chr(c) + "." for c in range(0x260)]
+    texts += ["", " ", "  a", "a ", "a  b", "\n", None, "a" * 70, "x " + "b" * 500 + " y", "word. Word.\nWord"]
+    encoder = token_store.PieceEncoder(PATH)
+    got = [ids for at in range(0, len(texts), 100) for ids in encoded(encoder, texts[at : at + 100], 7)]
+    assert got == [LIBRARY.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
 
 
 def test_round_trip(spark, store):
@@ -107,9 +125,24 @@ def test_shifted_passages_share_chunks():
     assert max(map(len, a)) <= 2 * token_store.MOST_IDS
 
 
+def test_streams_are_cut_alike_alone_and_together(monkeypatch):
+    monkeypatch.setattr(token_store, "MOST_IDS", 300)
+    rng = np.random.default_rng(2)
+    streams = [rng.integers(0, 50000, int(n)).astype(np.uint16) for n in [0, 1, 3, 4, 5, 0, 900, 2, 301, 300, 5000, 0]]
+    streams.append(np.full(1000, 3, dtype=np.uint16))
+    ends, n = token_store.cut_streams(np.concatenate(streams), np.array([len(x) for x in streams]))
+    at = np.concatenate([[0], np.cumsum([len(x) for x in streams])])
+    for i, own in enumerate(np.split(ends, np.cumsum(n)[:-1])):
+        mine = (own - at[i]).tolist()
+        assert mine == token_store.cut_points(streams[i])
+        assert all(0 < b - a <= 300 for a, b in zip([0, *mine], mine, strict=False)) and (mine[-1:] or [0]) == [len(streams[i])]
+
+
 def test_joined_checksums():
-    parts = [b"", b"a", b"bcd" * 99, bytes(5000)]
-    assert token_store.crc32_joined([zlib.crc32(p) for p in parts], [len(p) for p in parts]) == zlib.crc32(b"".join(parts))
+    messages = [[], [b""], [b"", b"a", b"bcd" * 99, bytes(5000)], [b"x" * 70000, b"y"], [bytes([i]) for i in range(200)]]
+    flat = [p for m in messages for p in m]
+    got = token_store.crc32_joined(np.array([zlib.crc32(p) for p in flat], dtype=np.uint32), np.array([len(p) for p in flat]), np.array([len(m) for m in messages]))
+    assert got.tolist() == [zlib.crc32(b"".join(m)) for m in messages]
 
 
 def test_empty_table(spark, tmp_path):
