@@ -4,9 +4,12 @@ A text is cut into paragraph pieces: lines, their sentences, and long stretches
 rule on their letters picks, so that the cuts follow the content. Each piece's digest (repeats get digests of their
 own) is put into three cells of a sketch: a count, the XOR of digests, the XOR of check values. The sketch of another
 version is subtracted cell by cell; what both hold vanishes, and peeling cells with a single digest recovers the
-digests that differ. If peeling stalls, both sketches are built again with four times the cells.
+digests that differ. If peeling stalls, both sketches are built again with four times the cells. The first size is the
+least that holds an estimate of the difference, taken from the digests whose low bits are zero.
 
-The fingerprint is the base sketch, in base64. Likeness of two: 1 - differing digests / digests of both.
+The fingerprint is the base sketch of 3 * BASE cells, in base64. Likeness of two: 1 - differing digests / digests of
+both. A difference of more digests than the base sketch holds is peeled from larger sketches of the same texts;
+edited_cells and next_cells tell how many cells gave each likeness, so the fingerprints alone lead to those of 3 * BASE.
 
 `next document` is taken in descending doc_id order over the whole table without a single task: quantiles of doc_id
 make ranges, the first row of each range also goes to the range before it, and sorted ranges are read as streams.
@@ -30,13 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordering import range_bounds, range_of
-from .runtime import ship, table
+from .runtime import cut, ship, table
 
 #: Cells of the base sketch in each of its three parts, and how much more a retry takes.
 BASE, GROW, RETRIES = 8, 4, 10
 LONG_PIECE = 160
 SENTENCE = re.compile(r"(?<=[.!?]) ")
-BATCH = 200
+#: Documents and code points of texts that are worked on at once (a single text may be longer), and cells of sketches.
+BATCH, BATCH_CHARS, CELLS = 200, 1 << 20, 1 << 19
+#: One digest of so many, a power of two, is in the estimate of a difference; cells a digest that a sketch needs.
+SAMPLED, ROOM = 16, 1.3
 
 
 def paragraph_pieces(text: str) -> list[str]:
@@ -107,11 +113,20 @@ class Sketches:
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, digests and signs recovered, and whether each row came out empty. The cells are used up."""
+        """Rows, digests and signs recovered, and whether each row came out empty. The cells are used up.
+
+        A cell counts only if its digest belongs in it. A sketch that can be peeled is so after as many rounds as it
+        has cells at most; there are no more.
+        """
         rows, found, signs = [], [], []
-        while True:
+        for _ in range(3 * self.size):
             one = np.flatnonzero(np.abs(self.count) == 1)
-            one = one[_checks(self.keys[one]) == self.checks[one]]
+            h = self.keys[one]
+            part = one // self.size % 3
+            ok = _checks(h) == self.checks[one]
+            for j in range(3):
+                ok &= (part != j) | (_mix(h, 3 * self.size + j) % np.uint64(self.size) == (one % self.size).astype(np.uint64))
+            one = one[ok]
             if not len(one):
                 break
             row, h, sign = one // (3 * self.size), self.keys[one], self.count[one]
@@ -147,38 +162,62 @@ def sketch(sets: list[np.ndarray], which: np.ndarray, size: int) -> Sketches:
     return out
 
 
-def differences(sets: list[np.ndarray], base: Sketches, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Number of differing digests of each pair of sets, and the digests only in the left and only in the right one."""
-    count = np.zeros(len(left), dtype=np.int64)
-    digests_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    pending, size = np.arange(len(left)), BASE
+def first_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The size at which each pair's sketches are subtracted first."""
+    sampled = [s[s & np.uint64(SAMPLED - 1) == 0] for s in sets]
+    (a, a_pair), (b, b_pair) = _flat(sampled, left), _flat(sampled, right)
+    h, pair = np.concatenate([a, b]), np.concatenate([a_pair, b_pair])
+    order = np.lexsort((h, pair))
+    h, pair = h[order], pair[order]
+    both = pair[1:][(pair[1:] == pair[:-1]) & (h[1:] == h[:-1])]  # a digest is once in a set
+    differ = SAMPLED * (np.bincount(pair, minlength=len(left)) - 2 * np.bincount(both, minlength=len(left)))
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    for attempt in range(RETRIES):
+    differ = np.minimum(np.maximum(differ, np.abs(sizes[left] - sizes[right])), sizes[left] + sizes[right])
+    out = np.full(len(left), BASE)
+    while (small := 3 * out < ROOM * differ).any():
+        out[small] *= GROW
+    return out
+
+
+def differences(sets: list[np.ndarray], base: Sketches, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of each pair of sets, the number of differing digests, the cells of the sketches that gave it (0: none did), and
+    the digests only in the left and only in the right one (of a single pair). At most CELLS cells of sketches, or
+    those of one pair, are held at once.
+    """
+    count, cells = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int64)
+    digests_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    wanted = first_sizes(sets, left, right)
+    pending = np.arange(len(left))
+    for size in (BASE * GROW**k for k in range(RETRIES)):
+        failed = []
+        now = pending[wanted[pending] == size]
+        step = max(1, CELLS // (3 * size))
+        for some in (now[at : at + step] for at in range(0, len(now), step)):
+            if size == BASE:
+                diff = base.minus(base, left[some], right[some])
+            else:
+                a = sketch(sets, left[some], size)
+                diff = a.minus(sketch(sets, right[some], size), np.arange(len(some)), np.arange(len(some)))
+            rows, found, signs, empty = diff.peel()
+            count[some[empty]] = np.bincount(rows, minlength=len(some))[empty]
+            cells[some[empty]] = 3 * size
+            for i in np.flatnonzero(empty).tolist() if len(left) == 1 else ():
+                digests_of[int(some[i])] = (found[(rows == i) & (signs > 0)], found[(rows == i) & (signs < 0)])
+            failed.append(some[~empty])
+        if failed:
+            wanted[np.concatenate(failed)] = size * GROW
+        pending = pending[cells[pending] == 0]
         if not len(pending):
             break
-        if attempt == 0:
-            diff = base.minus(base, left[pending], right[pending])
-        else:
-            size *= GROW
-            least = np.abs(sizes[left[pending]] - sizes[right[pending]])
-            now = least <= 3 * size  # a sketch with fewer cells than the sizes differ can't be peeled
-            later, pending = pending[~now], pending[now]
-            a = sketch(sets, left[pending], size)
-            diff = a.minus(sketch(sets, right[pending], size), np.arange(len(pending)), np.arange(len(pending)))
-        rows, found, signs, empty = diff.peel()
-        count[pending[empty]] = np.bincount(rows, minlength=len(pending))[empty]
-        for i in np.flatnonzero(empty).tolist() if len(left) == 1 else ():
-            digests_of[int(pending[i])] = (found[(rows == i) & (signs > 0)], found[(rows == i) & (signs < 0)])
-        pending = pending[~empty] if attempt == 0 else np.concatenate([pending[~empty], later])
     for i in pending.tolist():  # never met: by the sets themselves
         count[i] = len(np.setxor1d(sets[left[i]], sets[right[i]]))
-    return count, digests_of
+    return count, cells, digests_of
 
 
 def differing_paragraphs(old: str, new: str) -> tuple[set[int], set[int]]:
     """Digests of the paragraph pieces only in the old and only in the new version, recovered from sketches."""
     sets = [digests(old), digests(new)]
-    _, found = differences(sets, sketch(sets, np.arange(2), BASE), np.array([0]), np.array([1]))
+    _, _, found = differences(sets, sketch(sets, np.arange(2), BASE), np.array([0]), np.array([1]))
     only_old, only_new = found.get(0, (np.setdiff1d(sets[0], sets[1]), np.setdiff1d(sets[1], sets[0])))
     return set(only_old.tolist()), set(only_new.tolist())
 
@@ -215,12 +254,21 @@ def _emit(rows: list[tuple], last_next: str) -> pa.RecordBatch:
     left = np.concatenate([np.arange(n), np.arange(n)])
     right = np.concatenate([np.arange(n) + n + 1, np.arange(1, n + 1)])
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    near = likeness(differences(sets, base, left, right)[0], sizes[left] + sizes[right])
+    count, cells, _ = differences(sets, base, left, right)
+    near = likeness(count, sizes[left] + sizes[right])
     sha = [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited]
-    return pa.record_batch(
-        [pa.array([i for i, _ in rows], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sha, pa.string()), pa.array(printed[:n], pa.string()), pa.array(printed[n + 1 :], pa.string()), pa.array(near[:n], pa.float64()), pa.array(near[n:], pa.float64())],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+    columns = {
+        "doc_id": pa.array([i for i, _ in rows], pa.int64()),
+        "n_chars": pa.array(list(map(len, texts)), pa.int64()),
+        "edited_sha256": pa.array(sha, pa.string()),
+        "fingerprint": pa.array(printed[:n], pa.string()),
+        "edited_fingerprint": pa.array(printed[n + 1 :], pa.string()),
+        "near_edited": pa.array(near[:n], pa.float64()),
+        "near_next": pa.array(near[n:], pa.float64()),
+        "edited_cells": pa.array(cells[:n], pa.int64()),
+        "next_cells": pa.array(cells[n:], pa.int64()),
+    }
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
@@ -231,25 +279,23 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
-        now, ended = None, False
+        now, ended, chars = None, False, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
+            for batch in cut(whole, BATCH):
                 for doc_id, text, part, edge in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if part != now:
                         now, ended = part, False
                     if ended:
                         continue
-                    if edge:
-                        yield _emit(waiting, text)
-                        waiting, ended = [], True
-                        continue
-                    if len(waiting) >= BATCH:
+                    if edge or len(waiting) >= BATCH or (waiting and chars >= BATCH_CHARS):
                         yield _emit(waiting, text)
-                        waiting = []
+                        waiting, chars, ended = [], 0, bool(edge)
+                        if edge:
+                            continue
                     waiting.append((doc_id, text))
+                    chars += len(text)
 
-    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_cells long, next_cells long"
     return rows.select("doc_id", "text", "part", "edge").mapInArrow(run, kind)
 
 

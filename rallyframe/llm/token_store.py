@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import pieces
 from .ordering import range_bounds, range_of
-from .runtime import env_cpu_single, map_batches, shared_dir, ship, stored, table
+from .runtime import env_cpu_single, map_batches, remove, shared_dir, ship, stored, table
 
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
 WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
@@ -410,8 +410,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     placed = recipes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), "range")
     placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks", "range").write.partitionBy("range").parquet(f"{path}/recipes")
     manifest(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).drop("first", "in_order").write.parquet(f"{path}/manifest")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/encoded")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, f"{path}/encoded")
 
 
 def manifest(recipes: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -75,6 +76,38 @@ def test_small_sketches_stall_and_grow():
     assert p.differences(sets, small, np.array([0]), np.array([1]))[0].tolist() == [499]
 
 
+def test_a_cell_that_lies_ends():
+    h = np.uint64(0x1234567890ABCDEF)
+    own = {int(c[0]) for c in p._cells(np.array([h]), np.array([0]), p.BASE)}
+    for cell in set(range(3 * p.BASE)) - own:
+        wrong = p.Sketches(1, p.BASE)
+        wrong.count[cell], wrong.keys[cell], wrong.checks[cell] = 1, h, p._checks(np.array([h]))[0]
+        rows, _, _, empty = wrong.peel()
+        assert not len(rows) and not empty.any()
+
+
+def test_difference_is_estimated():
+    rng = np.random.default_rng(4)
+    common = rng.integers(1, 1 << 62, 5000, dtype=np.uint64)
+    sets = [common, np.concatenate([common, rng.integers(1, 1 << 62, 3, dtype=np.uint64)]), rng.integers(1, 1 << 62, 5000, dtype=np.uint64)]
+    got = p.first_sizes(sets, np.array([0, 0, 0]), np.array([0, 1, 2]))
+    assert got[0] == got[1] == p.BASE and 3 * got[2] >= 10_000
+
+
+def test_memory_of_long_texts():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(1, 1 << 62, 3000, dtype=np.uint64) for _ in range(201)]
+    base = p.sketch(sets, np.arange(201), p.BASE)
+    left = np.concatenate([np.arange(200), np.arange(200)])
+    right = np.concatenate([np.arange(1, 201), np.zeros(200, dtype=np.int64)])
+    tracemalloc.start()
+    count, cells, _ = p.differences(sets, base, left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count.tolist() == [6000 if a != b else 0 for a, b in zip(left, right, strict=True)]
+    assert peak < 150 << 20 and set(cells.tolist()) <= {3 * p.BASE, 3 * p.BASE * p.GROW**4, 3 * p.BASE * p.GROW**5}
+
+
 def test_few_rows(spark):
     assert p.fingerprint_versions(documents(spark, [])).count() == 0
     only = p.fingerprint_versions(documents(spark, [(1, "abcdef")])).collect()
