@@ -16,7 +16,7 @@ doc_id that holds the key.
 
 Cases: null and empty texts have one empty line, which stays; a text whose lines all go becomes empty; rows with the
 same doc_id count as one document; a null doc_id counts as a document but is never the largest; an empty table gives
-an empty result; other columns pass through `dedup_lines` unchanged.
+an empty result; other columns pass through `dedup_lines` unchanged, but for those with the names of its counts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, ship, stored, table
+from .runtime import free_name, map_batches, ship, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of a shard on average, places per key in a level of the cascade.
@@ -245,26 +245,29 @@ def _filtered(texts: list[str | None], drop: list[set[int]]) -> tuple[list, list
     return kept, n_lines, n_dropped
 
 
-def _result(batch: pa.RecordBatch, drop: list[set[int]], names: list[str], digests: bool) -> pa.RecordBatch:
+def _result(batch: pa.RecordBatch, drop: list[set[int]], names: list[str], digests: bool, count_names: tuple[str, str]) -> pa.RecordBatch:
     kept, n_lines, n_dropped = _filtered(batch.column(1).to_pylist(), drop)
     counts = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
     if digests:
         sha = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in kept]
         return pa.record_batch([batch.column(0), *counts, pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
-    return pa.record_batch([batch.column(0), pa.array(kept, pa.string()), *batch.columns[2 : len(names)], *counts], names=[*names, "n_lines", "n_dropped"])
+    return pa.record_batch([batch.column(0), pa.array(kept, pa.string()), *batch.columns[2 : len(names)], *counts], names=[*names, *count_names])
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digests: bool = False, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """All columns with the text that stays, n_lines and n_dropped; with `digests`, doc_id, counts and kept_sha256."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digests: bool = False, index_bytes: int = INDEX_BYTES, count_names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns with the text that stays, and the counts of lines and of those dropped, under `count_names`.
+
+    With `digests`, doc_id, n_lines, n_dropped and kept_sha256 instead.
+    """
     spark = docs.sparkSession
     frequent = stored(frequent_lines(docs, min_chars, min_docs), "frequent_lines")
     n = frequent.count()
     shards = max(1, -(-n // SHARD_KEYS))
     bodies = stored(build_index(frequent, shards), "line_index")
-    columns = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c not in ("doc_id", "text", *count_names)]
     names = ["doc_id", "text", *columns]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "n_lines long, n_dropped long"])
+    result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"`{c}` long" for c in count_names]])
     rows = docs.select("doc_id", "text") if digests else docs.select(*[F.col(f"`{c}`") for c in names])
     if n * KEY_BYTES + 4096 * shards <= index_bytes:
         given = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in bodies.toLocalIterator()})
@@ -273,15 +276,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             if not cache:
                 cache.append(Index(shards, given.value))
-            yield _result(batch, _hits(batch, cache[0], min_chars), names, digests)
+            yield _result(batch, _hits(batch, cache[0], min_chars), names, digests, count_names)
 
         return map_batches(rows, run, result)
     hits = routed_hits(docs, bodies, shards, min_chars)
-    joined = rows.withColumn("__text", F.xxhash64("text")).join(hits, (F.col("doc_id").eqNullSafe(F.col("__doc"))) & (F.col("__text") == F.col("__hash")), "left").drop("__text", "__doc", "__hash")
+    of_text, lines = free_name(rows, "hash_of_text"), free_name(rows, "lines_to_drop")
+    hits = hits.select(F.col("__doc"), F.col("__hash"), F.col("__lines").alias(lines))
+    rows = rows.withColumn(of_text, F.xxhash64("text"))
+    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__doc"]) & (rows[of_text] == hits["__hash"]), "left").select(*[rows[f"`{c}`"] for c in rows.columns if c != of_text], hits[lines])
 
     def late(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         drop = [set(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        yield _result(batch, drop, names, digests)
+        yield _result(batch, drop, names, digests, count_names)
 
     return map_batches(joined, late, result)
 

@@ -4,12 +4,14 @@ Fingerprints are 64 bits over hashed word shingles. Two that differ in at most `
 blocks, so the trie is built once for each rotation that puts another block on top: below one value of that block
 the bits above are equal, and each such subtree is one key of a shuffle. Inside, node pairs are traversed together
 from the top; differing bits accumulate along the path, and a pair of nodes is pruned when they exceed the budget or
-when everything below both is connected already. A task gives back a spanning forest of its links and not the pairs;
-the forests are merged by minimum labels in rounds, each round a table in the shared folder.
-
-Cases: null and empty texts have fingerprint zero and link like any other; equal texts share a fingerprint and one
-node, so copies are never expanded into pairs; repeated rows stay repeated; a null doc_id never names a component
-unless it is alone with its fingerprint; an empty table gives an empty result; other columns are ignored.
+when everything below both is connected already. Subtrees come to a task sorted, some at a time. It gives back a
+spanning forest of its links and not the pairs; the forests are merged by minimum labels in rounds, each round a table
+in the shared folder.
+
+Cases: null and empty texts have fingerprint zero and link like any other; a fingerprint is one node, so copies are
+never expanded into pairs, and rows without a doc_id or with one in common link like any other; repeated rows stay
+repeated; a component has the smallest doc_id of its rows, null if none has one; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, ship, stored, table
+from .runtime import map_batches, remove, shared_dir, ship, stored, table
 
 #: Node pairs with no more leaf pairs than this are compared directly.
 LEAF_PAIRS = 32
 #: Node pairs traversed at once; more are put on a stack.
 FRONTIER = 400_000
+#: Rows of subtrees that are joined at once; a single subtree may have more.
+SUBTREE_ROWS = 300_000
 
 
 def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
@@ -226,30 +230,47 @@ def trie_memberships(nodes: DataFrame, budget: int, keys: tuple[str, ...] = ("ke
     extra = [signature] if signature else []
     rows = nodes.selectExpr("node", f"explode(array({', '.join(turned)})) as r", *extra).selectExpr("node", "r.trie", "r.turned", *extra)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "trie", F.expr(f"shiftrightunsigned(turned, {64 - depth})"))
+    rows = rows.repartition(parts, "trie", F.expr(f"shiftrightunsigned(turned, {64 - depth})")).sortWithinPartitions("trie", "turned")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        whole = pa.Table.from_batches(got)
+    def begins(whole: pa.Table) -> np.ndarray:
+        """Where subtrees begin. Keys whose top bits are equal have the same sign, so they ascend as unsigned too."""
+        trie, keys = whole["trie"].to_numpy(), whole["turned"].to_numpy().astype(np.int64).view(np.uint64)
+        top = keys >> np.uint64(64 - depth)
+        return np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (top[1:] != top[:-1])]))
+
+    def joined(whole: pa.Table, lo: np.ndarray) -> pa.RecordBatch:
         trie, node = whole["trie"].to_numpy(), whole["node"].to_numpy()
         keys = whole["turned"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.lexsort((node, keys, trie))
-        trie, node, keys = trie[order], node[order], keys[order]
         test = None
         if accept is not None:
-            signatures = np.frombuffer(b"".join(whole[signature].to_pylist()), dtype=np.uint8).reshape(len(order), -1)[order]
+            signatures = np.frombuffer(b"".join(whole[signature].to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
             test = lambda u, v: accept(signatures, u, v)
-        top = keys >> np.uint64(64 - depth)
-        new = np.concatenate([[True], (trie[1:] != trie[:-1]) | (top[1:] != top[:-1])])
-        lo = np.flatnonzero(new)
         root = TrieJoin(keys, budget, test).run(lo, np.append(lo[1:], len(keys)), depth).root
         sizes = np.bincount(root, minlength=len(root))
         linked = sizes[root] > 1
         least = np.full(len(root), np.iinfo(np.int64).max)
         np.minimum.at(least, root, node)
-        yield pa.record_batch([pa.array(node[linked]), pa.array([f"{t}:{k}" for t, k in zip(trie[linked], least[root[linked]], strict=True)], pa.string())], names=["node", "part"])
+        names = [f"{t}:{k}" for t, k in zip(trie[linked].tolist(), least[root[linked]].tolist(), strict=True)]
+        return pa.record_batch([pa.array(node[linked]), pa.array(names, pa.string())], names=["node", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        n, limit = 0, SUBTREE_ROWS
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < limit:
+                continue
+            whole = pa.Table.from_batches(waiting)
+            lo = begins(whole)
+            if lo[-1]:
+                yield joined(whole.slice(0, lo[-1]), lo[:-1])
+            waiting = whole.slice(lo[-1]).combine_chunks().to_batches()
+            n -= int(lo[-1])
+            limit = max(SUBTREE_ROWS, 2 * n)
+        if n:
+            whole = pa.Table.from_batches(waiting)
+            yield joined(whole, begins(whole))
 
     return rows.mapInArrow(run, "node long, part string")
 
@@ -257,17 +278,21 @@ def trie_memberships(nodes: DataFrame, budget: int, keys: tuple[str, ...] = ("ke
 def merge_memberships(memberships: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over shared parts. Rounds of minimum labels with shortcuts.
 
-    Every round's labels are written to the shared folder; the driver sees one count a round.
+    Every round's labels are written to the shared folder, and those before deleted; the driver sees one count a round.
     """
+    spark = memberships.sparkSession
     links = stored(memberships.distinct(), "memberships")
-    labels = stored(links.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
+    path = f"{shared_dir(spark)}/labels"
+    labels = stored(links.select("node").distinct().select("node", F.col("node").alias("label")), "labels", path=path)
     while True:
         of_part = links.join(labels, "node").groupBy("part").agg(F.min("label").alias("least"))
         hooked = links.join(of_part, "part").groupBy("node").agg(F.min("least").alias("label"))
         up = hooked.select(F.col("node").alias("up"), F.col("label").alias("higher"))
         short = hooked.join(up, hooked["label"] == up["up"], "left").select("node", F.coalesce("higher", "label").alias("label"))
-        new = stored(short, "labels")
+        before, path = path, f"{shared_dir(spark)}/labels"
+        new = stored(short, "labels", path=path)
         changed = new.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").limit(1).count()
+        remove(spark, before)
         labels = new
         if not changed:
             return labels
@@ -277,9 +302,12 @@ def near_duplicate_components(docs: DataFrame, budget: int = 2, width: int = 3)
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links)."""
     prints = stored(fingerprints(docs, width), "fingerprints")
     # A table of its own, so that the join below stands alone in its stage and Spark can split a key with many copies.
-    nodes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    labels = merge_memberships(trie_memberships(nodes.where("node is not null"), budget))
-    named = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
+    nodes = stored(prints.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
+    labels = merge_memberships(trie_memberships(nodes.select(F.col("key").alias("node"), "key"), budget))
+    linked = nodes.join(labels, nodes["key"] == labels["node"]).select("key", "label", "least")
+    firsts = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_key = linked.select("key", "label").join(firsts, "label").select("key", "component_id")
+    named = stored(nodes.join(of_key, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "components")
     return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -365,14 +393,15 @@ def exact_groups(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
 def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     """node, part: the groups of candidates again, by links whose exact similarity is SIMILARITY or more.
 
-    A group is compared in one place, a large one by bands: nodes with a key in common.
+    docs: doc_id, text, tie. A group is compared in one place, a large one by bands: nodes with a key in common.
     """
     ship(docs.sparkSession)
     # At most one row for LARGE_GROUP nodes.
     large = labels.groupBy("label").count().where(F.col("count") > LARGE_GROUP).select("label", F.lit(True).alias("large"))
     bands = ", ".join(f"struct({t} as trie, {name} as unit)" for t, name in enumerate(names))
-    places = nodes.join(labels, "node").join(F.broadcast(large), "label", "left").selectExpr("node", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
-    members = docs.join(places, docs["doc_id"] == places["node"]).select("node", "text", "places")
+    places = nodes.join(labels, "node").join(F.broadcast(large), "label", "left").selectExpr("node", "first", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
+    same = docs["doc_id"].eqNullSafe(places["first.doc_id"]) & (docs["tie"] == places["first.tie"])
+    members = docs.join(places, same).select("node", "text", "places")
 
     def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
@@ -403,35 +432,69 @@ def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n
     return rows.mapInArrow(run, "node long, part string")
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """All columns; of rows with the same doc_id and text one."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
+    again = packed.groupBy("id", "tie").count().where(F.col("count") > 1).drop("count")
+    if not again.limit(1).count():
+        return docs
+    again = stored(again, "repeated").withColumnsRenamed({"id": "id2", "tie": "tie2"})
+    same = packed["id"].eqNullSafe(again["id2"]) & (packed["tie"] == again["tie2"])
+    once = packed.join(again, same, "left_semi").dropDuplicates(["id", "tie"])
+    return stored(packed.join(again, same, "left_anti").unionByName(once).select("row.*"), "distinct_rows")
+
+
+def text_tie() -> Column:
+    """96 bits that tell texts apart, null from empty included."""
+    return F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
+    """doc_id, tie, first, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
 
     Candidates have a band of minimum hashes in common and agree in enough minima; what they connect
-    is compared again by exact similarities. Texts without words are copies of each other. Rows with the same doc_id are one document.
+    is compared again by exact similarities. Texts without words are copies of each other. `first` has the doc_id and
+    tie of the document of the component that comes first: the smallest doc_id (nulls last), then the least tie. Rows
+    are told apart by doc_id and text_tie; component_id is the doc_id of `first`.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         digests, keys, minima = zip(*(copy_sketch(shingle_set(t)) for t in batch.column(1).to_pylist()), strict=True)
         bands = [pa.array(k) for k in np.stack(keys, axis=1)]
-        yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), *bands, pa.array(minima, pa.binary())], names=["doc_id", "digest", *names, "minima"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), *bands, pa.array(minima, pa.binary())], names=["doc_id", "tie", "digest", *names, "minima"])
 
     names = [f"key{t}" for t in range(BANDS)]
-    kind = ", ".join(["doc_id long, digest binary", *[f"{n} long" for n in names], "minima binary"])
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    tie = "struct<a:bigint,b:int>"
+    kind = ", ".join([f"doc_id long, tie {tie}, digest binary", *[f"{n} long" for n in names], "minima binary"])
+    docs = docs.select("doc_id", "text", text_tie().alias("tie"))
     sketched = stored(map_batches(docs, run, kind), "copy_sketches")
-    nodes = stored(sketched.groupBy("digest", *names, "minima").agg(F.min("doc_id").alias("node")), "copy_nodes")
-    candidates = trie_memberships(nodes, 0, tuple(names), "minima", similar)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
+    nodes = sketched.groupBy("digest", *names, "minima").agg(first)
+    # Any distinct numbers do, as they are read from the table only.
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "copy_nodes")
+    candidates = trie_memberships(nodes.select("node", *names, "minima"), 0, tuple(names), "minima", similar)
     # By the smallest node alone: most bands give the same groups.
     labels = merge_memberships(candidates.selectExpr("node", "substring_index(part, ':', -1) as part"))
     labels = merge_memberships(verified_memberships(docs, nodes, labels, names))
-    named = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    return sketched.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    linked = nodes.select("node", "digest", "first").join(labels, "node")
+    firsts = linked.groupBy("label").agg(F.min("first").alias("least"))
+    of_node = linked.select("digest", "label").join(firsts, "label").select("digest", "least")
+    named = nodes.select("digest", "first").join(of_node, "digest", "left").select("digest", F.coalesce("least", "first").alias("first"))
+    named = stored(named, "copy_groups")
+    return sketched.select("doc_id", "tie", "digest").join(named, "digest").select("doc_id", "tie", "first", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one_of_copies(docs: DataFrame) -> DataFrame:
-    """All columns of the documents but near copies of one with a smaller doc_id. Rows without a doc_id stay."""
-    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """All columns of the documents but near copies of one that comes before them.
+
+    The smallest doc_id of a group stays; one without a doc_id only if none has one. Of rows with the same doc_id and
+    text one stays; rows with the same doc_id and other texts are documents of their own. An empty table stays empty.
+    """
+    docs = distinct_rows(docs)
+    copies = near_copies(docs).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))))
+    gone = copies.select(F.col("doc_id").alias("id2"), F.col("tie").alias("tie2"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
+    return packed.join(gone, packed["id"].eqNullSafe(gone["id2"]) & (packed["tie"] == gone["tie2"]), "left_anti").select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,9 +83,9 @@ def test_a_large_group_is_compared_by_bands(spark, monkeypatch):
             own[at] = "y%d" % rng.randrange(9000)
         texts.append(" ".join(own))
     rows = list(enumerate(texts))
-    whole = sorted(map(tuple, simhash.near_copies(documents(spark, rows)).collect()))
+    whole = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, rows)).collect())
     monkeypatch.setattr(simhash, "LARGE_GROUP", 4)
-    assert sorted(map(tuple, simhash.near_copies(documents(spark, rows)).collect())) == whole
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, rows)).collect()) == whole
     want = list(range(30))
     for _ in want:
         for i in want:
@@ -94,8 +94,39 @@ def test_a_large_group_is_compared_by_bands(spark, monkeypatch):
 
 
 def test_one_of_each_group_stays(spark):
-    kept = simhash.keep_one_of_copies(documents(spark, ODD).withColumnRenamed("lang", "node")).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "5", "6", "7", "None"]
+    kept = simhash.keep_one_of_copies(documents(spark, ODD).withColumnRenamed("lang", "node").withColumnRenamed("source", "tie")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "7", "None"]
+    assert set(kept[0].asDict()) == {"doc_id", "text", "node", "tie", "n_chars"}
+
+
+def test_copies_without_or_with_one_id(spark):
+    a, b, c = ("%s1 %s2 %s3 %s4 %s5 %s6 %s7" % ((x,) * 7) for x in "abc")
+    rows = [(None, a), (None, a), (4, a), (None, b), (None, b + "."), (7, a), (7, c), (7, c), (8, c)]
+    kept = simhash.keep_one_of_copies(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("4", "a"), ("7", "c"), ("None", "b")]
+
+
+def test_empty_tables(spark, tmp_path):
+    save(documents(spark, []), tmp_path)
+    save(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    names = ["__score", "score", "toxicity", "row", "id", "tie", "first", "n_dropped", "n_lines", "__text", "__gone", "ids"]
+    docs = documents(spark, [*ODD, (50, "you idiot")])
+    for n, name in enumerate(names):
+        docs = docs.selectExpr("*", f"'{n}' as `{name}`")
+    save(docs, tmp_path)
+    save(spark.createDataFrame([(50, 1, 1), (5, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    save(spark.createDataFrame([(1, None)], "item_id long, text string"), tmp_path, "benchmark")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.schema.names == before.schema.names
+        rows = docs.collect()
+        assert rows and all([r[name] for name in names] == [str(n) for n in range(len(names))] for r in rows)
 
 
 def test_all_stages(spark, tmp_path):

@@ -66,18 +66,47 @@ def near_texts():
 
 
 def test_components_equal_brute_force(spark):
-    rows = [*ODD[1:], *near_texts()]
+    rows = [*ODD, (None, near_texts()[1][1]), (100, "far away"), (7, near_texts()[4][1]), *near_texts()]
     df = documents(spark, rows).withColumnRenamed("lang", "node").withColumnRenamed("source", "key")
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicate_components(df).collect()}
-    prints = sorted((i, brute_print(t)) for i, t in rows)
+    prints = sorted(((i, brute_print(t)) for i, t in rows), key=lambda p: (p[0] is None, p))
     label = brute_components(prints, 2)
     assert got == {(i, f"{k:016x}", prints[label[n]][0]) for n, (i, k) in enumerate(prints)}
     assert len({c for _, _, c in got}) < len({k for _, k, _ in got})
 
 
-def test_null_ids(spark):
-    got = simhash.near_duplicate_components(documents(spark, [(None, "a b c d"), (None, "q"), (3, "q")])).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 3), (3, 3)]
+def components(spark, monkeypatch, keys):
+    """component_id by row, for rows of (doc_id, fingerprint)."""
+    prints = spark.createDataFrame([(i, simhash._signed(k)) for i, k in keys], "doc_id long, key long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: prints)
+    return {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicate_components(documents(spark, [])).collect()}
+
+
+def test_a_row_without_an_id_joins_others(spark, monkeypatch):
+    got = components(spark, monkeypatch, [(1, 0b0000), (None, 0b0011), (2, 0b1111), (None, 255 << 40)])
+    assert got == {(1, 0b0000): 1, (None, 0b0011): 1, (2, 0b1111): 1, (None, 255 << 40): None}
+
+
+def test_texts_with_one_id_stay_apart(spark, monkeypatch):
+    far = 255 << 40
+    got = components(spark, monkeypatch, [(5, 0), (5, far), (7, 1), (9, far ^ 1)])
+    assert got == {(5, 0): 5, (5, far): 5, (7, 1): 5, (9, far ^ 1): 5}
+    got = components(spark, monkeypatch, [(5, 0), (5, far), (3, 1), (9, far ^ 1)])
+    assert got == {(5, 0): 3, (5, far): 5, (3, 1): 3, (9, far ^ 1): 5}
+
+
+def test_subtrees_in_small_steps(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    keys = {k ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for k in base for _ in range(15)} | {k << 20 & (1 << 64) - 1 for k in range(300)}
+    nodes = spark.createDataFrame([(i, simhash._signed(k)) for i, k in enumerate(sorted(keys))], "node long, key long")
+    whole = sorted(map(tuple, simhash.merge_memberships(simhash.trie_memberships(nodes, 2)).collect()))
+    monkeypatch.setattr(simhash, "SUBTREE_ROWS", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, simhash.merge_memberships(simhash.trie_memberships(nodes, 2)).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_empty_table(spark):
