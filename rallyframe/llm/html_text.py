@@ -2,13 +2,16 @@
 
 A page is cut at block-level tags into a flat list of text blocks. A block is described by its number of words and its
 link density, those of the block before and after it, and the kind of container that the open elements and their
-class and id names make of its place. A decision tree (CART, Gini), trained here on the small table of labelled
+class, id and role names make of its place. Names count by their parts (`left-sidebar`, not `with-sidebar`), never on
+html and body, and an element that its name alone makes a menu or an advert is none if it holds an article or main
+element and half of the page's words. A decision tree (CART, Gini), trained here on the small table of labelled
 blocks below, tells article text from the rest. Article blocks are joined in page order.
 
 Scripts, styles, comments in the markup and the title never give blocks; a head ends where its own elements do. Character references are decoded once; white
 space inside a block becomes one space. <br> is white space. Unclosed and wrongly nested tags are tolerated: an end tag
 closes up to its own element, or nothing. Without an end tag, a script reaches to the end of the page, a style or title to
-the next tag, and of other elements whose content is not text the tag alone is skipped.
+the next tag, and of other elements whose content is not text the tag alone is skipped. A quote in a tag that never
+closes is a character of its value. Time is linear in the page.
 
 Cases: null, empty and tag-only html give the empty text; text without tags is one block; repeated rows each give a
 row; an empty table gives an empty result; other columns are ignored.
@@ -32,49 +35,152 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea svg iframe object canvas title".split())
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I | re.A) for tag in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre dd".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: The name of a tag, and all of a tag whose attributes have no quotes.
+NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+BARE = re.compile(r"([^>\"']*)>")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*([\"']?))?")
+UNQUOTED = re.compile(r"[^\s>]*")
 #: Kinds of container, the later the stronger: plain, article, chrome, advert or notice, comments.
 PLAIN, ARTICLE, CHROME, NOTICE, COMMENTS = range(5)
 BY_TAG = {"article": ARTICLE, "main": ARTICLE, "nav": CHROME, "aside": CHROME, "footer": CHROME, "form": CHROME, "menu": CHROME, "button": CHROME, "select": CHROME, "dialog": NOTICE}
-BY_NAME = (
-    (COMMENTS, re.compile(r"comment|repl(?:y|ies)|disqus|respond|discussion", re.I)),
-    (NOTICE, re.compile(r"(?:^|[\s_-])ads?(?:$|[\s_\d-])|advert|sponsor|promo|banner|cookie|consent|notice|popup|modal|newsletter|subscri|alert|paywall|gdpr", re.I)),
-    (CHROME, re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|topbar|toolbar|breadcrumbs?|sidebar|side|widget|related|share|social|footer|foot|masthead|pagination|pager|tags?|search|login)(?:$|[\s_\d-])", re.I)),
-    (ARTICLE, re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_\d-]|[_-]?(?:body|text|content))", re.I)),
+BY_ROLE = {"main": ARTICLE, "article": ARTICLE, "banner": CHROME, "navigation": CHROME, "complementary": CHROME, "contentinfo": CHROME, "search": CHROME, "form": CHROME, "dialog": NOTICE, "alertdialog": NOTICE, "alert": NOTICE}
+#: Parts of class and id names, the strongest kind first.
+BY_PART = (
+    (COMMENTS, frozenset("comment comments commentlist reply replies disqus respond discussion discussions".split())),
+    (NOTICE, frozenset("ad ads adv adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notification popup modal newsletter subscribe subscription signup alert paywall gdpr".split())),
+    (CHROME, frozenset("nav navbar navigation menu topbar toolbar breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations share sharing social footer foot masthead pagination pager tags taglist search login sitemap".split())),
+    (ARTICLE, frozenset("article post entry story content main prose".split())),
 )
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What follows one of these in a name says what is beside or inside the element, or how it looks.
+BESIDE = frozenset("with without has have no not is hide show js layout".split())
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "kind", "heading")
-
-    def __init__(self, text: str, words: int, linked: int, kind: int, heading: bool) -> None:
-        self.text, self.words, self.linked, self.kind, self.heading = text, words, linked, kind, heading
-
-
-def container(tag: str, attributes: str, inside: int) -> int:
-    """The kind of an element's inside, from its own tag and names and the kind around it."""
-    own = BY_TAG.get(tag, PLAIN)
-    if tag == "header":
-        own = PLAIN if inside == ARTICLE else CHROME
-    if attributes:
-        names = " ".join(" ".join(x) for x in NAMED.findall(attributes))
-        if names:
-            for kind, pattern in BY_NAME:
-                if pattern.search(names):
-                    own = max(own, kind)
-                    break
-        if HIDDEN.search(attributes):
+    __slots__ = ("text", "words", "linked", "place", "kind", "heading", "paragraph")
+
+    def __init__(self, text: str, words: int, linked: int, place: int, heading: bool, paragraph: bool) -> None:
+        self.text, self.words, self.linked, self.place, self.kind = text, words, linked, place, PLAIN
+        self.heading, self.paragraph = heading, paragraph
+
+
+def named_kind(name: str) -> int:
+    """The kind that a class or id name speaks of."""
+    parts = [p.lower() for p in PARTS.findall(name)]
+    at = next((i for i, p in enumerate(parts) if p in BESIDE), len(parts))
+    if at < len(parts) and parts[at] == "layout":  # how it is laid out, whatever comes before
+        return PLAIN
+    return next((kind for kind, known in BY_PART if not known.isdisjoint(parts[:at])), PLAIN)
+
+
+_named: dict[str, int] = {}
+
+
+def own_kind(tag: str, attributes: dict[str, str]) -> tuple[int, int]:
+    """The kinds of an element by its tag and hidden state, and by its names."""
+    own = named = PLAIN
+    if tag in BY_TAG:
+        own = BY_TAG[tag]
+    if attributes and tag != "html" and tag != "body":
+        if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
             own = max(own, NOTICE)
-    return max(own, inside)
+        for key in ("class", "id"):
+            for name in attributes.get(key, "").split():
+                if name not in _named:
+                    if len(_named) > 100_000:
+                        _named.clear()
+                    _named[name] = named_kind(name)
+                named = max(named, _named[name])
+        if "role" in attributes:
+            named = max(named, BY_ROLE.get(attributes["role"].strip().lower(), PLAIN))
+    return own, named
+
+
+class Places:
+    """The elements of a page in order, each with its parent."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.tag: list[str] = []
+        self.kinds: list[tuple[int, int]] = []
+
+    def add(self, parent: int, tag: str, attributes: dict[str, str]) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kinds.append(own_kind(tag, attributes))
+        return len(self.parent) - 1
+
+    def settle(self, blocks: list[Block]) -> None:
+        """Give each block the kind of its place: the strongest of the elements around it."""
+        n = len(self.parent)
+        words, mains = [0] * n, [tag == "article" or tag == "main" for tag in self.tag]
+        for b in blocks:
+            if b.place >= 0:
+                words[b.place] += b.words
+        for i in range(n - 1, -1, -1):
+            if self.parent[i] >= 0:
+                words[self.parent[i]] += words[i]
+                mains[self.parent[i]] |= mains[i]
+        total = sum([b.words for b in blocks])
+        kind: list[int] = []
+        for i in range(n):
+            inside = kind[self.parent[i]] if self.parent[i] >= 0 else PLAIN
+            own, named = self.kinds[i]
+            tag = self.tag[i]
+            most = mains[i] and tag != "article" and tag != "main" and 2 * words[i] >= total
+            if tag == "header":
+                own = max(own, PLAIN if inside == ARTICLE else CHROME)
+            if most and (named == CHROME or named == NOTICE):
+                named = PLAIN
+            if most and tag == "form" and own == CHROME:
+                own = PLAIN
+            kind.append(max(own, named, inside))
+        for b in blocks:
+            b.kind = kind[b.place] if b.place >= 0 else PLAIN
+
+
+class Tags:
+    """Reads the tags of a page from left to right."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.open_ended: set[str] = set()  # quotes that don't come any more
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int] | None:
+        """Attributes, whether a slash ends the tag, and where it ends; None if the page ends before."""
+        page = self.page
+        m = BARE.match(page, at)
+        if m and "=" not in m.group(1):
+            inner = m.group(1)
+            return {k.lower(): "" for k in inner.replace("/", " ").split()}, inner.endswith("/"), m.end()
+        found: dict[str, str] = {}
+        while True:
+            m = ATTRIBUTE.match(page, at)
+            if m is None:
+                end = page.find(">", at)
+                return None if end < 0 else (found, page[end - 1] == "/", end + 1)
+            at, value, quote = m.end(), "", m.group(2)
+            if quote:
+                end = -1 if quote in self.open_ended else page.find(quote, at)
+                if end < 0:
+                    self.open_ended.add(quote)
+                    end = UNQUOTED.match(page, at).end()
+                    value, at = page[at:end], end
+                else:
+                    value, at = page[at:end], end + 1
+            elif quote is not None:
+                end = UNQUOTED.match(page, at).end()
+                value, at = page[at:end], end
+            found.setdefault(m.group(1).lower(), value)
 
 
 def text_blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    places, tags = Places(), Tags(page)
     texts: list[str] = []
     linked = links = 0
     at, n = 0, len(page)
@@ -84,7 +190,7 @@ def text_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         words = "".join(texts).split()
         if words:
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), stack[-1][1] if stack else PLAIN, any(t in HEADINGS for t, _ in stack[-3:])))
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), stack[-1][1] if stack else -1, any(t in HEADINGS for t, _ in stack[-3:]), next((t in PARAGRAPHS for t, _ in reversed(stack) if t in BLOCKS), False)))
         texts.clear()
         linked = 0
 
@@ -96,19 +202,34 @@ def text_blocks(page: str | None) -> list[Block]:
             linked += len(piece.split())
 
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
+        begin = page.find("<", at)
+        if begin < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                say(m.group()[9:].removesuffix("]]>").replace("&", "&amp;"))
+        if begin > at:
+            say(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
+        if page.startswith("<![CDATA[", begin):
+            end = page.find("]]>", begin)
+            say(page[begin + 9 : n if end < 0 else end].replace("&", "&amp;"))
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), begin):
+            end = page.find(">", begin)
+            at = n if end < 0 else end + 1
+            continue
+        m = NAME.match(page, begin)
+        read = tags.attributes(m.end()) if m else None
+        if read is None:  # no tag, or one that the page's end cuts off
+            say(page[begin] if m is None else page[begin:])
+            at = begin + 1 if m is None else n
+            continue
+        tag = m.group(1).lower()
+        attributes, empty, at = read
+        if page[begin + 1] == "/":
             if tag in BLOCKS:
                 flush()
             elif tag == "a":
@@ -120,7 +241,7 @@ def text_blocks(page: str | None) -> list[Block]:
             continue
         if tag == "br":
             texts.append(" ")
-        if tag in RAW and not m.group(3).endswith("/"):
+        if tag in RAW and not empty:
             end = None if tag in unclosed else _RAW_END[tag].search(page, at)
             if end:
                 at = end.end()
@@ -137,15 +258,16 @@ def text_blocks(page: str | None) -> list[Block]:
             if tag == "p" or tag == "li":  # these close their like
                 if stack and stack[-1][0] == tag:
                     stack.pop()
-        if tag in VOID or tag == "head" or m.group(3).endswith("/"):
+        if tag in VOID or tag == "head" or empty:
             continue
         links += tag == "a"
-        stack.append((tag, container(tag, m.group(3), stack[-1][1] if stack else PLAIN)))
+        stack.append((tag, places.add(stack[-1][1] if stack else -1, tag, attributes)))
     flush()
+    places.settle(out)
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "plain", "article", "chrome", "notice", "comments", "heading", "legal")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "plain", "article", "chrome", "notice", "comments", "heading", "paragraph", "legal")
 LEGAL = re.compile(r"^\W*(?:©|\(c\)|copyright|all rights reserved|alle rechte|tous droits|todos los derechos)", re.I)
 
 
@@ -156,7 +278,7 @@ def describe(blocks: list[Block]) -> np.ndarray:
     rows = []
     for i, b in enumerate(blocks, 1):
         kinds = [float(b.kind == k) for k in range(5)]
-        rows.append([size[i], dense[i], size[i - 1], dense[i - 1], size[i + 1], dense[i + 1], *kinds, float(b.heading), float(bool(LEGAL.match(b.text)))])
+        rows.append([size[i], dense[i], size[i - 1], dense[i - 1], size[i + 1], dense[i + 1], *kinds, float(b.heading), float(b.paragraph), float(bool(LEGAL.match(b.text)))])
     return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
 
@@ -206,20 +328,38 @@ class Tree:
         return out
 
 
-_P = "Some twenty words of a plain paragraph that goes on for a while and then ends after a second clause. "
 _LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "sport", "culture", "about us"))
-#: The labelled table: pages as lists of (1 for article text and 0 for the rest, markup).
-LABELLED: list[list[tuple[int, str]]] = [
-    [(0, f"<nav><ul>{_LINKS}</ul></nav>"), (0, '<div class="ad">Buy two and get one free.</div>'), (1, f"<article><h1>A headline of six words</h1><p>{_P}</p><p>{_P * 3}</p><p>Short.</p></article>"), (0, "<footer>&copy; example.org &middot; All rights reserved here.</footer>")],
-    [(0, f"<nav><ul>{_LINKS}</ul></nav>"), (0, f'<div class="ad">{_P}</div>'), (1, "<article><h1>One word.</h1><p>Only few words here.</p></article>"), (0, f"<footer>&copy; example.org {_P}</footer>")],
-    [(0, f"<header><h1>The Daily Site</h1><p>News since 1901</p></header><ul>{_LINKS}</ul>"), (1, f"<main><h2>What happened</h2><p>{_P * 2}</p><ul><li>First point of three</li><li>Second point</li></ul><p>{_P}</p></main>"), (0, f'<aside><h3>Related</h3><p>{_P}</p><a href="/x">Read more</a></aside>'), (0, "<footer><p>Imprint and contact</p></footer>")],
-    [(0, f'<div id="menu"><a href="/">Home</a> <a href="/a">Archive</a></div>'), (1, f'<div class="post-content"><h1>On gardens</h1><p>{_P * 2}</p><blockquote>{_P}</blockquote><p>See <a href="/y">this page</a> for more about it, {_P}</p></div>'), (0, f'<div id="comments"><h3>2 comments</h3><div class="comment"><p>{_P}</p></div><div class="comment"><p>I agree.</p></div></div>')],
-    [(0, '<div class="cookie-notice">We use cookies to give you the best experience on our site. <button>Accept</button></div>'), (0, f"<ul>{_LINKS}</ul>"), (1, f"<div><h1>Plain page</h1><p>{_P * 2}</p><p>{_P}</p><p>{_P * 4}</p></div>"), (0, "<div>Copyright 2020 Example Ltd. All rights reserved.</div>")],
-    [(0, '<form><label>Search</label><input name="q"><button>Go</button></form>'), (1, f"<p>{_P * 3}</p><p>{_P * 2}</p>"), (0, '<div><a href="/1">Older posts</a> <a href="/2">Newer posts</a></div>')],
-    [(0, f'<div class="sidebar"><p>{_P * 2}</p><ul>{_LINKS}</ul></div>'), (1, f"<article><header><h1>Inside a header</h1></header><section><p>{_P}</p><h2>Second part</h2><p>{_P * 2}</p></section></article>"), (0, f'<section class="comments"><p>{_P * 2}</p><p>Nice one!</p></section>'), (0, f'<div class="newsletter"><p>{_P}</p></div>')],
-    [(1, f"<article><p><b>A bold lead of the text.<br><p>{_P}</p><p>{_P}</p></article>"), (0, "<footer>Terms of use. Privacy.</footer>")],
-    [(0, '<div><a href="/a">One</a></div><div><a href="/b">Two</a></div><div><a href="/c">Three</a></div>'), (1, f"<div><p>{_P * 2}</p></div><div><p>{_P * 5}</p></div>"), (0, "<div>Share</div><div>Print</div>"), (0, "<p>&copy; 2021</p>")],
-    [(0, f'<article><div class="ad">{_P}</div>'), (1, f"<h1>Advert above</h1><p>{_P * 2}</p>"), (0, f'<div class="related"><p>{_P}</p></div><form><p>{_P}</p></form></article>')],
+
+
+def layouts(p: str, s: str) -> list[list[tuple[int, str]]]:
+    """Pages as lists of (1 for article text and 0 for the rest, markup), with these texts as paragraphs."""
+    return [
+        [(0, f"<nav><ul>{_LINKS}</ul></nav>"), (0, '<div class="ad">Buy two and get one free.</div>'), (1, f"<article><h1>A headline of six words</h1><p>{p}</p><p>{p * 3}</p><p>Short.</p></article>"), (0, "<footer>&copy; example.org &middot; All rights reserved here.</footer>")],
+        [(0, f"<nav><ul>{_LINKS}</ul></nav>"), (0, f'<div class="ad">{p}</div>'), (1, "<article><h1>One word.</h1><p>Only few words here.</p></article>"), (0, f"<footer>&copy; example.org {p}</footer>")],
+        [(0, f"<header><h1>The Daily Site</h1><p>News since 1901</p></header><ul>{_LINKS}</ul>"), (1, f"<main><h2>What happened</h2><p>{p * 2}</p><ul><li>First point of three</li><li>Second point</li></ul><p>{p}</p></main>"), (0, f'<aside><h3>Related</h3><p>{p}</p><a href="/x">Read more</a></aside>'), (0, "<footer><p>Imprint and contact</p></footer>")],
+        [(0, f'<div id="menu"><a href="/">Home</a> <a href="/a">Archive</a></div>'), (1, f'<div class="post-content"><h1>On gardens</h1><p>{p * 2}</p><blockquote>{p}</blockquote><p>See <a href="/y">this page</a> for more about it, {p}</p></div>'), (0, f'<div id="comments"><h3>2 comments</h3><div class="comment"><p>{p}</p></div><div class="comment"><p>I agree.</p></div></div>')],
+        [(0, '<div class="cookie-notice">We use cookies to give you the best experience on our site. <button>Accept</button></div>'), (0, f"<ul>{_LINKS}</ul>"), (1, f"<div><h1>Plain page</h1><p>{p * 2}</p><p>{p}</p><p>{p * 4}</p></div>"), (0, "<div>Copyright 2020 Example Ltd. All rights reserved.</div>")],
+        [(0, '<form><label>Search</label><input name="q"><button>Go</button></form>'), (1, f"<p>{p * 3}</p><p>{p * 2}</p>"), (0, '<div><a href="/1">Older posts</a> <a href="/2">Newer posts</a></div>')],
+        [(0, f'<div class="sidebar"><p>{p * 2}</p><ul>{_LINKS}</ul></div>'), (1, f"<article><header><h1>Inside a header</h1></header><section><p>{p}</p><h2>Second part</h2><p>{p * 2}</p></section></article>"), (0, f'<section class="comments"><p>{p * 2}</p><p>Nice one!</p></section>'), (0, f'<div class="newsletter"><p>{p}</p></div>')],
+        [(1, f"<article><p><b>A bold lead of the text.<br><p>{p}</p><p>{p}</p></article>"), (0, "<footer>Terms of use. Privacy.</footer>")],
+        [(0, '<div><a href="/a">One</a></div><div><a href="/b">Two</a></div><div><a href="/c">Three</a></div>'), (1, f"<div><p>{p * 2}</p></div><div><p>{p * 5}</p></div>"), (0, "<div>Share</div><div>Print</div>"), (0, "<p>&copy; 2021</p>")],
+        [(0, f'<article><div class="ad">{p}</div>'), (1, f"<h1>Advert above</h1><p>{p * 2}</p>"), (0, f'<div class="related"><p>{p}</p></div><form><p>{p}</p></form></article>')],
+        [(0, '<div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact us</a></div>'), (1, f"<div><h1>A plain title</h1><p>{p * 2}</p><p>A short one.</p><h2>A section</h2><p>{s}</p><ul><li>First point</li><li>Second point of them</li></ul><p>{s}</p></div>"), (0, "<div>&copy; 2020 Somebody</div>")],
+        [(0, f'<table><tr><td>Welcome to the site</td></tr><tr><td><ul>{_LINKS}</ul></td>'), (1, f"<td><h1>Old style</h1><p>{s}</p><p>{p}</p><h3>Then</h3><p>{s}</p><p>Last words.</p></td>"), (0, '<td><a href="/x">Link one</a><br><a href="/y">Link two</a></td></tr></table><div>Page made by hand</div><div>12 visitors today</div>')],
+        [(0, "<div>The Site</div><div>Monday</div>"), (1, f"<h1>Four words of title</h1><p>{s}</p><p>{p}</p><h2>Part two</h2><p>{s}</p><blockquote>{s}</blockquote><ol><li>One of the points made</li><li>Another of them</li></ol><p>{p}</p>"), (0, '<p><a href="/p">Previous</a> <a href="/n">Next</a></p><div>Imprint</div>')],
+        [(0, f'<div class="share">Share this</div>'), (1, f"<main><h1>Title</h1><dl><dt>Term</dt><dd>{s}</dd></dl><pre>some code here</pre><p>{s}</p></main>"), (0, '<p>&copy; 2019 All rights reserved.</p><p><a href="/top">Back to top</a></p>')],
+]
+
+
+#: The labelled table: the layouts with long, middling and short texts.
+LABELLED = [
+    page
+    for p, s in (
+        ("Some twenty words of a plain paragraph that goes on for a while and then ends after a second clause. ", "About a dozen words of a plain short paragraph without any links. "),
+        ("Twice as many words make up this long paragraph, which says what it has to say at some length, turns to another thing, and comes back to the first one before it ends, as long ones do. ", "A sentence of nearly twenty words that says a single thing and does so without any haste at all. "),
+        ("Seven words of a paragraph, no more. ", "Three words only. "),
+    )
+    for page in layouts(p, s)
 ]
 
 
