@@ -4,11 +4,14 @@ Patterns give the base spans (kinds assign, access and hex). Beyond them, every
 digits and `+ / = _ -` outside a base span is a candidate, and so are its parts of that length: those between inner `=`,
 and within these the parts between any of the characters of each entry of SEPARATORS. A candidate's encoding is inferred from its characters, and three tests
 ask whether it can be a uniform draw of that alphabet: chi-squared over the alphabet, the number of runs above and
-below its middle, and the serial correlation of neighbours. Those that no test rejects get a p-value against ordinary
-text: under a bigram model of the whole corpus, the chance of a likelihood ratio as large in favour of the uniform
-draw is at most its inverse (times the number of encodings tried). Benjamini-Hochberg then holds the false-discovery
-rate at Q within each class of lengths, with all candidates of the class as tests. Of accepted candidates that overlap,
-the one with the least p-value stays. The added kind is `random`.
+below its middle, and the serial correlation of neighbours. Simes' rule joins their three p-values; a joint one below
+ALPHA rejects the candidate. The others are tested against ordinary text by a p-value with two parts: under a bigram
+model of the whole corpus, the chance of a likelihood ratio as large in favour of the uniform draw is at most its
+inverse (times the number of encodings tried); and it is divided by a weight, twice the battery's joint p-value, which
+is 1 on average for uniform draws and less for all else, so that what looks least like a draw needs the most evidence.
+Benjamini-Hochberg with these weights then holds the false-discovery rate at Q within each class of lengths, with all
+candidates of the class as tests. Of accepted candidates that overlap, the one with the least p-value stays. The added
+kind is `random`.
 
 The thresholds come from counts of p-values by class, a few thousand numbers however large the corpus.
 
@@ -21,6 +24,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -132,10 +136,15 @@ def serial_p(places: np.ndarray) -> float:
     return 2 * _upper_normal(abs(float((a * b).sum()) / norm) * math.sqrt(len(places))) if norm else 0.0
 
 
-def random_looking(token: str, alphabet: str) -> bool:
-    """No test of the battery rejects a uniform draw."""
+def simes(ps: list[float]) -> float:
+    """A joint p-value of dependent tests."""
+    return min(1.0, *[p * len(ps) / i for i, p in enumerate(sorted(ps), 1)])
+
+
+def battery_p(token: str, alphabet: str) -> float:
+    """The battery's joint p-value for a uniform draw."""
     places = np.array([alphabet.index(c) for c in token.rstrip("=")])
-    return min(uniformity_p(places, len(alphabet)), runs_p(places, len(alphabet)), serial_p(places)) >= ALPHA / 3
+    return simes([uniformity_p(places, len(alphabet)), runs_p(places, len(alphabet)), serial_p(places)])
 
 
 class Bigrams:
@@ -195,26 +204,46 @@ def candidates(text: str, base: list[tuple[str, int, int]], model: Bigrams) -> l
     if b"1" * MIN_TOKEN not in text.encode("utf-8", "surrogatepass").translate(_TOKEN_BYTES):
         return []
     out = []
+    begins, ends = covered(base)
     for m in TOKEN.finditer(text):
-        near = [(x, y) for _, x, y in base if x < m.end() and m.start() < y]
         for lo, hi in parts(m.group()):
             a, b = m.start() + lo, m.start() + hi
-            if any(a < y and x < b for x, y in near):
+            at = bisect.bisect_left(begins, b) - 1
+            if at >= 0 and ends[at] > a:
                 continue
             token, log_p = text[a:b], None
             found = infer(token)
-            if found and len(token.rstrip("=")) >= MIN_TOKEN and random_looking(token, found[1]):
-                log_p = model.log_p(token, found[1])
+            if found and len(token.rstrip("=")) >= MIN_TOKEN and (joint := battery_p(token, found[1])) >= ALPHA:
+                log_p = min(0.0, model.log_p(token, found[1]) - math.log(2 * joint))
             out.append({"a": a, "b": b, "class": sum(b - a >= c for c in CLASSES) - 1, "log_p": log_p})
     return out
 
 
+def covered(base: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans in order of their begins cover."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, x, y in base:
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            begins.append(x)
+            ends.append(y)
+    return begins, ends
+
+
 def strongest(accepted: list[dict]) -> list[dict]:
     """Candidates that don't overlap, the least p-value first."""
     out: list[dict] = []
+    begins: list[int] = []
+    ends: list[int] = []
     for f in sorted(accepted, key=lambda f: (f["log_p"], f["a"], f["b"])):
-        if not any(f["a"] < g["b"] and g["a"] < f["b"] for g in out):
-            out.append(f)
+        at = bisect.bisect_left(begins, f["b"])
+        if at and ends[at - 1] > f["a"]:
+            continue
+        begins.insert(at, f["a"])
+        ends.insert(at, f["b"])
+        out.append(f)
     return out
 
 
@@ -242,11 +271,13 @@ def thresholds(found: DataFrame, q: float = Q) -> dict[int, int]:
 
     A step counts as its largest p-value, so the rate is never above q.
     """
-    each = found.select(F.explode("found").alias("f")).select("f.class", F.least(F.floor(-F.col("f.log_p") / math.log(10) / STEP), F.lit(LAST)).cast("int").alias("step"))
+    step = F.least(F.floor(-F.col("f.log_p") / math.log(10) / STEP), F.lit(LAST)).cast("int")  # least passes over nulls
+    step = F.when(F.col("f.log_p").isNull(), -1).otherwise(step).alias("step")
+    each = found.select(F.explode("found").alias("f")).select("f.class", step)
     rows = each.groupBy("class", "step").count().collect()  # classes times steps at most
     out: dict[int, int] = {}
     for c in {r["class"] for r in rows}:
-        mine = sorted(((-1 if r["step"] is None else r["step"], r["count"]) for r in rows if r["class"] == c), reverse=True)
+        mine = sorted(((r["step"], r["count"]) for r in rows if r["class"] == c), reverse=True)
         tests, seen = sum(n for _, n in mine), 0
         for step, n in mine:
             seen += n

@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import time
+
+import pytest
 
 from rallyframe.llm import secrets as s
 
@@ -64,10 +68,41 @@ def test_base_and_added_spans(spark):
 def test_battery_tells_words_from_draws():
     rng = random.Random(1)
     alphabet = dict(s.ENCODINGS)["base62"]
-    passed = sum(s.random_looking("".join(rng.choice(alphabet) for _ in range(40)), alphabet) for _ in range(500))
-    assert passed >= 480
-    assert not s.random_looking("erberbeeinheitkeiter" * 3, s.infer("erberbeeinheitkeiter")[1])
-    assert not s.random_looking("abcdefghijklmnopqrstuvwxyz" * 2, dict(s.ENCODINGS)["base36"])
+    joint = [s.battery_p("".join(rng.choice(alphabet) for _ in range(40)), alphabet) for _ in range(500)]
+    assert sum(p >= s.ALPHA for p in joint) >= 480
+    assert 0.35 < sum(joint) / len(joint) < 0.75  # so that weights of twice the p-value are about 1 on average
+    assert s.battery_p("erberbeeinheitkeiter" * 3, s.infer("erberbeeinheitkeiter")[1]) < s.ALPHA
+    assert s.battery_p("abcdefghijklmnopqrstuvwxyz" * 2, dict(s.ENCODINGS)["base36"]) < s.ALPHA
+    assert s.simes([0.5, 0.01, 0.9]) == pytest.approx(0.03) and s.simes([1.0, 1.0, 1.0]) == 1
+
+
+def test_thresholds_equal_the_procedure_on_sorted_p_values(spark):
+    rng = random.Random(2)
+    found = []
+    for c in range(3):
+        for _ in range(300):
+            u = rng.random()
+            found.append((c, None if u < 0.3 else -rng.expovariate(1) if u < 0.8 else -rng.uniform(3, 60)))
+    rows = [([{"a": 0, "b": 1, "class": c, "log_p": x} for c, x in found[i : i + 50]],) for i in range(0, len(found), 50)]
+    df = spark.createDataFrame(rows, "found array<struct<a:bigint,b:bigint,class:int,log_p:double>>")
+    got = s.thresholds(df)
+    for c in range(3):
+        steps = [math.floor(-x / math.log(10) / s.STEP) if x is not None else 0 for k, x in found if k == c]
+        ranked = sorted((10 ** (-k * s.STEP) for k in steps))
+        most = max(i for i, p in enumerate(ranked, 1) if p <= s.Q * i / len(ranked))
+        assert 0 < most < 300 and sum(k >= got[c] for k in steps) == most
+
+
+def test_a_text_of_very_many_spans_takes_linear_time():
+    model = s.Bigrams({})
+    took = []
+    for n in (1000, 8000):
+        text = "token=abcdefgh12345678 /static/wordswordswords/wordswordswordswords " * n
+        began = time.process_time()
+        base = s.base_spans(text)
+        s.strongest([f for f in s.candidates(text, base, model) if f["log_p"] is not None])
+        took.append(time.process_time() - began)
+    assert len(base) == 8000 and took[1] < 24 * max(took[0], 0.05)
 
 
 def test_encodings():
