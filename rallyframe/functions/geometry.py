@@ -49,6 +49,25 @@ def fit_homography(corners_px: Sequence[Sequence[float]], corners_m: Sequence[Se
     return [[*map(float, h[:3])], [*map(float, h[3:6])], [*map(float, h[6:]), 1.0]]
 
 
+def homography_of_corners(tl: Column, tr: Column, br: Column, bl: Column, t: Thresholds = DEFAULT) -> Column:
+    """The homography of four corners (structs x, y) as array<array<double>>, null where they give none.
+
+    In closed form: the unit square goes to the corners by a projective map, whose inverse, scaled to the court, is
+    wanted. The last entry is 1.
+    """
+    x0, y0, x1, y1, x2, y2, x3, y3 = (p[c].cast("double") for p in (bl, br, tr, tl) for c in ("x", "y"))
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
+    area = dx1 * dy2 - dx2 * dy1
+    g, h = F.try_divide(sx * dy2 - dx2 * sy, area), F.try_divide(dx1 * sy - sx * dy1, area)
+    a, b, d, e = x1 - x0 + g * x1, x3 - x0 + h * x3, y1 - y0 + g * y1, y3 - y0 + h * y3
+    inverse = [[e - y0 * h, x0 * h - b, b * y0 - x0 * e], [y0 * g - d, a - x0 * g, x0 * d - a * y0], [d * h - e * g, b * g - a * h, a * e - b * d]]
+    scale = (t.court_width_m, t.court_length_m, 1.0)
+    entry = lambda i, j: F.try_divide(inverse[i][j] * F.lit(scale[i]), inverse[2][2])
+    matrix = F.array(*[F.array(*[entry(i, j) for j in range(3)]) for i in range(3)])
+    return F.when(F.forall(F.flatten(matrix), lambda v: v.isNotNull()), matrix)
+
+
 def estimated_corners(width: Column, height: Column) -> list[tuple[Column, Column]]:
     """TL, TR, BR, BL from the frame's size, cut to whole pixels."""
     tx, ty, bx, by = (F.floor(side * F.lit(share)) for side, share in zip((width, height, width, height), ESTIMATE, strict=True))

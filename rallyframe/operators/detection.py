@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
+from ..functions.geometry import estimated_corners, homography_of_corners, ordered_corners
 
 
 def sample_frames(videos: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -42,6 +43,22 @@ def best_candidates(frames: DataFrame, candidates: DataFrame, t: Thresholds = DE
     return frames.join(best, ["match_id", "frame_idx"], "left").select("match_id", "frame_idx", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.coalesce(F.least(F.col("b.score"), F.lit(t.candidate_cap)), F.lit(0.0)).alias("confidence"))
 
 
+def calibrations(detections: DataFrame, videos: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """match_id, homography, estimated: one row a video, from the corners detected in its sampled frames.
+
+    detections: match_id, sample, idx, x, y, estimated, four rows a sample in any order; videos: match_id, width,
+    height. Corners are ordered in each sample, their medians over reliable samples give the homography, and a match
+    without any, or whose corners lie on a line, takes the corners that its frame's size suggests.
+    """
+    points = ordered_corners(detections.where(~F.col("estimated")), ["match_id", "sample"])
+    medians = points.groupBy("match_id", "corner").agg(F.percentile("x", 0.5).alias("x"), F.percentile("y", 0.5).alias("y"))
+    at = lambda name: F.max(F.when(F.col("corner") == name, F.struct("x", "y")))
+    found = medians.groupBy("match_id").agg(homography_of_corners(*[at(c) for c in ("tl", "tr", "br", "bl")], t).alias("found"))
+    guess = homography_of_corners(*[F.struct(x.alias("x"), y.alias("y")) for x, y in estimated_corners(F.col("width"), F.col("height"))], t)
+    both = videos.select("match_id", guess.alias("guess")).join(found, "match_id", "left")
+    return both.select("match_id", F.coalesce("found", "guess").alias("homography"), F.col("found").isNull().alias("estimated"))
+
+
 def first_success(*strategies: Column) -> Column:
     """The first strategy that found something."""
     return F.coalesce(*strategies)

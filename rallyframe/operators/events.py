@@ -18,21 +18,21 @@ def all_events(*parts: DataFrame) -> DataFrame:
 def dedup_events(events: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Keep an event if it is `dedup_gap` frames or more after the last one kept of its type and match.
 
-    The scan depends on what it kept, so it is a fold over the frames of a (match, type). The fold's state is the last
-    frame kept and the flags so far.
+    An event so many frames after the one before it, kept or not, is always kept, so it begins an island of its own.
+    Inside an island the scan depends on what it kept: a fold over its few rows, whose state is what it kept so far.
     """
-    row = F.struct("frame_idx", "x", "y", "track_id", "confidence")
-    grouped = events.groupBy("match_id", "type").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(-(10**9)).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-
-    def step(state, x):
-        keep = x["frame_idx"].cast("long") - state["last"] >= t.dedup_gap
-        return F.struct(F.when(keep, x["frame_idx"].cast("long")).otherwise(state["last"]).alias("last"), F.when(keep, F.array_append(state["kept"], x["frame_idx"].cast("long"))).otherwise(state["kept"]).alias("kept"))
-
-    folded = grouped.withColumn("kept", F.aggregate("rows", start, step, lambda s: s["kept"]))
-    # Frames kept are distinct, so the first row of each such frame is the event.
-    first = F.expr("filter(rows, (r, i) -> array_contains(kept, r.frame_idx) and (i = 0 or rows[i - 1].frame_idx <> r.frame_idx))")
-    return folded.select("match_id", "type", F.explode(first).alias("r")).select("match_id", F.col("r.frame_idx").alias("frame_idx"), "type", "r.x", "r.y", "r.track_id", "r.confidence")
+    fields = ("frame_idx", "x", "y", "track_id", "confidence")
+    w = Window.partitionBy("match_id", "type").orderBy(*fields)
+    gap = F.col("frame_idx") - F.lag("frame_idx").over(w)
+    begun = events.withColumn("begins", F.when(gap >= t.dedup_gap, 1).otherwise(0))
+    islands = begun.withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct(*fields)
+    grouped = islands.groupBy("match_id", "type", "island").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.slice("rows", 1, 0)
+    new = lambda kept, x: x["frame_idx"] - F.element_at(kept, -1)["frame_idx"] >= t.dedup_gap
+    kept = F.aggregate("rows", none, lambda kept, x: F.when((F.size(kept) == 0) | new(kept, x), F.array_append(kept, x)).otherwise(kept))
+    each = grouped.select("match_id", "type", F.explode(kept).alias("r"))
+    return each.select("match_id", F.col("r.frame_idx").alias("frame_idx"), "type", "r.x", "r.y", "r.track_id", "r.confidence")
 
 
 def ordered(events: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def differences(ball: DataFrame, homography: Sequence[Column]) -> DataFrame:
         (F.lead(y).over(w) - y).alias("vy1"),
         cx.alias("cx"),
         cy.alias("cy"),
-        F.count(F.lit(1)).over(Window.partitionBy("match_id")).alias("n_visible"),
+        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_visible"),
     )
 
 
@@ -48,29 +48,40 @@ def acceleration() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def is_peak(t: Thresholds = DEFAULT) -> Column:
+    return F.coalesce(acceleration() >= t.min_acceleration, F.lit(False))
+
+
 def acceleration_peaks(steps: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    return enough_visible(steps, t).where(acceleration() >= t.min_acceleration)
+    return enough_visible(steps, t).where(is_peak(t))
 
 
 def _event(rows: DataFrame, kind: str, confidence: float) -> DataFrame:
     return rows.select("match_id", "frame_idx", F.lit(kind).alias("type"), "x", "y", F.lit(None).cast("int").alias("track_id"), F.lit(confidence).alias("confidence"))
 
 
-def bounces(steps: DataFrame, fps: float = 30.0, t: Thresholds = DEFAULT) -> DataFrame:
+def is_bounce(fps: float = 30.0, t: Thresholds = DEFAULT) -> Column:
     """Down, then up, both faster than a bound that scales with the frame rate."""
     bound = t.bounce_speed_at_30_fps * (fps / 30.0)
-    rows = enough_visible(steps, t).where((F.col("vy0") > bound) & (F.col("vy1") < -bound))
-    return _event(rows, "bounce", t.bounce_confidence)
+    return F.coalesce((F.col("vy0") > bound) & (F.col("vy1") < -bound), F.lit(False))
 
 
-def wall_hits(steps: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def bounces(steps: DataFrame, fps: float = 30.0, t: Thresholds = DEFAULT) -> DataFrame:
+    return _event(enough_visible(steps, t).where(is_bounce(fps, t)), "bounce", t.bounce_confidence)
+
+
+def is_wall_hit(t: Thresholds = DEFAULT) -> Column:
     """A reversal of speed near an edge of the court. The y signs are those of the image, as defined."""
     s, m = t.wall_speed, t.wall_margin_m
     turns = lambda v, up: (F.col(f"{v}0") < -s) & (F.col(f"{v}1") > s) if up else (F.col(f"{v}0") > s) & (F.col(f"{v}1") < -s)
     cx, cy = F.col("cx"), F.col("cy")
     x_turn = (cx < m) & turns("vx", True) | (cx > t.court_width_m - m) & turns("vx", False)
     y_turn = (cy < m) & turns("vy", True) | (cy > t.court_length_m - m) & turns("vy", False)
-    return _event(enough_visible(steps, t).where(x_turn | y_turn), "wall_hit", t.wall_confidence)
+    return F.coalesce(x_turn | y_turn, F.lit(False))
+
+
+def wall_hits(steps: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    return _event(enough_visible(steps, t).where(is_wall_hit(t)), "wall_hit", t.wall_confidence)
 
 
 def gap_runs(ball: DataFrame) -> DataFrame:

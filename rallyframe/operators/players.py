@@ -42,6 +42,22 @@ def heatmap(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return counts.withColumn("weight", share).where(F.col("weight") > t.heat_floor).select("match_id", "player_id", (F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"), "weight")
 
 
+def path_sums(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """match_id, player_id, distance_m, points: the results of `distances` and `heatmap` from one pass over the rows.
+
+    points: x, y and weight of each cell, in order; there are no more cells than the court has square metres.
+    """
+    w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "det_seq")
+    step = distance(F.col("foot_x_m"), F.col("foot_y_m"), F.lag("foot_x_m").over(w), F.lag("foot_y_m").over(w))
+    rows = tracked.select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"), step.alias("step"))
+    cells = rows.groupBy("match_id", "player_id", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("step") < t.teleport_m, F.col("step"))).alias("moved"))
+    sums = cells.groupBy("match_id", "player_id").agg(
+        F.round(F.coalesce(F.sum("moved"), F.lit(0.0)), 2).alias("distance_m"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("ix", "iy", "n"))).alias("cells")
+    )
+    weighed = F.transform("cells", lambda c: F.array(c["ix"] + 0.5, c["iy"] + 0.5, c["n"] / F.col("total")))
+    return sums.select("match_id", "player_id", "distance_m", F.filter(weighed, lambda p: p[2] > t.heat_floor).alias("points"))
+
+
 def best_crops(tracked: DataFrame, n_chunks: DataFrame) -> DataFrame:
     """match_id, player_id, frame_idx, score and box of the best detection; the middle third of chunks counts double."""
     rows = tracked.join(n_chunks, "match_id")

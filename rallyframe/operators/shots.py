@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
@@ -14,20 +14,26 @@ def _keys() -> list[str]:
     return ["match_id", "frame_idx", "track_id"]
 
 
-def ball_before(hits: DataFrame, ball: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """match_id, frame_idx, median_y: median height of the ball over the frames before a hit, null without any."""
-    near = interval_join(hits.select("match_id", "frame_idx"), ball.select("match_id", "frame_idx", "y"), t.before, -1, "left")
-    return near.groupBy("match_id", "frame_idx").agg(F.percentile("r_y", 0.5).alias("median_y"))
+def ball_around(hits: DataFrame, ball: DataFrame, fps: float = 30.0, t: Thresholds = DEFAULT) -> DataFrame:
+    """The columns of the hits, and median_y, speed_px and speed_ms, from one join with the ball.
 
+    median_y: median height of the ball over the frames before a hit, null without any. Speeds: mean steps over
+    visible rows from the hit on, 0 for fewer than two.
+    """
+    near = interval_join(hits, ball.select("match_id", "frame_idx", "x", "y", "cx", "cy"), t.before, t.after, "left")
+    gap = F.col("r_frame_idx") - F.col("frame_idx")
+    after = F.when(gap >= 0, F.struct("r_frame_idx", "r_x", "r_y", "r_cx", "r_cy"))
+    median = F.percentile(F.when(gap < 0, F.col("r_y")), 0.5)
+    each = near.groupBy(*hits.columns).agg(median.alias("median_y"), F.array_sort(F.collect_list(after)).alias("path"))
+    pairs = F.arrays_zip(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))
+
+    def mean(x: str, y: str) -> Column:
+        steps = F.transform("pairs", lambda p: distance(p["b"][x], p["b"][y], p["a"][x], p["a"][y]))
+        total = F.aggregate(F.filter(steps, lambda d: d.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda s, d: F.struct((s["s"] + d).alias("s"), (s["n"] + 1).alias("n")))
+        return F.coalesce(F.try_divide(total["s"], total["n"]), F.lit(0.0))
 
-def ball_after(hits: DataFrame, ball: DataFrame, fps: float = 30.0, t: Thresholds = DEFAULT) -> DataFrame:
-    """match_id, frame_idx, speed_px, speed_ms: mean steps over visible rows from the hit on, 0 for fewer than two."""
-    near = interval_join(hits.select("match_id", "frame_idx"), ball.select("match_id", "frame_idx", "x", "y", "cx", "cy"), 0, t.after, "left")
-    w = Window.partitionBy("match_id", "frame_idx").orderBy("r_frame_idx")
-    prior = lambda c: F.lag(c).over(w)
-    steps = near.select("match_id", "frame_idx", distance(F.col("r_x"), F.col("r_y"), prior("r_x"), prior("r_y")).alias("px"), distance(F.col("r_cx"), F.col("r_cy"), prior("r_cx"), prior("r_cy")).alias("m"))
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return steps.groupBy("match_id", "frame_idx").agg(mean("px").alias("speed_px"), (mean("m") * fps).alias("speed_ms"))
+    each = each.withColumn("pairs", pairs)
+    return each.select(*hits.columns, "median_y", mean("r_x", "r_y").alias("speed_px"), (mean("r_cx", "r_cy") * fps).alias("speed_ms"))
 
 
 def arm_features(t: Thresholds = DEFAULT) -> tuple[Column, Column]:
@@ -45,9 +51,9 @@ def shot_features(hits: DataFrame, players: DataFrame, ball: DataFrame, poses: D
 
     ball: visible rows with x, y, cx, cy. poses: match_id, frame_idx, track_id and the shoulders' and wrists' columns.
     """
-    here = players.groupBy(*_keys()).agg(F.min_by("foot_y_m", "det_seq").alias("player_y"))
-    out = hits.select(*_keys(), "x", "y").join(here, _keys(), "left")
-    out = out.join(ball_before(hits, ball, t), ["match_id", "frame_idx"], "left").join(ball_after(hits, ball, fps, t), ["match_id", "frame_idx"], "left")
+    out = ball_around(hits.select(*_keys(), "x", "y"), ball, fps, t)
+    here = out.join(players.select(*_keys(), "foot_y_m", "det_seq"), _keys(), "left")
+    out = here.groupBy(*out.columns).agg(F.min_by("foot_y_m", "det_seq").alias("player_y"))
     above = high_arm = F.lit(False)
     if poses is not None:
         out = out.join(poses.select(*_keys(), "ls_y", "rs_y", "lw_y", "rw_y", "ls_c", "rs_c", "lw_c", "rw_c"), _keys(), "left")

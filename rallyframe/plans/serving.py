@@ -37,15 +37,10 @@ def with_crop_urls(stats: DataFrame, base_url: str) -> DataFrame:
     return stats.withColumn("crop_urls", F.transform_values(F.coalesce("player_crops", F.create_map().cast("map<string,string>")), url))
 
 
-def by_player_number(column: str) -> Column:
-    """Entries of a map with numeric text keys, in numeric order."""
-    return F.transform(F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].cast("int").alias("n"), e["value"].alias("value")))), lambda e: e)
-
-
-def player_totals(per_player: DataFrame, crosstab: DataFrame) -> DataFrame:
-    """match_id, player_id, shots: all shots of a player."""
-    counts = crosstab.groupBy("match_id", "player_id").agg(F.sum("n").alias("shots"))
-    return per_player.join(counts, ["match_id", "player_id"])
+def by_player_number(column: str, type_of_value: str) -> Column:
+    """Entries of a map with numeric text keys as an array of (n, value), in numeric order."""
+    entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].cast("int").alias("n"), e["value"].cast(type_of_value).alias("value")))
+    return F.array_sort(entries, lambda a, b: a["n"] - b["n"])
 
 
 def shot_shares(crosstab: DataFrame) -> DataFrame:
@@ -60,13 +55,20 @@ def shot_pivot(crosstab: DataFrame, types: tuple[str, ...]) -> DataFrame:
     return wide.withColumn("total", sum((F.col(t) for t in types[1:]), F.col(types[0])))
 
 
-def summary_cards(distances: DataFrame, winners: DataFrame, crosstab: DataFrame, rallies: DataFrame) -> DataFrame:
-    """match_id, total_winners, mean_distance, total_shots, rallies_count, mean_rally_frames."""
-    d = distances.groupBy("match_id").agg(F.round(F.sum("distance_m") / F.greatest(F.count(F.lit(1)), F.lit(1))).cast("long").alias("mean_distance"))
-    w = winners.groupBy("match_id").agg(F.sum("winners").alias("total_winners"))
-    s = crosstab.groupBy("match_id").agg(F.sum("n").alias("total_shots"))
-    r = rallies.groupBy("match_id").agg(F.count(F.lit(1)).alias("rallies_count"), F.round(F.avg(F.col("end_frame") - F.col("start_frame")), 6).alias("mean_rally_frames"))
-    return d.join(w, "match_id").join(s, "match_id").join(r, "match_id", "left").withColumn("rallies_count", F.coalesce("rallies_count", F.lit(0)))
+def summary_cards(stats: DataFrame) -> DataFrame:
+    """match_id, total_winners, mean_distance, total_shots, rallies_count, mean_rally_frames of result documents."""
+    players = F.map_values("per_player")
+    total = lambda values, kind: F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
+    moved = total(F.transform(players, lambda p: p["distance_m"]), "double") / F.greatest(F.size(players), F.lit(1))
+    frames = total(F.transform("rallies", lambda r: r["end_frame"] - r["start_frame"]), "long")
+    return stats.select(
+        "match_id",
+        F.round(moved).cast("long").alias("mean_distance"),
+        total(F.transform(players, lambda p: p["winners"]), "long").alias("total_winners"),
+        total_shots().alias("total_shots"),
+        F.size("rallies").cast("long").alias("rallies_count"),
+        F.round(F.try_divide(frames, F.size("rallies")), 6).alias("mean_rally_frames"),
+    )
 
 
 def heat_marks(heatmap: DataFrame) -> DataFrame:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from .config import SHOT_TYPES
 from .functions import geometry
-from .operators import detection, joins, kinematics, outcomes, smoothing
+from .operators import detection, joins, kinematics, smoothing
 from .operators import events as ev
 from .operators import players as pl
 from .plans import catalog, serving
 from .plans.analysis import Analysis, analyse, stats_document
 from .sources import adapters as src
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+_RALLY = ("match_id", "rally_idx", "start_frame", "end_frame", "last_track", "last_player")
 
 
 def _ball(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,10 +33,15 @@ def _players(spark: SparkSession, sf: str) -> DataFrame:
     return src.players(_ball(spark, sf))
 
 
-def _analysis(spark: SparkSession, sf: str) -> Analysis:
+def _analysis(spark: SparkSession, sf: str, share: bool = False) -> Analysis:
+    """With `share`, the tracks are tables too, as they are outside of tests."""
     ball = _ball(spark, sf)
+    if share:
+        ball = stored(ball, "ball")
     players = src.players(ball)
-    return analyse(ball, players, src.homography(), src.poses(players))
+    if share:
+        players = stored(players, "players")
+    return analyse(ball, players, src.homography(), src.poses(players), share=share)
 
 
 def _tracked(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,14 +129,24 @@ def events_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rallies(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analysis(spark, sf)
-    return outcomes.rally_players(a.rallies, a.mapping).select("match_id", "rally_idx", "start_frame", "end_frame", "last_track", "last_player")
+    return _analysis(spark, sf).rallies.select(*_RALLY)
 
 
 def rallies_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     ball = _ball(spark, sf)
-    a = analyse(ball, src.players(ball), src.homography(), smooth=True)
-    return outcomes.rally_players(a.rallies, a.mapping).select("match_id", "rally_idx", "start_frame", "end_frame", "last_track", "last_player")
+    return analyse(ball, src.players(ball), src.homography(), smooth=True).rallies.select(*_RALLY)
+
+
+def calibration_table(spark: SparkSession, sf: str) -> DataFrame:
+    videos, corners = src.videos(src.read(spark, sf, "events")), src.corners(src.read(spark, sf, "events"))
+    entry = F.posexplode(F.flatten("homography")).alias("entry", "value")
+    return detection.calibrations(corners, videos).select("match_id", "estimated", entry).withColumn("value", F.round("value", 6))
+
+
+def calibrated_rallies(spark: SparkSession, sf: str) -> DataFrame:
+    ball = _ball(spark, sf)
+    found = detection.calibrations(src.corners(src.read(spark, sf, "events")), src.videos(src.read(spark, sf, "events")))
+    return analyse(ball, src.players(ball), stored(found, "calibrations")).rallies.select(*_RALLY)
 
 
 def player_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,23 +162,23 @@ def player_heatmap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rally_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark, sf).outcomes
+    return _analysis(spark, sf, share=True).outcomes.select("match_id", "rally_idx", "outcome")
 
 
 def winners_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark, sf).winners_errors()
+    return _analysis(spark, sf, share=True).winners_errors()
 
 
 def shot_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark, sf).features.withColumns({c: F.round(c, 6) for c in ("median_y", "speed_px", "speed_ms")})
+    return _analysis(spark, sf, share=True).features.withColumns({c: F.round(c, 6) for c in ("median_y", "speed_px", "speed_ms")})
 
 
 def shot_types(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark, sf).shots
+    return _analysis(spark, sf, share=True).shots
 
 
 def shot_crosstab(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysis(spark, sf).crosstab()
+    return _analysis(spark, sf, share=True).crosstab()
 
 
 def gap_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,26 +240,25 @@ def match_read(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stats_read_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.stats_read(stats_document(_analysis(spark, sf))).select("match_id", "total_shots", F.col("rallies_count").cast("long").alias("rallies_count"))
+    return serving.stats_read(stats_document(_analysis(spark, sf, share=True))).select("match_id", "total_shots", F.col("rallies_count").cast("long").alias("rallies_count"))
 
 
 def stats_players(spark: SparkSession, sf: str) -> DataFrame:
-    each = stats_document(_analysis(spark, sf)).select("match_id", F.explode("per_player").alias("player", "s"))
+    each = stats_document(_analysis(spark, sf, share=True)).select("match_id", F.explode("per_player").alias("player", "s"))
     shots = F.aggregate(F.map_values("s.shots"), F.lit(0).cast("long"), lambda a, n: a + n)
     return each.select("match_id", F.col("player").cast("int").alias("player_id"), "s.distance_m", "s.winners", "s.errors", shots.alias("shots"))
 
 
 def shot_share(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.shot_shares(_analysis(spark, sf).crosstab()).withColumn("share", F.round("share", 6))
+    return serving.shot_shares(stored(_analysis(spark, sf, share=True).crosstab(), "crosstab")).withColumn("share", F.round("share", 6))
 
 
 def shot_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.shot_pivot(_analysis(spark, sf).crosstab(), SHOT_TYPES)
+    return serving.shot_pivot(_analysis(spark, sf, share=True).crosstab(), SHOT_TYPES)
 
 
 def summary_cards(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analysis(spark, sf)
-    return serving.summary_cards(a.distances(), a.winners_errors(), a.crosstab(), a.rallies)
+    return serving.summary_cards(stats_document(_analysis(spark, sf, share=True)))
 
 
 def heat_marks(spark: SparkSession, sf: str) -> DataFrame:

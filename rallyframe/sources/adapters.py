@@ -63,6 +63,21 @@ def poses(tracked: DataFrame) -> DataFrame:
     )
 
 
+def videos(events: DataFrame) -> DataFrame:
+    """Five matches; the last has no detected corners."""
+    return events.selectExpr("user_id % 5 as match_id", "cast(1280 as int) as width", "cast(720 as int) as height").distinct()
+
+
+def corners(events: DataFrame) -> DataFrame:
+    """Detected corners of matches 0 to 3 in twelve samples each, off by a few pixels and in turning order."""
+    return events.where("event_id < 192").selectExpr(
+        "event_id % 4 as match_id", "event_id div 16 as sample", "(event_id div 4) % 4 as idx",
+        "cast(element_at(array(281, 999, 1204, 76), cast(((event_id div 4) + (event_id div 16)) % 4 as int) + 1) + (event_id * 7) % 9 - 4 + 6 * (event_id % 4) as double) as x",
+        "cast(element_at(array(72, 72, 669, 669), cast(((event_id div 4) + (event_id div 16)) % 4 as int) + 1) + (event_id * 5) % 7 - 3 + 3 * (event_id % 4) as double) as y",
+        "(event_id div 16) % 6 = 5 as estimated",
+    )
+
+
 def match_list(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
         "cast(o_orderkey as string) as id", "concat('Match ', cast(o_orderkey as string)) as title",

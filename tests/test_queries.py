@@ -6,14 +6,11 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
+from rallyframe import oracles
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = [
-    "ball_kinematics", "in_court_filter", "hit_events", "events_dedup", "rallies", "player_map", "player_distance", "player_heatmap", "winners_errors",
-    "shot_features", "shot_types", "gap_runs", "kalman_smooth", "pose_match", "best_crop", "heatmap_centroid", "ball_candidate_best", "match_list_topk",
-    "stats_players", "summary_cards", "job_transitions",
-]
+NAMES = sorted(oracles.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no generated tables here")
 
