@@ -95,10 +95,6 @@ def gap_runs(ball: DataFrame) -> DataFrame:
     return out.select("match_id", "first_frame", "last_frame", "n_rows", ((F.col("a") > 1) & (F.col("b") < F.col("total"))).alias("interior"))
 
 
-def strided(ball: DataFrame, stride: int) -> DataFrame:
-    return ball.where(F.col("frame_idx") % stride == 0)
-
-
 def inference_control(ball: DataFrame, stride: int) -> DataFrame:
     """match_id, frame_idx, infer: whether a three-frame buffer is full and the frame is on the stride."""
     w = Window.partitionBy("match_id").orderBy("frame_idx").rowsBetween(-2, 0)

@@ -160,8 +160,9 @@ PARTS: dict[str, str] = {
 _USES = {name: [other for other in PARTS if other != name and f" {other} " in f" {' '.join(sql.replace('(', ' ').replace(')', ' ').split())} "] for name, sql in PARTS.items()}
 
 
-def _with(query: str) -> str:
-    """The query behind the parts it needs."""
+def _with(query: str, changed: dict[str, str] | None = None, between: str = "") -> str:
+    """The query behind the parts it needs, some of them changed; `between` follows the ball's part."""
+    known = PARTS | (changed or {})
     words = f" {' '.join(query.replace('(', ' ').replace(')', ' ').split())} "
     need, queue = set(), [p for p in PARTS if f" {p} " in words]
     while queue:
@@ -169,7 +170,7 @@ def _with(query: str) -> str:
         if part not in need:
             need.add(part)
             queue += _USES[part]
-    parts = ", ".join(f"{p} as ({PARTS[p]})" for p in PARTS if p in need)
+    parts = ", ".join(f"{p} as ({known[p]})" + between * (p == "ball_raw") for p in PARTS if p in need)
     return f"with recursive {parts} {query}" if parts else query
 
 
@@ -306,6 +307,76 @@ _QUERIES: dict[str, str] = {
 }
 
 
+#: Corners of samples in turning order to homographies: ordered, medians, the projective map of the unit square inverted.
+_CAL = """
+, pts as (
+  select event_id % 4 as match_id, event_id // 16 as sample, (event_id // 4) % 4 as idx,
+         cast([281, 999, 1204, 76][((event_id // 4) + (event_id // 16)) % 4 + 1] + (event_id * 7) % 9 - 4 + 6 * (event_id % 4) as double) as x,
+         cast([72, 72, 669, 669][((event_id // 4) + (event_id // 16)) % 4 + 1] + (event_id * 5) % 7 - 3 + 3 * (event_id % 4) as double) as y
+  from events where event_id < 192 and (event_id // 16) % 6 <> 5),
+sorted_pts as (
+  select match_id, sample, arg_min({'x': x, 'y': y}, (x + y) * 100 + idx) as tl, arg_min({'x': x, 'y': y}, (y - x) * 100 + idx) as tr,
+         arg_min({'x': x, 'y': y}, -(x + y) * 100 + idx) as br, arg_min({'x': x, 'y': y}, (x - y) * 100 + idx) as bl
+  from pts group by match_id, sample),
+quads as (
+  select match_id, median(bl.x) as x0, median(bl.y) as y0, median(br.x) as x1, median(br.y) as y1, median(tr.x) as x2, median(tr.y) as y2, median(tl.x) as x3, median(tl.y) as y3, false as estimated
+  from sorted_pts group by match_id
+  union all select distinct user_id % 5, 76, 669, 1204, 669, 999, 72, 281, 72, true from events where user_id % 5 = 4),
+sides as (
+  select *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) as g,
+         ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) as h from quads),
+maps as (select *, x1 - x0 + g * x1 as a, x3 - x0 + h * x3 as b, y1 - y0 + g * y1 as d, y3 - y0 + h * y3 as e from sides),
+cal as (
+  select match_id, estimated, [(e - y0 * h) * 10 / (a * e - b * d), (x0 * h - b) * 10 / (a * e - b * d), (b * y0 - x0 * e) * 10 / (a * e - b * d),
+         (y0 * g - d) * 20 / (a * e - b * d), (a - x0 * g) * 20 / (a * e - b * d), (x0 * d - a * y0) * 20 / (a * e - b * d),
+         (d * h - e * g) / (a * e - b * d), (b * g - a * h) / (a * e - b * d), 1e0] as m from maps)"""
+_CAL_X, _CAL_Y = ("(m[{0}] * x + m[{1}] * y + m[{2}]) / (m[7] * x + m[8] * y + m[9])".format(*n) for n in ((1, 2, 3), (4, 5, 6)))
+
+
+def _calibrated() -> dict[str, str]:
+    """The parts that map to the court, by each match's homography."""
+    steps, players = PARTS["steps"], PARTS["players"]
+    plain = _court("x", "y")
+    steps = steps.replace(plain[0], _CAL_X).replace(plain[1], _CAL_Y).replace("select *,", "select q.*,").replace("as q", "as q join cal c on c.match_id = q.match_id")
+    players = players.replace(plain[0], _CAL_X).replace(plain[1], _CAL_Y).replace("select match_id, frame_idx, track_id", "select g.match_id, frame_idx, track_id", 1).replace("as g", "as g join cal c on c.match_id = g.match_id")
+    return {"steps": steps, "players": players}
+
+
+_LOG = """
+with recursive u as (
+  select user_id % 64 as match_id, event_id * 37 % 101 as progress, row_number() over (partition by user_id % 64 order by event_id) as n from events where event_id < 1000),
+k as (
+  select distinct match_id, cast(0 as bigint) as n, cast(-1 as bigint) as last, false as kept, cast(0 as bigint) as progress from u
+  union all
+  select k.match_id, u.n, case when u.progress >= k.last + 5 or u.progress >= 100 then u.progress else k.last end, u.progress >= k.last + 5 or u.progress >= 100, u.progress
+  from k join u on u.match_id = k.match_id and u.n = k.n + 1)
+select match_id, cast(progress as int) as progress from k where kept"""
+
+_PLAIN = {
+    "ball_strided": "select match_id, frame_idx from ball_raw where frame_idx % 3 = 0",
+    "foot_points": "select match_id, frame_idx, track_id, (x1 + x2) / 2 as x, y2 as y from boxed ",
+    "cascade_counts": """
+      select 'matches' as name, count(*) as n from match_list where status <> 'failed'
+      union all select 'lines', count(*) from lineitem where not exists (select 1 from match_list m where m.id = cast(l_orderkey as varchar) and m.status = 'failed')""",
+    "process_jobs": """
+      select j.id, case when j.i = 1 then 'failed' when w.match_id is null then 'failed' else 'completed' end as status, cast(case when w.match_id is null then 0 else 100 end as int) as progress,
+             case when w.match_id is null and j.i <> 1 then concat('no tracks for match ', j.id) end as error_message, w.total_shots, w.rallies_count
+      from (select cast(i as varchar) as id, i from range(6) as r(i)) j
+      left join (select c.match_id, c.total_shots, coalesce(r.n, 0) as rallies_count from (select match_id, cast(sum(n) as bigint) as total_shots from cross_tab group by match_id) c
+                 left join (select match_id, count(*) as n from ral group by match_id) r on r.match_id = c.match_id where c.match_id <> 1) w on w.match_id = j.i""",
+    "stats_saved": "select cast(c_custkey as varchar) as match_id, case when c_nationkey % 3 = 0 then c_nationkey + 100 else c_nationkey end as v, cast(case when c_nationkey % 3 = 0 then 1 end as int) as later from customer",
+    "match_with_stats": "select m.id, m.status, s.n as total_shots from match_list m left join (select l_orderkey, count(*) as n from lineitem where l_orderkey % 3 = 0 group by l_orderkey) s on s.l_orderkey = m.o_orderkey",
+    "crop_urls": """
+      select id as match_id, player, concat('http://host/api/matches/', id, '/crops/', player) as url
+      from (select id, unnest(['0', cast(1 + o_custkey % 3 as varchar)]) as player from match_list where o_orderkey % 2 = 0) q""",
+    "players_by_number": """
+      select o_orderkey as match_id, cast(row_number() over (partition by o_orderkey order by player) - 1 as int) as place, cast(player as int) as player, cast(value as bigint) as value
+      from (select o_orderkey, unnest([10, o_custkey % 9, 9]) as player, unnest([1, 2, 3]) as value from match_list) q""",
+    "stats_dump": """
+      select o_orderkey as match_id, concat('{"total":', o_custkey, ',"rallies":[', o_orderkey, ',1],"status":"', o_orderstatus, '"}') as document from orders""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in _QUERIES.items():
@@ -315,4 +386,10 @@ def oracle_sql() -> dict[str, str]:
         else:
             out[name] = _with(sql)
     out["kalman_smooth"] = f"with recursive ball_raw as ({PARTS['ball_raw']})" + _KALMAN
-    return out
+    rally = _QUERIES["rallies"]
+    smooth = _KALMAN.replace("select match_id, frame_idx, round(case when shown then x end, 4) as x_px, round(case when shown then y end, 4) as y_px, confidence from k where n > 0", ", smooth as (select match_id, frame_idx, case when shown then x end as x_px, case when shown then y end as y_px from k where n > 0)")
+    out["rallies_smoothed"] = _with(rally, {"steps": PARTS["steps"].replace("ball_raw", "smooth")}, smooth)
+    out["calibrated_rallies"] = _with(rally, _calibrated(), _CAL)
+    out["calibration_table"] = f"with {_CAL.lstrip()[2:]} select match_id, estimated, cast(unnest(range(9)) as int) as entry, round(unnest(m), 6) + 0e0 as value from cal"
+    out["progress_log"] = _LOG
+    return out | {name: _with(sql) for name, sql in _PLAIN.items()}

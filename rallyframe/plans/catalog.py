@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: What each action of a job needs and leads to.
 TRANSITIONS = (("start", "uploading", "queued"), ("begin", "queued", "processing"), ("finish", "processing", "completed"), ("fail", "processing", "failed"), ("retry", "failed", "processing"))
 STATUSES = ("uploading", "queued", "processing", "completed", "failed")
@@ -40,19 +45,61 @@ def delete(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(F.col("id").alias("__id")), F.col(key) == F.col("__id"), "left_anti")
 
 
-def error_message(text: str):
-    return F.left(F.col(text), F.lit(1000))
+def delete_cascade(ids: DataFrame, matches: DataFrame, **dependents: DataFrame) -> dict[str, DataFrame]:
+    """The rows that stay of the matches and of each dependent table, which names its match in match_id."""
+    return {"matches": delete(matches, ids)} | {name: delete(rows, ids, "match_id") for name, rows in dependents.items()}
 
 
-def save_stats(stats: DataFrame, path: str) -> None:
-    """Write each match's result in place of an earlier one, so a repeated job leaves the same table."""
-    stats.write.partitionBy("match_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def error_message(text: Column) -> Column:
+    return F.left(text, F.lit(1000))
+
+
+#: Folders of a table of results, whatever the number of matches.
+BUCKETS = 64
+
 
+def save_stats(stats: DataFrame, path: str) -> None:
+    """Write each match's result in place of an earlier one, so a repeated job leaves the same table.
 
-def load_stats(spark, path: str, schema: str | None = None) -> DataFrame:
+    Only the buckets that the new results fall into are written again.
+    """
+    new = stats.withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(BUCKETS)).cast("int"))
+    try:
+        old = load_stats(stats.sparkSession, path, bucket=True)
+    except AnalysisException:  # no results yet
+        old = None
+    if old is not None:
+        stay = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("match_id"), "match_id", "left_anti")
+        new = stored(stay.unionByName(new, allowMissingColumns=True), "stats")
+    new.write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def load_stats(spark: SparkSession, path: str, schema: str | None = None, bucket: bool = False) -> DataFrame:
     """Columns that later versions added are null in earlier files."""
     reader = spark.read.option("mergeSchema", "true")
-    return (reader.schema(schema) if schema else reader).parquet(path)
+    rows = (reader.schema(schema) if schema else reader).parquet(path)
+    return rows if bucket else rows.drop("bucket")
+
+
+def run_jobs(matches: DataFrame, analysis: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Analyse all queued matches in one go, save their results, and return the matches with their new status.
+
+    matches: id (string), status, progress, error_message. analysis: from the processing matches (id, match_id) to
+    their result documents. A match without a result has failed, and its message says so. Progress is 100 or stays.
+    """
+    begun = matches.where("status = 'queued'").selectExpr("id", "cast(id as bigint) as match_id")
+    results = stored(analysis(begun), "results")
+    save_stats(results, path)
+    done = results.select(F.col("match_id").cast("string").alias("id"), F.lit(True).alias("done"))
+    told = matches.join(done, "id", "left")
+    was_begun, is_done = F.col("status") == "queued", F.coalesce("done", F.lit(False))
+    message = error_message(F.concat(F.lit("no tracks for match "), "id"))
+    return told.select(
+        "id",
+        F.when(was_begun & is_done, "completed").when(was_begun, "failed").otherwise(F.col("status")).alias("status"),
+        F.when(was_begun & is_done, 100).otherwise(F.col("progress")).cast("int").alias("progress"),
+        F.when(was_begun & ~is_done, message).otherwise(F.when(~was_begun, F.col("error_message"))).alias("error_message"),
+    )
 
 
 def job_log(updates: DataFrame, step: int = 5) -> DataFrame:

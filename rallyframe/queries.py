@@ -15,7 +15,8 @@ from .operators import players as pl
 from .plans import catalog, serving
 from .plans.analysis import Analysis, analyse, stats_document
 from .sources import adapters as src
-from .storage import stored
+from .sources import media
+from .storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _RALLY = ("match_id", "rally_idx", "start_frame", "end_frame", "last_track", "last_player")
@@ -100,6 +101,15 @@ def sample_frames(spark: SparkSession, sf: str) -> DataFrame:
     return detection.sample_frames(videos)
 
 
+def ball_strided(spark: SparkSession, sf: str) -> DataFrame:
+    return media.strided(_ball(spark, sf), 3).select("match_id", "frame_idx")
+
+
+def foot_points(spark: SparkSession, sf: str) -> DataFrame:
+    x, y = geometry.foot_point(F.col("x1"), F.col("x2"), F.col("y2"))
+    return src.boxes(_tracked(spark, sf)).select("match_id", "frame_idx", "track_id", x.alias("x"), y.alias("y"))
+
+
 def inference_control(spark: SparkSession, sf: str) -> DataFrame:
     return kinematics.inference_control(_ball(spark, sf), 2)
 
@@ -140,7 +150,7 @@ def rallies_smoothed(spark: SparkSession, sf: str) -> DataFrame:
 def calibration_table(spark: SparkSession, sf: str) -> DataFrame:
     videos, corners = src.videos(src.read(spark, sf, "events")), src.corners(src.read(spark, sf, "events"))
     entry = F.posexplode(F.flatten("homography")).alias("entry", "value")
-    return detection.calibrations(corners, videos).select("match_id", "estimated", entry).withColumn("value", F.round("value", 6))
+    return detection.calibrations(corners, videos).select("match_id", "estimated", entry).withColumn("value", F.round("value", 6) + 0.0)  # no negative zeros
 
 
 def calibrated_rallies(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,6 +288,66 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.delete(matches, matches.where("status = 'failed'")).select("id", "status")
 
 
+def cascade_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that stay of the matches and of a dependent table when failed matches go."""
+    matches = _matches(spark, sf)
+    lines = src.read(spark, sf, "lineitem").selectExpr("cast(l_orderkey as string) as match_id")
+    kept = catalog.delete_cascade(matches.where("status = 'failed'"), matches, lines=lines)
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in kept.items()]
+    return counts[0].unionByName(counts[1])
+
+
+def process_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Queued matches, of which all but the last have tracks, through the analysis and the store of results."""
+    jobs = spark.range(6).selectExpr("cast(id as string) as id", "if(id = 1, 'failed', 'queued') as status", "0 as progress", "cast(null as string) as error_message")
+    path = f"{shared_dir(spark)}/match_stats"
+
+    def analysis(begun: DataFrame) -> DataFrame:
+        ball = stored(_ball(spark, sf).join(begun.select("match_id"), "match_id", "left_semi"), "ball")
+        players = stored(src.players(ball), "players")
+        return stats_document(analyse(ball, players, src.homography(), src.poses(players), share=True))
+
+    after = catalog.run_jobs(jobs, analysis, path)
+    read = serving.stats_read(catalog.load_stats(spark, path)).select(F.col("match_id").cast("string").alias("id"), "total_shots", F.col("rallies_count").cast("long").alias("rallies_count"))
+    return after.join(read, "id", "left")
+
+
+def progress_log(spark: SparkSession, sf: str) -> DataFrame:
+    updates = src.read(spark, sf, "events").selectExpr("user_id % 64 as match_id", "event_id as seq", "cast(event_id * 37 % 101 as int) as progress")
+    return catalog.job_log(updates.where("seq < 1000"))
+
+
+def stats_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Results saved, some of them again, and read back."""
+    path = f"{shared_dir(spark)}/saved"
+    rows = src.read(spark, sf, "customer").selectExpr("cast(c_custkey as string) as match_id", "c_nationkey as v")
+    catalog.save_stats(rows, path)
+    catalog.save_stats(rows.where("v % 3 = 0").selectExpr("match_id", "v + 100 as v", "1 as later"), path)
+    return catalog.load_stats(spark, path).select("match_id", "v", "later")
+
+
+def match_with_stats(spark: SparkSession, sf: str) -> DataFrame:
+    stats = src.read(spark, sf, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").cast("string").alias("match_id")).agg(F.count(F.lit(1)).alias("total_shots"))
+    return serving.with_stats(_matches(spark, sf), stats).select("id", "status", "total_shots")
+
+
+def crop_urls(spark: SparkSession, sf: str) -> DataFrame:
+    crops = "case when o_orderkey % 2 = 0 then map_from_arrays(array('0', cast(1 + o_custkey % 3 as string)), array('a', 'b')) end"
+    stats = src.read(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as match_id", f"{crops} as player_crops")
+    return serving.with_crop_urls(stats, "http://host/api/").select("match_id", F.explode("crop_urls").alias("player", "url"))
+
+
+def players_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    keys = "array('10', cast(o_custkey % 9 as string), '9')"
+    rows = src.read(spark, sf, "orders").where("o_custkey % 9 < 9").selectExpr("o_orderkey as match_id", f"map_from_arrays({keys}, array(1L, 2L, 3L)) as m")
+    return rows.select("match_id", F.posexplode(serving.by_player_number("m", "long")).alias("place", "e")).select("match_id", "place", F.col("e.n").alias("player"), F.col("e.value").alias("value"))
+
+
+def stats_dump(spark: SparkSession, sf: str) -> DataFrame:
+    stats = src.read(spark, sf, "orders").selectExpr("o_orderkey as match_id", "o_custkey as total", "array(o_orderkey, 1L) as rallies", "o_orderstatus as status")
+    return serving.to_document(stats)
+
+
 def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
     actions = "element_at(array('start', 'begin', 'finish', 'fail', 'retry'), cast(o_custkey % 5 as int) + 1)"
     requests = src.read(spark, sf, "orders").selectExpr("cast(case when o_orderkey % 7 = 0 then -o_orderkey else o_orderkey end as string) as id", f"{actions} as action")
@@ -291,7 +361,8 @@ def upload_check(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     ball_kinematics, pixel_to_court, estimated_corners, corner_order, in_court_filter, sample_frames, inference_control, hit_events, hit_events_pixels,
     bounce_events, wall_hit_events, events_dedup, rallies, rallies_smoothed, player_map, player_distance, player_heatmap, rally_outcomes, winners_errors,
-    shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
+    calibration_table, calibrated_rallies, ball_strided, foot_points, cascade_counts, process_jobs, progress_log, stats_saved, match_with_stats, crop_urls,
+    players_by_number, stats_dump, shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
     ball_candidate_best, median_corners, court_strategy, match_list_topk, match_read, stats_read_totals, stats_players, shot_share, shot_pivot,
     summary_cards, heat_marks, display_names, any_name, delete_cascade, job_transitions, upload_check,
 )

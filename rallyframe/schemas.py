@@ -1,16 +1,7 @@
 """Schemas of the tables; match_id leads every one."""
 
-VIDEOS = "match_id long, fps double, width int, height int, n_chunks int"
-CALIBRATIONS = "match_id long, homography array<array<double>>, corners_px array<array<double>>, frame_size array<int>, estimated boolean"
 BALL = "match_id long, frame_idx long, x_px double, y_px double, confidence double"
 PLAYERS = "match_id long, frame_idx long, track_id int, det_seq int, foot_x_px double, foot_y_px double, foot_x_m double, foot_y_m double"
 POSES = "match_id long, frame_idx long, pose_seq int, pose_foot_x_px double, pose_foot_y_px double, ls_y double, rs_y double, lw_y double, rw_y double, ls_c double, rs_c double, lw_c double, rw_c double"
 EVENTS = "match_id long, frame_idx long, type string, x double, y double, track_id int, confidence double"
 SHOTS = "match_id long, frame_idx long, track_id int, shot_type string, confidence double"
-MATCHES = "id string, title string, status string, progress int, error_message string, video_key string, duration_seconds double, player_names array<string>, created_at timestamp, updated_at timestamp"
-STATS_DOCUMENT = (
-    "match_id string, per_player map<string,struct<distance_m:double,winners:bigint,errors:bigint,shots:map<string,bigint>>>, "
-    "heatmaps map<string,array<array<double>>>, rallies array<struct<start_frame:bigint,end_frame:bigint,last_player:int>>, "
-    "court_calibration struct<homography:array<array<double>>,corners_px:array<array<double>>,frame_size:array<int>,estimated:boolean>, "
-    "player_crops map<string,string>"
-)

@@ -1,7 +1,7 @@
 """Media sources and the boundary to perception.
 
 Decoding and neural inference are plug-ins: any object with these methods, given to the functions below, which run it on
-the executors. Everything after them is tables.
+the executors. Everything after them is tables. Files are in any store that Spark's file systems reach.
 """
 
 from __future__ import annotations
@@ -17,49 +17,43 @@ from .. import schemas
 
 
 class FrameDecoder(Protocol):
-    def frames(self, path: str, content: bytes) -> Iterator[dict]:
-        """Dictionaries with match_id, frame_idx and whatever the decoder's schema adds."""
+    def frames(self, path: str) -> Iterator[dict]:
+        """Dictionaries with match_id, frame_idx and whatever the decoder's schema adds. The decoder reads the file."""
 
 
-class PlayerTracker(Protocol):
-    def track(self, frames: pd.DataFrame) -> pd.DataFrame:
-        """Rows of schemas.PLAYERS for one match, whose frames come in order."""
+class MatchSession(Protocol):
+    """What a plug-in keeps of one match: a tracker's or a background model's state."""
 
+    def step(self, frames: pd.DataFrame) -> pd.DataFrame:
+        """Rows for the next frames of the match, which come in order."""
 
-class BallDetector(Protocol):
-    def detect(self, frames: pd.DataFrame) -> pd.DataFrame:
-        """Rows of schemas.BALL for one match, whose frames come in order."""
 
+class Plugin(Protocol):
+    """A tracker, ball detector, pose estimator, court detector or crop encoder."""
 
-class PoseEstimator(Protocol):
-    def estimate(self, frames: pd.DataFrame) -> pd.DataFrame:
-        """Rows of schemas.POSES for one match."""
+    def begin(self, match_id: int) -> MatchSession:
+        """Called at a match's first frame."""
 
 
-class CourtDetector(Protocol):
-    def detect(self, frames: pd.DataFrame) -> pd.DataFrame:
-        """match_id, corner, x, y, estimated for one match."""
-
-
-class CropEncoder(Protocol):
-    def encode(self, frames: pd.DataFrame) -> pd.DataFrame:
-        """match_id, player_id, image (binary) for one match's boxes and frames."""
+#: What the kinds of plug-in return. A court detector returns the corners it finds in sampled frames.
+CORNERS = "match_id long, sample long, idx int, x double, y double, estimated boolean"
+CROPS = "match_id long, player_id int, image binary"
 
 
 def videos(spark: SparkSession, path: str) -> DataFrame:
-    """path, modificationTime, length, content: one row a file, from any file system that Spark reads."""
-    return spark.read.format("binaryFile").load(path)
+    """path, modificationTime, length: one row a file, from any file system that Spark lists; contents aren't read."""
+    return spark.read.format("binaryFile").load(path).drop("content")
 
 
 def decode(files: DataFrame, decoder: FrameDecoder, schema: str) -> DataFrame:
-    """One row a frame. A file's content is in memory once, its frames are not."""
+    """One row a frame. A decoder opens the file itself, so a file of any size is read as a stream."""
     names = [f.split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path in batch["path"]:
                 rows: list[dict] = []
-                for row in decoder.frames(path, content):
+                for row in decoder.frames(path):
                     rows.append(row)
                     if len(rows) == 64:
                         yield pd.DataFrame(rows)[names]
@@ -67,26 +61,58 @@ def decode(files: DataFrame, decoder: FrameDecoder, schema: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)[names]
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path").mapInPandas(run, schema)
+
 
+def per_match(frames: DataFrame, plugin: Plugin, schema: str) -> DataFrame:
+    """A plug-in over each match in frame order. A batch of frames is in memory at a time, and the plug-in's state."""
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, session = None, None
+        for batch in batches:
+            for match_id, rows in batch.groupby("match_id", sort=False):  # sorted rows: runs of one match
+                if session is None or match_id != now:
+                    now, session = match_id, plugin.begin(match_id)
+                found = session.step(rows)
+                if len(found):
+                    yield found[names]
 
-def per_match(frames: DataFrame, method, schema: str) -> DataFrame:
-    """A plug-in's method over each match in frame order: trackers and background models keep state across frames."""
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(parts, "match_id").sortWithinPartitions("match_id", "frame_idx").mapInPandas(run, schema)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return method(rows.sort_values("frame_idx", kind="stable"))
 
-    return frames.groupBy("match_id").applyInPandas(run, schema)
+def strided(frames: DataFrame, stride: int) -> DataFrame:
+    return frames.where(F.col("frame_idx") % stride == 0)
 
 
-def detect_players(frames: DataFrame, tracker: PlayerTracker, stride: int = 2) -> DataFrame:
-    return per_match(frames.where(F.col("frame_idx") % stride == 0), tracker.track, schemas.PLAYERS)
+def detect_players(frames: DataFrame, tracker: Plugin, stride: int = 2) -> DataFrame:
+    return per_match(strided(frames, stride), tracker, schemas.PLAYERS)
 
 
-def detect_ball(frames: DataFrame, detector: BallDetector) -> DataFrame:
-    return per_match(frames, detector.detect, schemas.BALL)
+def detect_ball(frames: DataFrame, detector: Plugin) -> DataFrame:
+    return per_match(frames, detector, schemas.BALL)
 
 
-def estimate_poses(frames: DataFrame, targets: DataFrame, estimator: PoseEstimator) -> DataFrame:
+def estimate_poses(frames: DataFrame, targets: DataFrame, estimator: Plugin) -> DataFrame:
     """Only on target frames."""
-    return per_match(frames.join(targets, ["match_id", "frame_idx"], "left_semi"), estimator.estimate, schemas.POSES)
+    return per_match(frames.join(targets, ["match_id", "frame_idx"], "left_semi"), estimator, schemas.POSES)
+
+
+def detect_courts(frames: DataFrame, samples: DataFrame, *detectors: Plugin) -> DataFrame:
+    """Corners in sampled frames by the first detector that finds any in the match, e.g. by lines, then by colour.
+
+    samples: match_id, sample, frame_idx. Matches without corners of any detector have no rows here; `calibrations`
+    then estimates.
+    """
+    seen = frames.join(samples, ["match_id", "frame_idx"])
+    found = per_match(seen, detectors[0], CORNERS)
+    for detector in detectors[1:]:
+        open_ = seen.join(found.select("match_id").distinct(), "match_id", "left_anti")
+        found = found.unionByName(per_match(open_, detector, CORNERS))
+    return found
+
+
+def encode_crops(frames: DataFrame, boxes: DataFrame, encoder: Plugin) -> DataFrame:
+    """match_id, player_id, image. boxes: match_id, player_id, frame_idx, left, top, right, bottom."""
+    return per_match(frames.join(boxes, ["match_id", "frame_idx"]), encoder, CROPS)

@@ -2,6 +2,7 @@
 
 import json
 import math
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
@@ -389,8 +390,8 @@ def test_display_names(spark):
 
 def test_decoder_plugin(spark, tmp_path):
     class Bytes:
-        def frames(self, path, content):
-            for i, value in enumerate(content):
+        def frames(self, path):
+            for i, value in enumerate(urllib.request.urlopen(path).read()):
                 yield {"match_id": 1, "frame_idx": i, "value": value}
 
     (tmp_path / "v.bin").write_bytes(bytes(range(100)))
@@ -398,6 +399,65 @@ def test_decoder_plugin(spark, tmp_path):
     assert frames.count() == 100 and frames.where("frame_idx <> value").count() == 0
 
 
+class Counting:
+    """A plug-in whose rows tell how many frames of the match it has seen."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def begin(self, match_id):
+        make, seen = self.make, [0]
+
+        class Session:
+            def step(self, frames):
+                import pandas as pd
+
+                assert frames["frame_idx"].is_monotonic_increasing and frames["match_id"].nunique() == 1
+                out = []
+                for frame in frames.itertuples():
+                    seen[0] += 1
+                    out += make(frame, seen[0])
+                return pd.DataFrame(out)
+
+        return Session()
+
+
+def test_plugins_keep_their_state_over_batches(spark):
+    frames = spark.range(300).selectExpr("id % 3 as match_id", "id div 3 as frame_idx")
+    ball = Counting(lambda f, n: [{"match_id": f.match_id, "frame_idx": f.frame_idx, "x_px": float(n), "y_px": 0.0, "confidence": 1.0}])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = media.detect_ball(frames, ball).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.match_id, r.frame_idx, r.x_px) for r in got) == [(m, f, f + 1.0) for m in range(3) for f in range(100)]
+
+
+def test_court_detectors_in_turn_and_crops(spark):
+    frames = spark.range(40).selectExpr("id % 4 as match_id", "id div 4 as frame_idx")
+    samples = detection.sample_frames(spark.createDataFrame([(m, 1.0, 10) for m in range(4)], "match_id long, fps double, n_frames long")).where("sample % 10 = 0")
+    where = ((281.0, 72.0), (999.0, 72.0), (1204.0, 669.0), (76.0, 669.0))
+    corners = lambda f, shift: [{"match_id": f.match_id, "sample": f.sample, "idx": i, "x": x + shift, "y": y, "estimated": False} for i, (x, y) in enumerate(where)]
+    by_lines = Counting(lambda f, n: corners(f, 0.0) if f.match_id == 0 else [])
+    by_colour = Counting(lambda f, n: corners(f, 10.0) if f.match_id < 2 else [])
+    found = media.detect_courts(frames, samples, by_lines, by_colour)
+    videos = spark.createDataFrame([(m, 1280, 720) for m in range(3)], "match_id long, width int, height int")
+    got = {r.match_id: r for r in detection.calibrations(found, videos).collect()}
+    assert [got[m].estimated for m in range(3)] == [False, False, True]
+    for have, want in zip(sum(got[0].homography, []), sum(g.fit_homography(where), []), strict=True):
+        assert have == pytest.approx(want, abs=1e-9)
+    assert got[2].homography == got[0].homography != got[1].homography
+    boxes = spark.createDataFrame([(0, 1, 4, 0, 0, 5, 5)], "match_id long, player_id int, frame_idx long, left int, top int, right int, bottom int")
+    crops = media.encode_crops(frames, boxes, Counting(lambda f, n: [{"match_id": f.match_id, "player_id": f.player_id, "image": bytes([f.right])}])).collect()
+    assert [(r.match_id, r.player_id, bytes(r.image)) for r in crops] == [(0, 1, b"\x05")]
+
+
+def test_corners_on_a_line_give_no_homography(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1)], "x double")
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    assert df.select(g.homography_of_corners(at(0.0, 0.0), at(1.0, 0.0), at(2.0, 0.0), at(3.0, 0.0)).alias("h")).first()["h"] is None
+
+
 def test_streaming_rallies(spark, tmp_path):
     from rallyframe.streaming.rallies import stream_rallies
 
@@ -406,5 +466,5 @@ def test_streaming_rallies(spark, tmp_path):
     stream = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     query = stream_rallies(stream).writeStream.format("memory").queryName("rally_stream").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = rows(spark.table("rally_stream"), "start_frame", "end_frame", "n_events")
-    assert got == [(0, 60, 2), (121, 125, 2)]
+    got = rows(spark.table("rally_stream"), "start_frame", "end_frame", "n_events", "last_track")
+    assert got == [(0, 60, 2, 1), (121, 125, 2, 1)]
