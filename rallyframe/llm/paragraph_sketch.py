@@ -229,8 +229,9 @@ def likeness(count: np.ndarray, total: np.ndarray) -> np.ndarray:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, part, edge: rows dealt to ranges; edge rows are the next range's first and end a range's stream."""
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, "doc_id", ranges)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("part", range_of("doc_id", bounds))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    bounds = range_bounds(rows.select("doc_id", "tie"), "doc_id", "tie", ranges)
+    rows = rows.withColumn("part", range_of("doc_id", "tie", bounds))
     # One row a range: the number of ranges bounds this window and the broadcast.
     firsts = rows.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
     over = Window.orderBy("part")

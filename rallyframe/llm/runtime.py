@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,6 +11,10 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import clear, remove, shared_dir, stored
+
+__all__ = ["clear", "cut", "env_cpu_single", "free_name", "map_batches", "remove", "shared_dir", "ship", "stored", "table"]
+
 #: Application ids whose executors already have the package.
 _shipped: set[str] = set()
 
@@ -34,41 +37,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder of this application under spark.checkpoint.dir.
-
-    Where the session has none, a local master gets a temporary one; any other is told to set it, as its executors have
-    no folder in common.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder, if it is there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all that this application has put into the shared folder; results not yet written are lost."""
-    remove(spark, shared_dir(spark).rpartition("/")[0])
-
-
-def stored(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and no executor's loss loses it."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/{name}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or that with as many underscores behind as make it new to the table."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ starts included, is the one of the manifest, which has no range without recipes.
 verified by document alone.
 
 Cases: null text encodes like the empty one; the empty text has the end id alone; repeated rows each get a recipe, in
-the order of (doc_id, root); nulls in doc_id come first; an empty table gives an empty store; other columns are
+the order of (doc_id, hash of the text); nulls in doc_id come first; an empty table gives an empty store; other columns are
 ignored.
 """
 
@@ -375,7 +375,7 @@ def _binaries(raw: bytes, ends: np.ndarray) -> pa.Array:
 
 
 def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens, root, chunks (array of digest, n_ids, ids)."""
+    """doc_id, tie, n_tokens, root, chunks (array of digest, n_ids, ids). docs: doc_id, text, tie."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -387,26 +387,27 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> D
         roots = [merkle_root(names[a:b]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
         chunks = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(np.diff(ends, prepend=0).astype(np.int32)), _binaries(raw, ends * item)], names=["digest", "n_ids", "ids"])
         lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), chunks)
-        yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "n_tokens", "root", "chunks"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "tie", "n_tokens", "root", "chunks"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=2048)
+    return map_batches(docs.select("doc_id", "text", "tie"), run, "doc_id long, tie long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=2048)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0) -> None:
     """Write chunks, recipes and manifest below `path`. The encoded stream is held there only while it is sorted out."""
     spark = docs.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(docs, "doc_id", ranges)
-    encode_chunks(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(f"{path}/encoded")
+    # Equal texts have equal roots, so the text's hash parts rows of one doc_id as well as the root does.
+    bounds = range_bounds(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")), "doc_id", "tie", ranges)
+    encode_chunks(docs.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))), tokenizer_path, end_id).write.option("compression", "zstd").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     each = encoded.select(F.explode("chunks").alias("c")).select("c.*")
     each.groupBy("digest").agg(F.first("n_ids").alias("n_ids"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    recipes = encoded.select("doc_id", "n_tokens", "root", F.col("chunks.digest").alias("chunks")).withColumn("range", range_of("doc_id", bounds))
+    recipes = encoded.select("doc_id", "tie", "n_tokens", "root", F.col("chunks.digest").alias("chunks")).withColumn("range", range_of("doc_id", "tie", bounds))
     sums = recipes.groupBy("range").agg(F.sum("n_tokens").alias("total"))
     # One row a range, so this window is as small as the number of ranges.
     before = sums.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy("doc_id", "tie", "root").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), "range")
     placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "chunks", "range").write.partitionBy("range").parquet(f"{path}/recipes")
     manifest(spark.read.schema(RECIPES).parquet(f"{path}/recipes")).drop("first", "in_order").write.parquet(f"{path}/manifest")

@@ -1,9 +1,12 @@
 import zlib
 from collections import defaultdict
 
+import pytest
+import xxhash
+
 from rallyframe.llm import sharding
 
-from .helpers import ODD, documents
+from .helpers import ODD, documents, save
 
 
 def test_places_are_gapless_and_sizes_near_equal(spark):
@@ -27,11 +30,59 @@ def test_places_are_gapless_and_sizes_near_equal(spark):
 
 def test_map_versions(spark):
     records = sharding.slot_records(documents(spark, [(i, "y" * i) for i in range(500)]), 64)
-    path = sharding.plan_map(records, 5, 64)
+    path, version = sharding.plan_map(records, 5, 64)
+    assert version == 1
     maps = {v: {r.slot: r.shard for r in spark.read.parquet(f"{path}/version={v}").collect()} for v in (0, 1)}
     assert maps[0] == dict(enumerate(sharding.first_map(64, 5))) and maps[0] != maps[1] and len(maps[1]) == 64
 
 
+def test_a_stored_map_is_edited_by_later_runs(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = documents(spark, [(i, "z" * (i % 50)) for i in range(4000)])
+    first = {r.doc_id: r for r in sharding.shard_documents(docs, 6, 128, path).collect()}
+    more = docs.unionByName(documents(spark, [(9000 + i, "q" * 30) for i in range(500)]))
+    second = sharding.shard_documents(more, 7, 128, path).collect()
+    assert {r.map_version for r in first.values()} == {1} and {r.map_version for r in second} == {2}
+    moved = {r.virtual_slot for r in second if r.doc_id in first and first[r.doc_id].shard != r.shard}
+    assert 0 < len(moved) < 60  # some go to the new shard and to even out the new rows, most stay
+    assert sorted(r.shard for r in spark.read.parquet(f"{path}/version=2").select("shard").distinct().collect()) == list(range(7))
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 3, 128, path)
+
+
+def brute(rows, shards, slots):
+    """Hash, sums, rebalancing and places in plain Python."""
+    facts = []
+    for doc_id, text in rows:
+        raw = (text or "").encode()
+        h = 42
+        for v in (doc_id, zlib.crc32(raw), len(raw) + 16):
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        slot = (h - (1 << 64) if h >> 63 else h) % slots
+        facts.append((slot, doc_id is not None, doc_id or 0, zlib.crc32(raw), len(raw) + 16))
+    sizes = [sum(f[4] for f in facts if f[0] == s) for s in range(slots)]
+    of = sharding.rebalance(sharding.first_map(slots, shards), sizes, shards)
+    seen, out = [0] * shards, []
+    for slot, known, doc_id, crc, size in sorted(facts):
+        out.append((doc_id if known else None, size, crc, of[slot], seen[of[slot]], slot))
+        seen[of[slot]] += 1
+    return sorted(out, key=str)
+
+
+def test_equals_brute_force(spark, tmp_path):
+    rows = [*ODD, *[(None, "w" * (i % 70)) for i in range(800)], *[(50, "v%d" % i) for i in range(800)], *[(100 + i, "equal text") for i in range(800)]]
+    save(documents(spark, rows), tmp_path)
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.virtual_slot) for r in got), key=str) == brute(rows, 40, sharding.SLOTS)
+    loads = defaultdict(int)
+    for r in got:
+        loads[r.shard] += r.size
+    big = max(len((t or "").encode()) + 16 for _, t in rows)
+    rest = sorted(loads.values())[:-2]
+    assert max(rest) - min(rest) < 0.3 * max(rest) or big > max(rest)
+
+
 def test_rebalancing_moves_only_what_it_must():
     assert sharding.rebalance([0, 1, 0, 1], [10, 10, 10, 10], 2) == [0, 1, 0, 1]
     edited = sharding.rebalance([0] * 8, [8, 7, 6, 5, 4, 3, 2, 1], 3)

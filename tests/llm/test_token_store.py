@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rallyframe.llm import token_store
+from rallyframe.llm.ordering import range_bounds, range_of
 
 from .helpers import ODD, documents
 
@@ -116,6 +118,18 @@ def test_recipes_unlike_the_manifest_are_noticed(spark, store, tmp_path, change)
         assert not any(r.verified for r in got if ranges[r.start] == first)
 
 
+def test_a_key_of_very_many_rows_is_cut_by_the_tie(spark):
+    rows = [(None, i * 7919 % 3001) for i in range(3000)] + [(5, i * 104729 % 3001) for i in range(3000)] + [(i, 0) for i in range(6, 3000)]
+    df = spark.createDataFrame(rows, "k long, tie long")
+    bounds = range_bounds(df, "k", "tie", 30)
+    got = df.select("k", "tie", range_of("k", "tie", bounds).alias("r")).collect()
+    ordered = sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.tie))
+    assert [r.r for r in ordered] == sorted(r.r for r in got)
+    sizes = Counter(r.r for r in got)
+    assert max(sizes.values()) < 1000 and len(sizes) > 20
+    assert range_bounds(df.limit(0), "k", "tie", 30) == []
+
+
 def test_shifted_passages_share_chunks():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50000, 20000).astype(np.uint16)
