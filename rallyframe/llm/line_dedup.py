@@ -8,7 +8,9 @@ lands on some place too, but its fingerprint differs.
 
 Up to INDEX_BYTES, a size that is known before, the arrays are broadcast and a document is filtered where it is read.
 A larger index stays distributed: probes are dealt by shard and salt, each shard's arrays precede its probes in the
-sorted partition, and the hits go back to their documents.
+sorted partition, and the hits go back to their documents. A shard has as many salts as the documents that hold its
+lines ask for, so a line of very many documents is probed in many tasks. Keys of a shard that agree in 64 bits of their
+hashes, if any, are kept beside the perfect hash and told apart by all 128.
 
 Rule: a key is the line without the ASCII white space `[ \\t\\n\\x0b\\f\\r]` at both ends, A-Z lower-cased. Keys of at least
 `min_chars` code points in at least `min_docs` documents lose all their lines, except in the document with the largest
@@ -41,7 +43,8 @@ INDEX_BYTES = 32 << 20
 #: Bytes of the index per key, at most: the arrays and the cascade's bits.
 KEY_BYTES = 24
 BLANK = b" \t\n\x0b\x0c\r"
-SALTS = 8
+#: Documents that hold lines of a shard, counted for each line, for each of its salts.
+PROBES = 2_000_000
 
 
 def line_keys(text: str | None, min_chars: int = MIN_CHARS) -> list[bytes | None]:
@@ -117,29 +120,35 @@ class PerfectHash:
 class Shard:
     """A perfect hash with its arrays, to and from bytes."""
 
-    def __init__(self, ph: PerfectHash, prints: np.ndarray, counts: np.ndarray, largest: np.ndarray) -> None:
-        self.ph, self.prints, self.counts, self.largest = ph, prints, counts, largest
+    def __init__(self, ph: PerfectHash, prints: np.ndarray, counts: np.ndarray, largest: np.ndarray, beside: tuple[np.ndarray, ...]) -> None:
+        """beside: hashes, fingerprints, counts and largest ids of keys whose hashes agree."""
+        self.ph, self.prints, self.counts, self.largest, self.beside = ph, prints, counts, largest, beside
 
     @classmethod
     def build(cls, h: np.ndarray, prints: np.ndarray, counts: np.ndarray, largest: np.ndarray) -> Shard:
-        first = np.unique(h, return_index=True)[1]
-        if len(first) < len(h):
-            raise ValueError("two line keys share 64 bits of their hash within the index; build it with another hash")
-        ph = PerfectHash.build(h)
-        place = np.argsort(ph.rank(h))
-        return cls(ph, prints[place], counts[place].astype(np.int32), largest[place])
+        counts = counts.astype(np.int32)
+        _, where, times = np.unique(h, return_inverse=True, return_counts=True)
+        alone = times[where] == 1
+        ph = PerfectHash.build(h[alone])
+        place = np.flatnonzero(alone)[np.argsort(ph.rank(h[alone]))]
+        return cls(ph, prints[place], counts[place], largest[place], tuple(x[~alone] for x in (h, prints, counts, largest)))
 
     def probe(self, h: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each hash is in the index, its document count and its largest doc_id."""
         rank = self.ph.rank(h)
         found = rank >= 0
         found[found] = self.prints[rank[found]] == prints[found]
-        rank = np.where(found, rank, 0)
-        return found, self.counts[rank], self.largest[rank]
+        counts, largest = np.zeros(len(h), dtype=np.int32), np.zeros(len(h), dtype=np.int64)
+        counts[found], largest[found] = self.counts[rank[found]], self.largest[rank[found]]
+        for one, print_, count, most in zip(*(x.tolist() for x in self.beside), strict=True):
+            same = (h == np.uint64(one)) & (prints == print_)
+            found |= same
+            counts[same], largest[same] = count, most
+        return found, counts, largest
 
     def to_bytes(self) -> bytes:
         parts = [np.packbits(b, bitorder="little").tobytes() for b in self.ph.levels]
-        parts += [x.tobytes() for x in (self.ph.rest, self.prints, self.counts, self.largest)]
+        parts += [x.tobytes() for x in (self.ph.rest, self.prints, self.counts, self.largest, *self.beside)]
         return struct.pack("<I", len(self.ph.levels)) + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
 
     @classmethod
@@ -150,8 +159,9 @@ class Shard:
             parts.append(raw[at + 8 : at + 8 + size])
             at += 8 + size
         levels = [np.unpackbits(np.frombuffer(p, dtype=np.uint8), bitorder="little").astype(bool) for p in parts[:n]]
-        rest, prints, counts, largest = (np.frombuffer(p, dtype=k) for p, k in zip(parts[n:], (np.uint64, np.int64, np.int32, np.int64), strict=True))
-        return cls(PerfectHash(levels, rest), prints, counts, largest)
+        kinds = (np.uint64, np.int64, np.int32, np.int64)
+        rest, prints, counts, largest, *beside = (np.frombuffer(p, dtype=k) for p, k in zip(parts[n:], (*kinds, *kinds), strict=True))
+        return cls(PerfectHash(levels, rest), prints, counts, largest, tuple(beside))
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -181,7 +191,7 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def build_index(frequent: DataFrame, shards: int) -> DataFrame:
-    """shard, body: one row a shard that has keys."""
+    """shard, body, salts: one row a shard that has keys."""
     ship(frequent.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +202,11 @@ def build_index(frequent: DataFrame, shards: int) -> DataFrame:
     def build(t: pa.Table) -> pa.Table:
         h, prints, counts, largest = (t[c].to_numpy() for c in ("h", "print", "n_docs", "largest"))
         body = Shard.build(h.view(np.uint64), prints, counts, largest).to_bytes()
-        return pa.table({"shard": t["shard"][:1], "body": pa.array([body], pa.binary())})
+        salts = 1 + int(counts.sum()) // PROBES
+        return pa.table({"shard": t["shard"][:1], "body": pa.array([body], pa.binary()), "salts": pa.array([salts], pa.int64())})
 
     dealt = frequent.mapInArrow(deal, "h long, print long, n_docs long, largest long, shard long")
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, body binary")
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, body binary, salts long")
 
 
 class Index:
@@ -294,6 +305,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 def routed_hits(docs: DataFrame, bodies: DataFrame, shards: int, min_chars: int) -> DataFrame:
     """__doc, __hash (of the text), __lines: what to drop, found where the shards' arrays are."""
+    salts = np.ones(shards, dtype=np.uint64)  # a number for each of SHARD_KEYS lines of the index
+    for r in bodies.where("salts > 1").select("shard", "salts").toLocalIterator():
+        salts[r["shard"]] = r["salts"]
 
     def probes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -304,12 +318,12 @@ def routed_hits(docs: DataFrame, bodies: DataFrame, shards: int, min_chars: int)
         if out:
             cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             shard = shard_of(cols[3].to_numpy().view(np.uint64), shards)
-            salt = (_mix(cols[1].to_numpy(zero_copy_only=False).view(np.uint64), 7) % np.uint64(SALTS)).astype(np.int64)
+            salt = (_mix(cols[1].to_numpy(zero_copy_only=False).view(np.uint64), 7) % salts[shard]).astype(np.int64)
             yield pa.record_batch([*cols, pa.array(shard), pa.array(salt), pa.nulls(len(out), pa.binary())], names=["__doc", "__hash", "line", "h", "print", "shard", "salt", "body"])
 
     kind = "__doc long, __hash long, line long, h long, print long, shard long, salt long, body binary"
     asked = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("t")).distinct(), probes, kind)
-    given = bodies.selectExpr("cast(null as long) __doc", "cast(null as long) __hash", "-1L line", "0L h", "0L print", "shard", f"explode(sequence(0L, {SALTS - 1}L)) salt", "body")
+    given = bodies.selectExpr("cast(null as long) __doc", "cast(null as long) __hash", "-1L line", "0L h", "0L print", "shard", "explode(sequence(0L, salts - 1L)) salt", "body")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.unionByName(given).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "line")
 

@@ -3,20 +3,23 @@
 The lexicon is learned: beginnings of words (a closing mark makes one a whole word) that labelled toxic documents hold
 far more often than the others. It becomes a trie; a token is read by the intersection of the trie with the
 Levenshtein automata of all its terms, made deterministic state by state as tokens need it, so that a misspelled term
-is found within the edits its length allows and most tokens die after a few letters. Around a hit, a window of words
-tells quotation (quotation marks, reporting words) from abuse (address, shouting); both go into a logistic regression.
+is found within the edits its length allows and most tokens die after a few letters. Quotation (a pair of quotation
+marks around a hit in its line, reporting words in a window around it) is told from abuse (address, shouting); both go
+into a logistic regression.
 
 Documented bound: the lexicon and the regression are fitted on about TRAIN_ROWS labelled documents, chosen by a hash
-of doc_id; scoring reads every document whole. Only rows that `training_rows` lets through are ever learned from;
+of doc_id, whole texts of them; scoring reads every document whole. A lexicon has as many terms as these documents
+prove; words of more than LONGEST letters are told by so many of their first. Only rows that `training_rows` lets through are ever learned from;
 labels, lang, source and doc_id are no inputs of a score.
 
 Cases: null text scores like the empty one, which has no hits; without labelled rows of both kinds the score is the
-share of toxic labels (0 without any); a document with several label rows is toxic if one says so; repeated rows each
-give a row; a null doc_id is not held out; other columns pass through `score_documents`.
+share of toxic labels (0 without any); a document with several label rows is toxic if one says so, and one with several
+rows is learned from once, by the text that sorts first; repeated rows each give a row; a null doc_id is not held out; other columns pass through `score_documents`.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -27,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, table
+from .runtime import map_batches, stored, table
 
 TRAIN_ROWS = 20_000
-#: Most terms of a lexicon, least and most letters of a beginning.
-TERMS, SHORTEST, LONGEST = 2000, 4, 14
+#: Least and most letters of a beginning.
+SHORTEST, LONGEST = 4, 14
 #: Chance that a term is kept by accident, of the hundred thousands looked at.
 LOG_CHANCE = math.log(1e-7)
 #: Tokens a worker remembers as clean.
 CLEAN_TOKENS = 600_000
+#: States of the automata that a worker keeps before it starts anew.
+STATES = 200_000
 #: Words before and after a hit.
 CONTEXT = 6
 THRESHOLD = 0.7
@@ -44,7 +49,8 @@ WORD = re.compile(r"\w+")
 #: Words of reporting, and of address.
 REPORTING = frozenset("said says wrote writes quoted quote called stated reported according sagte schrieb zitierte laut dit écrit cité selon dijo escribió citó según".split())
 ADDRESS = frozenset("you your yours ur u du dich dir dein tu te toi vous ton tú ti usted ustedes".split())
-QUOTES = "\"“”„«»‘’"
+#: Pairs of quotation marks within a line.
+QUOTED = re.compile(r'"[^"\n]*"|[“„][^“”„\n]*[”“]|«[^«»\n]*»|»[^«»\n]*«|‘[^‘’\n]*’')
 
 
 def edits_for(term: str) -> int:
@@ -72,11 +78,14 @@ class FuzzyTrie:
                 node = self.children[node][c]
                 self.budget[node] = max(self.budget[node], edits)
             self.ends[node] = term
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.accepts: list[tuple[int, str] | None] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state({0: 0}) if terms else -1
+        self.start = self._state({0: 0}) if self.allowed else -1
 
     def _state(self, least: dict[int, int]) -> int:
         """Close under letters that the token lacks, and number the state; -1 is the dead one."""
@@ -114,13 +123,13 @@ class FuzzyTrie:
                     put(child, e)
                 elif END not in (letter, c):
                     put(child, e + 1)
-        to = self._state(least)
-        if len(self.moves) < 200_000:
-            self.moves[state][c] = to
+        to = self.moves[state][c] = self._state(least)
         return to
 
     def match(self, token: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term that the token is or begins with."""
+        if len(self.members) > STATES:
+            self._begin()
         state, best = self.start, None
         for c in token + END:
             if state < 0:
@@ -139,14 +148,13 @@ class Model:
         self.terms, self.weights, self.base = terms, weights, base
 
 
-def quotation(text: str, low: str, a: int, b: int) -> float:
-    """0 for abuse to 1 for quotation, from the window around [a, b)."""
+def quotation(text: str, low: str, a: int, b: int, quoted: bool) -> float:
+    """0 for abuse to 1 for quotation, from the window around [a, b) and whether it lies between quotation marks."""
     before = low[max(0, a - 80) : a]
     after = low[b : b + 80]
     near, far = WORD.findall(before)[-CONTEXT:], WORD.findall(after)[:CONTEXT]
     score = 0.0
-    opened = any(q in before[-12:] for q in QUOTES)
-    if opened and any(q in after[:12] for q in QUOTES):
+    if quoted:
         score += 0.6
     if REPORTING & {*near, *far}:
         score += 0.4
@@ -167,8 +175,8 @@ class Scanner:
     def _dirty(self, raw: str) -> bool:
         return any(self.trie.match(t) for t in WORD.findall(raw.lower()))
 
-    def hits(self, text: str) -> list[tuple[str, int, float]]:
-        """(term, edits, quotation) of every hit."""
+    def hits(self, text: str) -> list[tuple[str, int, int, float]]:
+        """(term, edits, number of hits, sum of their quotation): a row for each term and number of edits."""
         new = set(text.split()) - self.clean
         dirty = [t for t in new if self._dirty(t)]
         if len(self.clean) > CLEAN_TOKENS:
@@ -177,26 +185,32 @@ class Scanner:
         if not dirty:
             return []
         self.clean.difference_update(dirty)
-        out, low = [], text.lower()
+        low = text.lower()
         if len(low) != len(text):  # letters whose lower case is longer
             text = low
+        pairs = [m.span() for m in QUOTED.finditer(low)]
+        begins = [a for a, _ in pairs]
+        out: dict[tuple[str, int], tuple[int, float]] = {}
         for m in WORD.finditer(low):
             if found := self.trie.match(m.group()):
-                out.append((found[1], found[0], quotation(text, low, m.start(), m.end())))
-        return out
+                at = bisect.bisect_right(begins, m.start()) - 1
+                quote = quotation(text, low, m.start(), m.end(), at >= 0 and m.end() <= pairs[at][1])
+                n, total = out.get(found[::-1], (0, 0.0))
+                out[found[::-1]] = n + 1, total + quote
+        return [(*key, *sums) for key, sums in out.items()]
 
 
-def features(hits: list[tuple[str, int, float]], words: int, terms: dict[str, tuple[float, int]]) -> list[float]:
+def features(hits: list[tuple[str, int, int, float]], words: int, terms: dict[str, tuple[float, int]]) -> list[float]:
     exact = fuzzy = quoted = 0.0
-    for term, edits, quote in hits:
+    for term, edits, n, quote in hits:
         weight, allowed = terms.get(term, (0.0, 0))
         if edits > allowed:
             continue
         quoted += weight * quote
         if edits:
-            fuzzy += weight * (1 - quote)
+            fuzzy += weight * (n - quote)
         else:
-            exact += weight * (1 - quote)
+            exact += weight * (n - quote)
     abuse = exact + 0.5 * fuzzy
     return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), float(abuse >= 0.5), math.log1p(100 * abuse / (words + 20))]
 
@@ -206,13 +220,16 @@ def training_rows(doc_id: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, toxic of about `rows` labelled documents at most."""
+    """text, toxic of about `rows` labelled documents at most, in the shared folder."""
     known = labels.where(training_rows() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, rows / n) if n else 0
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
     # About `rows` rows of two numbers, by construction.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(once.select("text", "toxic").repartition(parts), "labelled_sample")
 
 
 def _beginnings(sample: DataFrame) -> DataFrame:
@@ -233,30 +250,34 @@ def _beginnings(sample: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _log_tail(n: int, expected: float) -> float:
+def _log_tail(n: Column, expected: Column) -> Column:
     """About the log of the chance of n toxic documents with a term that is no likelier in them than in the others."""
-    return n * math.log(expected) - math.lgamma(n + 1) - expected if n > expected else 0.0
+    log_factorial = n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n)
+    return F.when(n > expected, n * F.log(expected) - log_factorial - expected).otherwise(0.0)
 
 
 def _lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Terms and weights; at most a few thousand candidates come to the driver."""
+    """Terms and weights. Those that the sample proves come to the driver, so its bound is theirs too."""
     least = max(3, toxic // 200)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = _beginnings(sample).where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2").orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "term").limit(5 * TERMS).collect()
-    found = {r["term"]: (r["toxic"], r["odds"]) for r in rows if _log_tail(r["toxic"], (r["clean"] + 0.5) / (clean + 1) * toxic) < LOG_CHANCE}
+    proven = _log_tail(F.col("toxic").cast("double"), (F.col("clean") + 0.5) / (clean + 1) * toxic) < LOG_CHANCE
+    rows = _beginnings(sample).where(F.col("toxic") >= least).withColumn("odds", odds).where((F.col("odds") > 2) & proven).collect()
+    found = {r["term"]: (r["toxic"], r["odds"]) for r in rows}
+    longer: dict[str, list[str]] = {}
+    for term in sorted(found):
+        longer.setdefault(term[:-1], []).append(term)
     top = max((odds for _, odds in found.values()), default=1.0)
     chosen: dict[str, float] = {}
     for term, (n, _) in sorted(found.items(), key=lambda x: (len(x[0]), x[0])):
         longest = term
         while True:  # the longest beginning that loses next to nothing, so that edits are told apart best
-            after = [t for t in found if len(t) == len(longest) + 1 and t.startswith(longest) and found[t][0] >= 0.95 * n]
+            after = [t for t in longer.get(longest, ()) if found[t][0] >= 0.95 * n]
             if not after:
                 break
             longest = max(after, key=lambda t: found[t][0])
-        if not any(term.startswith(t) for t in chosen) and longest not in chosen:
+        if not any(term[:k] in chosen for k in range(1, len(term) + 1)):
             chosen[longest] = (found[longest][1] / top) ** 2
-    best = sorted(chosen, key=lambda t: -found[t][0])[:TERMS]
-    return {t: chosen[t] for t in best}
+    return {t: chosen[t] for t in sorted(chosen, key=lambda t: (-found[t][0], t))}
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -273,7 +294,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _hits_of(sample: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """toxic, words, and terms, edits and quotation of the hits, for each row."""
+    """toxic, words, and terms, edits, numbers and quotation of the hits, for each row: no more than the lexicon has."""
 
     cache: list[Scanner] = []
 
@@ -282,10 +303,10 @@ def _hits_of(sample: DataFrame, terms: dict[str, int]) -> DataFrame:
             cache.append(Scanner(terms))
         texts = [t or "" for t in batch.column(0).to_pylist()]
         hits = [cache[0].hits(t) for t in texts]
-        cols = [pa.array([[h[i] for h in own] for own in hits], pa.list_(k)) for i, k in enumerate((pa.string(), pa.int64(), pa.float64()))]
-        yield pa.record_batch([batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64()), *cols], names=["toxic", "words", "terms", "edits", "quotes"])
+        cols = [pa.array([[h[i] for h in own] for own in hits], pa.list_(k)) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))]
+        yield pa.record_batch([batch.column(1), pa.array([len(t.split()) for t in texts], pa.int64()), *cols], names=["toxic", "words", "terms", "edits", "counts", "quotes"])
 
-    return map_batches(sample.selectExpr("text", "if(toxic > 0, 1, 0) as toxic"), run, "toxic int, words long, terms array<string>, edits array<long>, quotes array<double>")
+    return map_batches(sample.selectExpr("text", "if(toxic > 0, 1, 0) as toxic"), run, "toxic int, words long, terms array<string>, edits array<long>, counts array<long>, quotes array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -296,10 +317,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model({}, [], toxic / max(1, toxic + clean))
     lexicon = _lexicon(sample, toxic, clean)
     allowed = {t: edits_for(t) for t in lexicon}
-    found = [(r["toxic"], r["words"], list(zip(r["terms"], r["edits"], r["quotes"], strict=True))) for r in _hits_of(sample, allowed).collect()]
+    found = [(r["toxic"], r["words"], list(zip(r["terms"], r["edits"], r["counts"], r["quotes"], strict=True))) for r in _hits_of(sample, allowed).collect()]
     near: dict[str, Counter] = {}
     for y, _, hits in found:
-        for term in {t for t, e, _ in hits if e}:
+        for term in {t for t, e, _, _ in hits if e}:
             near.setdefault(term, Counter())[y] += 1
     for term, n in near.items():  # misspellings count only where they mean the same
         if n[0] * toxic >= 0.1 * n[1] * clean:

@@ -74,5 +74,21 @@ def test_shard_round_trip():
     assert not shard.probe(h + np.uint64(1), p + 1)[0].any()
 
 
+def test_keys_with_equal_hashes_are_told_apart():
+    h = np.array([5, 9, 9, 9, 11, 11, 20], dtype=np.uint64)
+    p = np.array([1, 2, 3, 4, 5, 6, 7])
+    shard = line_dedup.Shard.from_bytes(line_dedup.Shard.build(h, p, np.arange(7) + 10, np.arange(7) + 100).to_bytes())
+    found, counts, largest = shard.probe(h, p)
+    assert found.all() and counts.tolist() == list(range(10, 17)) and largest.tolist() == list(range(100, 107))
+    assert not shard.probe(np.array([9, 11, 5], dtype=np.uint64), np.array([9, 4, 2]))[0].any()
+
+
+def test_a_line_of_very_many_documents_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PROBES", 20)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    got = line_dedup.dedup_lines(documents(spark, rows()), digests=True, index_bytes=0).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows())
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(documents(spark, []), digests=True).count() == 0

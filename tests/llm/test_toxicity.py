@@ -33,9 +33,63 @@ def test_trie_equals_edit_distance(token):
 
 
 def test_quotation_counts_less():
-    text = 'you are an idiot! and she wrote "idiot" in the report'
-    hits = t.Scanner(TERMS).hits(text)
-    assert [h[0] for h in hits] == ["idiot$"] * 2 and hits[0][2] < 0.2 < 0.5 < hits[1][2]
+    hits = lambda text: t.Scanner(TERMS).hits(text)
+    abuse, quoted = "you are an idiot! and so on", 'and she wrote "idiot" in the report'
+    assert [h[:3] for h in hits(abuse)] == [h[:3] for h in hits(quoted)] == [("idiot$", 0, 1)]
+    assert hits(abuse)[0][3] < 0.2 < 0.5 < hits(quoted)[0][3]
+    both = hits(abuse + "\n" + quoted)[0]
+    assert both[:3] == ("idiot$", 0, 2) and abs(both[3] - hits(abuse)[0][3] - hits(quoted)[0][3]) < 1e-9
+
+
+def test_a_term_deep_in_a_quotation_is_quoted():
+    far = "one two three four five six seven eight nine ten eleven twelve "
+    score = lambda text: t.Scanner(TERMS).hits(text)[0][3]
+    for a, b in ('""', "“”", "„“", "«»", "»«", "‘’"):
+        assert score(f"{far}{a}{far}idiot {far}{b}{far}") >= 0.6
+        assert score(f"{far}{a}{far}{b}{far}idiot {far}{a}{far}{b}") == 0
+        assert score(f"{far}{a}{far}\n{far}idiot {far}\n{far}{b}") == 0
+
+
+def test_the_automaton_starts_anew(monkeypatch):
+    tokens = ["idiot", "idoit", "wortless", "disgustin", "vequx", "nothing", "idiots"]
+    want = [t.FuzzyTrie(TERMS).match(x) for x in tokens]
+    monkeypatch.setattr(t, "STATES", 3)
+    trie = t.FuzzyTrie(TERMS)
+    assert [trie.match(x) for x in tokens * 2] == want * 2 and len(trie.members) < 60
+
+
+def brute_score(model, text):
+    """The score from every token and term by plain edit distances."""
+    text = text or ""
+    sums = {}
+    low = text.lower()
+    for m in t.WORD.finditer(low):
+        found = [(e, term) for term, (_, most) in model.terms.items() if (e := edits_to_beginning(term, m.group())) <= most]
+        if found:
+            e, term = min(found)
+            inside = any(q.start() <= m.start() and m.end() <= q.end() for q in t.QUOTED.finditer(low))
+            n, quote = sums.get((term, e), (0, 0.0))
+            sums[term, e] = n + 1, quote + t.quotation(text, low, m.start(), m.end(), inside)
+    x = t.features([(*k, *v) for k, v in sums.items()], len(text.split()), model.terms)
+    return 1 / (1 + t.math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_scores_equal_brute_force(spark):
+    rows, labels = corpus()
+    rows = [*rows[:120], (5000, 'he said "you idiot" and «scum»'), (5001, "worthles patetic idiott " * 40), (5002, "Idiot! you SCUM " + "w " * 20_000)]
+    docs = documents(spark, corpus()[0])
+    model = t.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.terms
+    got = sorted((str(r.doc_id), round(r.toxicity, 9)) for r in t.score_documents(documents(spark, rows), model).collect())
+    assert got == sorted((str(i), round(brute_score(model, text), 9)) for i, text in rows)
+
+
+def test_a_repeated_document_is_learned_from_once(spark):
+    rows, labels = corpus()
+    kind = "doc_id long, quality int, toxic int"
+    plain = t.fit(documents(spark, rows), spark.createDataFrame(labels, kind))
+    again = t.fit(documents(spark, [*rows, *rows[50:300]]), spark.createDataFrame(labels, kind))
+    assert plain.terms == again.terms and plain.weights == again.weights
 
 
 def corpus():
