@@ -39,7 +39,7 @@ from .runtime import env_cpu_single, map_batches, remove, shared_dir, ship, stor
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
 WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
 #: Pre-tokens and ids of a generation of the cache (the one before is kept too), and the longest that are remembered.
-CACHE_PIECES, CACHE_IDS, CACHE_LENGTH = 450_000, 6_000_000, 64
+CACHE_PIECES, CACHE_IDS, CACHE_LENGTH = 120_000, 2_000_000, 64
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
 MANIFEST = "range int, n_documents long, n_ids long, root binary"
@@ -389,7 +389,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> D
         lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), chunks)
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "tie", "n_tokens", "root", "chunks"])
 
-    return map_batches(docs.select("doc_id", "text", "tie"), run, "doc_id long, tie long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=1024)
+    return map_batches(docs.select("doc_id", "text", "tie"), run, "doc_id long, tie long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=512)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0) -> None:
