@@ -49,8 +49,9 @@ def _quadratic(frame: np.ndarray, x: np.ndarray, y: np.ndarray, conf: np.ndarray
         around = around[~np.isnan(x[around])]
         gap = frame[a:b]
         if len(around) >= 3:
+            begin = frame[a]  # frames are counted from the gap on, as squares of large numbers lose digits
             for v in (x, y):
-                v[a:b] = np.polyval(np.polyfit(frame[around].astype(float), v[around], 2), gap)
+                v[a:b] = np.polyval(np.polyfit((frame[around] - begin).astype(float), v[around], 2), gap - begin)
         elif len(around) == 2:
             i, j = around
             r = (gap - frame[i]) / max(frame[j] - frame[i], 1)

@@ -342,6 +342,43 @@ def _calibrated() -> dict[str, str]:
     return {"steps": steps, "players": players}
 
 
+#: Gaps in turn, as what was filled before counts; a parabola by normal equations and Cramer's rule, frames from the gap on.
+_FILL = """
+, r as materialized (select *, row_number() over (partition by match_id order by frame_idx) as n, count(*) over (partition by match_id) as total from ball_raw),
+hidden as materialized (select *, n - row_number() over (partition by match_id order by n) as island from r where x_px is null),
+gaps as materialized (
+  select match_id, min(n) as a, max(n) + 1 as b, min(frame_idx) as f0, list(frame_idx order by n) as frames, row_number() over (partition by match_id order by min(n)) as g
+  from hidden group by match_id, island, total having count(*) <= 6 and min(n) > 1 and max(n) < total),
+near as materialized (
+  select s.match_id, s.g, list({'n': r.n, 'f': r.frame_idx, 'x': r.x_px, 'y': r.y_px} order by r.n) as pts
+  from gaps s join r on r.match_id = s.match_id and r.x_px is not null and r.n between s.a - 5 and s.b + 4 group by s.match_id, s.g),
+k as (
+  select distinct match_id, cast(0 as bigint) as g, [{'n': cast(0 as bigint), 'f': cast(0 as bigint), 'x': 0e0, 'y': 0e0}] as filled from gaps
+  union all
+  select match_id, g, list_filter(filled, lambda q: q.n > 0 and q.n >= a - 40) || case
+    when m >= 3 then list_transform(range(len(frames)), lambda i: {'n': a + i, 'f': frames[i + 1],
+      'x': (dx0 + dx1 * (frames[i + 1] - f0) + dx2 * (frames[i + 1] - f0) * (frames[i + 1] - f0)) / d, 'y': (dy0 + dy1 * (frames[i + 1] - f0) + dy2 * (frames[i + 1] - f0) * (frames[i + 1] - f0)) / d})
+    when m = 2 then list_transform(range(len(frames)), lambda i: {'n': a + i, 'f': frames[i + 1],
+      'x': pts[1].x + (pts[2].x - pts[1].x) * (frames[i + 1] - pts[1].f) / greatest(pts[2].f - pts[1].f, 1), 'y': pts[1].y + (pts[2].y - pts[1].y) * (frames[i + 1] - pts[1].f) / greatest(pts[2].f - pts[1].f, 1)})
+    else [] end
+  from (
+    select *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) as d,
+           x0 * (s2 * s4 - s3 * s3) - s1 * (x1 * s4 - x2 * s3) + s2 * (x1 * s3 - x2 * s2) as dx0, s0 * (x1 * s4 - x2 * s3) - x0 * (s1 * s4 - s2 * s3) + s2 * (s1 * x2 - s2 * x1) as dx1,
+           s0 * (s2 * x2 - s3 * x1) - s1 * (s1 * x2 - s2 * x1) + x0 * (s1 * s3 - s2 * s2) as dx2,
+           y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - y2 * s3) + s2 * (y1 * s3 - y2 * s2) as dy0, s0 * (y1 * s4 - y2 * s3) - y0 * (s1 * s4 - s2 * s3) + s2 * (s1 * y2 - s2 * y1) as dy1,
+           s0 * (s2 * y2 - s3 * y1) - s1 * (s1 * y2 - s2 * y1) + y0 * (s1 * s3 - s2 * s2) as dy2
+    from (
+      select *, len(pts) as m, cast(len(pts) as double) as s0, list_sum([t for t in ts]) as s1, list_sum([t * t for t in ts]) as s2, list_sum([t * t * t for t in ts]) as s3, list_sum([t * t * t * t for t in ts]) as s4,
+             list_sum([q.x for q in pts]) as x0, list_sum([q.x * (q.f - f0) for q in pts]) as x1, list_sum([q.x * (q.f - f0) * (q.f - f0) for q in pts]) as x2,
+             list_sum([q.y for q in pts]) as y0, list_sum([q.y * (q.f - f0) for q in pts]) as y1, list_sum([q.y * (q.f - f0) * (q.f - f0) for q in pts]) as y2
+      from (
+        select *, [cast(q.f - f0 as double) for q in pts] as ts
+        from (select k.match_id, s.g, s.a, s.f0, s.frames, k.filled, list_filter(k.filled, lambda q: q.n > 0 and q.n >= s.a - 5) || coalesce(e.pts, []) as pts
+              from k join gaps s on s.match_id = k.match_id and s.g = k.g + 1 left join near e on e.match_id = s.match_id and e.g = s.g) as j) as j) as j) as j),
+done as (select distinct match_id, q.n, q.x, q.y from (select match_id, unnest(filled) as q from k) as u where q.n > 0)
+select r.match_id, r.frame_idx, round(coalesce(r.x_px, d.x) + 1e-6, 2) as x_px, round(coalesce(r.y_px, d.y) + 1e-6, 2) as y_px, case when d.n is null then r.confidence else 3e-1 end as confidence
+from r left join done d on d.match_id = r.match_id and d.n = r.n"""
+
 _LOG = """
 with recursive u as (
   select user_id % 64 as match_id, event_id * 37 % 101 as progress, row_number() over (partition by user_id % 64 order by event_id) as n from events where event_id < 1000),
@@ -392,4 +429,5 @@ def oracle_sql() -> dict[str, str]:
     out["calibrated_rallies"] = _with(rally, _calibrated(), _CAL)
     out["calibration_table"] = f"with {_CAL.lstrip()[2:]} select match_id, estimated, cast(unnest(range(9)) as int) as entry, round(unnest(m), 6) + 0e0 as value from cal"
     out["progress_log"] = _LOG
+    out["quadratic_fill"] = f"with recursive ball_raw as ({PARTS['ball_raw']})" + _FILL
     return out | {name: _with(sql) for name, sql in _PLAIN.items()}

@@ -200,7 +200,8 @@ def kalman_smooth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quadratic_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return smoothing.quadratic_fill(_ball(spark, sf))
+    # The generated positions are whole, so fits hit halves of the last digit; the shift rounds these alike everywhere.
+    return smoothing.quadratic_fill(_ball(spark, sf)).withColumns({c: F.round(F.col(c) + 1e-6, 2) for c in ("x_px", "y_px")})
 
 
 def pose_match(spark: SparkSession, sf: str) -> DataFrame:
