@@ -27,9 +27,9 @@ def literal_homography(matrix: Sequence[Sequence[float]]) -> list[Column]:
 
 
 def to_court(x: Column, y: Column, h: Sequence[Column]) -> tuple[Column, Column]:
-    """Pixel to court metres by a 3x3 homography; a vanishing denominator gives 0 and a null position null."""
+    """Pixel to court metres by a 3x3 homography; a vanishing denominator gives 0, a null position or homography null."""
     w = h[6] * x + h[7] * y + h[8]
-    seen = x.isNotNull() & y.isNotNull()
+    seen = x.isNotNull() & y.isNotNull() & h[8].isNotNull()
     safe = F.when(F.abs(w) > 1e-300, w)
     place = lambda n: F.when(seen, F.coalesce(n / safe, F.lit(0.0)))
     return place(h[0] * x + h[1] * y + h[2]), place(h[3] * x + h[4] * y + h[5])
@@ -104,8 +104,8 @@ def foot_point(x1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
 
 
 def grid_cell(x: Column, top: float) -> Column:
-    """Whole metre of a position, clipped to [0, top]."""
-    return F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(top))).cast("int")
+    """Whole metre of a position, clipped to [0, top]; null without one."""
+    return F.when(x.isNotNull(), F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(top))).cast("int"))
 
 
 def near_edge(x: Column, y: Column, margin: float, t: Thresholds = DEFAULT) -> Column:

@@ -18,7 +18,8 @@ def sample_frames(videos: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     end = F.when(end < 1, F.least(F.col("n_frames"), F.lit(t.calibration_samples))).otherwise(end)
     n = t.calibration_samples
     last = F.greatest(end - 1, F.lit(0))
-    return videos.select("match_id", last.alias("last"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample")).select("match_id", "sample", F.floor(F.col("sample") * F.col("last") / (n - 1)).cast("long").alias("frame_idx"))
+    samples = videos.select("match_id", last.alias("last"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
+    return samples.select("match_id", "sample", F.floor(F.col("sample") * F.col("last") / (n - 1)).cast("long").alias("frame_idx"))
 
 
 def heatmap_positions(cells: DataFrame, scale_x: float, scale_y: float, t: Thresholds = DEFAULT) -> DataFrame:
@@ -40,7 +41,9 @@ def best_candidates(frames: DataFrame, candidates: DataFrame, t: Thresholds = DE
     fit = candidates.where((F.col("area") >= low) & (F.col("area") <= high) & (F.col("perimeter") >= 1)).withColumn("circ", circ)
     scored = fit.where(F.col("circ") >= t.candidate_circularity).withColumn("score", F.col("circ") * 0.65 + F.col("brightness") * 0.35)
     best = scored.groupBy("match_id", "frame_idx").agg(F.max_by(F.struct("x", "y", "score"), F.struct("score", -F.col("seq"))).alias("b")).where(F.col("b.score") > t.candidate_score)
-    return frames.join(best, ["match_id", "frame_idx"], "left").select("match_id", "frame_idx", F.col("b.x").alias("x"), F.col("b.y").alias("y"), F.coalesce(F.least(F.col("b.score"), F.lit(t.candidate_cap)), F.lit(0.0)).alias("confidence"))
+    confidence = F.coalesce(F.when(F.col("b").isNotNull(), F.least(F.col("b.score"), F.lit(t.candidate_cap))), F.lit(0.0))
+    found = frames.join(best, ["match_id", "frame_idx"], "left")
+    return found.select("match_id", "frame_idx", F.col("b.x").alias("x"), F.col("b.y").alias("y"), confidence.alias("confidence"))
 
 
 def calibrations(detections: DataFrame, videos: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

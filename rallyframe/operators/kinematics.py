@@ -91,7 +91,8 @@ def gap_runs(ball: DataFrame) -> DataFrame:
     rows = ball.select("match_id", "frame_idx", hidden.alias("hidden"), F.row_number().over(w).alias("n"), F.count(F.lit(1)).over(Window.partitionBy("match_id")).alias("total"))
     seen = F.sum(F.when(~F.col("hidden"), 1).otherwise(0)).over(w)
     runs = rows.withColumn("island", seen).where("hidden").groupBy("match_id", "island")
-    out = runs.agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count(F.lit(1)).alias("n_rows"), F.min("n").alias("a"), F.max("n").alias("b"), F.max("total").alias("total"))
+    frames = F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame")
+    out = runs.agg(*frames, F.count(F.lit(1)).alias("n_rows"), F.min("n").alias("a"), F.max("n").alias("b"), F.max("total").alias("total"))
     return out.select("match_id", "first_frame", "last_frame", "n_rows", ((F.col("a") > 1) & (F.col("b") < F.col("total"))).alias("interior"))
 
 

@@ -40,7 +40,9 @@ def winners_errors(outcomes: DataFrame, rallies: DataFrame, mapping: DataFrame)
 
 def dense_results(who: DataFrame, mapping: DataFrame) -> DataFrame:
     """winners_errors of rallies that have last_player and outcome."""
-    counts = who.where("last_player is not null").groupBy("match_id", F.col("last_player").alias("player_id")).agg(F.count_if(F.col("outcome") == "winner").alias("winners"), F.count_if(F.col("outcome") == "error").alias("errors"))
+    ended = lambda how: F.count_if(F.col("outcome") == how)
+    mine = who.where("last_player is not null").groupBy("match_id", F.col("last_player").alias("player_id"))
+    counts = mine.agg(ended("winner").alias("winners"), ended("error").alias("errors"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return player_slots(mapping).join(counts, ["match_id", "player_id"], "left").select("match_id", "player_id", zero("winners"), zero("errors"))
 

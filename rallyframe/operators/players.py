@@ -9,6 +9,10 @@ from ..config import DEFAULT, Thresholds
 from ..functions.geometry import crop_box, distance, grid_cell
 
 
+#: Rows with a place on the court; a match without a homography has none.
+_PLACED = "foot_x_m is not null and foot_y_m is not null"
+
+
 def player_map(players: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """match_id, track_id, player_id (0 to 3), detections: the tracks seen most; the first seen wins a tie."""
     counts = players.groupBy("match_id", "track_id").agg(F.count(F.lit(1)).alias("detections"), F.min(F.struct("frame_idx", "det_seq")).alias("first"))
@@ -36,7 +40,7 @@ def distances(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 
 def heatmap(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """match_id, player_id, x, y, weight: shares of 1 m cells above the floor, at cell centres, not normalised again."""
-    cells = tracked.select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"))
+    cells = tracked.where(_PLACED).select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"))
     counts = cells.groupBy("match_id", "player_id", "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("match_id", "player_id"))
     return counts.withColumn("weight", share).where(F.col("weight") > t.heat_floor).select("match_id", "player_id", (F.col("ix") + 0.5).alias("x"), (F.col("iy") + 0.5).alias("y"), "weight")
@@ -49,7 +53,7 @@ def path_sums(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """
     w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "det_seq")
     step = distance(F.col("foot_x_m"), F.col("foot_y_m"), F.lag("foot_x_m").over(w), F.lag("foot_y_m").over(w))
-    rows = tracked.select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"), step.alias("step"))
+    rows = tracked.where(_PLACED).select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"), step.alias("step"))
     cells = rows.groupBy("match_id", "player_id", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("step") < t.teleport_m, F.col("step"))).alias("moved"))
     sums = cells.groupBy("match_id", "player_id").agg(
         F.round(F.coalesce(F.sum("moved"), F.lit(0.0)), 2).alias("distance_m"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("ix", "iy", "n"))).alias("cells")

@@ -67,7 +67,8 @@ def _per_match(ball: DataFrame, fill) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_idx", kind="stable")
         x, y, conf = fill(rows["frame_idx"].to_numpy(), *(rows[c].to_numpy(dtype=float, na_value=np.nan) for c in ("x_px", "y_px", "confidence")))
-        return pd.DataFrame({"match_id": rows["match_id"], "frame_idx": rows["frame_idx"], "x_px": pd.Series(x, rows.index, "Float64"), "y_px": pd.Series(y, rows.index, "Float64"), "confidence": conf})
+        places = {"x_px": pd.Series(x, rows.index, "Float64"), "y_px": pd.Series(y, rows.index, "Float64")}
+        return pd.DataFrame({"match_id": rows["match_id"], "frame_idx": rows["frame_idx"], **places, "confidence": conf})
 
     return ball.select("match_id", "frame_idx", "x_px", "y_px", "confidence").groupBy("match_id").applyInPandas(run, _KIND)
 

@@ -256,7 +256,7 @@ _QUERIES: dict[str, str] = {
             from (select frame, pos, least(1e0, abs(cast(e as double)) * 3) as w from (select vec_id as frame, unnest(range(len(embedding))) as pos, unnest(embedding) as e from embeddings) as u) as c
             group by frame) as g""",
     "ball_candidate_best": """
-      select f.match_id, f.frame_idx, b.x, b.y, round(coalesce(least(b.score, 85e-2), 0), 6) as confidence
+      select f.match_id, f.frame_idx, b.x, b.y, round(case when b.score is null then 0 when b.score > 85e-2 then 85e-2 else b.score end, 6) as confidence
       from (select distinct user_id % 4 as match_id, cast(floor(event_id / 3) as bigint) as frame_idx from events) f
       left join (select * from (select *, row_number() over (partition by match_id, frame_idx order by score desc, seq) as rn
                                 from (select *, circ * 65e-2 + brightness * 35e-2 as score

@@ -24,7 +24,18 @@ class Analysis:
     scans it instead of computing it from the tracks again.
     """
 
-    def __init__(self, ball: DataFrame, players: DataFrame, homography: Sequence[Column] | DataFrame, poses: DataFrame | None = None, fps: float = 30.0, smooth: bool = False, t: Thresholds = DEFAULT, share: bool = False) -> None:
+    def __init__(
+        self,
+        ball: DataFrame,
+        players: DataFrame,
+        homography: Sequence[Column] | DataFrame,
+        poses: DataFrame | None = None,
+        fps: float = 30.0,
+        smooth: bool = False,
+        t: Thresholds = DEFAULT,
+        share: bool = False,
+    ) -> None:
+        """homography: the nine entries for all matches, or a table of match_id and homography."""
         self._ball, self._players, self._homography, self._poses = ball, players, homography, poses
         self.fps, self.smooth, self.thresholds, self.share = fps, smooth, t, share
 

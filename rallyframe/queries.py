@@ -232,12 +232,14 @@ def ball_candidate_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def median_corners(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.read(spark, sf, "events").selectExpr("user_id % 4 as match_id", "event_id % 4 as corner", "cast(event_id * 37 % 1280 as double) as x", "cast(event_id * 53 % 720 as double) as y", "event_type = 'error' as estimated")
+    place = ("cast(event_id * 37 % 1280 as double) as x", "cast(event_id * 53 % 720 as double) as y")
+    rows = src.read(spark, sf, "events").selectExpr("user_id % 4 as match_id", "event_id % 4 as corner", *place, "event_type = 'error' as estimated")
     return detection.median_corners(rows)
 
 
 def court_strategy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.read(spark, sf, "events").selectExpr("event_id as match_id", "case when event_id % 3 = 0 then event_id % 1280 end as lines", "case when event_id % 4 = 0 then event_id % 640 end as colour")
+    found = ("case when event_id % 3 = 0 then event_id % 1280 end as lines", "case when event_id % 4 = 0 then event_id % 640 end as colour")
+    rows = src.read(spark, sf, "events").selectExpr("event_id as match_id", *found)
     name = detection.first_success(F.when(F.col("lines").isNotNull(), "lines"), F.when(F.col("colour").isNotNull(), "colour"), F.lit("estimated"))
     return rows.select("match_id", name.alias("strategy"), detection.first_success(F.col("lines"), F.col("colour"), F.lit(0)).alias("corner_x"))
 

@@ -311,6 +311,15 @@ def test_heatmap_peak_and_floor(spark):
     assert [tuple(r) for r in detection.heatmap_positions(cells, 10.0, 10.0).orderBy("frame").collect()] == [(0, 20.0, 10.0, 0.5), (1, None, None, 0.49)]
 
 
+def test_a_frame_without_a_good_candidate_has_no_confidence(spark):
+    frames = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "match_id long, frame_idx long")
+    kind = "match_id long, frame_idx long, seq int, area double, perimeter double, brightness double, x double, y double"
+    round_ = (100.0, 35.45, 1.0)
+    found = spark.createDataFrame([(0, 1, 0, *round_, 5.0, 6.0), (0, 2, 0, 100.0, 90.0, 0.1, 7.0, 8.0)], kind)
+    got = {r.frame_idx: (r.x, r.confidence) for r in detection.best_candidates(frames, found).collect()}
+    assert got == {1: (5.0, 0.85), 2: (None, 0.0), 3: (None, 0.0)}
+
+
 def test_short_videos_are_sampled_too(spark):
     videos = spark.createDataFrame([(0, 0.1, 3), (1, 30.0, 1000)], "match_id long, fps double, n_frames long")
     got = rows(detection.sample_frames(videos), "match_id", "frame_idx")
@@ -376,6 +385,16 @@ def test_documents_and_views(spark):
     assert all(y.start_frame - x.end_frame > DEFAULT.rally_gap for x, y in zip(ordered, ordered[1:], strict=False) if x.match_id == y.match_id)
 
 
+def test_a_match_without_a_homography_has_no_places(spark):
+    b = adapters.ball_raw(two_matches(spark))
+    p = adapters.players(b)
+    known = spark.createDataFrame([(0, [list(r) for r in H])], "match_id long, homography array<array<double>>")
+    stats = {r.match_id: r for r in stats_document(analyse(b, p, known, adapters.poses(p), share=True)).collect()}
+    assert {len(v) for v in stats[1].heatmaps.values()} == {0} and {v.distance_m for v in stats[1].per_player.values()} == {0.0}
+    plain = {r.match_id: r for r in stats_document(analyse(b, p, adapters.homography(), adapters.poses(p))).collect()}
+    assert stats[0].per_player == plain[0].per_player and stats[0].heatmaps == plain[0].heatmaps and stats[0].rallies == plain[0].rallies
+
+
 def test_crop_urls_without_crops(spark):
     stats = spark.createDataFrame([("m", None)], "match_id string, player_crops map<string,string>")
     assert serving.with_crop_urls(stats, "http://x").first()["crop_urls"] == {}
