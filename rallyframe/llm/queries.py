@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, line_dedup, paragraph_sketch, secrets, sharding, simhash, token_store, toxicity
+from . import byte_bpe, decontaminate, html_text, line_dedup, max_score, paragraph_sketch, secrets, sharding, simhash, spelling, token_store, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_byte_bpe": byte_bpe.op9_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_max_score": max_score.op13_max_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_line_dedup": line_dedup.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
+        "op12_spelling": spelling.ORACLE,
+        "op13_max_score": max_score.ORACLE,
     }
