@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -105,13 +105,18 @@ def run_jobs(matches: DataFrame, analysis: Callable[[DataFrame], DataFrame], pat
 def job_log(updates: DataFrame, step: int = 5) -> DataFrame:
     """Progress updates worth storing: each `step` points or more on from the last stored (-1 at first), and any 100.
 
-    updates: match_id, seq, progress. The rule depends on what it stored, hence a fold.
+    updates: match_id, seq, progress. A stored value below 100 is above all before it, so only such records, at most 100
+    a match, go through the fold that the rule needs.
     """
-    rows = updates.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("seq", "progress"))).alias("rows"))
+    before = F.max("progress").over(Window.partitionBy("match_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    full = updates.where("progress >= 100").select("match_id", F.col("progress").cast("int").alias("progress"))
+    records = updates.withColumn("before", before).where("progress < 100 and progress > coalesce(before, -1)")
+    rows = records.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("seq", "progress"))).alias("rows"))
     start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("kept"))
 
     def fold(state, x):
-        keep = (x["progress"] >= state["last"] + step) | (x["progress"] >= 100)
+        keep = x["progress"] >= state["last"] + step
         return F.struct(F.when(keep, x["progress"]).otherwise(state["last"]).alias("last"), F.when(keep, F.array_append(state["kept"], x["progress"])).otherwise(state["kept"]).alias("kept"))
 
-    return rows.select("match_id", F.explode(F.aggregate("rows", start, fold, lambda s: s["kept"])).alias("progress"))
+    stored_ = rows.select("match_id", F.explode(F.aggregate("rows", start, fold, lambda s: s["kept"])).alias("progress"))
+    return stored_.unionByName(full)
