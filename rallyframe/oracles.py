@@ -390,6 +390,10 @@ k as (
 select match_id, cast(progress as int) as progress from k where kept"""
 
 _PLAIN = {
+    "frame_index": "select event_id // 500 as clip, event_id % 500 as frame_idx, event_id % 500 // 12 * 12 as key_frame, event_id % 500 % 12 = 0 as key, round((event_id % 500) / 25e0, 6) as seconds, "
+    "length(repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int))) as size, md5(repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int))) as digest from events",
+    "frame_range": "select event_id // 500 as clip, event_id % 500 as frame_idx, repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int)) as payload "
+    "from events where event_id % 500 between 100 and 250 and event_id % 500 % 3 = 0",
     "ball_strided": "select match_id, frame_idx from ball_raw where frame_idx % 3 = 0",
     "foot_points": "select match_id, frame_idx, track_id, (x1 + x2) / 2 as x, y2 as y from boxed ",
     "cascade_counts": """

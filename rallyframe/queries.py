@@ -15,7 +15,7 @@ from .operators import players as pl
 from .plans import catalog, serving
 from .plans.analysis import Analysis, analyse, stats_document
 from .sources import adapters as src
-from .sources import media
+from .sources import frames, media
 from .storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,6 +320,24 @@ def progress_log(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.job_log(updates)
 
 
+def frame_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Files written from the events, and their frames read by ranges of bytes."""
+    folder = f"{shared_dir(spark)}/clips"
+    src.write_clips(src.read(spark, sf, "events"), folder).write.format("noop").mode("overwrite").save()
+    found = frames.read_frames(spark, folder, ("path", "frame_idx", "group", "key", "seconds", "size", "data"), split_bytes=8192)
+    clip = F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long")
+    return found.select(clip.alias("clip"), "frame_idx", F.col("group").alias("key_frame"), "key", _r("seconds"), "size", F.md5("data").alias("digest"))
+
+
+def frame_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third frame of a range, the bytes of no other frame being read."""
+    folder = f"{shared_dir(spark)}/clips"
+    src.write_clips(src.read(spark, sf, "events"), folder).write.format("noop").mode("overwrite").save()
+    found = frames.read_frames(spark, folder, ("path", "frame_idx", "data"), first=100, last=250, stride=3, split_bytes=8192)
+    clip = F.regexp_extract("path", r"(\d+)\.mp4$", 1).cast("long")
+    return found.select(clip.alias("clip"), "frame_idx", F.decode("data", "utf-8").alias("payload"))
+
+
 def stats_saved(spark: SparkSession, sf: str) -> DataFrame:
     """Results saved, some of them again, and read back."""
     path = f"{shared_dir(spark)}/saved"
@@ -364,7 +382,7 @@ def upload_check(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     ball_kinematics, pixel_to_court, estimated_corners, corner_order, in_court_filter, sample_frames, inference_control, hit_events, hit_events_pixels,
     bounce_events, wall_hit_events, events_dedup, rallies, rallies_smoothed, player_map, player_distance, player_heatmap, rally_outcomes, winners_errors,
-    calibration_table, calibrated_rallies, ball_strided, foot_points, cascade_counts, process_jobs, progress_log, stats_saved, match_with_stats, crop_urls,
+    calibration_table, calibrated_rallies, ball_strided, foot_points, cascade_counts, frame_index, frame_range, process_jobs, progress_log, stats_saved, match_with_stats, crop_urls,
     players_by_number, stats_dump, shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
     ball_candidate_best, median_corners, court_strategy, match_list_topk, match_read, stats_read_totals, stats_players, shot_share, shot_pivot,
     summary_cards, heat_marks, display_names, any_name, delete_cascade, job_transitions, upload_check,

@@ -5,10 +5,13 @@ They exercise the operators and are no real matches.
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import literal_homography, to_court
+from .containers import mux
 
 #: The homography of the estimated corners of a 1280 x 720 frame.
 HOMOGRAPHY = ((1.49576825363e-2, 5.13622264648e-3, -4.57291682326e0), (0.0, -3.597861327e-2, 2.40696922776e1), (0.0, 1.0272445293e-3, 1.0))
@@ -98,3 +101,25 @@ def candidates(events: DataFrame) -> DataFrame:
         "user_id % 4 as match_id", "event_id div 3 as frame_idx", "event_id % 3 as seq", "cast(event_id * 7 % 500 as double) as area",
         "cast(10 + event_id * 11 % 60 as double) as perimeter", "cast(event_id * 13 % 100 as double) / 100d as brightness", "cast(event_id % 1280 as double) as x", "cast(event_id % 720 as double) as y",
     )
+
+
+#: Events of a clip, and the distance of its key frames.
+CLIP, KEYS = 500, 12
+
+
+def write_clips(events: DataFrame, folder: str) -> DataFrame:
+    """clip, path: a video file of every CLIP events, whose encoded frames are the events' values as text."""
+
+    def run(clip: pd.DataFrame) -> pd.DataFrame:
+        clip = clip.sort_values("event_id")
+        samples = [v.encode() for v in clip["payload"]]
+        store, place = fs.FileSystem.from_uri(folder)
+        path = f"{place}/{clip['clip'].iloc[0]}.mp4"
+        store.create_dir(place)
+        with store.open_output_stream(f"{path}.tmp") as out:
+            out.write(mux(samples, [i % KEYS == 0 for i in range(len(samples))], 25, 1280, 720))
+        store.move(f"{path}.tmp", path)  # a task that is run twice leaves one whole file
+        return pd.DataFrame({"clip": [clip["clip"].iloc[0]], "path": [path]})
+
+    rows = events.selectExpr(f"event_id div {CLIP} as clip", "event_id", "repeat(concat(event_type, ':', cast(event_id as string), ';'), cast(1 + event_id % 7 as int)) as payload")
+    return rows.groupBy("clip").applyInPandas(run, "clip long, path string")
