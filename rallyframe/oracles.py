@@ -427,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         else:
             out[name] = _with(sql)
     out["kalman_smooth"] = f"with recursive ball_raw as ({PARTS['ball_raw']})" + _KALMAN
+    out["kalman_live"], out["events_live"] = out["kalman_smooth"], out["events_dedup"]
     rally = _QUERIES["rallies"]
     smooth = _KALMAN.replace("select match_id, frame_idx, round(case when shown then x end, 4) as x_px, round(case when shown then y end, 4) as y_px, confidence from k where n > 0", ", smooth as (select match_id, frame_idx, case when shown then x end as x_px, case when shown then y end as y_px from k where n > 0)")
     out["rallies_smoothed"] = _with(rally, {"steps": PARTS["steps"].replace("ball_raw", "smooth")}, smooth)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import SHOT_TYPES
 from .functions import geometry
-from .operators import detection, joins, kinematics, smoothing
+from .operators import detection, joins, kinematics, smoothing, tracking
 from .operators import events as ev
 from .operators import players as pl
 from .plans import catalog, serving
@@ -17,6 +17,7 @@ from .plans.analysis import Analysis, analyse, stats_document
 from .sources import adapters as src
 from .sources import frames, media
 from .storage import shared_dir, stored
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _RALLY = ("match_id", "rally_idx", "start_frame", "end_frame", "last_track", "last_player")
@@ -199,6 +200,24 @@ def kalman_smooth(spark: SparkSession, sf: str) -> DataFrame:
     return smoothing.kalman_smooth(_ball(spark, sf)).withColumns({c: F.round(c, 4) for c in ("x_px", "y_px")})
 
 
+def kalman_live(spark: SparkSession, sf: str) -> DataFrame:
+    """The tracks as a stream through state that lives between micro-batches."""
+    found = live.replay(_ball(spark, sf), live.live_kalman, ["match_id"])
+    return found.withColumns({c: F.round(c, 4) for c in ("x_px", "y_px")})
+
+
+def events_live(spark: SparkSession, sf: str) -> DataFrame:
+    ball = _ball(spark, sf)
+    steps = kinematics.differences(ball, src.homography())
+    found = joins.detected_events(steps, src.players(ball)).select("match_id", "type", "frame_idx", "x", "y", "track_id", "confidence")
+    return live.replay(found, live.live_dedup, ["match_id", "type"]).select("match_id", "type", "frame_idx", "track_id")
+
+
+def player_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks of the players' boxes by overlap, without the ids they were made with."""
+    return tracking.track_boxes(src.boxes(_players(spark, sf)))
+
+
 def quadratic_fill(spark: SparkSession, sf: str) -> DataFrame:
     # The generated positions are whole, so fits hit halves of the last digit; the shift rounds these alike everywhere.
     return smoothing.quadratic_fill(_ball(spark, sf)).withColumns({c: F.round(F.col(c) + 1e-6, 2) for c in ("x_px", "y_px")})
@@ -383,7 +402,7 @@ _ALL = (
     ball_kinematics, pixel_to_court, estimated_corners, corner_order, in_court_filter, sample_frames, inference_control, hit_events, hit_events_pixels,
     bounce_events, wall_hit_events, events_dedup, rallies, rallies_smoothed, player_map, player_distance, player_heatmap, rally_outcomes, winners_errors,
     calibration_table, calibrated_rallies, ball_strided, foot_points, cascade_counts, frame_index, frame_range, process_jobs, progress_log, stats_saved, match_with_stats, crop_urls,
-    players_by_number, stats_dump, shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
+    players_by_number, stats_dump, shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, kalman_live, events_live, player_tracks, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
     ball_candidate_best, median_corners, court_strategy, match_list_topk, match_read, stats_read_totals, stats_players, shot_share, shot_pivot,
     summary_cards, heat_marks, display_names, any_name, delete_cascade, job_transitions, upload_check,
 )
