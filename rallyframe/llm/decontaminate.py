@@ -3,11 +3,12 @@
 Texts are compared by their letters and digits, lower-cased: ASCII marks and white space don't count. An item of n such
 bytes may occur with up to k = n // ERROR_EVERY edits. Cut into k+1 pieces, one piece at least is then untouched, so
 exact hits of pieces (one automaton over all of them) give every place where the item can be; there Myers'
-bit-parallel distance, an item a machine-word vector of any length, decides within the budget.
+bit-parallel distance, an item a machine-word vector of any length, decides within the budget. A piece that an item holds
+several times gives one range of places for each hit, so a periodic text costs no more than its length.
 
 Items come to the workers in blocks of at most BLOCK_BYTES, whatever the benchmark's size; each block passes over all
-documents. Items with fewer than MIN_BYTES letters and digits are found as exact copies only (no edits), which begin and
-end where words of the text do; so an item of one word is found wherever that word stands.
+documents. An item to which that rule gives no edit (fewer than ERROR_EVERY letters and digits) is found as an exact copy
+that begins and ends where words of the text do: within other words such short runs of letters stand by chance.
 
 Cases: null and empty texts and items match nothing; equal items are all reported; repeated rows are each reported;
 an item found many times in a document gives one row, its nearest hit (the leftmost of equals); an empty table of
@@ -22,10 +23,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .runtime import map_batches, table
+from .runtime import map_batches, schema_of, table
 
 ERROR_EVERY = 16
-MIN_BYTES = 32
 BLOCK_BYTES = 4 << 20
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Marks and white space as one byte, all else as another.
@@ -51,8 +51,7 @@ class Pattern:
 
     def __init__(self, item: bytes) -> None:
         self.item, self.n = item, len(item)
-        self.short = self.n < MIN_BYTES
-        self.budget = 0 if self.short else self.n // ERROR_EVERY
+        self.budget = self.n // ERROR_EVERY
         cuts = [i * self.n // (self.budget + 1) for i in range(self.budget + 2)]
         self.pieces = [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.masks: dict[int, int] = {}
@@ -89,13 +88,14 @@ class Finder:
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.patterns = [(i, Pattern(t)) for i, t in items if t]
-        places: dict[bytes, list[tuple[int, int]]] = {}
+        places: dict[bytes, dict[int, tuple[int, int]]] = {}
         for n, (_, p) in enumerate(self.patterns):
             for offset, piece in p.pieces:
-                places.setdefault(piece, []).append((n, offset))
+                first, _ = places.setdefault(piece, {}).get(n, (offset, offset))
+                places[piece][n] = first, offset
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
-            self.automaton.add_word(piece.decode("latin-1"), (len(piece), where))
+            self.automaton.add_word(piece.decode("latin-1"), (len(piece), [(n, *offsets) for n, offsets in where.items()]))
         if places:
             self.automaton.make_automaton()
 
@@ -104,21 +104,21 @@ class Finder:
         raw = squeezed(text)
         if not self.patterns or not raw:
             return []
-        diagonals: dict[int, list[int]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(raw.decode("latin-1")):
-            for n, offset in where:
-                diagonals.setdefault(n, []).append(end + 1 - size - offset)
+            for n, first, last in where:
+                starts.setdefault(n, []).append((end + 1 - size - last, end + 1 - size - first))
         out, edges = [], None
-        for n, starts in diagonals.items():
+        for n, places in starts.items():
             item_id, p = self.patterns[n]
-            if p.short:
+            if not p.budget:
                 edges = word_edges(text) if edges is None else edges
-                whole = [a for a in starts if a in edges and a + p.n in edges]
+                whole = [a for a, _ in places if a in edges and a + p.n in edges]
                 if whole:
                     out.append((item_id, 0, min(whole) + p.n))
                 continue
             best = None
-            for a, b in _windows(sorted(set(starts)), p, len(raw)):
+            for a, b in _windows(places, p, len(raw)):
                 edits, end = p.distance(raw[a:b])
                 if edits <= p.budget and (best is None or edits < best[0]):
                     best = (edits, a + end)
@@ -127,14 +127,14 @@ class Finder:
         return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0))
 
 
-def _windows(starts: list[int], p: Pattern, size: int) -> Iterator[tuple[int, int]]:
-    """Where the item can be, overlapping places together."""
+def _windows(places: list[tuple[int, int]], p: Pattern, size: int) -> Iterator[tuple[int, int]]:
+    """Where the item can be, from the first and last place where it can begin for each hit; overlapping ones together."""
     a = b = -1
-    for s in starts:
-        lo, hi = max(0, s - p.budget), min(size, s + p.n + p.budget)
+    for first, last in sorted(set(places)):
+        lo, hi = max(0, first - p.budget), min(size, last + p.n + p.budget)
         if b < 0:
             a, b = lo, hi
-        elif lo <= a + p.n:
+        elif lo <= b:
             b = max(b, hi)
         else:
             yield a, b
@@ -186,7 +186,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     """The documents that hold no item, all columns."""
     names = docs.columns
     at = names.index("text")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kind = schema_of(docs, names)
     for block in item_blocks(benchmark, block_bytes):
         docs = map_batches(docs, _dropping(block, at), kind)
     return docs

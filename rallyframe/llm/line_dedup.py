@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .runtime import free_name, map_batches, ship, stored, table
+from .runtime import columns, free_name, map_batches, quoted, schema_of, ship, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys of a shard on average, places per key in a level of the cascade.
@@ -275,11 +276,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     n = frequent.count()
     shards = max(1, -(-n // SHARD_KEYS))
     bodies = stored(build_index(frequent, shards), "line_index")
-    columns = [c for c in docs.columns if c not in ("doc_id", "text", *count_names)]
-    names = ["doc_id", "text", *columns]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"`{c}` long" for c in count_names]])
-    rows = docs.select("doc_id", "text") if digests else docs.select(*[F.col(f"`{c}`") for c in names])
+    names = ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text", *count_names)]]
+    result = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digests else schema_of(docs, names, **dict.fromkeys(count_names, LongType()))
+    rows = docs.select("doc_id", "text") if digests else docs.select(*columns(names))
     if n * KEY_BYTES + 4096 * shards <= index_bytes:
         given = spark.sparkContext.broadcast({r["shard"]: bytes(r["body"]) for r in bodies.toLocalIterator()})
         cache: list[Index] = []
@@ -294,7 +293,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     of_text, lines = free_name(rows, "hash_of_text"), free_name(rows, "lines_to_drop")
     hits = hits.select(F.col("__doc"), F.col("__hash"), F.col("__lines").alias(lines))
     rows = rows.withColumn(of_text, F.xxhash64("text"))
-    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__doc"]) & (rows[of_text] == hits["__hash"]), "left").select(*[rows[f"`{c}`"] for c in rows.columns if c != of_text], hits[lines])
+    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__doc"]) & (rows[of_text] == hits["__hash"]), "left").select(*[rows[quoted(c)] for c in rows.columns if c != of_text], hits[quoted(lines)])
 
     def late(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         drop = [set(x or []) for x in batch.column(batch.num_columns - 1).to_pylist()]

@@ -9,11 +9,13 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..storage import clear, remove, shared_dir, stored
 
-__all__ = ["clear", "cut", "env_cpu_single", "free_name", "map_batches", "remove", "shared_dir", "ship", "stored", "table"]
+__all__ = ["clear", "columns", "cut", "env_cpu_single", "free_name", "map_batches", "quoted", "remove", "schema_of", "shared_dir", "ship", "stored", "table"]
 
 #: Application ids whose executors already have the package.
 _shipped: set[str] = set()
@@ -45,6 +47,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name that stands for itself, whatever marks are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(quoted(n)) for n in names]
+
+
+def schema_of(df: DataFrame, names: list[str], **more: DataType) -> StructType:
+    """The table's fields of these names, as they are, and further ones."""
+    kinds = {f.name: f for f in df.schema.fields}
+    return StructType([*[StructField(n, kinds[n].dataType) for n in names], *[StructField(n, kind) for n, kind in more.items()]])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,16 +76,25 @@ def cut(batch: pa.RecordBatch, rows: int, n_bytes: int = BATCH_BYTES) -> Iterato
             yield part
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
     """mapInArrow with batches of at most `rows` rows and BATCH_BYTES, so that memory follows a few documents and not the partition."""
     ship(df.sparkSession)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, rows):
+            for part in cut(batch.rename_columns(names), rows):
                 yield from fn(part)
 
-    return df.mapInArrow(run, schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    plain = StructType([StructField(f"o{i}", f.dataType) for i, f in enumerate(kind.fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(plain.names)
+
+    # Spark finds the columns of such a call by name, which marks in a name would break.
+    return df.toDF(*[f"i{i}" for i in range(len(names))]).mapInArrow(renamed, plain).toDF(*kind.names)
 
 
 def env_cpu_single() -> None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import map_batches, remove, shared_dir, ship, stored, table
+from .runtime import columns, map_batches, remove, shared_dir, ship, stored, table
 
 #: Node pairs with no more leaf pairs than this are compared directly.
 LEAF_PAIRS = 32
@@ -396,10 +396,9 @@ def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n
     docs: doc_id, text, tie. A group is compared in one place, a large one by bands: nodes with a key in common.
     """
     ship(docs.sparkSession)
-    # At most one row for LARGE_GROUP nodes.
     large = labels.groupBy("label").count().where(F.col("count") > LARGE_GROUP).select("label", F.lit(True).alias("large"))
     bands = ", ".join(f"struct({t} as trie, {name} as unit)" for t, name in enumerate(names))
-    places = nodes.join(labels, "node").join(F.broadcast(large), "label", "left").selectExpr("node", "first", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
+    places = nodes.join(labels, "node").join(large, "label", "left").selectExpr("node", "first", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
     same = docs["doc_id"].eqNullSafe(places["first.doc_id"]) & (docs["tie"] == places["first.tie"])
     members = docs.join(places, same).select("node", "text", "places")
 
@@ -409,32 +408,36 @@ def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, n
 
     rows = map_batches(members, hashed, "node long, shingles binary, places array<struct<trie:int,unit:bigint>>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("node", "shingles", F.explode("places").alias("at")).select("node", "shingles", "at.trie", "at.unit").repartition(parts, "trie", "unit")
+    rows = rows.select("node", "shingles", F.explode("places").alias("at")).select("node", "shingles", "at.trie", "at.unit").repartition(parts, "trie", "unit").sortWithinPartitions("trie", "unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            trie, unit, node = (batch.column(c).to_pylist() for c in ("trie", "unit", "node"))
+            shingles = batch.column("shingles")
+            for i, key in enumerate(zip(trie, unit, strict=True)):
+                if key != now:
+                    yield from linked(nodes, sets)
+                    now, nodes, sets = key, [], []
+                nodes.append(node[i])
+                sets.append(np.frombuffer(shingles[i].as_py(), dtype=np.uint64))
+        yield from linked(nodes, sets)
+
+    def linked(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """A unit at a time is in memory."""
+        if len(nodes) < 2:
             return
-        whole = pa.Table.from_batches(got)
-        trie, unit, node = (whole[n].to_numpy() for n in ("trie", "unit", "node"))
-        order = np.lexsort((node, unit, trie))
-        trie, unit, node = trie[order], unit[order], node[order]
-        starts = np.flatnonzero(np.concatenate([[True], (trie[1:] != trie[:-1]) | (unit[1:] != unit[:-1])]))
-        sets = whole["shingles"]
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            if hi - lo < 2:
-                continue
-            own = [np.frombuffer(sets[i].as_py(), dtype=np.uint64) for i in order[lo:hi].tolist()]
-            label = exact_groups(node[lo:hi], own)
-            linked = np.bincount(label, minlength=hi - lo)[label] > 1
-            yield pa.record_batch([pa.array(node[lo:hi][linked]), pa.array(node[lo:hi][label[linked]].astype(str).tolist(), pa.string())], names=["node", "part"])
+        of = np.array(nodes)
+        label = exact_groups(of, sets)
+        more = np.bincount(label, minlength=len(of))[label] > 1
+        yield pa.record_batch([pa.array(of[more]), pa.array(of[label[more]].astype(str).tolist(), pa.string())], names=["node", "part"])
 
     return rows.mapInArrow(run, "node long, part string")
 
 
 def distinct_rows(docs: DataFrame) -> DataFrame:
     """All columns; of rows with the same doc_id and text one."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
+    packed = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
     again = packed.groupBy("id", "tie").count().where(F.col("count") > 1).drop("count")
     if not again.limit(1).count():
         return docs
@@ -493,7 +496,7 @@ def keep_one_of_copies(docs: DataFrame) -> DataFrame:
     docs = distinct_rows(docs)
     copies = near_copies(docs).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))))
     gone = copies.select(F.col("doc_id").alias("id2"), F.col("tie").alias("tie2"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
+    packed = docs.select(F.struct(*columns(docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_tie().alias("tie"))
     return packed.join(gone, packed["id"].eqNullSafe(gone["id2"]) & (packed["tie"] == gone["tie2"]), "left_anti").select("row.*")
 
 

@@ -8,9 +8,10 @@ marks around a hit in its line, reporting words in a window around it) is told f
 into a logistic regression.
 
 Documented bound: the lexicon and the regression are fitted on about TRAIN_ROWS labelled documents, chosen by a hash
-of doc_id, whole texts of them; scoring reads every document whole. A lexicon has as many terms as these documents
-prove; words of more than LONGEST letters are told by so many of their first. Only rows that `training_rows` lets through are ever learned from;
-labels, lang, source and doc_id are no inputs of a score.
+of doc_id, whole texts of them, each text once; scoring reads every document whole. A lexicon has as many terms as these
+documents prove, of any length: beginnings are counted STRETCH letters further at a time, while enough toxic documents
+hold them. Only rows that `training_rows` lets through are ever learned from; labels, lang, source and doc_id are no
+inputs of a score.
 
 Cases: null text scores like the empty one, which has no hits; without labelled rows of both kinds the score is the
 share of toxic labels (0 without any); a document with several label rows is toxic if one says so, and one with several
@@ -29,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .runtime import map_batches, stored, table
+from .runtime import columns, map_batches, schema_of, stored, table
 
 TRAIN_ROWS = 20_000
-#: Least and most letters of a beginning.
-SHORTEST, LONGEST = 4, 14
+#: Least letters of a beginning, and how many lengths are counted in one pass.
+SHORTEST, STRETCH = 4, 10
 #: Chance that a term is kept by accident, of the hundred thousands looked at.
 LOG_CHANCE = math.log(1e-7)
 #: Tokens a worker remembers as clean.
@@ -55,7 +57,7 @@ QUOTED = re.compile(r'"[^"\n]*"|[“„][^“”„\n]*[”“]|«[^«»\n]*»|
 
 def edits_for(term: str) -> int:
     letters = len(term.rstrip(END))
-    return 0 if letters < 5 else 1 if letters < 10 else 2
+    return 1 if letters < 10 else 2
 
 
 class FuzzyTrie:
@@ -148,11 +150,10 @@ class Model:
         self.terms, self.weights, self.base = terms, weights, base
 
 
-def quotation(text: str, low: str, a: int, b: int, quoted: bool) -> float:
-    """0 for abuse to 1 for quotation, from the window around [a, b) and whether it lies between quotation marks."""
-    before = low[max(0, a - 80) : a]
-    after = low[b : b + 80]
-    near, far = WORD.findall(before)[-CONTEXT:], WORD.findall(after)[:CONTEXT]
+def quotation(text: str, words: list[re.Match], i: int, quoted: bool) -> float:
+    """0 for abuse to 1 for quotation, from the CONTEXT words on each side of word i and whether it is between quotation marks."""
+    near, far = ([m.group() for m in part] for part in (words[max(0, i - CONTEXT) : i], words[i + 1 : i + 1 + CONTEXT]))
+    a, b = words[i].span()
     score = 0.0
     if quoted:
         score += 0.6
@@ -160,7 +161,7 @@ def quotation(text: str, low: str, a: int, b: int, quoted: bool) -> float:
         score += 0.4
     if ADDRESS & {*near[-3:], *far[:3]}:
         score -= 0.3
-    if text[a:b].isupper() or "!" in after[:3]:
+    if text[a:b].isupper() or "!" in text[b : b + 3]:
         score -= 0.2
     return min(1.0, max(0.0, score))
 
@@ -191,10 +192,11 @@ class Scanner:
         pairs = [m.span() for m in QUOTED.finditer(low)]
         begins = [a for a, _ in pairs]
         out: dict[tuple[str, int], tuple[int, float]] = {}
-        for m in WORD.finditer(low):
+        words = list(WORD.finditer(low))
+        for i, m in enumerate(words):
             if found := self.trie.match(m.group()):
                 at = bisect.bisect_right(begins, m.start()) - 1
-                quote = quotation(text, low, m.start(), m.end(), at >= 0 and m.end() <= pairs[at][1])
+                quote = quotation(text, words, i, at >= 0 and m.end() <= pairs[at][1])
                 n, total = out.get(found[::-1], (0, 0.0))
                 out[found[::-1]] = n + 1, total + quote
         return [(*key, *sums) for key, sums in out.items()]
@@ -228,12 +230,13 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     # About `rows` rows of two numbers, by construction.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     once = found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))
+    once = once.groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies prove nothing more
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stored(once.select("text", "toxic").repartition(parts), "labelled_sample")
 
 
-def _beginnings(sample: DataFrame) -> DataFrame:
-    """term, toxic and clean documents that hold it."""
+def _beginnings(sample: DataFrame, low: int, stems: frozenset[str] | None) -> DataFrame:
+    """term, toxic and clean documents that hold it: beginnings of low to low + STRETCH - 1 letters, of words that begin with a stem."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -241,7 +244,8 @@ def _beginnings(sample: DataFrame) -> DataFrame:
             seen = set()
             for word in set(WORD.findall((text or "").lower())):
                 whole = word + END
-                seen.update([whole[:n] for n in range(SHORTEST, min(len(whole), LONGEST) + 1)])
+                if stems is None or whole[: low - 1] in stems:
+                    seen.update([whole[:n] for n in range(low, min(len(whole), low + STRETCH - 1) + 1)])
             counts[toxic].update(seen)
         terms = list(counts[0].keys() | counts[1].keys())
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
@@ -261,8 +265,15 @@ def _lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     least = max(3, toxic // 200)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     proven = _log_tail(F.col("toxic").cast("double"), (F.col("clean") + 0.5) / (clean + 1) * toxic) < LOG_CHANCE
-    rows = _beginnings(sample).where(F.col("toxic") >= least).withColumn("odds", odds).where((F.col("odds") > 2) & proven).collect()
-    found = {r["term"]: (r["toxic"], r["odds"]) for r in rows}
+    found: dict[str, tuple[int, float]] = {}
+    low, stems = SHORTEST, None
+    while stems is None or stems:
+        counted = _beginnings(sample, low, stems).where(F.col("toxic") >= least).withColumn("odds", odds)
+        low += STRETCH
+        good = (F.col("odds") > 2) & proven
+        rows = counted.select("term", "toxic", "odds", good.alias("good")).where(good | (F.length("term") == low - 1)).collect()
+        found |= {r["term"]: (r["toxic"], r["odds"]) for r in rows if r["good"]}
+        stems = frozenset(r["term"] for r in rows if len(r["term"]) == low - 1 and not r["term"].endswith(END))
     longer: dict[str, list[str]] = {}
     for term in sorted(found):
         longer.setdefault(term[:-1], []).append(term)
@@ -342,7 +353,6 @@ def score_text(scanner: Scanner, model: Model, text: str | None) -> float:
 def score_documents(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """All columns and the score."""
     rest = [c for c in docs.columns if c not in ("text", name)]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     cache: list[Scanner] = []
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -351,8 +361,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "toxicity") -> Da
         scores = [score_text(cache[0], model, t) for t in batch.column(0).to_pylist()]
         yield pa.record_batch([*batch.columns, pa.array(scores, pa.float64())], names=["text", *rest, name])
 
-    out = map_batches(docs.select("text", *[F.col(f"`{c}`") for c in rest]), run, ", ".join([*[f"`{c}` {kinds[c]}" for c in ("text", *rest)], f"`{name}` double"]))
-    return out
+    return map_batches(docs.select(*columns(["text", *rest])), run, schema_of(docs, ["text", *rest], **{name: DoubleType()}))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def brute(items, docs):
     for i, t in docs:
         for n, item in items:
             a, b = d.squeezed(item), d.squeezed(t)
-            if len(a) >= d.MIN_BYTES and b and len(b) < 5000:
+            if len(a) >= d.ERROR_EVERY and b and len(b) < 5000:
                 edits = levenshtein_inside(a, b)
                 if edits <= len(a) // d.ERROR_EVERY:
                     out.append((i, n, edits))
@@ -58,12 +58,33 @@ def test_equals_brute_force(spark):
     assert len(want) > 20 and any(e for _, _, e in want)
 
 
+def test_every_length_by_one_rule(spark):
+    """An edit for each 16 letters: exact below, one wrong letter or none from 16 on, two from 32 on; glued to other letters too."""
+    rng = random.Random(7)
+    for n in (8, 15, 16, 24, 31, 32, 40):
+        item = "".join(rng.choice("abcdehinorst") for _ in range(n - 1)) + "q"
+        texts = ["x" + item + "y", f"so {item}.", *[f"so {item[:at]}w{item[at + k :]} it" for at in (0, n // 2, n - 1) for k in (0, 1)], f"so {item[: n // 3]}{item[n // 3 + 2 :]} it", f"w{item[1 : n // 2]}w{item[n // 2 + 1 :]}"]
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        got = {(r.doc_id, r.edits) for r in d.find_leaks(documents(spark, list(enumerate(texts))), bench).collect()}
+        near = {(i, levenshtein_inside(item.encode(), d.squeezed(t))) for i, t in enumerate(texts)}
+        assert got == ({(i, e) for i, e in near if e <= n // 16} if n >= 16 else {(1, 0)}), n
+
+
+def test_very_long_and_periodic_texts():
+    import time
+
+    items = [(1, b"ab" * 8000), (2, b"abcd" * 3000 + b"x"), (3, b"q" * 40)]
+    began = time.perf_counter()
+    got = d.Finder(items).find("ab " * 32_000 + "abcd" * 100 + "q" * 39 + " " + "word " * 100_000)
+    assert [h[:2] for h in got] == [(1, 0), (3, 1)] and time.perf_counter() - began < 20
+
+
 def test_short_items_as_exact_copies(spark):
-    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "é ab"), (3, "?!"), (4, None)], "item_id long, text string")
-    texts = ["Q: what is the CAPITAL of France?", "what is the capital of Francesca", "somewhat is the capital of France", "What's the capital of France", "What is\nthe capital - of France", "x é-ab.", "éé ab", "what is the capital of francesca, what is the capital of france", ""]
+    bench = spark.createDataFrame([(1, "New France?!"), (2, "é ab"), (3, "?!"), (4, None)], "item_id long, text string")
+    texts = ["Q: NEW France?", "new Francesca", "renew France", "New's France", "new\n- France", "x é-ab.", "éé ab", "new francesca, new france", ""]
     df = documents(spark, list(enumerate(texts)))
     got = sorted((r.doc_id, r.item_id, r.edits, r.hit_end) for r in d.find_leaks(df, bench).collect())
-    assert got == [(0, 1, 0, 25), (4, 1, 0, 24), (5, 2, 0, 5), (7, 1, 0, 51)]
+    assert got == [(0, 1, 0, 10), (4, 1, 0, 9), (5, 2, 0, 5), (7, 1, 0, 21)]
     assert {r.doc_id for r in d.drop_leaks(df, bench).collect()} == {1, 2, 3, 6, 8}
 
 

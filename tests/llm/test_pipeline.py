@@ -152,3 +152,24 @@ def test_all_stages(spark, tmp_path):
     gone = {100 + i for i in range(0, 300, 6)} | {1000, 1001, 1002}
     assert sorted(ids & gone, key=str) == []
     assert all(r.round_trip for r in got)
+
+
+def test_odd_column_names_pass_through(spark, tmp_path):
+    """A dot, a space, a backtick in names, also of a struct's fields, and names that stages use."""
+    from pyspark.sql import functions as F
+
+    line = "A line of licence text that very many of the documents have in common"
+    rows = [(i, f"{line}\nword{i} other{i} words{i} of{i} its{i} own{i}") for i in range(12)]
+    docs = documents(spark, rows)
+    odd = docs.select("*", F.lit(1).alias("a.b"), F.struct(F.lit(2).alias("x y"), F.lit("q").alias("z.w")).alias("s t"), F.lit(3).alias("back`tick"), F.lit(4).alias("score"), F.lit(5).alias("n_lines"), F.lit(6).alias("__doc"))
+    save(documents(spark, rows), tmp_path)
+    save(spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    save(spark.createDataFrame([(1, "a long item of the benchmark that no document holds at all")], "item_id long, text string"), tmp_path, "benchmark")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.schema.names == odd.schema.names, name
+        got = out.collect()
+        assert len(got) == 12 and all(r["a.b"] == 1 and r["s t"]["x y"] == 2 and r["back`tick"] == 3 and r["n_lines"] == 5 and r["__doc"] == 6 for r in got), name
+    model = corpus_pipeline.toxicity.Model({"idiot$": (1.0, 1)}, [0.0] * 6, 0.5)
+    got = corpus_pipeline.toxicity.score_documents(odd, model, "score_").collect()
+    assert all(r["a.b"] == 1 and r["s t"]["z.w"] == "q" and r["score"] == 4 and r["score_"] == 0.5 for r in got)

@@ -63,13 +63,14 @@ def brute_score(model, text):
     text = text or ""
     sums = {}
     low = text.lower()
-    for m in t.WORD.finditer(low):
+    words = list(t.WORD.finditer(low))
+    for at, m in enumerate(words):
         found = [(e, term) for term, (_, most) in model.terms.items() if (e := edits_to_beginning(term, m.group())) <= most]
         if found:
             e, term = min(found)
             inside = any(q.start() <= m.start() and m.end() <= q.end() for q in t.QUOTED.finditer(low))
             n, quote = sums.get((term, e), (0, 0.0))
-            sums[term, e] = n + 1, quote + t.quotation(text, low, m.start(), m.end(), inside)
+            sums[term, e] = n + 1, quote + t.quotation(text, words, at, inside)
     x = t.features([(*k, *v) for k, v in sums.items()], len(text.split()), model.terms)
     return 1 / (1 + t.math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
 
@@ -141,3 +142,25 @@ def test_one_kind_of_labels_or_none(spark):
 def test_empty_table(spark):
     model = t.Model({"idiot$": (1.0, 1)}, [0.0] * 6, 0.1)
     assert t.score_documents(documents(spark, []), model).count() == 0
+
+
+def test_long_terms_that_agree_in_many_letters_are_told_apart(spark):
+    stem = "unverbesserlichkeitsvorwurf"
+    rows = [(i, f"some words {i} {stem}{'hasser' if i % 2 else 'freunde'} and {'x' * 5000 if i == 3 else 'more'}") for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = t.fit(documents(spark, rows), labels)
+    assert any(term.startswith(stem + "hasser"[:1]) for term in model.terms)
+    scored = {r.doc_id: r.toxicity for r in t.score_documents(documents(spark, [(1, f"a {stem}hasser b"), (2, f"a {stem}freunde b")]), model).collect()}
+    assert scored[1] > 0.5 > scored[2]
+
+
+def test_short_terms_have_an_edit():
+    trie = t.FuzzyTrie({"scum$": t.edits_for("scum$")})
+    assert [trie.match(x) for x in ("scum", "scuum", "scm", "skum", "sc", "scums")] == [(0, "scum$"), (1, "scum$"), (1, "scum$"), (1, "scum$"), None, (1, "scum$")]
+
+
+def test_context_is_counted_in_words_of_any_length():
+    long_ = "w" * 300
+    hits = lambda text: t.Scanner({"idiot$": 1}).hits(text)[0][3]
+    assert hits(f"said {long_} {long_} {long_} {long_} {long_} idiot") == 0.4
+    assert hits(f"said {long_} {long_} {long_} {long_} {long_} {long_} idiot") == 0
