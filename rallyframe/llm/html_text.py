@@ -3,9 +3,12 @@
 A page is cut at block-level tags into a flat list of text blocks. A block is described by its number of words and its
 link density, those of the block before and after it, and the kind of container that the open elements and their
 class, id and role names make of its place. Names count by their parts (`left-sidebar`, not `with-sidebar`), never on
-html and body, and an element that its name alone makes a menu or an advert is none if it holds an article or main
-element and half of the page's words. A decision tree (CART, Gini), trained here on the small table of labelled
-blocks below, tells article text from the rest. Article blocks are joined in page order.
+html, body and headings. A name is sure if all its parts are known words; one with other parts (`related-work`,
+`social-sciences`), or a single word that articles use too (`discussion`), is not. What is not sure doesn't count on
+paragraphs, counts inside an article only where the element's text is links or scraps, and not where it holds half of the
+page's words and no article or main element stands beside it. A sure name gives way too if the element holds the
+article or main element and half of the words, and so does a form. A decision tree (CART, Gini), trained here on the
+small table of labelled blocks below, tells article text from the rest. Article blocks are joined in page order.
 
 Scripts, styles, comments in the markup and the title never give blocks; a head ends where its own elements do. Character references are decoded once; white
 space inside a block becomes one space. <br> is white space. Unclosed and wrongly nested tags are tolerated: an end tag
@@ -48,14 +51,18 @@ BY_TAG = {"article": ARTICLE, "main": ARTICLE, "nav": CHROME, "aside": CHROME, "
 BY_ROLE = {"main": ARTICLE, "article": ARTICLE, "banner": CHROME, "navigation": CHROME, "complementary": CHROME, "contentinfo": CHROME, "search": CHROME, "form": CHROME, "dialog": NOTICE, "alertdialog": NOTICE, "alert": NOTICE}
 #: Parts of class and id names, the strongest kind first.
 BY_PART = (
-    (COMMENTS, frozenset("comment comments commentlist reply replies disqus respond discussion discussions".split())),
-    (NOTICE, frozenset("ad ads adv adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notification popup modal newsletter subscribe subscription signup alert paywall gdpr".split())),
+    (COMMENTS, frozenset("comment comments commentlist reply replies disqus respond discussion discussions feedback".split())),
+    (NOTICE, frozenset("ad ads adv adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notification popup modal newsletter subscribe subscription signup alert paywall gdpr ccpa onetrust cookiebot cookieconsent cookieyes didomi usercentrics iubenda termly truste trustarc quantcast klaro".split())),
     (CHROME, frozenset("nav navbar navigation menu topbar toolbar breadcrumb breadcrumbs sidebar sidebars side widget widgets related recommended recommendations share sharing social footer foot masthead pagination pager tags taglist search login sitemap".split())),
     (ARTICLE, frozenset("article post entry story content main prose".split())),
 )
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: What follows one of these in a name says what is beside or inside the element, or how it looks.
 BESIDE = frozenset("with without has have no not is hide show js layout".split())
+#: Words of names that say nothing of what is inside, and words of the kinds above that articles use too.
+NEUTRAL = frozenset("area bar block body bottom box button buttons card col column container content desktop entry fixed form global group head header icons inline inner item items left link links list main mobile outer page panel post posts primary right row section secondary site small sticky text title top wrap wrapper article articles".split())
+COMMON = frozenset("discussion discussions respond side search social foot alert notice story content".split())
+_KNOWN = NEUTRAL.union(*[words for _, words in BY_PART])
 
 
 class Block:
@@ -66,27 +73,31 @@ class Block:
         self.heading, self.paragraph = heading, paragraph
 
 
-def named_kind(name: str) -> int:
-    """The kind that a class or id name speaks of."""
+def named_kind(name: str) -> tuple[int, bool]:
+    """The kind that a class or id name speaks of, and whether it is sure."""
     parts = [p.lower() for p in PARTS.findall(name)]
     at = next((i for i, p in enumerate(parts) if p in BESIDE), len(parts))
     if at < len(parts) and parts[at] == "layout":  # how it is laid out, whatever comes before
-        return PLAIN
-    return next((kind for kind, known in BY_PART if not known.isdisjoint(parts[:at])), PLAIN)
+        return PLAIN, False
+    own = parts[:at]
+    kind = next((kind for kind, known in BY_PART if not known.isdisjoint(own)), PLAIN)
+    return kind, _KNOWN.issuperset(own) and not (len(own) == 1 and own[0] in COMMON)
 
 
-_named: dict[str, int] = {}
+_named: dict[str, tuple[int, bool]] = {}
 
 
-def own_kind(tag: str, attributes: dict[str, str]) -> tuple[int, int]:
-    """The kinds of an element by its tag and hidden state, and by its names."""
-    own = named = PLAIN
+def own_kind(tag: str, attributes: dict[str, str]) -> tuple[int, int, bool]:
+    """The kinds of an element by its tag and hidden state, and by its names; whether the latter is sure."""
+    own, named = PLAIN, (PLAIN, False)
     if tag in BY_TAG:
         own = BY_TAG[tag]
     if attributes and tag != "html" and tag != "body":
         if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
             own = max(own, NOTICE)
         for key in ("class", "id"):
+            if tag in HEADINGS:
+                break
             for name in attributes.get(key, "").split():
                 if name not in _named:
                     if len(_named) > 100_000:
@@ -94,8 +105,8 @@ def own_kind(tag: str, attributes: dict[str, str]) -> tuple[int, int]:
                     _named[name] = named_kind(name)
                 named = max(named, _named[name])
         if "role" in attributes:
-            named = max(named, BY_ROLE.get(attributes["role"].strip().lower(), PLAIN))
-    return own, named
+            named = max(named, (BY_ROLE.get(attributes["role"].strip().lower(), PLAIN), True))
+    return own, *named
 
 
 class Places:
@@ -104,7 +115,7 @@ class Places:
     def __init__(self) -> None:
         self.parent: list[int] = []
         self.tag: list[str] = []
-        self.kinds: list[tuple[int, int]] = []
+        self.kinds: list[tuple[int, int, bool]] = []
 
     def add(self, parent: int, tag: str, attributes: dict[str, str]) -> int:
         self.parent.append(parent)
@@ -115,26 +126,38 @@ class Places:
     def settle(self, blocks: list[Block]) -> None:
         """Give each block the kind of its place: the strongest of the elements around it."""
         n = len(self.parent)
-        words, mains = [0] * n, [tag == "article" or tag == "main" for tag in self.tag]
+        words, linked, held = [0] * n, [0] * n, [0] * n
+        mains = [int(tag == "article" or tag == "main") for tag in self.tag]
         for b in blocks:
             if b.place >= 0:
                 words[b.place] += b.words
+                linked[b.place] += b.linked
+                held[b.place] += 1
         for i in range(n - 1, -1, -1):
-            if self.parent[i] >= 0:
-                words[self.parent[i]] += words[i]
-                mains[self.parent[i]] |= mains[i]
-        total = sum([b.words for b in blocks])
+            up = self.parent[i]
+            if up >= 0:
+                words[up] += words[i]
+                linked[up] += linked[i]
+                held[up] += held[i]
+                mains[up] += mains[i]
+        total, all_mains = sum([b.words for b in blocks]), sum([mains[i] for i in range(n) if self.parent[i] < 0])
         kind: list[int] = []
         for i in range(n):
             inside = kind[self.parent[i]] if self.parent[i] >= 0 else PLAIN
-            own, named = self.kinds[i]
+            own, named, sure = self.kinds[i]
             tag = self.tag[i]
-            most = mains[i] and tag != "article" and tag != "main" and 2 * words[i] >= total
+            half = 2 * words[i] >= total
+            most = half and mains[i] and tag != "article" and tag != "main"
+            alone = half and mains[i] == all_mains and tag != "article" and tag != "main"
             if tag == "header":
                 own = max(own, PLAIN if inside == ARTICLE else CHROME)
+            if named > ARTICLE and not sure:
+                scraps = 3 * linked[i] >= words[i] or words[i] < 6 * held[i]
+                if tag in PARAGRAPHS or alone or inside == ARTICLE and not scraps:
+                    named = PLAIN
             if most and (named == CHROME or named == NOTICE):
                 named = PLAIN
-            if most and tag == "form" and own == CHROME:
+            if alone and tag == "form" and own == CHROME:
                 own = PLAIN
             kind.append(max(own, named, inside))
         for b in blocks:
@@ -180,6 +203,7 @@ def text_blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}  # elements of each name on the stack
     places, tags = Places(), Tags(page)
     texts: list[str] = []
     linked = links = 0
@@ -234,9 +258,10 @@ def text_blocks(page: str | None) -> list[Block]:
                 flush()
             elif tag == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened.get(tag):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if tag == "br":
@@ -258,9 +283,11 @@ def text_blocks(page: str | None) -> list[Block]:
             if tag == "p" or tag == "li":  # these close their like
                 if stack and stack[-1][0] == tag:
                     stack.pop()
+                    opened[tag] -= 1
         if tag in VOID or tag == "head" or empty:
             continue
         links += tag == "a"
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, places.add(stack[-1][1] if stack else -1, tag, attributes)))
     flush()
     places.settle(out)

@@ -105,6 +105,76 @@ def test_names_of_containers(page):
     assert h.main_text(page) == "Title of it " + ONE
 
 
+HEAD, FIRST = "Title of it ", " ".join(P.split())
+
+
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        (f'<section id="discussion"><p>{P}</p></section>', FIRST),
+        (f'<section class="related-work"><p>{P}</p></section>', FIRST),
+        (f'<p class="side-by-side">{P}</p>', FIRST),
+        (f'<h2 id="social-history">On social history</h2><p>{P}</p>', f"On social history {FIRST}"),
+        (f'<h2 id="search">How to search</h2><p>{P}</p>', f"How to search {FIRST}"),
+        (f'<div class="social-history"><p>{P}</p></div>', FIRST),
+        (f'<div class="social-links-x"><a href="/f">One</a> <a href="/t">Two</a></div>', ""),
+        (f'<section class="comments"><p>{P}</p></section>', ""),
+        (f'<div class="ad"><p>{P}</p></div>', ""),
+        (f'<section class="feedback"><p>{P}</p></section>', ""),
+        (f'<div id="onetrust-consent-sdk-x"><p>We use <a href="/c">cookies of all kinds on this page</a></p></div>', ""),
+    ],
+)
+def test_names_inside_an_article(part, text):
+    page = f"<body>{MENU}<article><h1>Title of it</h1><p>{P}</p>{part}<p>{P}</p></article>"
+    assert h.main_text(page) == " ".join(f"{HEAD}{FIRST} {text} {FIRST}".split())
+
+
+@pytest.mark.parametrize("wrapper", ['<form id="aspnetForm">', '<div class="social-sciences">', '<div class="discussion-paper">', '<div id="promo-2021x">', "<div>"])
+def test_wrappers_without_an_article_element(wrapper):
+    page = f"<body>{MENU}{wrapper}<h1>Title of it</h1><p>{P}</p><p>{P}</p></{wrapper[1:].split()[0].strip('>')}><footer>&copy; site</footer>"
+    assert h.main_text(page) == HEAD + ONE
+
+
+def plain_text(page):
+    """All that a page's elements without a menu's or a footer's tag say, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.inside, self.raw = [], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in ("nav", "footer", "aside", "form")
+            self.raw += tag in ("script", "style", "title")
+            self.words += [" "] * (tag in h.BLOCKS or tag == "br")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("nav", "footer", "aside", "form")
+            self.raw -= tag in ("script", "style", "title")
+            self.words += [" "] * (tag in h.BLOCKS)
+
+        def handle_data(self, data):
+            if not self.inside and not self.raw:
+                self.words.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return " ".join("".join(reader.words).split())
+
+
+def test_pages_without_names_equal_a_plain_extractor():
+    import random
+
+    rng = random.Random(6)
+    say = lambda n: " ".join(rng.choice(["word", "caf&eacute;", "&lt;b&gt;", "x&amp;y", "<b>bold</b>", "<i>it</i>s", "<a href='/q'>link</a>", "größer", "&#8364;", "a<!-- no -->b"]) for _ in range(n))
+    for _ in range(200):
+        parts = [rng.choice([f"<p>{say(rng.randint(20, 60))} and then some more plain words to end with</p>", f"<h2>{say(4)} heading</h2>", f"<blockquote>{say(30)} plain words here</blockquote>"]) for _ in range(rng.randint(3, 9))]
+        page = f"<html><head><title>T</title><style>p{{}}</style></head><body>{MENU}<article><h1>A title of words</h1>{''.join(parts)}</article><script>var a</script><aside><p>{say(9)}</p></aside><footer>&copy; {say(3)}</footer></body></html>"
+        assert h.main_text(page) == plain_text(page)
+
+
 @pytest.mark.parametrize("piece", ['<a href="x>', "<p class='y>z", "<", "<a ", '<a b="', "</", "<!", "<p =", '<a b=">c', "<div>", "<script", "<svg>"])
 def test_broken_markup_takes_linear_time(piece):
     took = []
@@ -115,6 +185,13 @@ def test_broken_markup_takes_linear_time(piece):
     assert took[1] < 1 and took[1] < 24 * max(took[0], 0.01)
 
 
+def test_end_tags_without_a_start_take_linear_time():
+    for a, b in (("<b>", "</i>"), ("<b><i>", "</u>"), ("<div>", "</p>")):
+        began = time.process_time()
+        h.text_blocks(a * 40_000 + b * 40_000)
+        assert time.process_time() - began < 3
+
+
 def test_a_very_long_page():
     page = f"{MENU}<article>" + f"<p>{P}</p>" * 20_000 + "</article>"
     assert h.main_text(page).count("A paragraph") == 60_000
