@@ -389,7 +389,38 @@ k as (
   from k join u on u.match_id = k.match_id and u.n = k.n + 1)
 select match_id, cast(progress as int) as progress from k where kept"""
 
+_CELLS = """
+  cells as (
+  select distinct match_id, frame_idx, y, px + unnest(range(wide + 1)) as x from (
+    select match_id, frame_idx, px, wide, py + unnest(range(wide + 1)) as y from (
+      select user_id % 4 as match_id, event_id // 200 as frame_idx, (event_id * 37 + event_id // 7) % 38 as px, event_id * 11 % 22 as py, case when event_id % 4 = 0 then 2 else 0 end as wide from events)))"""
+_OPENED = _CELLS + """,
+  shrunk as (
+  select c.* from cells c join cells a on a.match_id = c.match_id and a.frame_idx = c.frame_idx and a.y = c.y - 1 and a.x = c.x
+  join cells b on b.match_id = c.match_id and b.frame_idx = c.frame_idx and b.y = c.y and b.x = c.x - 1),
+  open as (select distinct match_id, frame_idx, y + dy as y, x + dx as x from shrunk, (values (0, 0), (-1, 0), (0, -1)) as t(dy, dx))"""
+
 _PLAIN = {
+    "mask_opened": f"""
+      with {_OPENED}
+      select match_id, frame_idx, y, min(x) as x0, max(x) as x1
+      from (select *, x - row_number() over (partition by match_id, frame_idx, y order by x) as island from open) group by match_id, frame_idx, y, island""",
+    "mask_components": f"""
+      with recursive {_OPENED},
+      reach as (
+      select match_id, frame_idx, y, x, y * 1000 + x as label from open union
+      select o.match_id, o.frame_idx, o.y, o.x, r.label from reach r join open o on o.match_id = r.match_id and o.frame_idx = r.frame_idx and abs(o.y - r.y) <= 1 and abs(o.x - r.x) <= 1),
+      least as (select match_id, frame_idx, y, x, min(label) as label from reach group by all),
+      sums as (select match_id, frame_idx, label, count(*) as n_pixels, min(x) as "left", min(y) as top, max(x) as "right", max(y) as bottom from least group by match_id, frame_idx, label)
+      select match_id, frame_idx, cast(row_number() over (partition by match_id, frame_idx order by label) - 1 as int) as component, n_pixels, "left", top, "right", bottom from sums""",
+    "court_lines": f"""
+      with {_CELLS},
+      v as (
+      select match_id, frame_idx, cast(angle as int) as angle, cast(floor(round(x * cos(angle * pi() / 180) + y * sin(angle * pi() / 180), 9) + 0.5) as int) as "offset", count(*) as votes
+      from cells, range(180) t(angle) group by all having count(*) >= 9)
+      select * from v where not exists (
+        select 1 from v o where o.match_id = v.match_id and o.frame_idx = v.frame_idx and abs(o.angle - v.angle) <= 1 and abs(o."offset" - v."offset") <= 1
+        and (o.votes > v.votes or o.votes = v.votes and (o.angle < v.angle or o.angle = v.angle and o."offset" < v."offset")))""",
     "frame_index": "select event_id // 500 as clip, event_id % 500 as frame_idx, event_id % 500 // 12 * 12 as key_frame, event_id % 500 % 12 = 0 as key, round((event_id % 500) / 25e0, 6) as seconds, "
     "length(repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int))) as size, md5(repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int))) as digest from events",
     "frame_range": "select event_id // 500 as clip, event_id % 500 as frame_idx, repeat(event_type || ':' || event_id || ';', cast(1 + event_id % 7 as int)) as payload "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import SHOT_TYPES
 from .functions import geometry
-from .operators import detection, joins, kinematics, smoothing, tracking
+from .operators import courts, detection, joins, kinematics, masks, smoothing, tracking
 from .operators import events as ev
 from .operators import players as pl
 from .plans import catalog, serving
@@ -250,6 +250,19 @@ def ball_candidate_best(spark: SparkSession, sf: str) -> DataFrame:
     return detection.best_candidates(found.select("match_id", "frame_idx").distinct(), found).withColumn("confidence", F.round("confidence", 6))
 
 
+def mask_opened(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.opened(masks.mask_runs(src.mask_cells(src.read(spark, sf, "events"))), masks.SMALL_ELLIPSE)
+
+
+def mask_components(spark: SparkSession, sf: str) -> DataFrame:
+    found = masks.components(masks.opened(masks.mask_runs(src.mask_cells(src.read(spark, sf, "events"))), masks.SMALL_ELLIPSE))
+    return found.select("match_id", "frame_idx", "component", "n_pixels", "left", "top", "right", "bottom")
+
+
+def court_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return courts.lines(courts.line_votes(src.mask_cells(src.read(spark, sf, "events")).distinct()), 9)
+
+
 def median_corners(spark: SparkSession, sf: str) -> DataFrame:
     place = ("cast(event_id * 37 % 1280 as double) as x", "cast(event_id * 53 % 720 as double) as y")
     rows = src.read(spark, sf, "events").selectExpr("user_id % 4 as match_id", "event_id % 4 as corner", *place, "event_type = 'error' as estimated")
@@ -403,7 +416,7 @@ _ALL = (
     bounce_events, wall_hit_events, events_dedup, rallies, rallies_smoothed, player_map, player_distance, player_heatmap, rally_outcomes, winners_errors,
     calibration_table, calibrated_rallies, ball_strided, foot_points, cascade_counts, frame_index, frame_range, process_jobs, progress_log, stats_saved, match_with_stats, crop_urls,
     players_by_number, stats_dump, shot_features, shot_types, shot_crosstab, gap_runs, kalman_smooth, kalman_live, events_live, player_tracks, quadratic_fill, pose_match, pose_targets, best_crop, crop_bbox, heatmap_centroid,
-    ball_candidate_best, median_corners, court_strategy, match_list_topk, match_read, stats_read_totals, stats_players, shot_share, shot_pivot,
+    ball_candidate_best, mask_opened, mask_components, court_lines, median_corners, court_strategy, match_list_topk, match_read, stats_read_totals, stats_players, shot_share, shot_pivot,
     summary_cards, heat_marks, display_names, any_name, delete_cascade, job_transitions, upload_check,
 )
 
