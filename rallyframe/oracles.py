@@ -432,7 +432,8 @@ _PLAIN = {
       union all select 'lines', count(*) from lineitem where not exists (select 1 from match_list m where m.id = cast(l_orderkey as varchar) and m.status = 'failed')""",
     "process_jobs": """
       select j.id, case when j.i = 1 then 'failed' when w.match_id is null then 'failed' else 'completed' end as status, cast(case when w.match_id is null then 0 else 100 end as int) as progress,
-             case when w.match_id is null and j.i <> 1 then concat('no tracks for match ', j.id) end as error_message, w.total_shots, w.rallies_count
+             case when j.i = 5 then 'OSError: no such video' when w.match_id is null and j.i <> 1 then concat('no tracks for match ', j.id) end as error_message, w.total_shots, w.rallies_count,
+             cast(case when w.match_id is not null then 4 end as int) as crops, case when w.match_id is not null then false end as estimated
       from (select cast(i as varchar) as id, i from range(6) as r(i)) j
       left join (select c.match_id, c.total_shots, coalesce(r.n, 0) as rallies_count from (select match_id, cast(sum(n) as bigint) as total_shots from cross_tab group by match_id) c
                  left join (select match_id, count(*) as n from ral group by match_id) r on r.match_id = c.match_id where c.match_id <> 1) w on w.match_id = j.i""",

@@ -152,3 +152,14 @@ def stats_document(a: Analysis) -> DataFrame:
     points = [F.coalesce(F.col(f"points{p}"), F.array().cast("array<array<double>>")) for p in slots]
     none = F.array().cast("array<struct<start_frame:bigint,end_frame:bigint,last_player:int>>")
     return wide.select("match_id", _by_key(keys, [player(p) for p in slots]).alias("per_player"), _by_key(keys, points).alias("heatmaps"), F.coalesce("rallies", none).alias("rallies"))
+
+
+def with_media(documents: DataFrame, calibrations: DataFrame, crops: DataFrame) -> DataFrame:
+    """The documents with court_calibration (homography, estimated) and player_crops (player to the key of its picture).
+
+    calibrations: match_id, homography, estimated; crops: match_id, player_id, key. Null where a match has none.
+    """
+    courts = calibrations.select("match_id", F.struct("homography", "estimated").alias("court_calibration"))
+    entry = F.struct(F.col("player_id").cast("string").alias("k"), F.col("key").alias("v"))
+    pictures = crops.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("player_crops"))
+    return documents.join(courts, "match_id", "left").join(pictures, "match_id", "left")

@@ -13,7 +13,7 @@ from .operators import courts, detection, joins, kinematics, masks, smoothing, t
 from .operators import events as ev
 from .operators import players as pl
 from .plans import catalog, serving
-from .plans.analysis import Analysis, analyse, stats_document
+from .plans.analysis import Analysis, analyse, stats_document, with_media
 from .sources import adapters as src
 from .sources import frames, media
 from .storage import shared_dir, stored
@@ -333,18 +333,24 @@ def cascade_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def process_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Queued matches, of which all but the last have tracks, through the analysis and the store of results."""
+    """Queued matches, of which the last two have no tracks and one of these an error, through analysis, calibration, crops and the store of results."""
     jobs = spark.range(6).selectExpr("cast(id as string) as id", "if(id = 1, 'failed', 'queued') as status", "0 as progress", "cast(null as string) as error_message")
     path = f"{shared_dir(spark)}/match_stats"
 
-    def analysis(begun: DataFrame) -> DataFrame:
+    def analysis(begun: DataFrame) -> tuple[DataFrame, DataFrame]:
         ball = stored(_ball(spark, sf).join(begun.select("match_id"), "match_id", "left_semi"), "ball")
         players = stored(src.players(ball), "players")
-        return stats_document(analyse(ball, players, src.homography(), src.poses(players), share=True))
+        documents = stats_document(analyse(ball, players, src.homography(), src.poses(players), share=True))
+        courts_ = detection.calibrations(src.corners(src.read(spark, sf, "events")), src.videos(src.read(spark, sf, "events")))
+        crops = pl.player_map(players).selectExpr("match_id", "player_id", "concat('crops/', match_id, '/', player_id, '.jpg') as key")
+        errors = begun.where("match_id = 5").selectExpr("id", "'OSError: no such video' as message")
+        return with_media(documents, courts_, crops), errors
 
     after = catalog.run_jobs(jobs, analysis, path)
-    read = serving.stats_read(catalog.load_stats(spark, path)).select(F.col("match_id").cast("string").alias("id"), "total_shots", F.col("rallies_count").cast("long").alias("rallies_count"))
-    return after.join(read, "id", "left")
+    saved = catalog.load_stats(spark, path)
+    media_ = saved.select(F.col("match_id").cast("string").alias("id"), F.size("player_crops").alias("crops"), F.col("court_calibration.estimated").alias("estimated"))
+    read = serving.stats_read(saved).select(F.col("match_id").cast("string").alias("id"), "total_shots", F.col("rallies_count").cast("long").alias("rallies_count"))
+    return after.join(read, "id", "left").join(media_, "id", "left")
 
 
 def progress_log(spark: SparkSession, sf: str) -> DataFrame:

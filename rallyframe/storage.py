@@ -40,3 +40,17 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or f"{shared_dir(spark)}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def add_rows(df: DataFrame, path: str, **options: str) -> None:
+    """Add rows to a table, in a folder of their own that gets its name when it is whole, so writers don't meet.
+
+    The table has the further column `added`. (Writers that append to one folder would share Spark's temporary one.)
+    """
+    jvm, name = df.sparkSession._jvm, uuid.uuid4().hex
+    before, after = f"{path}/_adding/{name}", f"{path}/added={name}"
+    df.write.options(**options).parquet(before)
+    folder = jvm.org.apache.hadoop.fs.Path(before)
+    store = folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if not store.rename(folder, jvm.org.apache.hadoop.fs.Path(after)):
+        raise OSError(f"cannot move {before} to {after}")
