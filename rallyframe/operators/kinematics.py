@@ -15,11 +15,13 @@ def visible(ball: DataFrame) -> DataFrame:
     return ball.where(F.col("x_px").isNotNull() & F.col("y_px").isNotNull())
 
 
-def differences(ball: DataFrame, homography: Sequence[Column]) -> DataFrame:
+def differences(ball: DataFrame, homography: Sequence[Column], t: Thresholds = DEFAULT) -> DataFrame:
     """Visible rows with the steps from the row before (0) and to the row after (1), not divided by the frame gap.
 
-    Matches with fewer visible rows than `min_visible` are kept here; see `enough_visible`.
+    Matches with fewer visible rows than `min_visible` are kept here; see `enough_visible`. n_visible counts the rows
+    around, which are as many as that if the match has as many.
     """
+    around = t.min_visible - 1
     w = Window.partitionBy("match_id").orderBy("frame_idx")
     x, y = F.col("x_px"), F.col("y_px")
     cx, cy = to_court(x, y, homography)
@@ -34,7 +36,7 @@ def differences(ball: DataFrame, homography: Sequence[Column]) -> DataFrame:
         (F.lead(y).over(w) - y).alias("vy1"),
         cx.alias("cx"),
         cy.alias("cy"),
-        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_visible"),
+        F.count(F.lit(1)).over(w.rowsBetween(-around, around)).alias("n_visible"),
     )
 
 

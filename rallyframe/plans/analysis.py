@@ -53,8 +53,8 @@ class Analysis:
         t = self.thresholds
         ball = kalman_smooth(self._ball, t.max_gap, t) if self.smooth else self._ball
         if not isinstance(self._homography, DataFrame):
-            return self._kept(kinematics.differences(ball, self._homography), "steps")
-        return self._kept(kinematics.differences(with_homography(ball, self._homography), homography_columns("homography")), "steps")
+            return self._kept(kinematics.differences(ball, self._homography, t), "steps")
+        return self._kept(kinematics.differences(with_homography(ball, self._homography), homography_columns("homography"), t), "steps")
 
     @cached_property
     def events(self) -> DataFrame:
