@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from rallyframe.llm import queries as q
 
-from . import test_paragraph_sketch, test_secrets, test_simhash
+from . import test_max_score, test_paragraph_sketch, test_secrets, test_simhash, test_spelling, test_vector_codes
 from .helpers import ODD, documents, save
 
 LINE = "A line that some of the documents have in common, word for word"
@@ -20,6 +20,10 @@ ITEM = "Which of these is the longest river that flows through three countries a
 ROWS = [*ODD, *[(20 + i, f"{LINE}\nbody {i} password = abcdef{i:08d}") for i in range(7)], (40, f"before {ITEM.upper()}, after"), (41, "you idiot " * 30)]
 PAGE = "<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Some words of an article that goes on for a while.</p></article></body>"
 
+RNG = np.random.default_rng(3)
+VECTORS = [(i, int(i % 4), [float(x) for x in RNG.normal(0, 0.2, 16).astype(np.float32)]) for i in range(300)]
+VECTORS += [(None, None, VECTORS[5][2]), (500, 1, None), (501, 1, [float("nan")] * 16), (50, 2, VECTORS[50][2]), (600, 0, VECTORS[7][2]), (601, 0, [float("inf")] + [0.0] * 15)]
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -27,6 +31,7 @@ def folder(spark, tmp_path_factory):
     save(documents(spark, ROWS), path)
     save(spark.createDataFrame([(20 + i, 1, i % 2) for i in range(7)], "doc_id long, quality int, toxic int"), path, "labels")
     save(spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "two words")], "item_id long, text string"), path, "benchmark")
+    save(spark.createDataFrame([(i, v, label) for i, label, v in VECTORS], "vec_id long, embedding array<float>, label int"), path, "embeddings")
     save(spark.createDataFrame([(1, "u", PAGE), (None, None, None), (1, "u", PAGE)], "page_id long, url string, html string"), path, "pages")
     return str(path)
 
@@ -91,6 +96,16 @@ def test_op7(spark, folder):
     assert by_id((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == by_id(want)
 
 
+def test_op8(spark, folder):
+    got = run(spark, folder, "op8_sharding")
+    assert by_id((r.doc_id, r.size, r.text_crc32) for r in got) == by_id((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in ROWS)
+    places = {}
+    for r in got:
+        assert r.law == "bytes" and 0 <= r.shard < 40 and r.grown_shard is None
+        places.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_op9(spark, folder):
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -108,3 +123,18 @@ def test_op10(spark, folder):
     label = test_simhash.brute_components(prints, 2)
     got = run(spark, folder, "op10_simhash")
     assert by_id((r.doc_id, r.fingerprint, r.component_id) for r in got) == by_id((i, f"{k:016x}", prints[label[n]][0]) for n, (i, k) in enumerate(prints))
+
+
+def test_op11(spark, folder):
+    got = run(spark, folder, "op11_vector_codes")
+    assert by_id((r.vec_id, r.code, r.error, r.label_error, r.codebooks_sha256) for r in got) == by_id(test_vector_codes.brute(VECTORS))
+
+
+def test_op12(spark, folder):
+    want = test_spelling.brute(test_spelling.brute_words(ROWS))
+    assert sorted(tuple(r) for r in run(spark, folder, "op12_spelling")) == want and want
+
+
+def test_op13(spark, folder):
+    got = run(spark, folder, "op13_max_score")
+    assert by_id((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == by_id(test_max_score.brute([(i, v) for i, _, v in VECTORS]))
