@@ -321,7 +321,7 @@ def routed_hits(docs: DataFrame, bodies: DataFrame, shards: int, min_chars: int)
             yield pa.record_batch([*cols, pa.array(shard), pa.array(salt), pa.nulls(len(out), pa.binary())], names=["__doc", "__hash", "line", "h", "print", "shard", "salt", "body"])
 
     kind = "__doc long, __hash long, line long, h long, print long, shard long, salt long, body binary"
-    asked = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("t")).distinct(), probes, kind)
+    asked = map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("t")), probes, kind)
     given = bodies.selectExpr("cast(null as long) __doc", "cast(null as long) __hash", "-1L line", "0L h", "0L print", "shard", "explode(sequence(0L, salts - 1L)) salt", "body")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.unionByName(given).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "line")
@@ -345,7 +345,7 @@ def routed_hits(docs: DataFrame, bodies: DataFrame, shards: int, min_chars: int)
                 yield pa.record_batch([ids.filter(keep), of_text.slice(a, b - a).filter(keep), line.slice(a, b - a).filter(keep)], names=["__doc", "__hash", "line"])
 
     found = dealt.mapInArrow(probe, "__doc long, __hash long, line long")
-    return found.groupBy("__doc", "__hash").agg(F.collect_list("line").alias("__lines"))
+    return found.groupBy("__doc", "__hash").agg(F.collect_set("line").alias("__lines"))  # repeated rows probe alike
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
