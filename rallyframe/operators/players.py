@@ -30,11 +30,31 @@ def player_slots(matches: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return matches.select("match_id").distinct().select("match_id", F.explode(F.sequence(F.lit(0), F.lit(t.players - 1))).alias("player_id"))
 
 
-def distances(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+#: Frames of a stretch, within which a player's rows are one unit of work.
+STRETCH = 4096
+
+
+def with_steps(tracked: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The rows with step, the metres from the player's row before, null for the first.
+
+    Rows are cut into stretches of frames, so that a match of any length is many tasks; a stretch's first step comes from
+    the last place of the player's stretch before, of which there is one row a stretch.
+    """
+    key = ["match_id", "player_id", "stretch"]
+    rows = tracked.withColumn("stretch", F.floor(F.col("frame_idx") / stretch))
+    w = Window.partitionBy(*key).orderBy("frame_idx", "det_seq")
+    place = F.struct(F.col("foot_x_m").alias("x"), F.col("foot_y_m").alias("y"))
+    ends = rows.groupBy(*key).agg(F.max_by(place, F.struct("frame_idx", "det_seq")).alias("last"))
+    came = ends.select(*key, F.lag("last").over(Window.partitionBy("match_id", "player_id").orderBy("stretch")).alias("came"))
+    walked = rows.withColumns({"before": F.lag(place).over(w), "nth": F.row_number().over(w)}).join(came, key)
+    begin = F.when(F.col("nth") == 1, F.col("came")).otherwise(F.col("before"))
+    step = distance(F.col("foot_x_m"), F.col("foot_y_m"), begin["x"], begin["y"])
+    return walked.withColumn("step", step).select(*tracked.columns, "step")
+
+
+def distances(tracked: DataFrame, t: Thresholds = DEFAULT, stretch: int = STRETCH) -> DataFrame:
     """match_id, player_id, distance_m: steps of `teleport_m` and more don't count, but the next starts from there."""
-    w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "det_seq")
-    step = distance(F.col("foot_x_m"), F.col("foot_y_m"), F.lag("foot_x_m").over(w), F.lag("foot_y_m").over(w))
-    steps = tracked.select("match_id", "player_id", step.alias("step"))
+    steps = with_steps(tracked.select("match_id", "player_id", "frame_idx", "det_seq", "foot_x_m", "foot_y_m"), stretch)
     return steps.groupBy("match_id", "player_id").agg(F.round(F.coalesce(F.sum(F.when(F.col("step") < t.teleport_m, F.col("step"))), F.lit(0.0)), 2).alias("distance_m"))
 
 
@@ -51,9 +71,8 @@ def path_sums(tracked: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 
     points: x, y and weight of each cell, in order; there are no more cells than the court has square metres.
     """
-    w = Window.partitionBy("match_id", "player_id").orderBy("frame_idx", "det_seq")
-    step = distance(F.col("foot_x_m"), F.col("foot_y_m"), F.lag("foot_x_m").over(w), F.lag("foot_y_m").over(w))
-    rows = tracked.where(_PLACED).select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"), step.alias("step"))
+    placed = tracked.where(_PLACED).select("match_id", "player_id", "frame_idx", "det_seq", "foot_x_m", "foot_y_m")
+    rows = with_steps(placed).select("match_id", "player_id", grid_cell(F.col("foot_x_m"), 9.99).alias("ix"), grid_cell(F.col("foot_y_m"), 19.99).alias("iy"), "step")
     cells = rows.groupBy("match_id", "player_id", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("step") < t.teleport_m, F.col("step"))).alias("moved"))
     sums = cells.groupBy("match_id", "player_id").agg(
         F.round(F.coalesce(F.sum("moved"), F.lit(0.0)), 2).alias("distance_m"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("ix", "iy", "n"))).alias("cells")

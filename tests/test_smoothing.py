@@ -88,3 +88,25 @@ def test_an_endless_gap_reaches_no_cluster(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], KIND)
     assert smoothing.kalman_smooth(df).collect() == [] and smoothing.quadratic_fill(df).collect() == []
+
+
+@pytest.mark.parametrize("stretch", [8, 10**6])
+def test_distances_in_stretches(spark, stretch):
+    from rallyframe.operators import players
+
+    rng, rows = random.Random(8), []
+    for m, p in ((1, 0), (1, 1), (2, 0)):
+        x, y = 5.0, 10.0
+        for f in sorted(rng.sample(range(600), 150)):
+            x, y = (rng.uniform(0, 10), rng.uniform(0, 20)) if rng.random() < 0.05 else (x + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.3, 0.3))
+            rows.append((m, p, f, rng.randint(0, 3), x if rng.random() > 0.02 else None, y))
+    want = {}
+    for m, p in ((1, 0), (1, 1), (2, 0)):
+        own, total = sorted(r for r in rows if r[:2] == (m, p)), 0.0
+        for a, b in zip(own, own[1:], strict=False):
+            step = None if a[4] is None or b[4] is None else ((a[4] - b[4]) ** 2 + (a[5] - b[5]) ** 2) ** 0.5
+            total += step if step is not None and step < 5 else 0
+        want[m, p] = total
+    df = spark.createDataFrame(rows, "match_id long, player_id int, frame_idx long, det_seq int, foot_x_m double, foot_y_m double").repartition(3)
+    got = {(r.match_id, r.player_id): r.distance_m for r in players.distances(df, stretch=stretch).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.006 for k in want)
