@@ -286,9 +286,10 @@ def merge_memberships(memberships: DataFrame) -> DataFrame:
     labels = stored(links.select("node").distinct().select("node", F.col("node").alias("label")), "labels", path=path)
     while True:
         of_part = links.join(labels, "node").groupBy("part").agg(F.min("label").alias("least"))
-        hooked = links.join(of_part, "part").groupBy("node").agg(F.min("least").alias("label"))
-        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("higher"))
-        short = hooked.join(up, hooked["label"] == up["up"], "left").select("node", F.coalesce("higher", "label").alias("label"))
+        # The shortcut is taken by parts, of which a large component has few; its nodes would all meet under one label.
+        up = labels.select(F.col("node").alias("up"), F.col("label").alias("higher"))
+        of_part = of_part.join(up, of_part["least"] == up["up"], "left").select("part", F.coalesce("higher", "least").alias("least"))
+        short = links.join(of_part, "part").groupBy("node").agg(F.min("least").alias("label"))
         before, path = path, f"{shared_dir(spark)}/labels"
         new = stored(short, "labels", path=path)
         changed = new.join(labels.select("node", F.col("label").alias("old")), "node").where("label <> old").limit(1).count()
@@ -318,8 +319,6 @@ MINIMA = BANDS * BAND_MINIMA
 SIMILARITY = (4, 5)
 #: Minima, by two bits of each, that must agree for a candidate; at SIMILARITY fewer do with a chance of 1.4e-8.
 LEAST_EQUAL = 84
-#: Nodes of a group of candidates that are compared in one place; larger groups are compared by band.
-LARGE_GROUP = 256
 #: Shingles compared with a set at once.
 SHINGLES_AT_ONCE = 1 << 21
 _MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and not chr(b).isspace())
@@ -390,32 +389,30 @@ def exact_groups(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def verified_memberships(docs: DataFrame, nodes: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+def verified_memberships(docs: DataFrame, nodes: DataFrame, units: DataFrame) -> DataFrame:
     """node, part: the groups of candidates again, by links whose exact similarity is SIMILARITY or more.
 
-    docs: doc_id, text, tie. A group is compared in one place, a large one by bands: nodes with a key in common.
+    docs: doc_id, text, tie; units: node and unit, in which candidates are compared with each other.
     """
     ship(docs.sparkSession)
-    large = labels.groupBy("label").count().where(F.col("count") > LARGE_GROUP).select("label", F.lit(True).alias("large"))
-    bands = ", ".join(f"struct({t} as trie, {name} as unit)" for t, name in enumerate(names))
-    places = nodes.join(labels, "node").join(large, "label", "left").selectExpr("node", "first", f"if(large, array({bands}), array(struct(-1 as trie, label as unit))) as places")
+    of_node = units.groupBy("node").agg(F.collect_set("unit").alias("units"))  # at most one for each band
+    places = nodes.select("node", "first").join(of_node, "node")
     same = docs["doc_id"].eqNullSafe(places["first.doc_id"]) & (docs["tie"] == places["first.tie"])
-    members = docs.join(places, same).select("node", "text", "places")
+    members = docs.join(places, same).select("node", "text", "units")
 
     def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["node", "shingles", "places"])
+        yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["node", "shingles", "units"])
 
-    rows = map_batches(members, hashed, "node long, shingles binary, places array<struct<trie:int,unit:bigint>>")
+    rows = map_batches(members, hashed, "node long, shingles binary, units array<bigint>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("node", "shingles", F.explode("places").alias("at")).select("node", "shingles", "at.trie", "at.unit").repartition(parts, "trie", "unit").sortWithinPartitions("trie", "unit", "node")
+    rows = rows.select("node", "shingles", F.explode("units").alias("unit")).repartition(parts, "unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         for batch in batches:
-            trie, unit, node = (batch.column(c).to_pylist() for c in ("trie", "unit", "node"))
-            shingles = batch.column("shingles")
-            for i, key in enumerate(zip(trie, unit, strict=True)):
+            unit, node, shingles = batch.column("unit").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")
+            for i, key in enumerate(unit):
                 if key != now:
                     yield from linked(nodes, sets)
                     now, nodes, sets = key, [], []
@@ -455,7 +452,7 @@ def text_tie() -> Column:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, tie, first, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
 
-    Candidates have a band of minimum hashes in common and agree in enough minima; what they connect
+    Candidates have a band of minimum hashes in common and agree in enough minima; what they connect in a band
     is compared again by exact similarities. Texts without words are copies of each other. `first` has the doc_id and
     tie of the document of the component that comes first: the smallest doc_id (nulls last), then the least tie. Rows
     are told apart by doc_id and text_tie; component_id is the doc_id of `first`.
@@ -476,9 +473,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     # Any distinct numbers do, as they are read from the table only.
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "copy_nodes")
     candidates = trie_memberships(nodes.select("node", *names, "minima"), 0, tuple(names), "minima", similar)
-    # By the smallest node alone: most bands give the same groups.
-    labels = merge_memberships(candidates.selectExpr("node", "substring_index(part, ':', -1) as part"))
-    labels = merge_memberships(verified_memberships(docs, nodes, labels, names))
+    # What a band connects is a unit under its smallest node alone: most bands give the same ones.
+    units = stored(candidates.selectExpr("node", "cast(substring_index(part, ':', -1) as bigint) as unit").distinct(), "copy_units")
+    labels = merge_memberships(verified_memberships(docs, nodes, units))
     linked = nodes.select("node", "digest", "first").join(labels, "node")
     firsts = linked.groupBy("label").agg(F.min("first").alias("least"))
     of_node = linked.select("digest", "label").join(firsts, "label").select("digest", "least")

@@ -73,24 +73,26 @@ def test_less_similar_texts_stay_apart(spark):
     assert not any(copies(spark, pairs))
 
 
-def test_a_large_group_is_compared_by_bands(spark, monkeypatch):
+@pytest.mark.parametrize("size", [30, 300])
+def test_groups_of_any_size_are_compared_alike(spark, size):
+    """Copies of one text with some words changed: components by all pairs."""
     rng = random.Random(6)
     words = ["w%d" % rng.randrange(3000) for _ in range(300)]
     texts = []
-    for i in range(30):
+    for i in range(size):
         own = list(words)
-        for at in rng.sample(range(300), rng.randint(3, 9)):
+        for at in rng.sample(range(300), rng.randint(3, 9) if i % 3 else rng.randint(9, 14)):
             own[at] = "y%d" % rng.randrange(9000)
         texts.append(" ".join(own))
-    rows = list(enumerate(texts))
-    whole = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, rows)).collect())
-    monkeypatch.setattr(simhash, "LARGE_GROUP", 4)
-    assert sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, rows)).collect()) == whole
-    want = list(range(30))
-    for _ in want:
-        for i in want:
-            want = [min(want[i], w) if resemblance(texts[i], texts[j]) >= 0.8 else w for j, w in enumerate(want)]
-    assert [c for _, c in whole] == want and 1 < len(set(want)) < 30
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, list(enumerate(texts)))).collect())
+    near = [[j for j in range(size) if resemblance(texts[i], texts[j]) >= 0.8] for i in range(size)]
+    want = list(range(size))
+    for _ in range(size):
+        after = [min(want[j] for j in own) for own in near]
+        if after == want:
+            break
+        want = after
+    assert [c for _, c in got] == want and 1 < len(set(want)) < size
 
 
 def test_one_of_each_group_stays(spark):
