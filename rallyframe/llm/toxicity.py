@@ -40,9 +40,9 @@ SHORTEST, STRETCH = 4, 10
 #: Chance that a term is kept by accident, of the hundred thousands looked at.
 LOG_CHANCE = math.log(1e-7)
 #: Tokens a worker remembers as clean.
-CLEAN_TOKENS = 600_000
+CLEAN_TOKENS = 300_000
 #: States of the automata that a worker keeps before it starts anew.
-STATES = 200_000
+STATES = 60_000
 #: Words before and after a hit.
 CONTEXT = 6
 THRESHOLD = 0.7
