@@ -18,23 +18,64 @@ TOLERANCES = (0.01, 0.02, 0.03, 0.05, 0.08, 0.12)
 LEAST_SHARE, BOX_SHARE = 0.05, 0.10
 
 
-def line_votes(cells: DataFrame, angles: int = 180) -> DataFrame:
-    """match_id, frame_idx, angle, offset, votes: set cells on each line x cos(a) + y sin(a) = offset, a in steps of the half turn."""
-    turn = F.array(*[F.struct(F.lit(k).alias("angle"), F.lit(math.cos(k * math.pi / angles)).alias("c"), F.lit(math.sin(k * math.pi / angles)).alias("s")) for k in range(angles)])
-    each = cells.select(*FRAME, "x", "y", F.explode(turn).alias("t"))
-    offset = F.floor(F.round(F.col("x") * F.col("t.c") + F.col("y") * F.col("t.s"), 9) + 0.5).cast("int")
-    return each.groupBy(*FRAME, F.col("t.angle").alias("angle"), offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+#: Cells of a frame counted at once.
+CELLS_AT_ONCE = 8192
+
+
+def _frame_votes(x: np.ndarray, y: np.ndarray, angles: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Angle, offset and votes of the lines of one frame with at least so many votes."""
+    turn = [k * math.pi / angles for k in range(angles)]
+    c, s = np.array([math.cos(t) for t in turn]), np.array([math.sin(t) for t in turn])
+    reach = int(max(np.abs(x).max(), np.abs(y).max())) * 2 + 2  # no offset lies beyond
+    wide = 2 * reach + 1
+    found, votes = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, len(x), CELLS_AT_ONCE):
+        part = slice(at, at + CELLS_AT_ONCE)
+        offset = np.floor(np.round(x[part, None] * c + y[part, None] * s, 9) + 0.5).astype(np.int64)
+        line, n = np.unique_counts((offset + reach + wide * np.arange(angles)).ravel()) if wide * angles > 1 << 22 else _counted(offset + reach + wide * np.arange(angles), wide * angles)
+        found, at_line = np.unique_inverse(np.concatenate([found, line])) if len(found) else (line, np.arange(len(line)))
+        votes = np.bincount(at_line, np.concatenate([votes, n]), len(found)).astype(np.int64)
+    strong = votes >= least
+    return found[strong] // wide, found[strong] % wide - reach, votes[strong]
+
+
+def _counted(lines: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.bincount(lines.ravel(), minlength=n)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def line_votes(cells: DataFrame, angles: int = 180, least: int = 1) -> DataFrame:
+    """match_id, frame_idx, angle, offset, votes: set cells on each line x cos(a) + y sin(a) = offset, a in steps of the half turn.
+
+    Only lines with at least so many votes are given. The cells of a frame, which its size bounds, are one group, so
+    cells are shuffled and votes are not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, frame in enumerate(batch.column("cells")):
+                x, y = (frame.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                angle, offset, votes = _frame_votes(x, y, angles, least)
+                if len(votes):
+                    own = [pa.repeat(batch.column(c)[i], len(votes)) for c in FRAME]
+                    yield pa.record_batch([*own, pa.array(angle, pa.int32()), pa.array(offset, pa.int32()), pa.array(votes)], names=[*FRAME, "angle", "offset", "votes"])
+
+    packed = cells.where("x is not null and y is not null").groupBy(*FRAME).agg(F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))).alias("cells"))
+    kinds = [f"{c} {cells.schema[c].dataType.simpleString()}" for c in FRAME]
+    return packed.mapInArrow(run, ", ".join([*kinds, "angle int, offset int, votes long"]))
 
 
 def lines(votes: DataFrame, least: int = 80) -> DataFrame:
     """The lines with enough votes that no neighbour in angle and offset outdoes; of equals the first by angle, then offset."""
     strong = votes.where(F.col("votes") >= least)
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(o).alias("o")) for a in (-1, 0, 1) for o in (-1, 0, 1) if (a, o) != (0, 0)])
-    near = strong.select(*FRAME, F.explode(steps).alias("d"), "votes", "angle", "offset")
-    near = near.select(*FRAME, (F.col("angle") + F.col("d.a")).alias("angle"), (F.col("offset") + F.col("d.o")).alias("offset"), F.struct(F.col("votes"), -F.col("angle"), -F.col("offset")).alias("other"))
-    best = near.groupBy(*FRAME, "angle", "offset").agg(F.max("other").alias("other"))
-    own = F.struct(F.col("votes"), -F.col("angle"), -F.col("offset"))
-    return strong.join(best, [*FRAME, "angle", "offset"], "left").where(F.col("other").isNull() | (own > F.col("other"))).select(*FRAME, "angle", "offset", "votes")
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(o).alias("o")) for a in (-1, 0, 1) for o in (-1, 0, 1)])
+    own = F.struct(F.col("votes"), (-F.col("angle")).alias("angle"), (-F.col("offset")).alias("offset"))
+    near = strong.select(*FRAME, F.explode(steps).alias("d"), own.alias("line"), "angle", "offset")
+    self_ = (F.col("d.a") == 0) & (F.col("d.o") == 0)
+    best = near.groupBy(*FRAME, (F.col("angle") + F.col("d.a")).alias("angle"), (F.col("offset") + F.col("d.o")).alias("offset")).agg(F.max(F.when(self_, F.col("line"))).alias("line"), F.max(F.when(~self_, F.col("line"))).alias("other"))
+    kept = best.where(F.col("line").isNotNull() & (F.col("other").isNull() | (F.col("line") > F.col("other"))))
+    return kept.select(*FRAME, "angle", "offset", F.col("line.votes").alias("votes"))
 
 
 def _simplified(points: np.ndarray, tolerance: float) -> np.ndarray:

@@ -260,7 +260,7 @@ def mask_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def court_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return courts.lines(courts.line_votes(src.mask_cells(src.read(spark, sf, "events")).distinct()), 9)
+    return courts.lines(courts.line_votes(src.mask_cells(src.read(spark, sf, "events")).distinct(), least=9), 9)
 
 
 def median_corners(spark: SparkSession, sf: str) -> DataFrame:

@@ -244,3 +244,28 @@ def test_empty(spark):
     none = spark.createDataFrame([], RUNS)
     assert masks.closed(none, masks.ELLIPSE).collect() == masks.components(none).collect() == courts.court_corners(none, 9, 9).collect() == []
     assert courts.lines(courts.line_votes(spark.createDataFrame([], CELLS))).collect() == []
+
+
+def test_votes_are_counted_in_a_frame_and_not_shuffled(spark, monkeypatch):
+    from math import cos, floor, pi, sin
+
+    import numpy as np
+
+    mask = np.random.default_rng(5).random((30, 40)) < 0.3
+    at = [(int(x), int(y)) for y, x in zip(*np.nonzero(mask), strict=True)]
+    want = {}
+    for x, y in at:
+        for k in range(180):
+            line = k, floor(round(x * cos(k * pi / 180) + y * sin(k * pi / 180), 9) + 0.5)
+            want[line] = want.get(line, 0) + 1
+    strong = {line: n for line, n in want.items() if n >= 12}
+    votes = courts.line_votes(cells(spark, {(1, 0): mask, (2, 5): np.zeros((3, 3), bool)}), least=12)
+    assert {(r.angle, r.offset): r.votes for r in votes.collect()} == strong and 0 < len(strong) < len(want)
+    assert votes._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1  # of cells by frame
+    monkeypatch.setattr(courts, "CELLS_AT_ONCE", 100)
+    x, y = (np.array(v) for v in zip(*at, strict=True))
+    for shift in (0, 20_000):  # the second has too many offsets for an array
+        angle, offset, n = courts._frame_votes(x + shift, y, 180, 12)
+        if not shift:
+            assert dict(zip(zip(angle.tolist(), offset.tolist(), strict=True), n.tolist(), strict=True)) == strong
+        assert sorted(n[angle == 90].tolist()) == sorted(v for (k, _), v in strong.items() if k == 90)
