@@ -10,12 +10,41 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Rows = list[tuple]
 
 
+def numbered(df: DataFrame, keys: list[str], stretch: Column, order: list[str], name: str) -> DataFrame:
+    """The rows with their place (0, 1, ...) in the order of their key.
+
+    `stretch` never falls in that order, so a stretch is a unit of work, and the rows before it are summed from one row a stretch.
+    """
+    rows = df.withColumn("_stretch", stretch)
+    unit = [*keys, "_stretch"]
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    before = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(c).alias(f"_b{c}") for c in unit], F.coalesce(earlier.cast("long"), F.lit(0).cast("long")).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*unit).orderBy(*order)))
+    same = [placed[c].eqNullSafe(before[f"_b{c}"]) for c in unit]
+    return placed.join(before, same).select(*df.columns, (F.col("_before") + F.col("_place") - 1).alias(name))
+
+
+def islands(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """The rows with `island` (1, 2, ... along frame_idx): between two islands of a key are more than `gap` frames without a row.
+
+    Frames are cut into stretches of gap + 1; an empty one ends an island. The order is that of one row a stretch.
+    """
+    rows = df.withColumn("_place", F.floor(F.col("frame_idx") / (gap + 1)))
+    w = Window.partitionBy(*keys).orderBy("_place")
+    begins = F.coalesce((F.col("_place") - F.lag("_place").over(w) > 1).cast("long"), F.lit(1).cast("long"))
+    used = rows.select(*keys, "_place").distinct().withColumn("_begins", begins)
+    named = used.select(*[F.col(c).alias(f"_b{c}") for c in [*keys, "_place"]], F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    same = [rows[c].eqNullSafe(named[f"_b{c}"]) for c in [*keys, "_place"]]
+    return rows.join(named, same).select(*df.columns, "island")
+
+
 class Stepper(Protocol):
     columns: tuple[str, ...]  # what a row is made of
     order: tuple[str, ...]  # by which rows come, frame_idx first; rows of one frame come together

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import literal_homography, to_court
+from ..operators.ordered import numbered
 from .containers import mux
 
 #: The homography of the estimated corners of a 1280 x 720 frame.
@@ -28,9 +29,9 @@ def homography():
 def ball_raw(events: DataFrame) -> DataFrame:
     """Four matches; error rows hide the ball, and 90 frames are skipped every 400 rows."""
     match = F.expr("user_id % 4")
-    w = Window.partitionBy("match_id").orderBy("ts", "event_id")
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
     rows = events.select(match.alias("match_id"), "ts", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
-    rows = rows.withColumn("t", F.row_number().over(w).cast("long") - 1)
+    rows = numbered(rows, ["match_id"], hour, ["ts", "event_id"], "t")
     seen = F.col("event_type") != "error"
     return rows.select(
         "match_id",
@@ -42,9 +43,8 @@ def ball_raw(events: DataFrame) -> DataFrame:
 
 
 def players(ball: DataFrame) -> DataFrame:
-    """Five tracks on even frames, with holes; track 3 plays at the net."""
-    w = Window.partitionBy("match_id").orderBy("frame_idx")
-    f = ball.select("match_id", "frame_idx", (F.row_number().over(w) - 1).cast("long").alias("t"))
+    """Five tracks on even frames, with holes; track 3 plays at the net. ball: whole matches of `ball_raw`, whose frames tell the rows' places t."""
+    f = ball.select("match_id", "frame_idx", F.expr("frame_idx div 490 * 400 + frame_idx % 490").alias("t"))
     g = f.where("frame_idx % 2 = 0").select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
     g = g.where("(t * 7 + k * 3) % 11 <> 0 and not (k = 5 and t % 3 = 0)")
     g = g.withColumn("foot_x_px", F.expr("cast(300 + 170 * (k - 1) + abs((t * (3 + k)) % 200 - 100) as double)"))

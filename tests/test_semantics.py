@@ -487,3 +487,24 @@ def test_streaming_rallies(spark, tmp_path):
     query.awaitTermination(120)
     got = rows(spark.table("rally_stream"), "start_frame", "end_frame", "n_events", "last_track")
     assert got == [(0, 60, 2, 1), (121, 125, 2, 1)]
+
+
+def test_places_in_a_match_are_counted_by_stretches(spark):
+    from rallyframe.operators.ordered import numbered
+
+    got = numbered(spark.range(500).selectExpr("id % 2 as m", "nullif(id div 40, 3) as s", "id * 7 % 500 as v"), ["m"], F.col("s"), ["v"], "t")
+    want = {}
+    for i in range(500):
+        want.setdefault(i % 2, []).append((-1 if i // 40 == 3 else i // 40, i * 7 % 500))
+    assert sorted((r.m, r.t, r.v) for r in got.collect()) == sorted((m, t, v) for m, rs in want.items() for t, (_, v) in enumerate(sorted(rs)))
+    ball = adapters.ball_raw(two_matches(spark))
+    windows = lambda df: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert len(windows(adapters.players(ball))) == len(windows(ball)) == 2  # of an hour's rows, and of one row an hour
+
+
+def test_only_events_of_frames_without_players_look_around(spark):
+    players = player_rows(spark, (10, 1, 0, 9, 0), (11, 2, 0, 0, 0), (20, 3, 0, 0, 0))
+    peaks = spark.createDataFrame([(0, f, 0.0, 0.0, 0.0, 0.0) for f in (10, 12, 15, 40)], "match_id long, frame_idx long, x double, y double, cx double, cy double")
+    found = joins.nearest_player(peaks, players, F.abs("r_foot_x_m"))
+    assert rows(found, "frame_idx", "r_track_id", "dist") == [(10, 1, 9.0), (12, 2, 0.0), (15, 2, 0.0)]
+    assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
