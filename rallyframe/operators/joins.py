@@ -41,6 +41,18 @@ def nearest_player(events: DataFrame, players: DataFrame, dist: Column, t: Thres
     detection wins a tie. `dist` may use the event's columns and the player's with the prefix r_. With `only`, all
     events stay, and those for which it doesn't hold, or that have no player near, have nulls.
     """
+    if only is None:
+        # The event's own frame comes first: only events of frames without players look around.
+        right = players.select(*[F.col(c).alias(f"r_{c}") for c in players.columns])
+        here = events.join(right, (F.col("match_id") == F.col("r_match_id")) & (F.col("frame_idx") == F.col("r_frame_idx"))).withColumn("dist", dist)
+        best = here.groupBy(*events.columns).agg(F.min_by(F.struct("r_track_id", "dist"), F.struct("dist", "r_det_seq")).alias("b"))
+        empty = events.join(players.select("match_id", "frame_idx").distinct(), ["match_id", "frame_idx"], "left_anti").select(*events.columns)
+        around = _nearest_around(empty, players, dist, t, None)
+        return best.select(*events.columns, "b.r_track_id", "b.dist").unionByName(around)
+    return _nearest_around(events, players, dist, t, only)
+
+
+def _nearest_around(events: DataFrame, players: DataFrame, dist: Column, t: Thresholds, only: Column | None) -> DataFrame:
     how = "inner" if only is None else "left"
     near = interval_join(events, players, t.nearest_radius, t.nearest_radius, how, only=only).withColumn("dist", dist)
     gap = F.col("r_frame_idx") - F.col("frame_idx")
