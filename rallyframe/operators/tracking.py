@@ -1,7 +1,8 @@
 """Detections to tracks: predicted boxes, overlap, and an assignment that is best as a whole, with births and deaths.
 
-Tracks of a match depend on all its frames before, so a match is worked on in the order of its frames; rows are streamed
-through a task and only the living tracks are kept.
+Tracks of a match depend on the frames before, so these are worked on in order; rows are streamed through a task and only
+the living tracks are kept. Where nothing is seen for longer than a track lives, none is left: such islands of a match are
+worked on by themselves, and their tracks numbered on.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import Rows, Stepper, in_order
+from ..storage import stored
+from .ordered import Rows, Stepper, in_order, islands
 
 
 @dataclass(frozen=True)
@@ -32,9 +34,9 @@ _WIDTH = 8
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Intersection over union of all boxes of a with all of b; 0 for boxes without area."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = lambda v: np.prod(np.clip(v[:, 2:] - v[:, :2], 0, None), axis=1)
+    sides = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0)
+    both = sides[:, :, 0] * sides[:, :, 1]
+    area = lambda v: np.maximum(v[:, 2] - v[:, 0], 0) * np.maximum(v[:, 3] - v[:, 1], 0)
     joint = area(a)[:, None] + area(b)[None, :] - both
     return np.divide(both, joint, out=np.zeros_like(both), where=joint > 0)
 
@@ -46,6 +48,9 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     """
     if not gain.size:
         return []
+    able = gain > 0
+    if (able.sum(axis=0) < 2).all() and (able.sum(axis=1) < 2).all():  # nothing to choose
+        return list(zip(*(a.tolist() for a in np.nonzero(able)), strict=True))
     turned = gain.shape[0] > gain.shape[1]
     cost = -(gain.T if turned else gain)
     n, m = cost.shape
@@ -112,6 +117,8 @@ class TrackStepper(Stepper):
         open_, of = np.ones(len(tracks), bool), np.full(len(rows), -1)
         for group in (sure, faint):
             t, d = np.flatnonzero(open_), np.flatnonzero(group)
+            if not len(t) or not len(d):
+                continue
             gain = overlaps(ahead[t], boxes[d])
             for i, j in assign(np.where(gain >= r.overlap, gain, 0.0)):
                 of[d[j]], open_[t[i]] = t[i], False
@@ -139,4 +146,10 @@ def track_boxes(boxes: DataFrame, rules: TrackRules | None = None) -> DataFrame:
     Detections that are fainter than any rule takes, or lack a coordinate, have no track and no row.
     """
     rows = boxes.select("match_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("det_seq").cast("int").alias("det_seq"), *TrackStepper.columns[2:])
-    return in_order(rows, ["match_id"], TrackStepper(rules))
+    rules = rules or TrackRules()
+    found = stored(in_order(islands(rows, ["match_id"], rules.patience), ["match_id", "island"], TrackStepper(rules)), "tracks")
+    w = Window.partitionBy("match_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    births = found.groupBy("match_id", "island").agg(F.max("track_id").alias("born"))
+    before = births.select(F.col("match_id").alias("m"), F.col("island").alias("i"), F.coalesce(F.sum("born").over(w), F.lit(0)).alias("before"))
+    numbered = found.join(before, found["match_id"].eqNullSafe(before["m"]) & (found["island"] == before["i"]))
+    return numbered.select("match_id", "frame_idx", "det_seq", (F.col("track_id") + F.col("before")).alias("track_id"))

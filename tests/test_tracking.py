@@ -93,3 +93,22 @@ def test_speed_carries_over_a_gap():
 
 def test_empty(spark):
     assert tracking.track_boxes(spark.createDataFrame([], KIND)).collect() == []
+
+
+def test_islands_are_worked_on_apart_and_numbered_on(spark):
+    from pyspark.sql import functions as F
+
+    from rallyframe.operators.ordered import islands
+
+    rows = [(m, f + 300 * i, *r[2:]) for m in (1, 2) for i in range(4) for r in walkers() for f in [r[1]]]
+    df = spark.createDataFrame(rows, KIND)
+    found = islands(df, ["match_id"], 30)
+    ends = sorted((r["min"], r["max"]) for r in found.where("match_id = 1").groupBy("island").agg(F.min("frame_idx").alias("min"), F.max("frame_idx").alias("max")).collect())
+    assert len(ends) > 1 and all(b[0] - a[1] > 30 for a, b in zip(ends, ends[1:], strict=False))
+    columns = ["match_id", *tracking.TrackStepper.columns]
+    want = []
+    for m in (1, 2):
+        stepper = tracking.TrackStepper()
+        own = sorted(tuple(r[c] for c in columns[1:]) for r in df.where(f"match_id = {m}").collect())
+        want += [(m, *r) for r in stepper.step(stepper.begin(), own)[1]]
+    assert sorted(tuple(r) for r in tracking.track_boxes(df).select("match_id", "frame_idx", "det_seq", "track_id").collect()) == sorted(want)
