@@ -10,10 +10,11 @@ The session needs the RocksDB state store; `use_state_store` sets it.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -21,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, Thresholds
 from ..functions.geometry import distance
-from ..operators.ordered import Rows, Stepper, out_schema, tuples
+from ..operators.ordered import Rows, Stepper, out_schema
 from ..operators.tracking import TrackRules, TrackStepper
 from ..storage import shared_dir
 
@@ -138,6 +139,26 @@ class StepsStepper(Stepper):
         return (seen, [v for row in held for v in row]), out
 
 
+#: Rows that are stepped over, and kept as one value of the state, at a time.
+ROWS = 4096
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _parts(rows: pa.Table) -> Iterator[pa.Table]:
+    for at in range(0, rows.num_rows, ROWS):
+        yield rows.slice(at, ROWS)
+
+
+def _tuples(rows: pa.Table) -> Rows:
+    return list(zip(*(column.to_pylist() for column in rows.columns), strict=True))
+
+
 class _Ordered(StatefulProcessor):
     """Keeps a key's rows until the watermark has passed them, then steps over them in order."""
 
@@ -147,12 +168,11 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "row string")  # as JSON, which tells nulls from numbers
+        self.waiting = handle.getListState("waiting", "rows binary")  # a batch's rows as one Arrow stream
         self.kept = handle.getValueState("kept", self.stepper.state)
 
-    def _arm(self, rows: Rows) -> None:
+    def _arm(self, first: int) -> None:
         """One timer a key: at the first waiting row."""
-        first = _millis(min(row[0] for row in rows))
         timers = list(self.handle.listTimers())
         if not timers or first < min(timers):
             for timer in timers:
@@ -160,27 +180,42 @@ class _Ordered(StatefulProcessor):
             self.handle.registerTimer(first)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
-            new = tuples(batch, self.stepper.columns)
-            if new:
-                self.waiting.appendList([(json.dumps(row),) for row in new])
-                self._arm(new)
+            if len(batch):
+                self.waiting.appendValue((_packed(pa.Table.from_pandas(batch[list(self.stepper.columns)], preserve_index=False)),))
+                at = int(batch[self.stepper.columns[0]].min())
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self._arm(_millis(first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(json.loads(r[0])) for r in self.waiting.get()]
-        ready, later = [r for r in rows if _millis(r[0]) <= now], [r for r in rows if _millis(r[0]) > now]
-        at = [self.stepper.columns.index(c) for c in self.stepper.order]
-        ready.sort(key=lambda r: tuple((r[i] is not None, r[i] if r[i] is not None else 0) for i in at))
-        state, out = self.stepper.step(tuple(self.kept.get()) if self.kept.exists() else self.stepper.begin(), ready)
-        self.kept.update(state)
+        rows = pa.concat_tables([pa.ipc.open_stream(r[0]).read_all() for r in self.waiting.get()], promote_options="permissive")
+        frame = self.stepper.columns[0]
+        due = pc.less_equal(rows[frame], now // 1000 - 1)  # _millis(frame) <= now
+        later = rows.filter(pc.invert(due))
         self.waiting.clear()
-        if later:
-            self.waiting.put([(json.dumps(row),) for row in later])
-            self.handle.registerTimer(_millis(min(r[0] for r in later)))
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.names, dtype=object)
+        if later.num_rows:
+            self.waiting.put([(_packed(part),) for part in _parts(later)])
+            self.handle.registerTimer(_millis(int(pc.min(later[frame]).as_py())))
+        rows = rows.filter(due)
+        order = pc.sort_indices(rows, [(c, "ascending") for c in self.stepper.order], null_placement="at_start")
+        state, waiting = tuple(self.kept.get()) if self.kept.exists() else self.stepper.begin(), []
+        for at in range(0, len(order), ROWS):
+            out: Rows = []
+            waiting += _tuples(rows.take(order[at : at + ROWS]))
+            end = len(waiting)
+            if at + ROWS < len(order):  # a frame is never cut
+                while end and waiting[end - 1][0] == waiting[-1][0]:
+                    end -= 1
+            if end:
+                state, out = self.stepper.step(state, waiting[:end])
+                waiting = waiting[end:]
+            if out:
+                yield pd.DataFrame([(*key, *r) for r in out], columns=self.names, dtype=object)
+        self.kept.update(state)
 
     def close(self) -> None:
         pass
@@ -239,7 +274,7 @@ def replay(table: DataFrame, operator: Callable[[DataFrame], DataFrame], keys: l
     """
     spark, folder = table.sparkSession, shared_dir(table.sparkSession)
     table.write.parquet(f"{folder}/in/rows")
-    end = table.agg(F.coalesce(F.max("frame_idx"), F.lit(0)).alias("frame_idx")).select((F.col("frame_idx") + 1_000_000).alias("frame_idx"))
+    end = spark.read.schema(table.schema).parquet(f"{folder}/in/rows").agg(F.coalesce(F.max("frame_idx"), F.lit(0)).alias("frame_idx")).select((F.col("frame_idx") + 1_000_000).alias("frame_idx"))
     kinds = {f.name: f.dataType for f in table.schema.fields}
     marks = [F.lit("-1" if c in keys else None).cast(kinds[c]).alias(c) if c != "frame_idx" else F.col(c).cast(kinds[c]).alias(c) for c in table.columns]
     end.select(*marks).write.parquet(f"{folder}/in/end")

@@ -151,3 +151,53 @@ def test_what_is_too_late_is_dropped(spark, tmp_path):
     source.add([(99, "hit", FAR, 0.0, 0.0, 1, 1.0)])
     run(live.live_dedup(source.stream()), tmp_path)
     assert [r[0] for r in result(spark, tmp_path, ["frame_idx"])] == [1000, 2000, 2100]
+
+
+def test_rows_wait_packed_and_are_stepped_over_in_pieces(monkeypatch):
+    import pandas as pd
+
+    class Value:
+        def __init__(self):
+            self.v = []
+
+        def appendValue(self, v):
+            self.v.append(v)
+
+        put = lambda self, v: setattr(self, "v", list(v))
+        get = lambda self: iter(self.v)
+        clear = lambda self: setattr(self, "v", [])
+
+    class Handle:
+        timers: list = []
+        getListState = lambda self, *a: Value()
+        listTimers = lambda self: iter(self.timers)
+        registerTimer = lambda self, t: self.timers.append(t)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+
+        def getValueState(self, *a):
+            kept = type("Kept", (), {"v": None})()
+            kept.exists, kept.get, kept.update = lambda: kept.v is not None, lambda: kept.v, lambda v: setattr(kept, "v", v)
+            return kept
+
+    class Counting(live.KalmanStepper):
+        sizes: list = []
+
+        def step(self, state, rows):
+            self.sizes.append(len(rows))
+            return super().step(state, rows)
+
+    monkeypatch.setattr(live, "ROWS", 16)
+    stepper = Counting()
+    processor = live._Ordered(["match_id"], stepper)
+    processor.init(Handle())
+    rows = [r[1:] for r in track(1, 100, 1)]
+    batches = [pd.DataFrame([(i, *r[1:]) for i, r in list(enumerate(rows))[a : a + 25]], columns=stepper.columns) for a in (75, 0, 50, 25)]
+    assert list(processor.handleInputRows((1,), iter(batches), None)) == [] and Handle.timers == [1000]
+    assert len(processor.waiting.v) == 4  # one value a batch
+    out = []
+    for now in (60_000, 10**9):
+        at = type("At", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})()
+        out += [tuple(r) for part in processor.handleExpiredTimer((1,), at, None) for r in part.itertuples(index=False)]
+    plain_ = live.KalmanStepper()
+    want = plain_.step(plain_.begin(), [(i, *r[1:]) for i, r in enumerate(rows)])[1]
+    assert plain(out) == plain((1, *r) for r in want) and max(stepper.sizes) <= 17 and processor.waiting.v == []
