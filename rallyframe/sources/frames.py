@@ -2,7 +2,7 @@
 
 A file is cut into ranges of bytes, as other splittable formats are, without being opened on the driver. A task reads the
 index of its file and takes the groups of frames whose key frame lies in its range, so each group is read once and
-decoding can begin in any task. A range of frames, a stride, key frames only and the wanted columns are options of the
+decoding can begin in any task. Small ranges are dealt to tasks many at a time, neighbours of one file as one range. A range of frames, a stride, key frames only and the wanted columns are options of the
 read: only the bytes of frames that meet them are read, and without the column `data` no frame is. They are options and
 not pushed conditions, because Spark keeps what it has pushed into a Python source for later uses of the same DataFrame.
 """
@@ -31,14 +31,44 @@ ROWS = 256
 SCHEMA = "path string, sample long, frame_idx long, group long, seconds double, key boolean, codec string, width int, height int, position long, size long, data binary"
 
 
+#: What opening a file counts, in bytes, when ranges are dealt to tasks, and the ranges that a slot of the cluster gets.
+OPEN_BYTES, TASKS_A_SLOT = 64 << 10, 4
+
+
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     size: int
     first: int
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    ranges: list[ByteRange]
+
+
+def dealt(ranges: list[ByteRange], least: int, slots: int) -> list[ByteRanges]:
+    """The ranges, which come by file and place, in order to tasks: as many as the slots can use, or as SPLIT_BYTES asks for."""
+    opened = len({r.path for r in ranges})
+    goal = max(least, min(SPLIT_BYTES, -(-(sum(r.end - r.first for r in ranges) + OPEN_BYTES * opened) // (TASKS_A_SLOT * slots))))
+    out: list[ByteRanges] = []
+    left = 0
+    for r in ranges:
+        last = out[-1].ranges[-1] if out else None
+        same = last is not None and last.path == r.path
+        cost = r.end - r.first + (0 if same else OPEN_BYTES)
+        if not out or cost > left:
+            out.append(ByteRanges([ByteRange(r.path, r.size, r.first, r.end)]))
+            left = goal - (r.end - r.first)
+        elif same:
+            last.end, left = r.end, left - cost
+        else:
+            out[-1].ranges.append(ByteRange(r.path, r.size, r.first, r.end))
+            left -= cost
+    return out
+
+
 def listed(path: str) -> list[tuple[str, int]]:
     """Path and bytes of the file, or of all files below a folder, in any file system that Arrow opens."""
     store, root = fs.FileSystem.from_uri(path)
@@ -54,18 +84,19 @@ class FrameReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.names, self.path = schema.names, options["path"]
         self.split, self.stride = int(options.get("splitbytes", SPLIT_BYTES)), int(options.get("stride", 1))
+        self.slots = int(options.get("slots", 1))
         self.first, self.last = int(options.get("first", 0)), int(options.get("last", (1 << 63) - 1))
         self.keys_only = options.get("keysonly", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [ByteRange(path, size, a, min(a + self.split, size)) for path, size in listed(self.path) for a in range(0, size, self.split)]
+        ranges = [ByteRange(path, size, a, min(a + self.split, size)) for path, size in listed(self.path) for a in range(0, size, self.split)]
+        return dealt(ranges, self.split, self.slots)
 
-    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no files
-            return
-        store, place = fs.FileSystem.from_uri(partition.path)
-        with store.open_input_file(place) as file:
-            yield from self.rows(partition, lambda at, n: file.read_at(n, at))
+    def read(self, partition: ByteRanges | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if partition is not None else ():  # None: no files
+            store, place = fs.FileSystem.from_uri(part.path)
+            with store.open_input_file(place) as file:
+                yield from self.rows(part, lambda at, n, file=file: file.read_at(n, at))
 
     def rows(self, part: ByteRange, read: Read) -> Iterator[pa.RecordBatch]:
         """The batches of a range, by a function that reads its file."""
@@ -118,7 +149,7 @@ class FrameReader(DataSourceReader):
 
 
 class FrameSource(DataSource):
-    """Options: path; splitBytes; first and last (frame_idx, both included); stride (of frame_idx); keysOnly."""
+    """Options: path; splitBytes; slots (tasks that run at once); first and last (frame_idx, both included); stride (of frame_idx); keysOnly."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,7 +174,7 @@ def read_frames(
 ) -> DataFrame:
     """The frames from `first` to `last` of a file or of all files below a folder; with `columns`, nothing else is read."""
     spark.dataSource.register(FrameSource)
-    reader = spark.read.format(NAME).options(first=first, stride=stride, keysOnly=keys_only, splitBytes=split_bytes)
+    reader = spark.read.format(NAME).options(first=first, stride=stride, keysOnly=keys_only, splitBytes=split_bytes, slots=spark.sparkContext.defaultParallelism)
     if last is not None:
         reader = reader.option("last", last)
     if columns is not None:

@@ -171,3 +171,14 @@ def test_all_plugins_in_one_pass_and_a_failing_file_alone(spark, folder, tmp_pat
     failing = media.perceive(files.select("path").distinct(), Decoder(), {"ball": (Sizes(), kind, 1), "players": (Sizes(True), kind, 2)})
     assert sorted(r.message for r in failing["errors"].collect())[1] == "ValueError: no ball"
     assert {r.match_id for r in failing["ball"].select("match_id").distinct().collect()} == {1, 500}
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"{i}.mp4").write_bytes(containers.mux(*some(40, i), fps=25, width=2, height=2))
+    df = frames.read_frames(spark, str(tmp_path), ("path", "sample"), split_bytes=1000)
+    assert df.rdd.getNumPartitions() <= 40
+    assert sorted((r.path.rpartition("/")[2], r.sample) for r in df.collect()) == sorted((f"{i}.mp4", k) for i in range(150) for k in range(40))
+    ranges = [frames.ByteRange("a", 10, 0, 4), frames.ByteRange("a", 10, 4, 8), frames.ByteRange("a", 10, 8, 10), frames.ByteRange("b", 3, 0, 3)]
+    assert [[(r.path, r.first, r.end) for r in p.ranges] for p in frames.dealt(ranges, 1 << 20, 1)] == [[("a", 0, 10), ("b", 0, 3)]]
+    assert [[(r.path, r.first, r.end) for r in p.ranges] for p in frames.dealt(ranges, 8, 1 << 40)] == [[("a", 0, 8)], [("a", 8, 10)], [("b", 0, 3)]]
