@@ -314,6 +314,8 @@ def near_duplicate_components(docs: DataFrame, budget: int = 2, width: int = 3)
 
 #: The near-copy sketch: words a shingle, bands of minimum hashes and minima a band.
 COPY_WIDTH, BANDS, BAND_MINIMA = 5, 32, 4
+#: Bits in which the fingerprints of candidates may differ.
+COPY_BUDGET = 3
 MINIMA = BANDS * BAND_MINIMA
 #: The least similarity of copies, as a fraction.
 SIMILARITY = (4, 5)
@@ -348,6 +350,12 @@ def copy_sketch(shingles: np.ndarray) -> tuple[bytes, np.ndarray, bytes]:
     return xxhash.xxh3_128_digest(shingles.tobytes()), keys.view(np.int64), np.packbits(np.stack([low >> 1 & 1, low & 1], axis=1)).tobytes()
 
 
+def _sketch_and_print(text: str | None) -> tuple[bytes, np.ndarray, bytes, int]:
+    """The copy sketch and the SimHash fingerprint of a text's shingle set."""
+    shingles = shingle_set(text)
+    return *copy_sketch(shingles), _signed(majority_bits(shingles))
+
+
 def similar(signatures: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Whether enough minima agree for a candidate."""
     whole = np.ascontiguousarray(signatures).view(np.uint64)
@@ -452,28 +460,31 @@ def text_tie() -> Column:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, tie, first, component_id: documents linked by a similarity of five-word shingles of 0.8 or more.
 
-    Candidates have a band of minimum hashes in common and agree in enough minima; what they connect in a band
-    is compared again by exact similarities. Texts without words are copies of each other. `first` has the doc_id and
+    Candidates come from the trie self-join of the SimHash fingerprints within COPY_BUDGET bits; as a pair at SIMILARITY
+    differs in ten of 64 bits on average, the trie also takes the bands of minimum hashes as keys, equal in one of which
+    the further pairs are. Candidates agree in enough minima; what they connect in a subtree is compared again by exact
+    similarities, and the forests of these links are merged by minimum labels. Texts without words are copies of each other. `first` has the doc_id and
     tie of the document of the component that comes first: the smallest doc_id (nulls last), then the least tie. Rows
     are told apart by doc_id and text_tie; component_id is the doc_id of `first`.
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        digests, keys, minima = zip(*(copy_sketch(shingle_set(t)) for t in batch.column(1).to_pylist()), strict=True)
+        digests, keys, minima, prints = zip(*(_sketch_and_print(t) for t in batch.column(1).to_pylist()), strict=True)
         bands = [pa.array(k) for k in np.stack(keys, axis=1)]
-        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), *bands, pa.array(minima, pa.binary())], names=["doc_id", "tie", "digest", *names, "minima"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), *bands, pa.array(minima, pa.binary()), pa.array(prints, pa.int64())], names=["doc_id", "tie", "digest", *names, "minima", "print"])
 
     names = [f"key{t}" for t in range(BANDS)]
     tie = "struct<a:bigint,b:int>"
-    kind = ", ".join([f"doc_id long, tie {tie}, digest binary", *[f"{n} long" for n in names], "minima binary"])
+    kind = ", ".join([f"doc_id long, tie {tie}, digest binary", *[f"{n} long" for n in names], "minima binary", "print long"])
     docs = docs.select("doc_id", "text", text_tie().alias("tie"))
     sketched = stored(map_batches(docs, run, kind), "copy_sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first")
-    nodes = sketched.groupBy("digest", *names, "minima").agg(first)
+    nodes = sketched.groupBy("digest", *names, "minima", "print").agg(first)
     # Any distinct numbers do, as they are read from the table only.
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "copy_nodes")
-    candidates = trie_memberships(nodes.select("node", *names, "minima"), 0, tuple(names), "minima", similar)
-    # What a band connects is a unit under its smallest node alone: most bands give the same ones.
+    near = trie_memberships(nodes.select("node", "print", "minima"), COPY_BUDGET, ("print",), "minima", similar)
+    candidates = near.unionByName(trie_memberships(nodes.select("node", *names, "minima"), 0, tuple(names), "minima", similar))
+    # What a band or a subtree connects is a unit under its smallest node alone: most bands give the same ones.
     units = stored(candidates.selectExpr("node", "cast(substring_index(part, ':', -1) as bigint) as unit").distinct(), "copy_units")
     labels = merge_memberships(verified_memberships(docs, nodes, units))
     linked = nodes.select("node", "digest", "first").join(labels, "node")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -175,3 +176,21 @@ def test_odd_column_names_pass_through(spark, tmp_path):
     model = corpus_pipeline.toxicity.Model({"idiot$": (1.0, 1)}, [0.0] * 6, 0.5)
     got = corpus_pipeline.toxicity.score_documents(odd, model, "score_").collect()
     assert all(r["a.b"] == 1 and r["s t"]["z.w"] == "q" and r["score"] == 4 and r["score_"] == 0.5 for r in got)
+
+
+def test_fingerprints_within_the_budget_are_candidates_without_bands(spark, monkeypatch):
+    whole = simhash.copy_sketch
+
+    def without_bands(shingles):
+        digest, keys, minima = whole(shingles)
+        return digest, keys * 0 + np.frombuffer(digest, dtype=np.int64)[0] + np.arange(len(keys)), minima
+
+    rng = random.Random(9)
+    words = ["w%d" % rng.randrange(3000) for _ in range(600)]
+    far = ["v%d" % rng.randrange(3000) for _ in range(600)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(far)]
+    prints = [simhash.majority_bits(simhash.shingle_set(t)) for t in texts]
+    assert 0 <= (prints[0] ^ prints[1]).bit_count() <= simhash.COPY_BUDGET < (prints[0] ^ prints[2]).bit_count()
+    monkeypatch.setattr(simhash, "copy_sketch", without_bands)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_copies(documents(spark, list(enumerate(texts)))).collect())
+    assert got == [(0, 0), (1, 0), (2, 2)]
