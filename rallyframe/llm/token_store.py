@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -38,8 +38,8 @@ from .runtime import env_cpu_single, map_batches, remove, shared_dir, ship, stor
 
 #: Ids under the rolling hash, mean ids of a chunk (a power of two), most ids of a chunk.
 WINDOW, MEAN_IDS, MOST_IDS = 4, 256, 4096
-#: Pre-tokens and ids of a generation of the cache (the one before is kept too), and the longest that are remembered.
-CACHE_PIECES, CACHE_IDS, CACHE_LENGTH = 120_000, 2_000_000, 64
+#: Strings, and bytes of them and their ids, beyond which a cache starts anew with the next batch.
+CACHE_PIECES, CACHE_BYTES = 200_000, 16 << 20
 #: An empty table leaves no file to take this from.
 RECIPES = "doc_id long, start long, n_tokens long, root binary, chunks array<binary>, range int"
 MANIFEST = "range int, n_documents long, n_ids long, root binary"
@@ -50,6 +50,7 @@ UNSAFE = r" (?:[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 _PLAIN = r"[\x21-\x26\x28-\x7e\x{a1}-\x{24f}]"
 SIMPLE = rf"\A{_PLAIN}+(?:\n{_PLAIN}+)*\n?\z"
 _LETTERS, _DIGITS = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}"
+LONE = rf"\A(?:[{_LETTERS}]+|[{_DIGITS}]+)\z"
 RUN = rf"([{_LETTERS}]+|[{_DIGITS}]+|\n|[^\n{_LETTERS}{_DIGITS}]+)"
 
 
@@ -75,53 +76,51 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-class Pool:
-    """Id sequences by number, one behind the other in an array that grows."""
+def _sequences(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Id sequences as binary values, from where each begins and the last ends."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64) * ids.itemsize), pa.py_buffer(ids.tobytes())])
 
-    def __init__(self, kind: np.dtype) -> None:
-        self.ids, self.used = np.zeros(1 << 16, dtype=kind), 0
-        self.starts, self.sizes, self.rows = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64), 0
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
-        """Put sequences that lie one behind the other; their numbers."""
-        for name, need in (("ids", self.used + len(ids)), ("starts", self.rows + len(sizes)), ("sizes", self.rows + len(sizes))):
-            if need > len(getattr(self, name)):
-                setattr(self, name, np.resize(getattr(self, name), max(need, 2 * len(getattr(self, name)))))
-        self.ids[self.used : self.used + len(ids)] = ids
-        rows = range(self.rows, self.rows + len(sizes))
-        self.sizes[rows.start : rows.stop] = sizes
-        self.starts[rows.start : rows.stop] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.rows = self.used + len(ids), rows.stop
-        return rows
+def _strung(sequences: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Their ids one behind the other, and where each begins and the last ends."""
+    if not len(sequences):
+        return np.zeros(0, dtype=kind), np.zeros(1, dtype=np.int64)
+    _, offsets, raw = sequences.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[sequences.offset : sequences.offset + len(sequences) + 1] // kind.itemsize
+    ids = np.frombuffer(raw, dtype=kind) if raw else np.zeros(0, dtype=kind)
+    return ids[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    def get(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The sequences one behind the other, and their sizes."""
-        sizes = self.sizes[rows]
-        return self.ids[ragged(self.starts[rows], sizes)], sizes
 
-    def forget(self, rows: int, used: int) -> None:
-        self.rows, self.used = rows, used
+class Known:
+    """Different strings in the order of their first sight, with the ids of each: a few bytes a string, no Python objects."""
 
+    def __init__(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
-class Generation:
-    """Numbers in a pool of ids by what follows a space, by what has none in front, and by whole pieces after a space."""
+    def numbers(self, words: pa.Array, learn: Callable[[pa.Array], pa.Array]) -> np.ndarray:
+        """The places of strings in `ids`; `learn` gives the ids of those that are new."""
+        before = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        if len(coded.dictionary) > before:
+            self.ids = pa.concat_arrays([self.ids, learn(coded.dictionary[before:])])
+            self.words = coded.dictionary
+        return coded.indices.to_numpy()[before:]
 
-    def __init__(self, kind: np.dtype) -> None:
-        self.pool = Pool(kind)
-        self.by: dict[str, dict[str, int]] = {"spaced": {}, "bare": {}, "whole": {}}
+    def full(self) -> bool:
+        return len(self.words) > CACHE_PIECES or self.words.nbytes + self.ids.nbytes > CACHE_BYTES
 
 
-def spelled(words: pa.Array) -> list[str]:
-    """Strings without spaces, as Python has them."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+def spelled(words: pa.Array) -> str:
+    """Strings in one, parted by spaces."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
 
 
 class PieceEncoder:
     """The tokenizers library behind a cache of pre-tokens.
 
-    A batch is cut at spaces, which pre-tokens never cross; its different pieces, and their different runs of letters,
-    digits and marks, are numbered by Arrow. Only these runs are looked up and, where new, go to the library's merges;
-    the ids of the whole batch are then gathered at once.
+    A batch is cut at spaces, which pre-tokens never cross. Its pieces are numbered by Arrow behind those known from
+    earlier batches, and so are the runs of letters, digits and marks of new pieces; only new runs go to the library's
+    merges. The ids of the whole batch are then gathered at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -139,95 +138,72 @@ class PieceEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # one character for each byte
-        self.now = self.before = Generation(self.kind)
+        #: Pieces and runs, each with a space in front (True) or none (False).
+        self.pieces, self.runs = {True: Known(), False: Known()}, {True: Known(), False: Known()}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def _sizes(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """How many ids each part has, from where the parts' bytes end."""
-        return np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1, prepend=0)
-
-    def _learn(self, new: list[str], how: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pre-tokens with or without a space in front, or of whole pieces after a space; how many each has."""
-        if how == "whole":
-            ids = self._ids(" " + " ".join(new))
-            return ids, self._sizes(ids, np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in new]))
-        written = " ".join(new).encode().decode("latin-1").translate(SPACED if how == "spaced" else PARTED)
-        if how == "spaced":
+    def _parted(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The ids of each part, from where the parts' bytes end."""
+        return _sequences(ids, np.append(0, np.searchsorted(np.cumsum(self.width[ids]), ends) + 1))
+
+    def _learn_runs(self, new: pa.Array, spaced: bool) -> pa.Array:
+        written = spelled(new).encode().decode("latin-1").translate(SPACED if spaced else PARTED)
+        if spaced:
             written = "\u0120" + written
         ids = np.array(self.merges.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype=self.kind)
         spaces = np.flatnonzero(np.frombuffer(written.encode("utf-32-le"), dtype="<u4") == 32)
-        return ids, self._sizes(ids, np.append(spaces, len(written)) - np.arange(len(new)))  # one character a byte
-
-    def _rows(self, words: list[str], how: str) -> np.ndarray:
-        """Numbers in the pool, learned where new."""
-        known, older = self.now.by[how], self.before.by[how]
-        rows = np.array([-1 if x is None else x for x in map(known.get, words)], dtype=np.int64)
-        new = np.flatnonzero(rows < 0)
-        if len(new) and self.before is not self.now:
-            back = np.array([-1 if x is None else x for x in map(older.get, map(words.__getitem__, new.tolist()))], dtype=np.int64)
-            found = back >= 0
-            self._remember(words, new[found], rows, known, *self.before.pool.get(back[found]))
-            new = new[~found]
-        if len(new):
-            self._remember(words, new, rows, known, *self._learn(list(map(words.__getitem__, new.tolist())), how))
-        return rows
-
-    def _remember(self, words: list[str], which: np.ndarray, rows: np.ndarray, known: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        added = self.now.pool.add(ids, sizes)
-        rows[which] = np.arange(added.start, added.stop)
-        known.update([(w, row) for w, row in zip(map(words.__getitem__, which.tolist()), added, strict=True) if len(w) <= CACHE_LENGTH])
-
-    def _pieces(self, words: pa.Array, heads: pa.Array) -> tuple[Pool, np.ndarray]:
-        """A pool of the ids of pieces after a space and of pieces at a text's begin, and the number of each in it."""
-        both = pa.concat_arrays([words, heads])
-        simple = pc.match_substring_regex(both, SIMPLE).to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero(simple)
-        lists = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(both.filter(pa.array(simple)), RUN, r"\1 "), " "), " ")
-        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        runs = lists.flatten()
-        spaced = np.zeros(len(runs), dtype=bool)
-        spaced[at[:-1][cut < len(words)]] = True
-        of_run = np.zeros(len(runs), dtype=np.int64)
-        for how, mine in (("spaced", spaced), ("bare", ~spaced)):
-            coded = runs.filter(pa.array(mine)).dictionary_encode()
-            if len(coded):
-                of_run[mine] = self._rows(spelled(coded.dictionary), how)[coded.indices.to_numpy()]
-        whole = np.flatnonzero(~simple[: len(words)])
-        of_whole = self._rows(words.take(pa.array(whole)).to_pylist(), "whole")
-        begins = len(words) + np.flatnonzero(~simple[len(words) :])
-        alone = [self._ids(t) for t in both.take(pa.array(begins)).to_pylist()]
-
-        pool, rows = Pool(self.kind), np.zeros(len(both), dtype=np.int64)
-        ids, sizes = self.now.pool.get(of_run)
-        upto = np.concatenate([[0], np.cumsum(sizes)])[at]
-        for which, own, n in ((cut, ids, np.diff(upto)), (whole, *self.now.pool.get(of_whole)), (begins, _joined(alone, self.kind), np.array(list(map(len, alone)), dtype=np.int64))):
-            added = pool.add(own, n)
-            rows[which] = np.arange(added.start, added.stop)
-        return pool, rows
+        return self._parted(ids, np.append(spaces, len(written)) - np.arange(len(new)))  # one character a byte
+
+    def _learn_pieces(self, new: pa.Array, spaced: bool) -> pa.Array:
+        simple, lone = (pc.match_substring_regex(new, x).to_numpy(zero_copy_only=False) for x in (SIMPLE, LONE))
+        cut = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(new.filter(pa.array(simple & ~lone)), RUN, r"\1 "), " "), " ")
+        at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        alone = int(lone.sum())
+        runs = pa.concat_arrays([new.filter(pa.array(lone)), cut.flatten()])
+        at = np.concatenate([np.arange(alone), alone + at])
+        front = np.zeros(len(runs), dtype=bool)
+        front[at[:-1]] = spaced
+        rows = np.zeros(len(runs), dtype=np.int64)
+        for how, mine in ((True, front), (False, ~front)):
+            rows[mine] = self.runs[how].numbers(runs.filter(pa.array(mine)), lambda words, how=how: self._learn_runs(words, how))
+        rows[~front] += len(self.runs[True].ids)
+        ids, offsets = _strung(pa.concat_arrays([self.runs[True].ids, self.runs[False].ids]).take(pa.array(rows)), self.kind)
+
+        others = new.filter(pa.array(~simple)).to_pylist()
+        if not others:
+            whole = _sequences(np.zeros(0, dtype=self.kind), np.zeros(1))
+        elif spaced:
+            whole = self._parted(self._ids(" " + " ".join(others)), np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in others]))
+        else:
+            each = [self._ids(p) for p in others]
+            whole = _sequences(_joined(each, self.kind), np.cumsum([0, *map(len, each)]))
+        order = np.concatenate([np.flatnonzero(lone), np.flatnonzero(simple & ~lone), np.flatnonzero(~simple)])
+        return pa.concat_arrays([_sequences(ids, offsets[at]), whole]).take(pa.array(np.argsort(order)))
 
     def _gathered(self, lists: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts cut into pieces, and how many each has."""
         at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        values, first = lists.flatten(), at[:-1]
+        values = lists.flatten()
         inner = np.ones(len(values), dtype=bool)
-        inner[first] = False
-        words, heads = values.filter(pa.array(inner)).dictionary_encode(), values.filter(pa.array(~inner)).dictionary_encode()
-        pool, numbers = self._pieces(words.dictionary, heads.dictionary)
-        rows = np.zeros(len(values), dtype=np.int64)
-        rows[inner] = numbers[words.indices.to_numpy()]
-        rows[~inner] = numbers[len(words.dictionary) + heads.indices.to_numpy()]
+        inner[at[:-1]] = False
+        rows = np.zeros(len(values), dtype=np.int32)
+        for spaced, mine in ((True, inner), (False, ~inner)):
+            rows[mine] = self.pieces[spaced].numbers(values.filter(pa.array(mine)), lambda new, spaced=spaced: self._learn_pieces(new, spaced))
+        rows[~inner] += len(self.pieces[True].ids)
+        pool = [self.pieces[True].ids, self.pieces[False].ids]
         if end_id is not None:
-            rows = np.insert(rows, at[1:], pool.add(np.array([end_id], dtype=self.kind), np.array([1])).start)
+            rows = np.insert(rows, at[1:], sum(map(len, pool)))
             at = at + np.arange(len(at))
-        ids, sizes = pool.get(rows)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[at])
+            pool.append(_sequences(np.array([end_id], dtype=self.kind), np.array([0, 1])))
+        ids, offsets = _strung(pa.concat_arrays(pool).take(pa.array(rows)), self.kind)
+        return ids, np.diff(offsets[at])
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (nulls count as empty) one behind the other, and how many each has."""
-        if sum(map(len, self.now.by.values())) > CACHE_PIECES or self.now.pool.used > CACHE_IDS:
-            self.before, self.now = self.now, Generation(self.kind)
+        for known in (self.pieces, self.runs):
+            known.update({spaced: Known() for spaced, own in known.items() if own.full()})
         texts = texts.cast(pa.string()).fill_null("")
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         special = np.zeros(len(texts), dtype=bool)
@@ -389,7 +365,7 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> D
         lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), chunks)
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(roots, pa.binary()), lists], names=["doc_id", "tie", "n_tokens", "root", "chunks"])
 
-    return map_batches(docs.select("doc_id", "text", "tie"), run, "doc_id long, tie long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=512)
+    return map_batches(docs.select("doc_id", "text", "tie"), run, "doc_id long, tie long, n_tokens long, root binary, chunks array<struct<digest:binary,n_ids:int,ids:binary>>", rows=2048)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0) -> None:
@@ -463,14 +439,20 @@ def _chunk_facts(chunks: DataFrame) -> DataFrame:
     """digest, whether the stored bytes have it, and their number of ids and CRC-32 as 32-bit integers."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, counts, raws = (batch.column(i).to_pylist() for i in range(3))
-        sound, n_ids, crcs = [], [], []
-        for name, count, raw in zip(names, counts, raws, strict=True):
-            kind = "<u2" if len(raw) == 2 * count else "<u4"
-            ids = np.frombuffer(raw, dtype=kind)
-            sound.append(digest(raw) == name and len(ids) == count)
-            n_ids.append(len(ids))
-            crcs.append(zlib.crc32(ids.astype("<u4")))
+        names, counts, stored_ids = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
+        sizes = pc.binary_length(stored_ids).to_numpy().astype(np.int64)
+        narrow = sizes == 2 * counts.astype(np.int64)
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"".join(stored_ids.to_pylist()), dtype=np.uint8)
+        # All ids of a batch become 32-bit at once where each chunk has them in 16.
+        wide, ratio = (raw.view("<u2").astype("<u4").view(np.uint8), 2) if narrow.all() else (raw, 1)
+        n_ids = sizes // np.where(narrow, 2, 4)
+        raw, wide = memoryview(raw), memoryview(wide)
+        sound, crcs = [], []
+        for name, a, b, two in zip(names, (ends - sizes).tolist(), ends.tolist(), narrow.tolist(), strict=True):
+            sound.append(digest(raw[a:b]) == name)
+            crcs.append(zlib.crc32(np.frombuffer(raw[a:b], dtype="<u2").astype("<u4") if two and ratio == 1 else wide[ratio * a : ratio * b]))
+        sound = np.array(sound, dtype=bool) & (narrow | (sizes == 4 * counts.astype(np.int64)))
         yield pa.record_batch([batch.column(0), pa.array(sound), pa.array(n_ids, pa.int32()), pa.array(crcs, pa.int64())], names=["digest", "sound", "n", "crc"])
 
     return map_batches(chunks.select("digest", "n_ids", "ids"), run, "digest binary, sound boolean, n int, crc long", rows=4096)
@@ -485,7 +467,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "chunks", "range")
     facts = _chunk_facts(spark.read.parquet(f"{path}/chunks"))
     used = recipes.select("start", "root", F.posexplode("chunks").alias("place", "digest"))
-    of_doc = used.join(facts, "digest", "left").groupBy("start", "root").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "sound", "n", "crc"))).alias("parts"))
+    of_doc = used.join(facts, "digest", "left").groupBy("start", "root").agg(F.sort_array(F.collect_list(F.struct("place", "digest", "sound", "n", "crc"))).alias("parts"))
     listed = F.broadcast(stored(sound_ranges(spark, path, recipes), "sound_ranges"))  # one row a range
     rows = recipes.drop("chunks").join(of_doc, ["start", "root"], "left").join(listed, "range", "left")
 

@@ -66,6 +66,32 @@ def test_equals_the_library(monkeypatch, pieces):
     assert got == [LIBRARY.encode(t or "", add_special_tokens=False).ids + [7] for t in texts]
 
 
+def test_what_a_batch_knows_is_not_learned_again(monkeypatch):
+    """Several batches later a word is still known, and a full cache starts anew with the same ids."""
+    monkeypatch.setattr(token_store, "CACHE_PIECES", 500)
+    encoder = token_store.PieceEncoder(PATH)
+    learned = []
+    own = encoder._learn_runs
+    monkeypatch.setattr(encoder, "_learn_runs", lambda new, spaced: learned.extend(new.to_pylist()) or own(new, spaced))
+    batches = [[f"common thing{n}, {'common ' * n}w{n}." for n in range(k, k + 20)] for k in range(0, 200, 20)]
+    for texts in batches:
+        assert encoded(encoder, texts, 0) == [ids_of(t) for t in texts]
+    assert learned.count("common") <= 2  # with and without a space in front
+    for texts in ([f"x{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)} common" for n in range(1200)], *batches):
+        assert encoded(encoder, texts, 0) == [ids_of(t) for t in texts]
+    assert 2 < learned.count("common") <= 4
+    assert all(len(known.words) <= 2 * 1200 for both in (encoder.pieces, encoder.runs) for known in both.values())
+
+
+def test_chunks_of_two_and_of_four_bytes_an_id(spark):
+    few, many = np.arange(5, dtype="<u2"), np.arange(70000, 70009, dtype="<u4")
+    good = [(token_store.digest(x.tobytes()), len(x), x.tobytes()) for x in (few, many)]
+    rows = [*good, (good[0][0], 5, b"0123456789"), (good[1][0], 8, good[1][2]), (token_store.digest(b"abc"), 2, b"abc")]
+    got = {(r.digest, r.sound, r.n, r.crc) for r in token_store._chunk_facts(spark.createDataFrame(rows, "digest binary, n_ids int, ids binary").coalesce(1)).collect()}
+    wanted = {(digest, True, len(x), zlib.crc32(x.astype("<u4").tobytes())) for (digest, _, _), x in zip(good, (few, many), strict=True)}
+    assert wanted <= got and sum(r[1] for r in got) == 2 and len(got) == len(rows)
+
+
 def test_round_trip(spark, store):
     rows, path = store
     got = sorted((str(r.doc_id), r.ids) for r in token_store.read_documents(spark, path).collect())
