@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from rallyframe import schemas
@@ -201,3 +203,70 @@ def test_rows_wait_packed_and_are_stepped_over_in_pieces(monkeypatch):
     plain_ = live.KalmanStepper()
     want = plain_.step(plain_.begin(), [(i, *r[1:]) for i, r in enumerate(rows)])[1]
     assert plain(out) == plain((1, *r) for r in want) and max(stepper.sizes) <= 17 and processor.waiting.v == []
+
+
+class Blocks:
+    """The state of one key, and what is asked of it."""
+
+    def __init__(self):
+        self.map, self.asked, self.timers = {}, [], []
+
+    class Value:
+        v = None
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+        update = lambda self, v: setattr(self, "v", v)
+
+    getMapState = lambda self, *a: self
+    getValueState = lambda self, *a: self.Value()
+    containsKey = lambda self, k: k in self.map
+    updateValue = lambda self, k, v: self.map.__setitem__(k, v)
+    removeKey = lambda self, k: self.map.pop(k)
+    keys = lambda self: iter(list(self.map))
+    listTimers = lambda self: iter(list(self.timers))
+    registerTimer = lambda self, t: self.timers.append(t)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+
+    def getValue(self, k):
+        self.asked.append(k[0])
+        return self.map[k]
+
+
+@pytest.mark.parametrize("stepper", [live.KalmanStepper(), live.StepsStepper()])
+def test_packed_rows_wait_by_stretches_and_are_read_one_at_a_time(spark, monkeypatch, stepper):
+    monkeypatch.setattr(live, "BLOCK", 64)
+    rows = [(i, *r[2:]) for i, r in enumerate(track(1, 400, 1))][5:]
+    names = list(stepper.columns)
+    table = pd.DataFrame(rows, columns=["frame_idx", "x_px", "y_px", "confidence"])[names]
+
+    def packs(part):
+        batch = pa.RecordBatch.from_pandas(part.assign(match_id=1)[["match_id", *names]], preserve_index=False)
+        return pd.concat([b.to_pandas() for b in live._packs(iter([batch]), ["match_id"], stepper)])
+
+    at = lambda now: type("At", (), {"getCurrentWatermarkInMs": lambda self: now})()
+    kept, processor, out = Blocks(), live._Blocks(["match_id"], stepper), []
+    processor.init(kept)
+    shuffled = table.sample(frac=1, random_state=4)
+    for part in (shuffled[:200], shuffled[200:]):
+        given = packs(part)
+        assert len(given) == part["frame_idx"].floordiv(64).nunique()  # one row a stretch, not one a frame
+        assert list(processor.handleInputRows((1,), iter([given]), at(0))) == []
+    assert kept.timers == [6000] and sorted(kept.map) == [(b,) for b in range(7)]
+    for now, left, timer in ((100_000, [1, 2, 3, 4, 5, 6], 101_000), (10**9, [], None)):
+        kept.asked, kept.timers = [], []
+        for frame in processor.handleExpiredTimer((1,), at(now), None):
+            out += [tuple(None if v != v else v for v in r) for r in frame.itertuples(index=False)]
+            assert kept.asked[-1] - int(frame["frame_idx"].max()) // 64 <= 1  # no stretch is read before it is needed
+        assert sorted(k[0] for k in kept.map) == left and kept.timers == ([timer] if timer else [])
+        assert now > 100_000 or kept.asked == [0, 1]  # later stretches are not read
+    want = stepper.step(stepper.begin(), [tuple(None if v != v else v for v in r) for r in table.itertuples(index=False)])[1]
+    assert plain(out) == plain((1, *r) for r in want)
+
+
+def test_late_rows_of_a_pack_are_dropped(spark, tmp_path):
+    source = Source(spark, tmp_path, KIND)
+    for frames in ([1000], [2000], [500, 2100], [1990, 2200]):
+        source.add([(1, f, 1.0, 1.0, 0.5) for f in frames])
+    source.add([(99, FAR, 1.0, 1.0, 1.0)])
+    run(live.live_kalman(source.stream()), tmp_path)
+    assert [r[0] for r in result(spark, tmp_path, ["frame_idx"])] == [1000, 1990, 2000, 2100, 2200]
