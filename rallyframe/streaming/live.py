@@ -262,15 +262,25 @@ class _Ordered(StatefulProcessor):
 
 
 #: Frames whose rows are packed, and kept as one value of the state.
-BLOCK = 8192
+BLOCK = 32_768
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """So many rows at a time, as each of Spark's batches alone would cut a stretch into several packs."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting, n = [*waiting, batch], n + batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def _packs(batches: Iterator[pa.RecordBatch], keys: list[str], stepper: Stepper) -> Iterator[pa.RecordBatch]:
-    """The keys, block, first and last (frames) and rows: one row a key and stretch of frames in each batch."""
+    """The keys, block, first and last (frames) and rows: one row a key and stretch of frames in what is gathered."""
     frame = stepper.columns[0]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _gathered(batches, 2 * BLOCK):
         frames = batch.column(frame).to_numpy()
         codes = [frames // BLOCK, *(batch.column(k).dictionary_encode("encode").indices.to_numpy() for k in keys)]
         order = np.lexsort((frames, *codes))
@@ -283,7 +293,7 @@ def _packs(batches: Iterator[pa.RecordBatch], keys: list[str], stepper: Stepper)
 
 
 def _blocks(rows: DataFrame, keys: list[str], stepper: Stepper) -> DataFrame:
-    """The rows as `_packs` of each of Spark's Arrow batches; a row without a frame has no time and is left out."""
+    """The rows as `_packs`; a row without a frame has no time and is left out."""
     kind = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "block long, first long, last long, rows binary"])
     frame = F.col(stepper.columns[0]).cast("long").alias(stepper.columns[0])
     return rows.select(*keys, frame, *stepper.columns[1:]).where(F.col(stepper.columns[0]).isNotNull()).mapInArrow(lambda batches: _packs(batches, keys, stepper), kind)
@@ -350,6 +360,7 @@ class _Blocks(_Ordered):
         self.passed.update((last,))
 
     def _over(self, key, state: tuple, rows: pa.Table) -> Generator[pd.DataFrame, None, tuple]:
+        """A stepper with `step_columns` takes a stretch at once."""
         if not hasattr(self.stepper, "step_columns"):
             return (yield from super()._over(key, state, rows))
         rows = rows.sort_by([(c, "ascending") for c in self.stepper.order])
