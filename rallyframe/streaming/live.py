@@ -81,7 +81,7 @@ class KalmanStepper(Stepper):
             if lead == len(hidden):
                 return ([], [a, b, c], misses, waiting), [frame[wait:], *(np.full(lead - wait, np.nan) for _ in range(2)), conf[wait:]]
             mean, n = [xs[lead], ys[lead], 0.0, 0.0], len(waiting)
-            before = [np.r_[waiting, frame[wait:lead]], *(np.r_[np.full(n, v), np.full(lead - wait, np.nan)] for v in mean[:2]), np.r_[np.full(n, fill), conf[wait:lead]]]
+            before = [np.r_[np.array(waiting, frame.dtype), frame[wait:lead]], *(np.r_[np.full(n, v), np.full(lead - wait, np.nan)] for v in mean[:2]), np.r_[np.full(n, fill), conf[wait:lead]]]
             state, out = self.step_columns((mean, [a, b, c], misses, []), [v[lead:] for v in columns])
             return state, [np.r_[p, q] for p, q in zip(before, out, strict=True)]
         px, py, vx, vy = mean
@@ -322,9 +322,9 @@ class _Blocks(_Ordered):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         passed, first = self.passed.get()[0] if self.passed.exists() else None, None
         for packs in rows:
-            for block, begin, last, pack in zip(packs["block"], packs["first"], packs["last"], packs["rows"], strict=True):
+            for block, begin, pack in zip(packs["block"], packs["first"], packs["rows"], strict=True):
                 if passed is not None and begin <= passed:
-                    own = _unpacked(pack)
+                    own = _unpacked(bytes(pack))
                     own = own.filter(pc.greater(own[self.stepper.columns[0]], passed))
                     if not own.num_rows:
                         continue
@@ -380,7 +380,7 @@ def live(stream: DataFrame, keys: list[str], stepper: Stepper, watermark: str =
 def live_dense(stream: DataFrame, keys: list[str], stepper: Stepper, watermark: str = "120 seconds") -> DataFrame:
     """As `live`, for keys with rows in most frames."""
     use_state_store(stream.sparkSession)
-    timed = _blocks(stream, keys, stepper).select(*keys, "block", "first", "last", "rows", frame_time("last").alias("at")).withWatermark("at", watermark)
+    timed = _blocks(stream, keys, stepper).select(*keys, "block", "first", "rows", frame_time("last").alias("at")).withWatermark("at", watermark)
     return timed.groupBy(*keys).transformWithStateInPandas(_Blocks(keys, stepper), out_schema(timed, keys, stepper), "Append", "EventTime")
 
 

@@ -270,3 +270,14 @@ def test_late_rows_of_a_pack_are_dropped(spark, tmp_path):
     source.add([(99, FAR, 1.0, 1.0, 1.0)])
     run(live.live_kalman(source.stream()), tmp_path)
     assert [r[0] for r in result(spark, tmp_path, ["frame_idx"])] == [1000, 1990, 2000, 2100, 2200]
+
+
+def test_columns_keep_whole_frames_and_every_row():
+    import numpy as np
+
+    stepper, far = live.KalmanStepper(max_gap=2), 2**53 + 1  # beyond what a double can tell apart
+    frame, nan = np.arange(far, far + 6), np.array([np.nan] * 3)
+    state, early = stepper.step_columns(stepper.begin(), [frame[:3], nan, nan, np.full(3, 0.5)])
+    state, late = stepper.step_columns(state, [frame[3:], *(np.array([1.0, 2.0, np.nan]) for _ in range(2)), np.full(3, 0.5)])
+    assert early[0].tolist() == [far + 2] and late[0].tolist() == [far, far + 1, far + 3, far + 4, far + 5]
+    assert late[3].tolist() == [0.3, 0.3, 0.5, 0.5, 0.3]
